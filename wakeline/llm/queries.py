@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, urls
+from . import bpe, exact, mixing, urls
 from .common import table
 
 
@@ -24,12 +24,22 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urls.fit(urls.labelled_urls(spark))
     return urls.judge_urls(table(spark, sf_dir, "pages"), model)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op5_bpe, op8_url_filter)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
