@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, urls
+from . import bpe, exact, mixing, simhash, urls
 from .common import table
 
 
@@ -39,7 +39,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), model)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op5_bpe, op8_url_filter)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op5_bpe, op8_url_filter, op9_simhash)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
