@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, simhash, urls
+from . import bpe, embeddings, exact, mixing, simhash, urls
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mixture(docs).select(
@@ -43,7 +47,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op5_bpe, op8_url_filter, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_embedding_dedup, op4_mixing, op5_bpe, op8_url_filter, op9_simhash)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
