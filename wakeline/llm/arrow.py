@@ -21,14 +21,18 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
 
 
 def map_pieces(
-    df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str
+    df: DataFrame,
+    column: str,
+    make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
+    schema: str,
+    most_bytes: int = 4 << 20,
 ) -> DataFrame:
     """df through a function of slices; make() runs once in each task, so the function may keep a cache."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            for piece in pieces(batch, column):
+            for piece in pieces(batch, column, most_bytes):
                 yield each(piece)
 
     return df.mapInArrow(run, schema)
