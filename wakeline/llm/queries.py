@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, exact, langid, mixing, simhash, urls
+from . import bpe, embeddings, exact, html, langid, mixing, simhash, urls
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urls.fit(urls.labelled_urls(spark))
     return urls.judge_urls(table(spark, sf_dir, "pages"), model)
@@ -52,7 +56,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_embedding_dedup, op4_mixing, op5_bpe, op6_language, op8_url_filter, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_embedding_dedup, op4_mixing, op5_bpe, op6_language, op7_html_text, op8_url_filter, op9_simhash)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
