@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, exact, html, langid, mixing, simhash, urls
+from . import bpe, embeddings, exact, html, langid, mixing, passages, simhash, suffixes, urls
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -56,7 +60,25 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_embedding_dedup, op4_mixing, op5_bpe, op6_language, op7_html_text, op8_url_filter, op9_simhash)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_passages(table(spark, sf_dir, "documents"), digests=True)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_suffix_dedup,
+        op3_embedding_dedup,
+        op4_mixing,
+        op5_bpe,
+        op6_language,
+        op7_html_text,
+        op8_url_filter,
+        op9_simhash,
+        op10_substring_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """

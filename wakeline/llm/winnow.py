@@ -1,0 +1,301 @@
+"""Finding windows of L symbols that repeat in a corpus, without shipping every window.
+
+Every window of L symbols is owned by its minimizer: of its k-grams the one with the lowest hash, the first
+of equals. Equal windows have equal minimizers at equal places, so they are owned by equal k-grams. A run of
+consecutive windows with one minimizer is a fragment, the span that they cover; about one row for each
+(L - k) / 2 symbols stands for all windows. Fragments meet by minimizer. A minimizer whose fragments are all
+alike is settled by counts alone; only where fragments differ is one of each kind fetched and searched.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .arrow import pieces, runs
+from .common import written
+
+BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: The inverse of BASE modulo 2**64.
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
+PIECE = 1 << 20
+#: Hashes of repeated fragments that a task remembers, and words whose hash it keeps.
+REMEMBERED, WORDS = 400_000, 800_000
+#: Kinds of fragments of one minimizer that one task searches together; more are settled window by window.
+BUCKET = 20_000
+
+Symbols = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+SPANS = "doc bigint, start int, length int"
+FRAGMENTS = "h bigint, fh bigint, doc bigint, start int, n_windows int, n bigint, known boolean"
+CONTENTS = "h bigint, doc bigint, start int, n_windows int, n bigint, content binary"
+
+_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and BASE ** -i for i up to n."""
+    if len(_powers[0]) <= n:
+        for i, base in enumerate((BASE, INVERSE)):
+            steps = np.full(max(n, PIECE) + 1, base, dtype=np.uint64)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    return _powers[0], _powers[1]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+class Hashes:
+    """Hashes of any span of a symbol sequence, from prefix sums of a polynomial modulo 2**64."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = powers(len(values))
+        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[b] - self.sums[a]) * self.down[a])
+
+    def all(self, length: int) -> np.ndarray:
+        n = len(self.sums) - length
+        return mixed((self.sums[length:] - self.sums[:n]) * self.down[:n])
+
+
+_byte_values = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
+
+
+def byte_symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(a value for each UTF-8 byte of all texts, length of each text)."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    return _byte_values[np.frombuffer(b"".join(raw), dtype=np.uint8)], np.array([len(r) for r in raw], dtype=np.int64)
+
+
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word, 5)
+        return h
+
+
+_words = _Words()
+
+
+def words_of(text: str) -> list[bytes]:
+    """The words [^\\x20\\x09-\\x0D]+ of a text in UTF-8."""
+    return text.encode("utf-8", "surrogatepass").split()
+
+
+def word_symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(a value for each word of all texts, number of words of each text)."""
+    if len(_words) > WORDS:
+        _words.clear()
+    words = [words_of(t) for t in texts]
+    n = np.array([len(w) for w in words], dtype=np.int64)
+    return np.fromiter((_words[x] for w in words for x in w), dtype=np.uint64, count=int(n.sum())), n
+
+
+def fragments_of(values: np.ndarray, lengths: np.ndarray, window: int, k: int):
+    """(text, start, n_windows, minimizer hash, fragment hash) of every fragment of the texts."""
+    n, w = len(values), window - k + 1
+    ends = np.cumsum(lengths)
+    if n < window:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+    hashes = Hashes(values)
+    grams = hashes.all(k)
+    # Lowest hash, then lowest place, over w k-grams in a row, by doubling.
+    low, span = (grams & HIGH) | np.arange(len(grams), dtype=np.uint64), 1
+    while span * 2 <= w:
+        low, span = np.minimum(low[:-span], low[span:]), span * 2
+    if span < w:
+        low = np.minimum(low[: len(low) - (w - span)], low[w - span :])
+    owner = (low & LOW).astype(np.int64)
+    text_end = np.repeat(ends, lengths)[: len(owner)]
+    inside = np.arange(len(owner)) + window <= text_end
+    first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1]))))
+    count = np.diff(np.append(first, len(owner)))
+    first, count = first[inside[first]], count[inside[first]]
+    text = np.searchsorted(ends, first, side="right")
+    return (
+        text, first - (ends - lengths)[text], count, grams[owner[first]], hashes.of(first, first + count - 1 + window),
+    )
+
+
+def fragments(docs: DataFrame, symbols: Symbols, window: int, k: int, first_stays: bool) -> DataFrame:
+    """FRAGMENTS rows of docs(doc, text).
+
+    Fragments that are alike within a piece leave one row, that of the smallest (doc, start), with their
+    number n; the others are `known` to repeat something smaller and get a hash of their own as h, so they
+    pass on evenly. The row is known too where the task has already sent such a row of a smaller document.
+    With first_stays, rows of docs that repeat as a whole are one document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent, sent_doc = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for piece in pieces(batch, "text", PIECE):
+                values, lengths = symbols(piece.column("text").to_pylist())
+                text, start, count, h, fh = fragments_of(values, lengths, window, k)
+                doc = piece.column("doc").to_numpy()[text]
+                key = mixed(h) ^ fh
+                order = np.lexsort((start, doc, key))
+                text, start, count, h, fh, doc, key = (x[order] for x in (text, start, count, h, fh, doc, key))
+                if first_stays and len(key):
+                    new = np.concatenate(([True], (np.diff(key) != 0) | (np.diff(doc) != 0) | (np.diff(start) != 0)))
+                    text, start, count, h, fh, doc, key = (x[new] for x in (text, start, count, h, fh, doc, key))
+                at = runs(key)
+                n = np.diff(np.append(at, len(key)))
+                known = np.ones(len(key), dtype=bool)
+                known[at] = False
+                several = np.ones(len(key), dtype=np.int64)
+                several[at] = n
+                if len(sent):
+                    where = np.minimum(np.searchsorted(sent, key[at]), len(sent) - 1)
+                    # Sent before as repeated: nothing new for the others, unless it is smaller.
+                    known[at[(sent[where] == key[at]) & (sent_doc[where] < doc[at])]] = True
+                fresh = at[(n > 1) & ~known[at]]
+                if len(fresh):
+                    keys = np.concatenate((key[fresh], sent))
+                    docs_ = np.concatenate((doc[fresh], sent_doc))
+                    sent, first = np.unique(keys, return_index=True)
+                    sent_doc = docs_[first]
+                    if len(sent) > REMEMBERED:
+                        sent, sent_doc = sent[:0], sent_doc[:0]
+                h = np.where(known, mixed(doc.astype(np.uint64) * BASE + start.astype(np.uint64)), h)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(h.view(np.int64)), pa.array(fh.view(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)),
+                        pa.array(count.astype(np.int32)), pa.array(several), pa.array(known),
+                    ],
+                    ["h", "fh", "doc", "start", "n_windows", "n", "known"],
+                )
+
+    return docs.filter("doc IS NOT NULL").mapInArrow(run, FRAGMENTS)
+
+
+def settled(docs: DataFrame, symbols: Symbols, window: int, k: int, first_stays: bool) -> DataFrame:
+    """The fragments that may repeat, as a written table: FRAGMENTS rows with first(doc, start) and alike.
+
+    Rows whose minimizer stands alone are gone. alike: all fragments of the minimizer are the same, of which
+    `first` is the smallest. Minimizers are counted with a map-side combine and joined back, so a frequent one
+    is split by Spark's skew handling.
+    """
+    f = fragments(docs, symbols, window, k, first_stays)
+    met = (
+        f.filter("NOT known")
+        .groupBy("h")
+        .agg(
+            F.sum("n").alias("met"),
+            (F.min("fh") == F.max("fh")).alias("alike"),
+            F.min(F.struct("doc", "start")).alias("first"),
+        )
+        .filter("met > 1")
+    )
+    return written(f.join(met.select("h", "alike", "first"), "h", "left").filter("known OR alike IS NOT NULL"))
+
+
+def kinds(different: DataFrame) -> DataFrame:
+    """One row for each kind of fragment (h, fh): n, its smallest occurrence `one`, and the kinds of its minimizer."""
+    own = different.groupBy("h", "fh").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "start", "n_windows")).alias("one"))
+    many = own.groupBy("h").agg(F.count(F.lit(1)).alias("n_kinds"))
+    return own.join(many, "h")
+
+
+def contents(docs: DataFrame, wanted: DataFrame, content: Callable[[str, np.ndarray, np.ndarray], list[bytes]]) -> DataFrame:
+    """CONTENTS rows: for each kind its own symbols, cut from the text of the document of its smallest occurrence."""
+    refs = wanted.select(
+        F.col("one.doc").alias("doc"), F.struct("h", "one.start", "one.n_windows", "n").alias("ref")
+    ).groupBy("doc").agg(F.collect_list("ref").alias("refs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text", PIECE):
+                out: list[list] = [[], [], [], [], [], []]
+                lists = piece.column("refs")
+                flat = lists.flatten()
+                h, start, n_windows, n = (flat.field(i).to_numpy() for i in range(4))
+                ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
+                at = 0
+                for doc, text, end in zip(piece.column("doc").to_pylist(), piece.column("text").to_pylist(), ends.tolist()):
+                    s = slice(at, end)
+                    out[5] += content(text, start[s], n_windows[s])
+                    out[1].append(np.full(end - at, doc, dtype=np.int64))
+                    at = end
+                doc_column = np.concatenate(out[1]) if out[1] else np.zeros(0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h), pa.array(doc_column), pa.array(start), pa.array(n_windows), pa.array(n), pa.array(out[5], pa.binary())],
+                    ["h", "doc", "start", "n_windows", "n", "content"],
+                )
+
+    joined = docs.join(refs, "doc").select("doc", "text", "refs")
+    return joined.mapInArrow(run, CONTENTS)
+
+
+def by_bucket(
+    rows: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str = SPANS, most: int = 40_000
+) -> DataFrame:
+    """work() on tables of whole buckets (equal h), of about `most` rows, in each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            h = batch.column("h").to_numpy()
+            if size < most or h[0] == h[-1]:
+                continue
+            cut = int(np.searchsorted(h, h[-1]))
+            held[-1] = batch.slice(0, cut)
+            yield from work(pa.Table.from_batches(held))
+            held, size = [batch.slice(cut)], batch.num_rows - cut
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
+
+
+def by_window(rows: DataFrame, hashes: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """(h, w, doc, start, n, met, first): every window of CONTENTS rows by itself, with the number of such windows
+    and the smallest; for minimizers with so many kinds of fragments that no task should hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "content", PIECE):
+                w = [hashes(c) for c in piece.column("content").to_pylist()]
+                size = np.array([len(x) for x in w])
+                h, doc, start, n = (np.repeat(piece.column(c).to_numpy(), size) for c in ("h", "doc", "start", "n"))
+                at = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+                arrays = [h, np.concatenate(w).view(np.int64), doc, (start + at).astype(np.int32), n]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["h", "w", "doc", "start", "n"])
+
+    each = rows.mapInArrow(run, "h bigint, w bigint, doc bigint, start int, n bigint")
+    met = each.groupBy("h", "w").agg(F.sum("n").alias("met"), F.min(F.struct("doc", "start")).alias("first"))
+    return each.join(met.filter("met > 1"), ["h", "w"])
+
+
+def by_document(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs(doc, text) with starts and lengths, the spans of each document (null if it has none)."""
+    own = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    return docs.join(own, "doc", "left").select("doc", "text", F.col("spans.start").alias("starts"), F.col("spans.length").alias("lengths"))
+
+
+def covered(length: int, starts, lengths) -> np.ndarray:
+    """Which of `length` symbols the spans cover."""
+    change = np.zeros(length + 1, dtype=np.int64)
+    np.add.at(change, np.minimum(starts, length), 1)
+    np.add.at(change, np.minimum(np.asarray(starts) + lengths, length), -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def spans_batch(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    arrays = [pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(arrays, ["doc", "start", "length"])
