@@ -131,16 +131,20 @@ class Bpe:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """One row for each input row: doc_id, ids (array) and decoded, or with digests: n_tokens, ids_sha256, decoded_sha256.
+def bpe_encode(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True
+) -> DataFrame:
+    """One row for each input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and where asked for ids and decoded.
 
+    ids_sha256 is over the ids as little-endian 32-bit numbers, decoded_sha256 over the decoded text in UTF-8.
     Row by row, without a shuffle. A text is cut at spaces into chunks, which cannot share a word, so each
     distinct chunk is encoded once in a task (a bounded cache); new ones go through the merge rounds together.
     A null text counts as empty (no tokens). Repeated rows give repeated rows.
     """
     bpe = Bpe(path)
-    schema = "doc_id bigint, " + (
-        "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
+    extra = [("ids", "array<int>")] * ids + [("decoded", "string")] * decoded
+    schema = ", ".join(
+        ["doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", *(f"{n} {t}" for n, t in extra)]
     )
 
     def make():
@@ -151,25 +155,25 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 cache.clear()
             texts = [(t or "").split(" ") for t in batch.column("_text").to_pylist()]
             new = list(set().union(*texts) - cache.keys())
-            for chunk, ids in zip(new, bpe.encode_chunks(new)):
-                cache[chunk] = (ids.astype("<u4").tobytes(), bpe.decode(ids.tolist()))
+            for chunk, tokens in zip(new, bpe.encode_chunks(new)):
+                cache[chunk] = (tokens.astype("<u4").tobytes(), bpe.decode(tokens.tolist()))
             found = [[cache[c] for c in chunks] for chunks in texts]
-            ids = [b"".join([f[0] for f in doc]) for doc in found]
-            decoded = [" ".join([f[1] for f in doc if f[0]]) for doc in found]
-            if digests:
-                columns = [
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
-                ]
-                names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-            else:
-                columns = [
-                    pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())),
-                    pa.array(decoded, pa.string()),
-                ]
-                names = ["ids", "decoded"]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
+            raw = [b"".join([f[0] for f in doc]) for doc in found]
+            text = [" ".join([f[1] for f in doc if f[0]]) for doc in found]
+            columns = [
+                batch.column("doc_id"),
+                pa.array([len(x) // 4 for x in raw], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
+                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in text], pa.string()),
+            ]
+            if ids:
+                ends = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
+                flat = np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            if decoded:
+                columns.append(pa.array(text, pa.string()))
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(n for n, _ in extra)]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         return each
 

@@ -39,7 +39,7 @@ def tokenizer_path() -> str:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
+    return bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path(), ids=False, decoded=False)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

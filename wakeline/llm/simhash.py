@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrow import map_pieces, runs
@@ -222,11 +221,132 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
     return f.join(of, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 3, most: int = 2, seed: int = 42) -> DataFrame:
-    """docs with one row of each component, that with its smallest id; same columns. Repeated rows leave one."""
-    groups = near_groups(docs, id_col, text_col, words, most, seed)
-    keep = groups.groupBy("component_id").agg(F.min("doc_id").alias("_keep")).select("_keep").distinct()
+#: 64-bit lanes of a wide fingerprint, and minimum-shingle keys that deal documents out.
+LANES, KEYS = 8, 6
+#: Documents of a bucket that one task compares; larger buckets are dealt again by the other keys.
+NEAR_BUCKET = 4096
+
+
+def wide_fingerprints(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, LANES) fingerprints of the distinct word shingles and (texts, KEYS) minimum shingle hashes."""
+    from .winnow import mixed
+
+    seeds = np.random.default_rng(23).integers(0, 1 << 63, LANES + KEYS, dtype=np.uint64)
+    wide, keys = np.zeros((len(texts), LANES), dtype=np.uint64), np.zeros((len(texts), KEYS), dtype=np.uint64)
+    for i, text in enumerate(texts):
+        w = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+        if not w:
+            continue
+        shingles = {b" ".join(w[j : j + words]) for j in range(max(1, len(w) - words + 1))}
+        h = np.fromiter((xxhash.xxh3_64_intdigest(s) for s in shingles), dtype=np.uint64, count=len(shingles))
+        for j in range(KEYS):
+            keys[i, j] = mixed(h ^ seeds[LANES + j]).min()
+        ones = np.zeros(64 * LANES, dtype=np.int64)
+        for a in range(0, len(h), 2048):
+            lanes = np.stack([mixed(h[a : a + 2048] ^ s) for s in seeds[:LANES]], axis=1)
+            ones += np.unpackbits(lanes.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        wide[i] = np.packbits(ones * 2 > len(h)).view(np.uint64)
+    return wide, keys
+
+
+def bits_apart(similarity: float) -> float:
+    """The expected share of differing bits of two shingle sets with this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of each bucket's similar documents, to the first of each component; rows sorted by bucket.
+
+    The Gray-order index over the first lane finds pairs with few enough differing bits, at three standard
+    errors, and all lanes together decide: similar pairs up to one standard error below the threshold link.
+    """
+    p = bits_apart(similarity)
+    first = int(64 * p + 3 * np.sqrt(64 * p * (1 - p)))
+    total = 64 * LANES * p + np.sqrt(64 * LANES * p * (1 - p))
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, ids = t.column("bucket").to_numpy(), t.column("id").to_numpy()
+        wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), dtype=np.uint64).reshape(-1, LANES)
+        starts = runs(bucket)
+        out_a, out_b = [], []
+        for s, n in zip(starts.tolist(), np.diff(np.append(starts, len(bucket))).tolist()):
+            order = np.argsort(gray_rank(wide[s : s + n, 0]), kind="stable") + s
+
+            def close(order=order):
+                for a, b in near_pairs(wide[order, 0], first):
+                    apart = np.bitwise_count(wide[order[a]] ^ wide[order[b]]).sum(axis=1)
+                    yield a[apart <= total], b[apart <= total]
+
+            root = forest(n, close())
+            tied = np.flatnonzero(root != np.arange(n))
+            out_a.append(ids[order[tied]])
+            out_b.append(ids[order[root[tied]]])
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket = batch.column("bucket").to_numpy()
+        cut = int(np.searchsorted(bucket, bucket[-1]))
+        if cut == 0 and (not held or held[0].column("bucket")[0].as_py() == bucket[0]):
+            held.append(batch)
+            continue
+        yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+        held = [batch.slice(cut)]
+    if held:
+        yield from work(pa.Table.from_batches(held))
+
+
+def similar_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of documents whose word shingles are similar (Jaccard), for ids that are not alone.
+
+    SimHash bits at this similarity differ too often for blocks of them to deal documents out, so each
+    document is dealt by KEYS minimum shingle hashes (a similar pair shares one with chance 1 - 0.2 ** 6),
+    and the Gray-order index searches each bucket with a wide radius. Documents with one fingerprint are
+    compared once. A bucket of more than NEAR_BUCKET is dealt again by each of the other keys. The
+    similarity is estimated from all 64 * LANES bits (standard error 0.04).
+
+    Texts without words are alike. Rows with a null id are not looked at.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .arrow import pieces
+
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                wide, keys = wide_fingerprints([t or "" for t in piece.column("text").to_pylist()], words)
+                ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * KEYS)
+                columns = [
+                    piece.column("id"), pa.array([w.tobytes() for w in wide], pa.binary()),
+                    pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "wide", "keys"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    signed = written(rows.mapInArrow(sign, "id bigint, wide binary, keys array<bigint>"))
+    reps = signed.groupBy("wide", "keys").agg(F.min("id").alias("rep"))
+    dealt = reps.select(F.col("rep").alias("id"), "wide", "keys", F.posexplode("keys").alias("tab", "key"))
+    dealt = dealt.withColumn("bucket", F.xxhash64("tab", "key"))
+    buckets = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    some = dealt.join(buckets.filter(F.col("n").between(2, NEAR_BUCKET)), "bucket", "left_semi").select("bucket", "id", "wide")
+    many = dealt.join(buckets.filter(F.col("n") > NEAR_BUCKET), "bucket", "left_semi")
+    again = F.transform("keys", lambda k, j: F.xxhash64("bucket", j, k))
+    many = many.select(F.explode(F.filter(again, lambda _, j: j != F.col("tab"))).alias("bucket"), "id", "wide")
+    work = some.unionByName(many).repartition("bucket").sortWithinPartitions("bucket")
+    links = work.mapInArrow(lambda it: similar_links(it, similarity), "a bigint, b bigint")
+    copies = signed.join(reps, ["wide", "keys"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+    found = components(links.unionByName(copies))
+    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of similar texts, that with its smallest id; same columns.
+
+    Only ids that go are joined to the documents, and rows with a null id stay. Repeated rows of one id all
+    stay or go.
+    """
+    gone = similar_groups(docs, id_col, text_col, words, similarity).filter("doc_id <> component_id").select("doc_id")
     rows, name = masked(docs)
-    kept = rows.join(keep, rows[name[id_col]].eqNullSafe(keep["_keep"]), "left_semi")
-    first = W.partitionBy(name[id_col]).orderBy(F.xxhash64(name[text_col]))
-    return kept.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select(*unmasked(docs))
+    return rows.join(gone, rows[name[id_col]] == gone["doc_id"], "left_anti").select(*unmasked(docs))
