@@ -113,6 +113,8 @@ def mixture(
     )
     plan = sources.join(first.select("_source", F.col("_b1").alias("_stop1")), "_source", "left")
     plan = plan.join(inside, "_source", "left")
+    # One row for each source and bucket, so that the rows of a hot source meet the plan in many tasks.
+    plan = sizes.select("_source", "_b1").join(plan, "_source")
     # Without a crossing the need is 0 (nothing more) or the whole source (its documents all once more).
     extra = (
         F.when(F.col("_need") <= 0, F.lit(False))
@@ -121,7 +123,7 @@ def mixture(
         .when(F.col("_b2") != F.col("_stop2"), F.col("_b2") < F.col("_stop2"))
         .otherwise(F.coalesce(F.col("_hash") <= F.col("_last"), F.lit(False)))
     )
-    return own.join(plan, "_source").withColumns(
+    return own.join(plan, ["_source", "_b1"]).withColumns(
         {
             "_epochs": (F.col("_whole") + extra.cast("long")).cast("long"),
             "_source_size": F.col("source_size").cast("long"),
