@@ -35,6 +35,8 @@ GOOD_WORDS = (
     "photo gallery", "wiki", "forum", "family", "nature", "math", "physics", "chemistry", "literature", "theatre",
     "market report", "energy", "engineering", "docs", "thering", "tionsh", "ththan", "therand", "ouring", "enter",
 )
+#: Common syllables; every pair is a harmless made-up name.
+SYLLABLES = "the in er re on an at en nd ti es or ing ed ou ha sh ble ly th".split()
 HOSTS = ("www.{}.example.com", "{}.example.org", "blog.{}.example.net", "m.{}.example.com", "{}.com", "{}.net")
 PATHS = ("", "/", "/en/{n}", "/de/{n}.html", "/fr/{n}/", "/es/{n}", "/articles/{n}")
 
@@ -48,43 +50,46 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table (url, label), a few hundred rows made from the word lists by rule."""
+    """The small labelled table (url, label), a few hundred rows made from the word lists by rule.
+
+    Both labels have the same host forms and paths equally often, so only the words tell them apart.
+    """
     rows = []
-    for label, words in ((1.0, BAD_WORDS), (0.0, GOOD_WORDS)):
-        for i, w in enumerate(words):
+    made_up = [a + b for i, a in enumerate(SYLLABLES) for b in SYLLABLES[i % 3 :: 3]]
+    for label, words in ((1.0, BAD_WORDS), (0.0, (*GOOD_WORDS, *made_up))):
+        for w in words:
             for j, host in enumerate(HOSTS):
-                path = PATHS[(i + j) % len(PATHS)].format(n=97 * (i + 3 * j) % 991)
-                rows.append((f"https://{host.format(w.replace(' ', '-' if j % 2 == 0 else ''))}{path}", label))
+                for path in (PATHS[j % len(PATHS)], PATHS[(j + 3) % len(PATHS)]):
+                    name = w.replace(" ", "-" if j % 2 == 0 else "")
+                    rows.append((f"https://{host.format(name)}{path.format(n=137 * (j + 1))}", label))
     return spark.createDataFrame(rows, "url string, label double")
 
 
 def ngrams(host: Column, path: Column, sizes: tuple[int, ...]) -> Column:
     """Character n-grams of ^host$ and ^path$, marked by which of the two they come from."""
 
-    def of(text: Column, mark: str) -> list[Column]:
+    def of(text: Column, mark: str, n: int) -> Column:
         framed = F.concat(F.lit("^"), text, F.lit("$"))
-        return [
-            F.when(
-                F.length(framed) >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length(framed) - (n - 1), F.lit(1))),
-                    lambda i, n=n: F.concat(F.lit(mark), F.substring(framed, i, F.lit(n))),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in sizes
-        ]
+        starts = F.sequence(F.lit(1), F.greatest(F.length(framed) - (n - 1), F.lit(1)))
+        grams = F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(framed, i, F.lit(n))))
+        return F.when(F.length(framed) >= n, grams).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*of(host, "h"), *of(path, "p"))
+    return F.concat(*(of(host, "h", n) for n in sizes), *(of(path, "p", n) for n in sizes))
 
 
-def fit(labelled: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), features: int = 1 << 14) -> PipelineModel:
+def fit(labelled: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), features: int = 1 << 16) -> PipelineModel:
     """Fit on the labelled table (url, label), which is small by contract; whole, whatever its order."""
     host, path = host_and_path(F.col("url"))
-    rows = labelled.filter("label IS NOT NULL").select(ngrams(host, path, sizes).alias("_grams"), "label").coalesce(1)
+    known = labelled.filter("label IS NOT NULL")
+    share = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Both labels weigh the same, else n-grams that all urls have would carry the imbalance.
+    weight = F.when(F.col("label") > 0, 0.5 / max(1, share.get(1.0, 1))).otherwise(0.5 / max(1, share.get(0.0, 1)))
+    rows = known.select(ngrams(host, path, sizes).alias("_grams"), "label", (weight * sum(share.values())).alias("_weight"))
+    rows = rows.coalesce(1)
     hashing = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=features, binary=True)
     regression = LogisticRegression(
         featuresCol="_features", labelCol="label", rawPredictionCol="_raw", probabilityCol="_probability",
-        predictionCol="_prediction", regParam=0.005, maxIter=40,
+        predictionCol="_prediction", weightCol="_weight", regParam=0.0005, maxIter=60, standardization=False,
     )
     vectors = hashing.transform(rows).cache()
     model = PipelineModel([hashing, regression.fit(vectors)])
