@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.identity import plain_fingerprint
 from ..functions.projection import LocalProjection
 
 Ring = list[tuple[float, float]]
@@ -200,6 +201,7 @@ class Tile:
         if any(not c.strip() or c != c.lower() for c in ids):
             raise ValueError("cell ids must be lower-case text")
         self.config = config
+        self.fingerprint = plain_fingerprint([repr(config), aoi, land, support, sorted([c, [list(p) for p in ring]] for c, ring in cells)])
         rings = lambda d, empty=False: rings_of(d, config.projection, config.max_geometry_vertices, empty)
         self.aoi, self.land, self.support = Edges(rings(aoi)), Edges(rings(land, True)), Edges(rings(support))
         self.cells = sorted(ids)

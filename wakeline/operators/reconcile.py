@@ -129,7 +129,8 @@ def carried_state(audit: DataFrame, core_end: datetime | Column, prior: DataFram
     is retired. barrier_seen: any rejection or conflict so far.
     """
     end = core_end if isinstance(core_end, Column) else F.lit(core_end)
-    row = F.struct(*[c for c in audit.columns if c not in ("carried_conflict",)])
+    # By name, so that states of different runs have one type.
+    row = F.struct(*sorted(c for c in audit.columns if c != "carried_conflict"))
     rows = audit.filter(valid_mmsi(F.col("mmsi"))).select("mmsi", "timestamp", "record_key", "outcome", "carried_conflict", row.alias("row"))
     if prior is None:
         kept = rows.withColumns({"_ts": F.lit(None).cast("timestamp"), "_hit": F.lit(None).cast("string")})
