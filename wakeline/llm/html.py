@@ -236,7 +236,7 @@ def main_text(html: str) -> str:
                     key = b.path.rpartition("/")[0]
                     weight[key] = weight.get(key, 0) + len(b.text)
             container = max(weight, key=weight.get)
-            inside = np.array([b.path.startswith(container + "/") for b in blocks])
+            inside = np.array([f"{b.path}/".startswith(f"{container}/") for b in blocks])
             where = np.flatnonzero(inside & content)
             first, last = int(where[0]), int(where[-1])
             while first and inside[first - 1] and blocks[first - 1].path.rpartition("/")[2] in HEADINGS:
