@@ -29,11 +29,9 @@ TRACKS = TrackConfig(1800, 90, FIRST, LAST)
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events with their vessel id; k is one scalar of the whole table."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = e.agg(F.greatest(F.lit(1), (F.count(F.lit(1)) / 2000).cast("bigint")).alias("k"))
-    e = e.crossJoin(F.broadcast(k))  # one row
-    return e.withColumns(
-        {"mmsi": F.lpad((F.lit(200000000) + F.col("user_id") % F.col("k")).cast("string"), 9, "0"), "ts": F.col("ts").cast("timestamp_ntz")}
-    ).drop("k")
+    k = e.agg(F.greatest(F.lit(1), (F.count(F.lit(1)) / 2000).cast("bigint")).alias("k")).scalar()
+    mmsi = F.lpad((F.lit(200000000) + F.col("user_id") % k).cast("string"), 9, "0")
+    return e.withColumns({"mmsi": mmsi, "ts": F.col("ts").cast("timestamp_ntz")})
 
 
 def positions(spark: SparkSession, sf_dir: str, copies: bool = False) -> DataFrame:
