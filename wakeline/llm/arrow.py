@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
-def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """batch in consecutive slices of about most_bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     cuts = np.cumsum(sizes) // most_bytes
@@ -25,7 +25,7 @@ def map_pieces(
     column: str,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
     schema: str,
-    most_bytes: int = 4 << 20,
+    most_bytes: int = 1 << 20,
 ) -> DataFrame:
     """df through a function of slices; make() runs once in each task, so the function may keep a cache."""
 

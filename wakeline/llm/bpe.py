@@ -26,7 +26,7 @@ WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L
 SPACES = re.compile(f"[{SPACE}]+")
 NONE = np.iinfo(np.int64).max
 #: Distinct chunks of text that a task keeps at once.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def byte_symbols() -> list[str]:

@@ -19,7 +19,8 @@ DISCOUNT = 0.75
 ALPHABET = 10_000
 UNDETERMINED = "und"
 SPACE = 32
-PIECE = 1 << 20
+#: Bytes of text scored at once; some forty bytes of arrays stand for each.
+PIECE = 1 << 18
 
 _letters: list[np.ndarray] = []
 

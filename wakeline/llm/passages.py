@@ -57,13 +57,14 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     """(doc, start, length) in words: spans of docs(doc, text) whose windows all start elsewhere too; they may overlap."""
     t = winnow.settled(docs, winnow.word_symbols, window, MINIMIZER, first_stays=False)
     span = ["doc", "start", (F.col("n_windows") + (window - 1)).alias("length")]
-    whole = t.filter("known OR alike").select(*span)
-    branching = t.filter("NOT known AND NOT alike")
+    known = winnow.known_repeats(docs, winnow.word_symbols, window, MINIMIZER, first_stays=False)
+    whole = t.filter("alike").select(*span).unionByName(known)
+    branching = t.filter("NOT alike")
     kinds = written(winnow.kinds(branching))
     members = branching.join(kinds.filter("n > 1").select("h", "fh"), ["h", "fh"], "left_semi").select(*span)
     cut = window_hashes(window)
-    some = winnow.contents(docs, kinds.filter(F.col("n_kinds") <= winnow.BUCKET), cut)
-    many = winnow.contents(docs, kinds.filter(F.col("n_kinds") > winnow.BUCKET), cut)
+    some = winnow.contents(docs, kinds.filter("NOT crowded"), cut)
+    many = winnow.contents(docs, kinds.filter("crowded"), cut)
     alone = winnow.by_window(many, lambda c: np.frombuffer(c, dtype=np.uint64)).filter("n = 1")
     return (
         whole.unionByName(members)

@@ -62,12 +62,20 @@ def intervals(lcp: list[int], rank: list[int], left: list[int]) -> list[tuple[in
     return out
 
 
-def bucket_repeats(least: int):
-    """Maximal repeats of `least` bytes or more among the fragments of each bucket."""
+def bucket_repeats(least: int, spans_only: bool):
+    """Maximal repeats of `least` bytes or more among the fragments of each bucket: GROUPS rows, or with
+    spans_only the SPANS of all occurrences but the first of each, those that meet as one."""
 
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         h, doc, start, size = (rows.column(c).to_numpy() for c in ("h", "doc", "start", "n_windows"))
         text = rows.column("content").to_pylist()
+        # Rows of docs that repeat as a whole give the same fragment several times.
+        order = np.lexsort((start, doc, h))
+        twice = (np.diff(h[order]) == 0) & (np.diff(doc[order]) == 0) & (np.diff(start[order]) == 0)
+        if twice.any():
+            own = np.sort(order[np.concatenate(([True], ~twice))])
+            h, doc, start, size = h[own], doc[own], start[own], size[own]
+            text = [text[i] for i in own.tolist()]
         length = size.astype(np.int64) + least - 1
         offset = np.cumsum(length) - length
         flat = np.frombuffer(b"".join(text) + bytes(least + 16), dtype=np.uint8)
@@ -126,11 +134,15 @@ def bucket_repeats(least: int):
         f = np.array(found)
         members = ranges(f[:, 1], f[:, 2] - f[:, 1] + 1)
         count = f[:, 2] - f[:, 1] + 1
+        first = rank[members] == np.repeat(f[:, 3], count)
+        if spans_only:
+            yield winnow.merged_spans(doc[row[members]][~first], place[members][~first], np.repeat(f[:, 0], count)[~first])
+            return
         group = h[row[f[:, 1]]].view(np.uint64) + winnow.mixed((f[:, 0] << 32 | f[:, 3]).astype(np.uint64))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.repeat(group.view(np.int64), count)), pa.array(doc[row[members]]), pa.array(place[members].astype(np.int32)),
-                pa.array(np.repeat(f[:, 0], count).astype(np.int32)), pa.array(rank[members] == np.repeat(f[:, 3], count)),
+                pa.array(np.repeat(f[:, 0], count).astype(np.int32)), pa.array(first),
             ],
             ["grp", "doc", "start", "length", "first"],
         )
@@ -142,29 +154,37 @@ def maximal_repeats(docs: DataFrame, least: int) -> DataFrame:
     """GROUPS rows of docs(doc, text): each repeat of `least` bytes or more with all occurrences; first is the smallest.
 
     A string that crosses the bounds of fragments appears as one repeat for each minimizer, all its bytes
-    covered. Fragments that are wholly alike are one repeat by their counts; a fragment known within its
-    piece to repeat a smaller one appears as an occurrence of its own.
+    covered. Fragments that are wholly alike are one repeat by their counts; spans known within their piece
+    to repeat something smaller appear as groups of their own, without the occurrence that they repeat.
     """
+    return _repeats(docs, least, spans_only=False)
+
+
+def _repeats(docs: DataFrame, least: int, spans_only: bool) -> DataFrame:
     t = winnow.settled(docs, winnow.byte_symbols, least, MINIMIZER, first_stays=True)
     length = (F.col("n_windows") + (least - 1)).alias("length")
-    known = t.filter("known").select(F.col("fh").alias("grp"), "doc", "start", length, F.lit(False).alias("first"))
+    known = winnow.known_repeats(docs, winnow.byte_symbols, least, MINIMIZER, first_stays=True)
+    known = known.select(F.xxhash64("doc", "start").alias("grp"), "doc", "start", "length", F.lit(False).alias("first"))
     is_first = lambda c: (F.col("doc") == F.col(f"{c}.doc")) & (F.col("start") == F.col(f"{c}.start"))
-    alike = t.filter("NOT known AND alike").select(F.col("h").alias("grp"), "doc", "start", length, is_first("first").alias("first"))
-    different = t.filter("NOT known AND NOT alike").drop("first")
+    alike = t.filter("alike").select(F.col("h").alias("grp"), "doc", "start", length, is_first("first").alias("first"))
+    different = t.filter("NOT alike").drop("first")
     kinds = written(winnow.kinds(different))
     members = different.join(kinds.filter("n > 1").select("h", "fh", "one"), ["h", "fh"])
     members = members.select(F.xxhash64("h", "fh").alias("grp"), "doc", "start", length, is_first("one").alias("first"))
     cut = fragment_bytes(least)
-    some = winnow.contents(docs, kinds.filter(F.col("n_kinds") <= winnow.BUCKET), cut)
-    many = winnow.contents(docs, kinds.filter(F.col("n_kinds") > winnow.BUCKET), cut)
+    some = winnow.contents(docs, kinds.filter("NOT crowded"), cut)
+    many = winnow.contents(docs, kinds.filter("crowded"), cut)
 
     def hashes(content: bytes) -> np.ndarray:
         return winnow.Hashes(winnow._byte_values[np.frombuffer(content, dtype=np.uint8)]).all(least)
 
     single = winnow.by_window(many, hashes)
     single = single.select(F.xxhash64("h", "w").alias("grp"), "doc", "start", F.lit(least).alias("length"), is_first("first").alias("first"))
-    searched = winnow.by_bucket(some, bucket_repeats(least), GROUPS)
-    return known.unionByName(alike).unionByName(members).unionByName(searched).unionByName(single)
+    searched = winnow.by_bucket(some, bucket_repeats(least, spans_only), winnow.SPANS if spans_only else GROUPS)
+    rest = known.unionByName(alike).unionByName(members).unionByName(single)
+    if spans_only:
+        return rest.filter("NOT first").select("doc", "start", "length").unionByName(searched)
+    return rest.unionByName(searched)
 
 
 def remove_repeats(docs: DataFrame, least: int = 100, id_col="doc_id", text_col="text", digests: bool = False) -> DataFrame:
@@ -178,8 +198,7 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col="doc_id", text_col=
     from each. Texts shorter than `least` are returned whole.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = maximal_repeats(d, least).filter("NOT first").select("doc", "start", "length")
-    marked = winnow.by_document(d, spans)
+    marked = winnow.by_document(d, _repeats(d, least, spans_only=True))
     name = "kept_sha256" if digests else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ alike is settled by counts alone; only where fragments differ is one of each kin
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ BUCKET = 20_000
 
 Symbols = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 SPANS = "doc bigint, start int, length int"
-FRAGMENTS = "h bigint, fh bigint, doc bigint, start int, n_windows int, n bigint, known boolean"
+FRAGMENTS = "h bigint, fh bigint, doc bigint, start int, n_windows int, n bigint"
 CONTENTS = "h bigint, doc bigint, start int, n_windows int, n bigint, content binary"
 
 _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
@@ -97,7 +98,7 @@ def word_symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         _words.clear()
     words = [words_of(t) for t in texts]
     n = np.array([len(w) for w in words], dtype=np.int64)
-    return np.fromiter((_words[x] for w in words for x in w), dtype=np.uint64, count=int(n.sum())), n
+    return np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(n.sum())), n
 
 
 def fragments_of(values: np.ndarray, lengths: np.ndarray, window: int, k: int):
@@ -127,15 +128,9 @@ def fragments_of(values: np.ndarray, lengths: np.ndarray, window: int, k: int):
     )
 
 
-def fragments(docs: DataFrame, symbols: Symbols, window: int, k: int, first_stays: bool) -> DataFrame:
-    """FRAGMENTS rows of docs(doc, text).
-
-    Fragments that are alike within a piece leave one row, that of the smallest (doc, start), with their
-    number n; the others are `known` to repeat something smaller and get a hash of their own as h, so they
-    pass on evenly. The row is known too where the task has already sent such a row of a smaller document.
-    With first_stays, rows of docs that repeat as a whole are one document.
-    """
-
+def _sorted_fragments(
+    docs: DataFrame, symbols: Symbols, window: int, k: int, first_stays: bool, known_spans: bool
+) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent, sent_doc = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         for batch in batches:
@@ -145,51 +140,78 @@ def fragments(docs: DataFrame, symbols: Symbols, window: int, k: int, first_stay
                 doc = piece.column("doc").to_numpy()[text]
                 key = mixed(h) ^ fh
                 order = np.lexsort((start, doc, key))
-                text, start, count, h, fh, doc, key = (x[order] for x in (text, start, count, h, fh, doc, key))
+                start, count, h, fh, doc, key = (x[order] for x in (start, count, h, fh, doc, key))
                 if first_stays and len(key):
                     new = np.concatenate(([True], (np.diff(key) != 0) | (np.diff(doc) != 0) | (np.diff(start) != 0)))
-                    text, start, count, h, fh, doc, key = (x[new] for x in (text, start, count, h, fh, doc, key))
+                    start, count, h, fh, doc, key = (x[new] for x in (start, count, h, fh, doc, key))
                 at = runs(key)
                 n = np.diff(np.append(at, len(key)))
                 known = np.ones(len(key), dtype=bool)
                 known[at] = False
-                several = np.ones(len(key), dtype=np.int64)
-                several[at] = n
                 if len(sent):
                     where = np.minimum(np.searchsorted(sent, key[at]), len(sent) - 1)
                     # Sent before as repeated: nothing new for the others, unless it is smaller.
                     known[at[(sent[where] == key[at]) & (sent_doc[where] < doc[at])]] = True
                 fresh = at[(n > 1) & ~known[at]]
                 if len(fresh):
-                    keys = np.concatenate((key[fresh], sent))
-                    docs_ = np.concatenate((doc[fresh], sent_doc))
-                    sent, first = np.unique(keys, return_index=True)
-                    sent_doc = docs_[first]
+                    keys, first = np.unique(np.concatenate((key[fresh], sent)), return_index=True)
+                    sent, sent_doc = keys, np.concatenate((doc[fresh], sent_doc))[first]
                     if len(sent) > REMEMBERED:
                         sent, sent_doc = sent[:0], sent_doc[:0]
-                h = np.where(known, mixed(doc.astype(np.uint64) * BASE + start.astype(np.uint64)), h)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h.view(np.int64)), pa.array(fh.view(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)),
-                        pa.array(count.astype(np.int32)), pa.array(several), pa.array(known),
-                    ],
-                    ["h", "fh", "doc", "start", "n_windows", "n", "known"],
-                )
+                if known_spans:
+                    yield merged_spans(doc[known], start[known], count[known] + window - 1)
+                    continue
+                own = at[~known[at]]
+                columns = (h[own].view(np.int64), fh[own].view(np.int64), doc[own], start[own].astype(np.int32), count[own].astype(np.int32))
+                arrays = [pa.array(x) for x in (*columns, n[~known[at]])]
+                yield pa.RecordBatch.from_arrays(arrays, ["h", "fh", "doc", "start", "n_windows", "n"])
+
+    return docs.filter("doc IS NOT NULL").mapInArrow(run, SPANS if known_spans else FRAGMENTS)
+
+
+def fragments(docs: DataFrame, symbols: Symbols, window: int, k: int, first_stays: bool) -> DataFrame:
+    """FRAGMENTS rows of docs(doc, text).
+
+    Fragments that are alike within a piece leave one row, that of the smallest (doc, start), with their
+    number n. The others are known to repeat something smaller; so is the row itself where the task has
+    already sent such a row of a smaller document. With first_stays, rows of docs that repeat as a whole are
+    one document.
+    """
+    return _sorted_fragments(docs, symbols, window, k, first_stays, False)
+
+
+def known_repeats(docs: DataFrame, symbols: Symbols, window: int, k: int, first_stays: bool) -> DataFrame:
+    """SPANS of the fragments that fragments() leaves out, merged where they meet: a copy is one span.
+
+    Found by going over the texts once more, which is cheaper than shuffling them with the others.
+    """
+    return _sorted_fragments(docs, symbols, window, k, first_stays, True)
+
 
-    return docs.filter("doc IS NOT NULL").mapInArrow(run, FRAGMENTS)
+def merged_spans(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    """The spans by document, those that overlap or touch as one."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], (start + length)[order]
+    if not len(doc):
+        return spans_batch(doc, start, end)
+    # Spans of all documents on one line, far enough apart.
+    shift = np.cumsum(np.concatenate(([0], np.diff(doc) != 0))).astype(np.int64) << 40
+    reach = np.maximum.accumulate(end + shift)
+    first = np.flatnonzero(np.concatenate(([True], start[1:] + shift[1:] > reach[:-1])))
+    last = np.append(first[1:], len(doc)) - 1
+    return spans_batch(doc[first], start[first], reach[last] - shift[last] - start[first])
 
 
 def settled(docs: DataFrame, symbols: Symbols, window: int, k: int, first_stays: bool) -> DataFrame:
     """The fragments that may repeat, as a written table: FRAGMENTS rows with first(doc, start) and alike.
 
     Rows whose minimizer stands alone are gone. alike: all fragments of the minimizer are the same, of which
-    `first` is the smallest. Minimizers are counted with a map-side combine and joined back, so a frequent one
-    is split by Spark's skew handling.
+    `first` is the smallest. Minimizers are counted with a map-side combine, and the repeated ones written, so that
+    both sides of the join back come straight from a shuffle and Spark's skew handling splits a frequent one.
     """
     f = fragments(docs, symbols, window, k, first_stays)
     met = (
-        f.filter("NOT known")
-        .groupBy("h")
+        f.groupBy("h")
         .agg(
             F.sum("n").alias("met"),
             (F.min("fh") == F.max("fh")).alias("alike"),
@@ -197,14 +219,17 @@ def settled(docs: DataFrame, symbols: Symbols, window: int, k: int, first_stays:
         )
         .filter("met > 1")
     )
-    return written(f.join(met.select("h", "alike", "first"), "h", "left").filter("known OR alike IS NOT NULL"))
+    met = written(met.select("h", "alike", F.when(F.col("alike"), F.col("first")).alias("first")))
+    return written(f.join(met, "h"))
 
 
 def kinds(different: DataFrame) -> DataFrame:
-    """One row for each kind of fragment (h, fh): n, its smallest occurrence `one`, and the kinds of its minimizer."""
+    """One row for each kind of fragment (h, fh): n, its smallest occurrence `one`, and whether its minimizer has
+    more kinds than a task should hold (crowded)."""
     own = different.groupBy("h", "fh").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "start", "n_windows")).alias("one"))
-    many = own.groupBy("h").agg(F.count(F.lit(1)).alias("n_kinds"))
-    return own.join(many, "h")
+    many = own.groupBy("h").agg(F.count(F.lit(1)).alias("n_kinds")).filter(F.col("n_kinds") > BUCKET)
+    marked = own.join(many.select("h", F.lit(True).alias("crowded")), "h", "left")
+    return marked.withColumn("crowded", F.coalesce("crowded", F.lit(False)))
 
 
 def contents(docs: DataFrame, wanted: DataFrame, content: Callable[[str, np.ndarray, np.ndarray], list[bytes]]) -> DataFrame:
