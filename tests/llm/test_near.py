@@ -39,17 +39,19 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_near_pairs_equal_brute_force():
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    flips = np.array([1 << int(b) for b in rng.integers(0, 64, 600)], dtype=np.uint64)
-    fps = np.unique(np.concatenate([base[rng.integers(0, 40, 600)] ^ flips ^ np.roll(flips, 3), base]))
-    fps = fps[np.argsort(simhash.gray_rank(fps), kind="stable")]
-    for most in (0, 2, 5):
-        got = {(int(a), int(b)) for x, y in simhash.near_pairs(fps, most) for a, b in zip(x, y)}
+def test_near_forest_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for most in (0, 1, 2, 3):
+        base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        flips = np.uint64(1) << rng.integers(0, 64, (900, 3), dtype=np.uint64)
+        fps = np.unique(base[rng.integers(0, 60, 900)] ^ flips[:, 0] ^ flips[:, 1] ^ flips[:, 2])
+        fps = fps[np.argsort(simhash.gray_rank(fps), kind="stable")]
         apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
-        want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(apart <= most, 1)))}
-        assert got == want
+        a, b = np.nonzero(np.triu(apart <= most, 1))
+        assert (simhash.near_forest(fps, most) == simhash.forest(len(fps), [(a, b)])).all()
+        odd = lambda x, y: (fps[x] ^ fps[y]) & np.uint64(1) == 0  # noqa: E731, B023
+        ok = odd(a, b)
+        assert (simhash.near_forest(fps, most, odd) == simhash.forest(len(fps), [(a[ok], b[ok])])).all()
 
 
 def test_simhash_groups_equal_brute_force(spark, monkeypatch):

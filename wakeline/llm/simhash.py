@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ BLOCKS = 4
 BUCKET = 20_000
 #: Children of a node of the index.
 FANOUT = 16
+#: Pairs of nodes that go down the index together.
+SLICE = 8192
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -78,47 +80,81 @@ def levels(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def near_pairs(fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) of distinct fingerprints, in Gray order, that differ in `most` bits or fewer.
+def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the components of the pairs in root, the smallest member of each item's component: minima spread and jump."""
+    while True:
+        x, y = root[a], root[b]
+        differ = x != y
+        if not differ.any():
+            return
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (up := root[root])).any():
+            root[:] = up
 
-    The tree is joined with itself from the root down: two nodes whose shared patterns already differ in more
-    bits than allowed are dropped with everything below. Large frontiers go down in slices.
+
+def forest(n: int, pairs) -> np.ndarray:
+    """The smallest member of each item's component, from arrays of pairs of items."""
+    root = np.arange(n)
+    for a, b in pairs:
+        merge(root, a, b)
+    return root
+
+
+def common_roots(root: np.ndarray) -> list[np.ndarray]:
+    """For each level of the index the root that all fingerprints below a node share, -1 where there are several."""
+    out = [root.copy()]
+    while len(out[-1]) > 1:
+        at = np.arange(0, len(out[-1]), FANOUT)
+        low, high = np.minimum.reduceat(out[-1], at), np.maximum.reduceat(out[-1], at)
+        out.append(np.where(low == high, low, -1))
+    return out
+
+
+def near_forest(fps: np.ndarray, most: int, close: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """The smallest member of each component of fingerprints, in Gray order, that differ in `most` bits or fewer.
+
+    close(a, b), if given, decides on such pairs. The tree is joined with itself from the root down: two nodes
+    whose shared patterns already differ in more bits than allowed are dropped with everything below, and so are
+    nodes that lie in one component by now. As neighbours in Gray order are linked first, a group of which
+    most are alike is not compared pair by pair. Frontiers go down in slices.
     """
-    tree = levels(fps)
+    tree, n = levels(fps), len(fps)
+    root = np.arange(n)
+
+    def link(a: np.ndarray, b: np.ndarray) -> None:
+        near = np.bitwise_count(fps[a] ^ fps[b]) <= most
+        a, b = a[near], b[near]
+        if close is not None and len(a):
+            near = close(a, b)
+            a, b = a[near], b[near]
+        merge(root, a, b)
+
+    for lag in range(1, 5):
+        link(np.arange(max(0, n - lag)), np.arange(lag, max(n, lag)))
+    shared = common_roots(root)
     stack = [(len(tree) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
     while stack:
         level, a, b = stack.pop()
-        if len(a) > 50_000:
+        if len(a) > SLICE:
             half = len(a) // 2
             stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
             continue
         pattern, mask = tree[level]
         near = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= most
+        near &= (shared[level][a] != shared[level][b]) | (shared[level][a] < 0)
         a, b = a[near], b[near]
         if level == 0:
-            if (a < b).any():
-                yield a[a < b], b[a < b]
+            before = root.copy()
+            link(a, b)
+            if (root != before).any():
+                shared = common_roots(root)
         elif len(a):
             below, step = len(tree[level - 1][0]), np.arange(FANOUT)
             x = np.repeat(a[:, None] * FANOUT + step, FANOUT, axis=1).ravel()
             y = np.tile(b[:, None] * FANOUT + step, (1, FANOUT)).ravel()
             real = (x < below) & (y < below) & (x <= y)
             stack.append((level - 1, x[real], y[real]))
-
-
-def forest(n: int, pairs) -> np.ndarray:
-    """The smallest member of each item's component, from pairs of items: minima spread and jump in numpy."""
-    root = np.arange(n)
-    for a, b in pairs:
-        while True:
-            x, y = root[a], root[b]
-            if (differ := x != y).any():
-                a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-                np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-                while (root != (up := root[root])).any():
-                    root = up
-            else:
-                break
     return root
 
 
@@ -141,7 +177,7 @@ def bucket_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Re
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
             group = fps[s : s + n]
             group = group[np.argsort(gray_rank(group), kind="stable")]
-            root = forest(n, near_pairs(group, most))
+            root = near_forest(group, most)
             tied = np.flatnonzero(root != np.arange(n))
             out_a.append(group[tied])
             out_b.append(group[root[tied]])
@@ -272,12 +308,10 @@ def similar_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Itera
         for s, n in zip(starts.tolist(), np.diff(np.append(starts, len(bucket))).tolist()):
             order = np.argsort(gray_rank(wide[s : s + n, 0]), kind="stable") + s
 
-            def close(order=order):
-                for a, b in near_pairs(wide[order, 0], first):
-                    apart = np.bitwise_count(wide[order[a]] ^ wide[order[b]]).sum(axis=1)
-                    yield a[apart <= total], b[apart <= total]
+            def close(a: np.ndarray, b: np.ndarray, order=order) -> np.ndarray:
+                return np.bitwise_count(wide[order[a]] ^ wide[order[b]]).sum(axis=1) <= total
 
-            root = forest(n, close())
+            root = near_forest(wide[order, 0], first, close)
             tied = np.flatnonzero(root != np.arange(n))
             out_a.append(ids[order[tied]])
             out_b.append(ids[order[root[tied]]])
