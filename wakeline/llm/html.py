@@ -51,6 +51,8 @@ CLUTTER_WORDS = frozenset(
 )
 NAMES = re.compile(r"[a-z]+")
 LANDMARKS = ("article", "main")
+#: Share of its ratio that a block keeps outside the marked article.
+OUTSIDE = 0.1
 
 
 @dataclass
@@ -199,21 +201,17 @@ def main_text(html: str) -> str:
     """The article's blocks, joined by line ends.
 
     For each tag path: the text length and the punctuation of its blocks over their number. Both ratios,
-    smoothed over the order of the blocks, are fused (their product, scaled by the path's text outside links), and blocks
-    above the mean times a half are content. Clutter (by element, class, id or role) has ratio 0. Where the
-    page marks its article, being in there passes. Else headings and short blocks between content blocks of
-    one container are content too.
+    smoothed over the order of the blocks, are fused (their product, scaled by the path's text outside links and by
+    OUTSIDE where the page marks an article and the block is not in it), and blocks above the mean times a half are
+    content. Clutter (by element, class, id or role) has ratio 0. Of the containers of content that with most text is
+    the article's; headings before its first content block, short blocks between, and, where the page marks it as
+    its article, all its other blocks that are not links belong to it too.
     """
     blocks = [b for b in blocks_of(html) if not b.clutter]
     if not blocks:
         return ""
-    for mark in LANDMARKS:
-        if any(b.landmark == mark for b in blocks):
-            blocks = [b for b in blocks if b.landmark == mark]
-            marked = True
-            break
-    else:
-        marked = False
+    mark = next((m for m in LANDMARKS if any(b.landmark == m for b in blocks)), "")
+    marked = np.array([b.landmark == mark for b in blocks])
     total: dict[str, list[int]] = {}
     for b in blocks:
         t = total.setdefault(b.path, [0, 0, 0, 0])
@@ -223,28 +221,26 @@ def main_text(html: str) -> str:
         t[3] += b.linked
     ratio = lambda k: np.array([total[b.path][k] / total[b.path][2] for b in blocks])
     plain = np.array([1 - total[b.path][3] / max(1, total[b.path][0]) for b in blocks])
-    fused = np.sqrt(smoothed(ratio(0)) * (smoothed(ratio(1)) + 0.1)) * plain
+    fused = np.sqrt(smoothed(ratio(0)) * (smoothed(ratio(1)) + 0.1)) * plain * np.where(marked, 1.0, OUTSIDE)
     content = fused >= 0.5 * fused.mean()
-    if marked:
-        content[:] = True
-    else:
-        chosen = [b.path.rpartition("/")[0] for b, ok in zip(blocks, content) if ok]
-        if chosen:
-            weight: dict[str, int] = {}
-            for b, ok in zip(blocks, content):
-                if ok:
-                    key = b.path.rpartition("/")[0]
-                    weight[key] = weight.get(key, 0) + len(b.text)
-            container = max(weight, key=weight.get)
-            inside = np.array([f"{b.path}/".startswith(f"{container}/") for b in blocks])
-            where = np.flatnonzero(inside & content)
-            first, last = int(where[0]), int(where[-1])
-            while first and inside[first - 1] and blocks[first - 1].path.rpartition("/")[2] in HEADINGS:
-                first -= 1
-            span = np.zeros(len(blocks), dtype=bool)
-            span[first : last + 1] = True
-            content = inside & span & (plain > 0.5) | (content & inside)
-    return "\n".join(b.text for b, ok in zip(blocks, content) if ok)
+    weight: dict[str, int] = {}
+    for b, ok in zip(blocks, content):
+        if ok:
+            key = b.path.rpartition("/")[0]
+            weight[key] = weight.get(key, 0) + len(b.text)
+    container = max(weight, key=weight.get)
+    inside = np.array([f"{b.path}/".startswith(f"{container}/") for b in blocks])
+    where = np.flatnonzero(inside & content)
+    first, last = int(where[0]), int(where[-1])
+    while first and inside[first - 1] and blocks[first - 1].path.rpartition("/")[2] in HEADINGS:
+        first -= 1
+    span = np.zeros(len(blocks), dtype=bool)
+    span[first : last + 1] = True
+    if mark and marked[where].all():
+        # The chosen container is the marked article or lies in it.
+        inside = span = marked
+    chosen = inside & ((span & (plain > 0.5)) | content)
+    return "\n".join(b.text for b, ok in zip(blocks, chosen) if ok)
 
 
 def main_texts(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
