@@ -96,6 +96,29 @@ def test_similar_texts_leave_one(spark):
     assert kept == {*range(0, 75, 3), *range(1000, 1060), None}
 
 
+def test_lone_pairs_link_at_the_similarity_and_not_below(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows, want = [], set()
+    # n shingles of which m go with the last m words: (n - m) / (n + m).
+    for n, m, links in ((178, 22, False), (180, 20, True), (182, 18, True)):
+        for _ in range(60):
+            w = [f"v{x}" for x in rng.integers(0, 1 << 40, n + 4)]
+            i = len(rows)
+            rows += [(i, " ".join(w)), (i + 1, " ".join(w[:-m] + [f"u{x}" for x in rng.integers(0, 1 << 40, m)]))]
+            want |= {i + 1} if links else set()
+    for _ in range(40):  # four of five shingles
+        w, i = [f"v{x}" for x in rng.integers(0, 1 << 40, 9)], len(rows)
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w[:-1]))]
+        want.add(i + 1)
+    for _ in range(10):  # 100 of 130 shingles: too few for their number
+        w, i = [f"v{x}" for x in rng.integers(0, 1 << 40, 134)], len(rows)
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w[:104]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for members in (simhash.MEMBERS, 50):  # the second: components are cut into slices
+        monkeypatch.setattr(simhash, "MEMBERS", members)
+        assert {r.doc_id for r in simhash.similar_groups(df).collect() if r.doc_id != r.component_id} == want
+
+
 def plain_repeats(texts, least):
     seen, out = set(), []
     for t in texts:

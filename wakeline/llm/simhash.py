@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_pieces, runs
+from .arrow import map_pieces, ranges, runs
 from .common import masked, unmasked, written
 from .components import components
 
@@ -261,20 +261,37 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
 LANES, KEYS = 8, 6
 #: Documents of a bucket that one task compares; larger buckets are dealt again by the other keys.
 NEAR_BUCKET = 4096
+#: Shingles of a slice of similar documents, and of sets that are counted together.
+MEMBERS = 2_000_000
 
 
-def wide_fingerprints(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, LANES) fingerprints of the distinct word shingles and (texts, KEYS) minimum shingle hashes."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order; none for a text without words."""
+    w = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not w:
+        return np.zeros(0, dtype=np.uint64)
+    shingles = {b" ".join(w[j : j + words]) for j in range(max(1, len(w) - words + 1))}
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s) for s in shingles), dtype=np.uint64, count=len(shingles)))
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order; none for a text without words."""
+    w = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not w:
+        return np.zeros(0, dtype=np.uint64)
+    shingles = {b" ".join(w[j : j + words]) for j in range(max(1, len(w) - words + 1))}
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s) for s in shingles), dtype=np.uint64, count=len(shingles)))
+
+
+def wide_fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, LANES) fingerprints of sets of shingle hashes and (sets, KEYS) minimum shingle hashes."""
     from .winnow import mixed
 
     seeds = np.random.default_rng(23).integers(0, 1 << 63, LANES + KEYS, dtype=np.uint64)
-    wide, keys = np.zeros((len(texts), LANES), dtype=np.uint64), np.zeros((len(texts), KEYS), dtype=np.uint64)
-    for i, text in enumerate(texts):
-        w = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-        if not w:
+    wide, keys = np.zeros((len(sets), LANES), dtype=np.uint64), np.zeros((len(sets), KEYS), dtype=np.uint64)
+    for i, h in enumerate(sets):
+        if not len(h):
             continue
-        shingles = {b" ".join(w[j : j + words]) for j in range(max(1, len(w) - words + 1))}
-        h = np.fromiter((xxhash.xxh3_64_intdigest(s) for s in shingles), dtype=np.uint64, count=len(shingles))
         for j in range(KEYS):
             keys[i, j] = mixed(h ^ seeds[LANES + j]).min()
         ones = np.zeros(64 * LANES, dtype=np.int64)
@@ -286,30 +303,74 @@ def wide_fingerprints(texts: list[str], words: int) -> tuple[np.ndarray, np.ndar
 
 
 def bits_apart(similarity: float) -> float:
-    """The expected share of differing bits of two shingle sets with this Jaccard similarity."""
+    """The expected share of differing bits of two large shingle sets with this Jaccard similarity, at most.
+
+    Sets of equal size differ most.
+    """
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def in_common(flat: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of common members of each pair of sets; set i is flat[ends[i]:ends[i + 1]], small numbers."""
+    out = np.zeros(len(a), dtype=np.int64)
+    if not len(a):
+        return out
+    held = np.zeros(int(flat.max(initial=0)) + 1, dtype=bool)
+    order = np.argsort(a, kind="stable")
+    size = np.diff(ends)
+    # Pairs of one set together, of about MEMBERS members at most.
+    part = np.cumsum(size[b[order]]) // MEMBERS
+    starts = np.flatnonzero(np.concatenate(([True], (np.diff(a[order]) != 0) | (np.diff(part) != 0))))
+    for pairs in np.split(order, starts[1:]):
+        own = flat[ends[a[pairs[0]]] : ends[a[pairs[0]] + 1]]
+        held[own] = True
+        others = size[b[pairs]]
+        hits = np.concatenate(([0], np.cumsum(held[flat[ranges(ends[b[pairs]], others)]], dtype=np.int64)))
+        upto = np.cumsum(others)
+        out[pairs] = hits[upto] - hits[upto - others]
+        held[own] = False
+    return out
+
+
 def similar_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of each bucket's similar documents, to the first of each component; rows sorted by bucket.
 
-    The Gray-order index over the first lane finds pairs with few enough differing bits, at three standard
-    errors, and all lanes together decide: similar pairs up to one standard error below the threshold link.
+    The Gray-order index over the first lane finds pairs with few enough differing bits, and all lanes together
+    decide on candidates. Both bounds are three standard errors above a share of bits that is a quarter over
+    bits_apart(), as majorities of few shingles are coarse: with four of five shingles in common 3/16 of the
+    bits differ. If the rows have `shingles`, only candidates whose sets are similar by count link.
     """
-    p = bits_apart(similarity)
+    p = min(0.5, 1.25 * bits_apart(similarity))
     first = int(64 * p + 3 * np.sqrt(64 * p * (1 - p)))
-    total = 64 * LANES * p + np.sqrt(64 * LANES * p * (1 - p))
+    total = 64 * LANES * p + 3 * np.sqrt(64 * LANES * p * (1 - p))
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket, ids = t.column("bucket").to_numpy(), t.column("id").to_numpy()
         wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), dtype=np.uint64).reshape(-1, LANES)
+        exact = "shingles" in t.column_names
+        if exact:
+            lists = t.column("shingles").combine_chunks()
+            members = lists.flatten().to_numpy()
+            upto = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64)))
         starts = runs(bucket)
         out_a, out_b = [], []
         for s, n in zip(starts.tolist(), np.diff(np.append(starts, len(bucket))).tolist()):
             order = np.argsort(gray_rank(wide[s : s + n, 0]), kind="stable") + s
-
-            def close(a: np.ndarray, b: np.ndarray, order=order) -> np.ndarray:
-                return np.bitwise_count(wide[order[a]] ^ wide[order[b]]).sum(axis=1) <= total
+            if exact:
+                flat = np.unique(members[upto[s] : upto[s + n]], return_inverse=True)[1]
+                ends = upto[s : s + n + 1] - upto[s]
+                size = np.diff(ends)
+
+            def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                near = np.bitwise_count(wide[order[a]] ^ wide[order[b]]).sum(axis=1) <= total  # noqa: B023
+                if exact:
+                    x, y = order[a] - s, order[b] - s  # noqa: B023
+                    near &= np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1  # noqa: B023
+                    at = np.flatnonzero(near & (x != y))
+                    x, y = x[at], y[at]
+                    common = in_common(flat, ends, x, y)  # noqa: B023
+                    near[at] = common / np.maximum(1, size[x] + size[y] - common) >= similarity  # noqa: B023
+                return near
 
             root = near_forest(wide[order, 0], first, close)
             tied = np.flatnonzero(root != np.arange(n))
@@ -338,9 +399,12 @@ def similar_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int
 
     SimHash bits at this similarity differ too often for blocks of them to deal documents out, so each
     document is dealt by KEYS minimum shingle hashes (a similar pair shares one with chance 1 - 0.2 ** 6),
-    and the Gray-order index searches each bucket with a wide radius. Documents with one fingerprint are
-    compared once. A bucket of more than NEAR_BUCKET is dealt again by each of the other keys. The
-    similarity is estimated from all 64 * LANES bits (standard error 0.04).
+    and the Gray-order index searches each bucket with a wide radius. Documents with equal shingle sets are
+    compared once. A bucket of more than NEAR_BUCKET is dealt again by each of the other keys.
+
+    The bits only find candidates. Components of candidates meet with their shingles, and documents link where
+    the sets (of 64-bit hashes) have the similarity by count. Components of more than NEAR_BUCKET documents or
+    2 * MEMBERS shingles are cut into slices, and each two slices are searched together.
 
     Texts without words are alike. Rows with a null id are not looked at.
     """
@@ -350,17 +414,37 @@ def similar_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int
 
         for batch in batches:
             for piece in pieces(batch, "text"):
-                wide, keys = wide_fingerprints([t or "" for t in piece.column("text").to_pylist()], words)
+                sets = [shingle_hashes(t, words) for t in piece.column("text").to_pylist()]
+                wide, keys = wide_fingerprints(sets)
                 ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * KEYS)
                 columns = [
                     piece.column("id"), pa.array([w.tobytes() for w in wide], pa.binary()),
                     pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64))),
+                    pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int32()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "wide", "keys"])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "wide", "keys", "digest", "size"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .arrow import pieces
+
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                sets = [shingle_hashes(t, words) for t in piece.column("text").to_pylist()]
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(h) for h in sets]))), pa.int32())
+                columns = [
+                    piece.column("id"), piece.column("component"), piece.column("slices"),
+                    pa.array([w.tobytes() for w in wide_fingerprints(sets)[0]], pa.binary()),
+                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "component", "slices", "wide", "shingles"])
+
+    def links(work: DataFrame) -> DataFrame:
+        work = work.repartition("bucket").sortWithinPartitions("bucket")
+        return work.mapInArrow(lambda it: similar_links(it, similarity), "a bigint, b bigint")
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
-    signed = written(rows.mapInArrow(sign, "id bigint, wide binary, keys array<bigint>"))
-    reps = signed.groupBy("wide", "keys").agg(F.min("id").alias("rep"))
+    signed = written(rows.mapInArrow(sign, "id bigint, wide binary, keys array<bigint>, digest binary, size int"))
+    reps = signed.groupBy("digest", "wide", "keys").agg(F.min("id").alias("rep"), F.max("size").alias("size"))
     dealt = reps.select(F.col("rep").alias("id"), "wide", "keys", F.posexplode("keys").alias("tab", "key"))
     dealt = dealt.withColumn("bucket", F.xxhash64("tab", "key"))
     buckets = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -368,13 +452,27 @@ def similar_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int
     many = dealt.join(buckets.filter(F.col("n") > NEAR_BUCKET), "bucket", "left_semi")
     again = F.transform("keys", lambda k, j: F.xxhash64("bucket", j, k))
     many = many.select(F.explode(F.filter(again, lambda _, j: j != F.col("tab"))).alias("bucket"), "id", "wide")
-    work = some.unionByName(many).repartition("bucket").sortWithinPartitions("bucket")
-    links = work.mapInArrow(lambda it: similar_links(it, similarity), "a bigint, b bigint")
-    copies = signed.join(reps, ["wide", "keys"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    found = components(links.unionByName(copies))
+    near = components(links(some.unionByName(many))).withColumnRenamed("node", "id")
+    sizes = reps.groupBy(F.col("rep").alias("id")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    of = near.join(sizes, "id").groupBy("component").agg(
+        F.ceil(F.greatest(F.sum("n") / max(1, NEAR_BUCKET // 2), F.sum("size") / MEMBERS)).alias("slices")
+    )
+    of = of.withColumn("slices", F.when(F.col("slices") > 2, F.col("slices")).otherwise(1))
+    met = rows.join(near.join(of, "component"), "id").select("id", "text", "component", "slices")
+    sets = met.mapInArrow(spread, "id bigint, component bigint, slices bigint, wide binary, shingles array<bigint>")
+    similar = links(sets.select(cells("component").alias("bucket"), "id", "wide", "shingles"))
+    copies = signed.join(reps.drop("size"), ["digest", "wide", "keys"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+    found = components(similar.unionByName(copies))
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
+def cells(key: str) -> Column:
+    """A row for each cell of two slices that an id of group `key` with `slices` belongs to: every pair meets in one at least."""
+    own = F.pmod(F.xxhash64("id"), F.col("slices"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda j: (j != own) | (F.col("slices") == 1))
+    return F.explode(F.transform(others, lambda j: F.xxhash64(key, F.least(own, j), F.greatest(own, j))))
+
+
 def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of similar texts, that with its smallest id; same columns.
 
