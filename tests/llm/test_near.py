@@ -119,6 +119,20 @@ def test_lone_pairs_link_at_the_similarity_and_not_below(spark, monkeypatch):
         assert {r.doc_id for r in simhash.similar_groups(df).collect() if r.doc_id != r.component_id} == want
 
 
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    rows = []
+    for i in range(0, 240, 2):  # similarity 1/3: many pairs share just one of the keys
+        w = [f"v{x}" for x in rng.integers(0, 1 << 40, 124)]
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w[:-60] + [f"u{x}" for x in rng.integers(0, 1 << 40, 60)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for most in (simhash.NEAR_BUCKET, 1):  # the second: every bucket is large
+        monkeypatch.setattr(simhash, "NEAR_BUCKET", most)
+        found.append({tuple(r) for r in simhash.similar_groups(df, similarity=0.3).collect()})
+    assert len(found[0]) > 180 and found[1] == found[0]
+
+
 def plain_repeats(texts, least):
     seen, out = set(), []
     for t in texts:

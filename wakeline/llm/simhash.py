@@ -259,7 +259,7 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
 
 #: 64-bit lanes of a wide fingerprint, and minimum-shingle keys that deal documents out.
 LANES, KEYS = 8, 6
-#: Documents of a bucket that one task compares; larger buckets are dealt again by the other keys.
+#: Documents that one task compares; larger buckets are cut into slices, of which each two are compared.
 NEAR_BUCKET = 4096
 #: Shingles of a slice of similar documents, and of sets that are counted together.
 MEMBERS = 2_000_000
@@ -400,11 +400,12 @@ def similar_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int
     SimHash bits at this similarity differ too often for blocks of them to deal documents out, so each
     document is dealt by KEYS minimum shingle hashes (a similar pair shares one with chance 1 - 0.2 ** 6),
     and the Gray-order index searches each bucket with a wide radius. Documents with equal shingle sets are
-    compared once. A bucket of more than NEAR_BUCKET is dealt again by each of the other keys.
+    compared once.
 
     The bits only find candidates. Components of candidates meet with their shingles, and documents link where
-    the sets (of 64-bit hashes) have the similarity by count. Components of more than NEAR_BUCKET documents or
-    2 * MEMBERS shingles are cut into slices, and each two slices are searched together.
+    the sets (of 64-bit hashes) have the similarity by count. Buckets and components of more than NEAR_BUCKET
+    documents, and components of more than 2 * MEMBERS shingles, are cut into slices, and each two slices are
+    searched together.
 
     Texts without words are alike. Rows with a null id are not looked at.
     """
@@ -447,12 +448,10 @@ def similar_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int
     reps = signed.groupBy("digest", "wide", "keys").agg(F.min("id").alias("rep"), F.max("size").alias("size"))
     dealt = reps.select(F.col("rep").alias("id"), "wide", "keys", F.posexplode("keys").alias("tab", "key"))
     dealt = dealt.withColumn("bucket", F.xxhash64("tab", "key"))
-    buckets = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    some = dealt.join(buckets.filter(F.col("n").between(2, NEAR_BUCKET)), "bucket", "left_semi").select("bucket", "id", "wide")
-    many = dealt.join(buckets.filter(F.col("n") > NEAR_BUCKET), "bucket", "left_semi")
-    again = F.transform("keys", lambda k, j: F.xxhash64("bucket", j, k))
-    many = many.select(F.explode(F.filter(again, lambda _, j: j != F.col("tab"))).alias("bucket"), "id", "wide")
-    near = components(links(some.unionByName(many))).withColumnRenamed("node", "id")
+    buckets = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    slices = F.when(F.col("n") > NEAR_BUCKET, F.ceil(F.col("n") / max(1, NEAR_BUCKET // 2))).otherwise(1)
+    work = dealt.join(buckets.select("bucket", slices.alias("slices")), "bucket").select(cells("bucket").alias("bucket"), "id", "wide")
+    near = components(links(work)).withColumnRenamed("node", "id")
     sizes = reps.groupBy(F.col("rep").alias("id")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     of = near.join(sizes, "id").groupBy("component").agg(
         F.ceil(F.greatest(F.sum("n") / max(1, NEAR_BUCKET // 2), F.sum("size") / MEMBERS)).alias("slices")
