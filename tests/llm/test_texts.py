@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -88,6 +89,23 @@ def test_html_main_text(wrap):
     assert html.main_text(PAGE.format(body=wrap.format(inner))) == want
 
 
+LONG = "A long paragraph of the article, with commas, and with sentences. It goes on, and on; it has more to say."
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        f"<p>Intro, {LONG}</p><section><p>{LONG}</p><p>{LONG}</p></section><p>End, {LONG}</p>",
+        f"<p>Intro, {LONG}</p><ul>" + f"<li>{LONG}</li>" * 6 + f"</ul><p>End, {LONG}</p>",
+        f"<p>Intro, {LONG}</p><table>" + f"<tr><td>{LONG}</td></tr>" * 6 + f"</table><p>End, {LONG}</p>",
+        f"<p>{LONG}</p><p>{LONG}</p><blockquote>So be it.</blockquote><ul><li>last</li></ul>",
+    ],
+)
+def test_html_unmarked_article_is_whole(inner):
+    want = "\n".join(t for t in re.split(r"<[^>]*>", inner) if t)
+    assert html.main_text(PAGE.format(body=f'<div class="post">{inner}</div>')) == want
+
+
 def test_html_odd_input(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "<p"), (4, "u", "plain text, only."), (5, "u", "<article><p>a" + "<b>" * 2000 + "x"), (5, "u", "<script>")]
     out = html.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()

@@ -53,6 +53,9 @@ NAMES = re.compile(r"[a-z]+")
 LANDMARKS = ("article", "main")
 #: Share of its ratio that a block keeps outside the marked article.
 OUTSIDE = 0.1
+#: Share of the content's text that an unmarked page's container holds, and what may close it after the last content block.
+HELD = 0.9
+CLOSING = frozenset("ul ol dl blockquote pre table".split())
 
 
 @dataclass
@@ -62,15 +65,17 @@ class Block:
     linked: int
     clutter: bool
     landmark: str
+    element: Open
 
 
-@dataclass
+@dataclass(eq=False)
 class Open:
     tag: str
     path: str
     clutter: bool
     landmark: str
     inline: bool = False
+    up: Open | None = None
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -109,7 +114,7 @@ def blocks_of(html: str) -> list[Block]:
             text = SPACES.sub(" ", unescape("".join(held))).strip()
             if text:
                 top = next(o for o in reversed(stack) if not o.inline)
-                out.append(Block(top.path, text, min(linked, len(text)), stack[-1].clutter, stack[-1].landmark))
+                out.append(Block(top.path, text, min(linked, len(text)), stack[-1].clutter, stack[-1].landmark, top))
             held.clear()
         linked = 0
 
@@ -185,7 +190,7 @@ def blocks_of(html: str) -> list[Block]:
         path = f"{up.path}/{tag}"
         if tag == "header" and not (up.landmark == "article"):
             clutter = True
-        stack.append(Open(tag, path, clutter, landmark))
+        stack.append(Open(tag, path, clutter, landmark, up=next(o for o in reversed(stack) if not o.inline)))
     flush()
     return out
 
@@ -197,14 +202,50 @@ def smoothed(values: np.ndarray, radius: int = 1) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+def ancestors(element: Open):
+    """The elements around an element, from the nearest."""
+    while element.up is not None:
+        element = element.up
+        yield element
+
+
+def unmarked_choice(blocks: list[Block], content: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """Which blocks belong to the article of a page that marks none: all content, and what is short beside it.
+
+    The container is the lowest element (not path) that holds HELD of the content's text. Headings before its first content
+    block, blocks between that are not links, and lists, quotes or tables right in it that follow the last belong to it.
+    """
+    weight: dict[Open, int] = {}
+    for b, ok in zip(blocks, content):
+        if ok:
+            for o in ancestors(b.element) if b.element.up else [b.element]:
+                weight[o] = weight.get(o, 0) + len(b.text)
+    most = max(weight.values())
+    container = max((o for o in weight if weight[o] >= HELD * most), key=lambda o: o.path.count("/"))
+    child = []  # for each block the container's child that it is in, or the container itself
+    for b in blocks:
+        line = [b.element, *ancestors(b.element)]
+        child.append(line[max(0, line.index(container) - 1)] if container in line else None)
+    inside = np.array([c is not None for c in child])
+    where = np.flatnonzero(inside & content)
+    first, last = int(where[0]), int(where[-1])
+    while first and inside[first - 1] and blocks[first - 1].path.rpartition("/")[2] in HEADINGS:
+        first -= 1
+    while last + 1 < len(blocks) and inside[last + 1] and child[last + 1].tag in CLOSING and plain[last + 1] > 0.5:
+        last += 1
+    span = np.zeros(len(blocks), dtype=bool)
+    span[first : last + 1] = True
+    return content | (inside & span & (plain > 0.5))
+
+
 def main_text(html: str) -> str:
     """The article's blocks, joined by line ends.
 
     For each tag path: the text length and the punctuation of its blocks over their number. Both ratios,
     smoothed over the order of the blocks, are fused (their product, scaled by the path's text outside links and by
     OUTSIDE where the page marks an article and the block is not in it), and blocks above the mean times a half are
-    content. Clutter (by element, class, id or role) has ratio 0. Of the containers of content that with most text is
-    the article's; headings before its first content block, short blocks between, and, where the page marks it as
+    content. Clutter (by element, class, id or role) has ratio 0. On a page that marks no article all content stays
+    (unmarked_choice). Else of the containers of content that with most text is the article's; headings before its first content block, short blocks between, and, where the page marks it as
     its article, all its other blocks that are not links belong to it too.
     """
     blocks = [b for b in blocks_of(html) if not b.clutter]
@@ -223,6 +264,9 @@ def main_text(html: str) -> str:
     plain = np.array([1 - total[b.path][3] / max(1, total[b.path][0]) for b in blocks])
     fused = np.sqrt(smoothed(ratio(0)) * (smoothed(ratio(1)) + 0.1)) * plain * np.where(marked, 1.0, OUTSIDE)
     content = fused >= 0.5 * fused.mean()
+    if not mark:
+        chosen = unmarked_choice(blocks, content, plain)
+        return "\n".join(b.text for b, ok in zip(blocks, chosen) if ok)
     weight: dict[str, int] = {}
     for b, ok in zip(blocks, content):
         if ok:
