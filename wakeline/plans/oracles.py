@@ -204,14 +204,14 @@ ORACLE_SQL = {
     "speed_bands": f"""WITH {PARTS}, b AS (SELECT seconds, integral / seconds AS kn FROM con WHERE cell IS NOT NULL)
         SELECT CASE WHEN kn < 5 THEN 'slow' WHEN kn < 20 THEN 'medium' WHEN kn < 1000 THEN 'fast' ELSE 'unknown' END AS band,
         round(sum(seconds / 3600), 3) AS hours FROM b GROUP BY ALL""",
-    "dayparts": f"""WITH {positions()}, h AS (SELECT hour(ts - INTERVAL 5 HOUR) AS h FROM p)
+    "dayparts": f"""WITH {positions()}, h AS (SELECT hour(timezone('America/New_York', timezone('UTC', ts))) AS h FROM p)
         SELECT CASE WHEN h < 6 THEN 'night' WHEN h < 12 THEN 'morning' WHEN h < 18 THEN 'afternoon' ELSE 'evening' END AS daypart, count(*) AS n FROM h GROUP BY ALL""",
     "civil_day": f"""WITH {E}, d AS (SELECT DISTINCT CAST(ts AS DATE) + CAST(60 * (event_id % 6) AS INTEGER) AS day FROM e),
         b AS (SELECT day, timezone('UTC', timezone('America/New_York', CAST(day AS TIMESTAMP))) AS day_start,
         timezone('UTC', timezone('America/New_York', CAST(day + 1 AS TIMESTAMP))) AS day_end FROM d)
         SELECT day, day_start, day_end, date_diff('hour', day_start, day_end) AS hours FROM b""",
     "export_check": f"""WITH {positions()}, x AS (SELECT code AS cell, date_trunc('day', ts) AS s, event_id % 200 = 1 AS half, coalesce(equipment, 'none') AS variant
-        FROM p WHERE event_id % 50 < 2), r AS (SELECT 'duplicate_key' AS fault FROM x GROUP BY cell, s, half, variant HAVING count(*) > 1),
+        FROM p), r AS (SELECT 'duplicate_key' AS fault FROM x GROUP BY cell, s, half, variant HAVING count(*) > 1),
         m AS (SELECT 'mixed_batch' AS fault WHERE (SELECT count(DISTINCT variant) FROM x) > 1)
         SELECT fault, count(*) AS n FROM (SELECT fault FROM r UNION ALL SELECT 'not_one_utc_day' FROM x WHERE half UNION ALL SELECT fault FROM m) GROUP BY fault""",
     "metric_envelope": f"""WITH {positions()}, g AS (SELECT mmsi, code, avg(sog) AS v, count(sog) AS have, count(*) AS total FROM p GROUP BY ALL)
