@@ -22,23 +22,34 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-#: Words of hosts and paths from which the labelled table is made (label 1: block).
-BAD_WORDS = (
-    "spam farm", "cheap pills", "casino win", "adult x", "free bets", "ads track", "buy viagra", "poker online",
-    "xxx tube", "sex cams", "payday loans", "click bait", "porn hub", "slots jackpot", "malware drop", "phish login",
-    "replica watches", "crypto giveaway", "bet bonus", "pharma discount", "warez crack", "escort girls", "popup ads",
-    "link farm", "track pixel", "casino bonus", "cheap meds", "free spins", "adult videos", "spam mail", "win prizes",
-)
-GOOD_WORDS = (
-    "news", "weather", "recipes", "library", "museum", "garden", "travel guide", "school", "science", "history",
-    "music review", "open source", "health clinic", "city council", "university", "sports club", "book shop",
-    "photo gallery", "wiki", "forum", "family", "nature", "math", "physics", "chemistry", "literature", "theatre",
-    "market report", "energy", "engineering", "docs",
-)
-#: Common syllables; every pair is a harmless made-up name.
-SYLLABLES = "the in er re on an at en nd ti es or ing ed ou ha sh ble ly th".split()
-HOSTS = ("www.{}.example.com", "{}.example.org", "blog.{}.example.net", "m.{}.example.com", "{}.com", "{}.net")
-PATHS = ("", "/", "/en/{n}", "/de/{n}.html", "/fr/{n}/", "/es/{n}", "/articles/{n}")
+#: General vocabulary of host names. Stems of unwanted sites by kind of site, and of harmless ones by
+#: subject; suffixes that either kind takes. Written without any crawl or table at hand; no entry is a host name.
+BAD_STEMS = (
+    "poker roulette blackjack slots jackpot casino betting lottery bingo gambling sportsbook wager "
+    "viagra cialis xanax tramadol steroids pills pharmacy weightloss dietpill painkiller "
+    "porn xxx erotic escort hentai camgirl nude milf fetish hookup adult stripper "
+    "malware phishing keylogger trojan exploit botnet ransomware spyware "
+    "warez keygen torrent serialz nulled cracked "
+    "spam clickbait popunder adserver tracker adclick doubleads linkfarm seotraffic followers "
+    "payday quickcash getrich bitcoindouble forexsignal ponzi freemoney prize replica fakewatch"
+).split()
+GOOD_STEMS = (
+    "news weather recipe library museum garden travel school science history music software clinic council university "
+    "football bookshop gallery wiki forum family nature math physics chemistry literature theatre market energy engineering "
+    "docs baker bicycle bridge builder camera castle cinema coffee college computer cooking dance dentist design diary "
+    "doctor economy editor education electric farmer fashion festival film fishing florist forest furniture geography "
+    "geology grammar guitar harbour health hiking holiday hospital hotel housing insurance island jewelry journal justice "
+    "kindergarten kitchen language lawyer lighthouse magazine maps medicine meteorology mountain newspaper observatory "
+    "office opera orchestra painting parish park philosophy photo piano planet poetry police politics post press printing "
+    "project railway record research restaurant river running sailing season shoes society sports station stories studio "
+    "summer surgery teacher technology tennis theology tourism town training translation valley village vision volunteer "
+    "walking water wedding wildlife window winter workshop world writer zoology"
+).split()
+SUFFIXES = "|online|24|club|hub|zone|the-|my|best-".split("|")
+HOSTS = ("{}.com", "www.{}.net", "{}.org", "{}.info", "m.{}.co", "blog.{}.eu")
+PATHS = ("", "/", "/index.html", "/en/{n}", "/de/{n}.html", "/fr/{n}/", "/es/{n}", "/page/{n}")
+#: Chance of a block that the regression assumes before it sees a url.
+PRIOR = 0.2
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -49,19 +60,19 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table (url, label), about 2,500 rows made from the word lists by rule.
-
-    Both labels have the same host forms and paths equally often, so only the words tell them apart.
-    """
+def labelled_urls(spark: SparkSession, bad=BAD_STEMS, good=GOOD_STEMS) -> DataFrame:
+    """The small labelled table (url, label), about 4,000 rows made by rule: each stem with some suffixes (those
+    that end in - or are `my` come first), host forms and paths, dealt out alike to both labels, so only the stems
+    tell them apart."""
     rows = []
-    made_up = [a + b for i, a in enumerate(SYLLABLES) for b in SYLLABLES[i % 3 :: 3]]
-    for label, words in ((1.0, BAD_WORDS), (0.0, (*GOOD_WORDS, *made_up))):
-        for w in words:
-            for j, host in enumerate(HOSTS):
-                for path in (PATHS[j % len(PATHS)], PATHS[(j + 3) % len(PATHS)]):
-                    name = w.replace(" ", "-" if j % 2 == 0 else "")
-                    rows.append((f"https://{host.format(name)}{path.format(n=137 * (j + 1))}", label))
+    for label, stems in ((1.0, bad), (0.0, good)):
+        for i, stem in enumerate(stems):
+            for j, suffix in enumerate(SUFFIXES):
+                name = suffix + stem if suffix.endswith("-") or suffix == "my" else stem + suffix
+                for k in (0, 3):
+                    n = i + j + k
+                    path = PATHS[(3 * j + n) % len(PATHS)].format(n=1 + 37 * n % 900)
+                    rows.append((f"https://{HOSTS[n % len(HOSTS)].format(name)}{path}", label))
     return spark.createDataFrame(rows, "url string, label double")
 
 
@@ -77,13 +88,17 @@ def ngrams(host: Column, path: Column, sizes: tuple[int, ...]) -> Column:
     return F.concat(*(of(host, "h", n) for n in sizes), *(of(path, "p", n) for n in sizes))
 
 
-def fit(labelled: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), features: int = 1 << 16) -> PipelineModel:
-    """Fit on the labelled table (url, label), which is small by contract; whole, whatever its order."""
+def fit(
+    labelled: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), features: int = 1 << 16, prior: float = PRIOR
+) -> PipelineModel:
+    """Fit on the labelled table (url, label), which is small by contract; whole, whatever its order.
+
+    Rows without a label are left out. The labels weigh `prior` and 1 - prior together, whatever their numbers.
+    """
     host, path = host_and_path(F.col("url"))
     known = labelled.filter("label IS NOT NULL")
     share = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Both labels weigh the same, else n-grams that all urls have would carry the imbalance.
-    weight = F.when(F.col("label") > 0, 0.5 / max(1, share.get(1.0, 1))).otherwise(0.5 / max(1, share.get(0.0, 1)))
+    weight = F.when(F.col("label") > 0, prior / max(1, share.get(1.0, 1))).otherwise((1 - prior) / max(1, share.get(0.0, 1)))
     rows = known.select(ngrams(host, path, sizes).alias("_grams"), "label", (weight * sum(share.values())).alias("_weight"))
     rows = rows.coalesce(1)
     hashing = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=features, binary=True)
