@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 
 from .arrow import map_pieces
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""",
-    re.S,
-)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPACES = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
@@ -51,10 +49,13 @@ CLUTTER_WORDS = frozenset(
 )
 NAMES = re.compile(r"[a-z]+")
 LANDMARKS = ("article", "main")
+#: Elements nested deeper than this are siblings, as in browsers; no text is lost by it.
+DEPTH = 512
 #: Share of its ratio that a block keeps outside the marked article.
 OUTSIDE = 0.1
-#: Share of the content's text that an unmarked page's container holds, and what may close it after the last content block.
-HELD = 0.9
+#: Share of the content's text that the container holds; share of its text that is content where all of it is the article.
+HELD, FILLED = 0.9, 0.8
+#: What may close a container of mixed text after the last content block.
 CLOSING = frozenset("ul ol dl blockquote pre table".split())
 
 
@@ -94,13 +95,75 @@ def is_clutter(tag: str, raw: str) -> bool:
     return not CLUTTER_WORDS.isdisjoint(words)
 
 
+class Tokens:
+    """Text and tags of a page in order; every character is looked at a fixed number of times, however broken the page."""
+
+    def __init__(self, html: str):
+        self.html, self.gone = html, set()
+
+    def find(self, what: str, at: int) -> int:
+        """Like str.find, but what isn't in the rest of the page is not searched for again."""
+        if what in self.gone:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def end_of_tag(self, at: int) -> int:
+        """The place after the tag's >, past quoted attribute values; of a tag with an open quote, after the next >. -1: none."""
+        here = at
+        while m := STOP.search(self.html, here):
+            if m[0] == ">":
+                return m.end()
+            close = self.find(m[0], m.end())
+            here = close + 1 if close >= 0 else m.end()
+        return self.find(">", at) + 1 or -1
+
+    def __iter__(self):
+        """(text, "", "") or ("", tag, rest of the tag); a closing tag begins with /."""
+        html, at, end = self.html, 0, len(self.html)
+        while at < end:
+            begin = html.find("<", at)
+            if begin < 0 or self.find(">", begin) < 0:
+                yield html[at:], "", ""
+                return
+            if begin > at:
+                yield html[at:begin], "", ""
+            for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if html.startswith(opening, begin):
+                    stop = self.find(closing, begin)
+                    at = stop + len(closing) if stop >= 0 else end
+                    break
+            else:
+                if html.startswith(("<!", "<?"), begin):
+                    at = self.find(">", begin) + 1
+                    continue
+                m = NAME.match(html, begin)
+                at = self.end_of_tag(m.end()) if m else -1
+                if at < 0:
+                    yield "<", "", ""
+                    at = begin + 1
+                    continue
+                tag = m[1].lower()
+                closing = html[begin + 1] == "/"
+                yield "", "/" + tag if closing else tag, html[m.end() : at - 1]
+                if not closing and tag in RAW and html[at - 2] != "/":
+                    stop = self.end_of_raw(tag, at)
+                    at = stop if stop >= 0 else end
+
+    def end_of_raw(self, tag: str, at: int) -> int:
+        m = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.html, at)
+        return m.end() if m else -1
+
+
 def blocks_of(html: str) -> list[Block]:
     """The page's text blocks in order, each with its root-to-leaf path of block elements."""
     out: list[Block] = []
     stack = [Open("", "", False, "")]
+    count: dict[str, int] = {}
     held: list[str] = []
     linked, links = 0, 0
-    at, end = 0, len(html)
 
     def add(text: str) -> None:
         nonlocal linked
@@ -121,21 +184,21 @@ def blocks_of(html: str) -> list[Block]:
     def close(upto: int) -> None:
         nonlocal links
         for o in stack[upto:]:
+            count[o.tag] -= 1
             if o.tag == "a":
                 links = max(0, links - 1)
         del stack[upto:]
 
-    while at < end:
-        m = TOKEN.search(html, at)
-        if m is None:
-            add(html[at:])
-            break
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    def push(o: Open) -> None:
+        if len(stack) < DEPTH:
+            stack.append(o)
+            count[o.tag] = count.get(o.tag, 0) + 1
+
+    for text, tag, rest in Tokens(html):
+        if not tag:
+            add(text)
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        closing, tag = tag[0] == "/", tag.lstrip("/")
         if tag == "br":
             add(" ")
             continue
@@ -143,14 +206,11 @@ def blocks_of(html: str) -> list[Block]:
             if tag == "hr":
                 flush()
             continue
-        if not closing and tag in RAW:
-            if not m[3].endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = stop.end() if stop else end
+        if tag in RAW and not closing:
             continue
         if tag in INLINE:
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if count.get(tag) else ():
                     if not stack[i].inline:
                         break
                     if stack[i].tag == tag:
@@ -158,39 +218,38 @@ def blocks_of(html: str) -> list[Block]:
                             flush()
                         close(i)
                         break
-            else:
-                clutter = stack[-1].clutter or is_clutter(tag, m[3])
+            elif len(stack) < DEPTH:
+                clutter = stack[-1].clutter or is_clutter(tag, rest)
                 if clutter and not stack[-1].clutter:
                     flush()
-                stack.append(Open(tag, stack[-1].path, clutter, stack[-1].landmark, True))
+                push(Open(tag, stack[-1].path, clutter, stack[-1].landmark, True))
                 links += tag == "a"
             continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if count.get(tag) else ():
                 if stack[i].tag == tag:
                     close(i)
                     break
             continue
         # A paragraph ends where any block begins; some elements end their like.
         ended, bounds = ENDS.get(tag, ({"p"}, {"table", "td", "div", "article", "section", "body"}))
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1, 0, -1) if any(count.get(t) for t in (*ended, "p")) else ():
             if stack[i].tag in bounds:
                 break
             if stack[i].tag in ended or stack[i].tag == "p":
                 close(i)
                 break
-        if m[3].endswith("/") and tag not in ("p", "div", "li", "td"):
+        if rest.endswith("/") and tag not in ("p", "div", "li", "td"):
             continue
         up = stack[-1]
         landmark = up.landmark
         if tag in LANDMARKS and landmark != "article":
             landmark = tag
-        clutter = up.clutter or is_clutter(tag, m[3])
-        path = f"{up.path}/{tag}"
+        clutter = up.clutter or is_clutter(tag, rest)
         if tag == "header" and not (up.landmark == "article"):
             clutter = True
-        stack.append(Open(tag, path, clutter, landmark, up=next(o for o in reversed(stack) if not o.inline)))
+        push(Open(tag, f"{up.path}/{tag}", clutter, landmark, up=next(o for o in reversed(stack) if not o.inline)))
     flush()
     return out
 
@@ -209,24 +268,44 @@ def ancestors(element: Open):
         yield element
 
 
-def unmarked_choice(blocks: list[Block], content: np.ndarray, plain: np.ndarray) -> np.ndarray:
-    """Which blocks belong to the article of a page that marks none: all content, and what is short beside it.
+def choice(blocks: list[Block], content: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """Which blocks belong to the article: all content, and what is short beside it.
 
-    The container is the lowest element (not path) that holds HELD of the content's text. Headings before its first content
-    block, blocks between that are not links, and lists, quotes or tables right in it that follow the last belong to it.
+    The container is the lowest element (not path) that holds HELD of the content's text. Where FILLED of its text
+    is content it is the article, and its other blocks that are not links belong to it. In a container of mixed text
+    these do: headings before its first content block, blocks between that are not links, and lists, quotes or tables
+    right in it that follow the last.
     """
-    weight: dict[Open, int] = {}
+    own: dict[Open, int] = {}
     for b, ok in zip(blocks, content):
         if ok:
-            for o in ancestors(b.element) if b.element.up else [b.element]:
-                weight[o] = weight.get(o, 0) + len(b.text)
+            up = b.element.up or b.element
+            own[up] = own.get(up, 0) + len(b.text)
+    weight: dict[Open, int] = {}
+    for up, n in own.items():
+        for o in (up, *ancestors(up)):
+            weight[o] = weight.get(o, 0) + n
     most = max(weight.values())
     container = max((o for o in weight if weight[o] >= HELD * most), key=lambda o: o.path.count("/"))
-    child = []  # for each block the container's child that it is in, or the container itself
-    for b in blocks:
-        line = [b.element, *ancestors(b.element)]
-        child.append(line[max(0, line.index(container) - 1)] if container in line else None)
+    below: dict[Open, Open | None] = {}
+
+    def child_of(element: Open) -> Open | None:
+        """The container's child that the element is or is in, or the container itself; None outside."""
+        up = element.up
+        if element is container or up is None:
+            return container if element is container else None
+        if up is container:
+            return element
+        if up not in below:
+            line = [up, *ancestors(up)]
+            below[up] = line[line.index(container) - 1] if container in line else None
+        return below[up]
+
+    child = [child_of(b.element) for b in blocks]
     inside = np.array([c is not None for c in child])
+    length = np.array([len(b.text) for b in blocks])
+    if length[inside & content].sum() >= FILLED * length[inside].sum():
+        return content | (inside & (plain > 0.5))
     where = np.flatnonzero(inside & content)
     first, last = int(where[0]), int(where[-1])
     while first and inside[first - 1] and blocks[first - 1].path.rpartition("/")[2] in HEADINGS:
@@ -244,9 +323,7 @@ def main_text(html: str) -> str:
     For each tag path: the text length and the punctuation of its blocks over their number. Both ratios,
     smoothed over the order of the blocks, are fused (their product, scaled by the path's text outside links and by
     OUTSIDE where the page marks an article and the block is not in it), and blocks above the mean times a half are
-    content. Clutter (by element, class, id or role) has ratio 0. On a page that marks no article all content stays
-    (unmarked_choice). Else of the containers of content that with most text is the article's; headings before its first content block, short blocks between, and, where the page marks it as
-    its article, all its other blocks that are not links belong to it too.
+    content. Clutter (by element, class, id or role) has ratio 0. choice() adds what is short beside the content.
     """
     blocks = [b for b in blocks_of(html) if not b.clutter]
     if not blocks:
@@ -264,34 +341,15 @@ def main_text(html: str) -> str:
     plain = np.array([1 - total[b.path][3] / max(1, total[b.path][0]) for b in blocks])
     fused = np.sqrt(smoothed(ratio(0)) * (smoothed(ratio(1)) + 0.1)) * plain * np.where(marked, 1.0, OUTSIDE)
     content = fused >= 0.5 * fused.mean()
-    if not mark:
-        chosen = unmarked_choice(blocks, content, plain)
-        return "\n".join(b.text for b, ok in zip(blocks, chosen) if ok)
-    weight: dict[str, int] = {}
-    for b, ok in zip(blocks, content):
-        if ok:
-            key = b.path.rpartition("/")[0]
-            weight[key] = weight.get(key, 0) + len(b.text)
-    container = max(weight, key=weight.get)
-    inside = np.array([f"{b.path}/".startswith(f"{container}/") for b in blocks])
-    where = np.flatnonzero(inside & content)
-    first, last = int(where[0]), int(where[-1])
-    while first and inside[first - 1] and blocks[first - 1].path.rpartition("/")[2] in HEADINGS:
-        first -= 1
-    span = np.zeros(len(blocks), dtype=bool)
-    span[first : last + 1] = True
-    if mark and marked[where].all():
-        # The chosen container is the marked article or lies in it.
-        inside = span = marked
-    chosen = inside & ((span & (plain > 0.5)) | content)
-    return "\n".join(b.text for b, ok in zip(blocks, chosen) if ok)
+    return "\n".join(b.text for b, ok in zip(blocks, choice(blocks, content, plain)) if ok)
 
 
 def main_texts(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """One row for each input row: page_id, url, text, n_chars (code points).
 
-    Row by row over the whole html, without a shuffle. A null or empty html gives an empty text, as does a
-    page without content. Repeated rows give repeated rows; other columns don't matter.
+    Row by row over the whole html, without a shuffle, in time linear in its length. A null or empty html gives an
+    empty text, as does a page without content; a null url or id stays null, an empty table gives no rows. Ids are
+    numbers. Repeated rows give repeated rows; other columns, whatever their names, don't matter.
     """
 
     def make():
