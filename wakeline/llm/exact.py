@@ -2,82 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import body, masked, unmasked
+from .common import body, masked, small, unmasked, written
 
-#: Buckets of the two refinement levels. Their survivors are broadcast, so these are also proven row bounds.
-LENGTH_BUCKETS = 1 << 16
-HEAD_BUCKETS = 1 << 20
 
+def _several(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys that several rows have; counted with a map-side combine."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys)
 
-def _refined(docs: DataFrame, text_col: str, prefix: int) -> DataFrame:
-    """docs with _n_bytes, _head and _alike: whether another row may hold the same text.
 
-    Level 1 groups by length, level 2 by (length, hash of the first `prefix` characters). Each level keeps
-    hash buckets that hold several rows, a fixed number at most, and marks rows by a broadcast join: no text
-    is shuffled, and equal texts are always marked. Rows not marked are certainly alone.
-    """
-    text = body(text_col)
-    d = docs.withColumns({"_n_bytes": F.octet_length(text), "_head": F.xxhash64(F.substring(text, 1, prefix))})
-    length = F.pmod(F.xxhash64("_n_bytes"), F.lit(LENGTH_BUCKETS)).alias("_length_bucket")
-    head = F.pmod(F.xxhash64("_n_bytes", "_head"), F.lit(HEAD_BUCKETS)).alias("_head_bucket")
-    several = lambda rows, key: rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key)
-    lengths = F.broadcast(several(d.select(length), "_length_bucket"))
-    heads = several(d.select(length, head).join(lengths, "_length_bucket", "left_semi"), "_head_bucket")
-    heads = F.broadcast(heads.withColumn("_alike", F.lit(True)))
-    marked = d.withColumn("_head_bucket", head).join(heads, "_head_bucket", "left")
-    return marked.withColumn("_alike", F.coalesce("_alike", F.lit(False))).drop("_head_bucket")
+def _shape(text: Column, prefix: int) -> dict[str, Column]:
+    """What the two levels of refinement group by: the length in bytes and a hash of the first `prefix` characters."""
+    return {"_n_bytes": F.octet_length(text), "_head": F.xxhash64(F.substring(text, 1, prefix))}
+
+
+def _heads(shapes: DataFrame) -> DataFrame:
+    """(_n_bytes, _head) that several rows have, found among rows whose length several have; a written table."""
+    return written(_several(shapes.join(small(written(_several(shapes, "_n_bytes"))), "_n_bytes", "left_semi"), "_n_bytes", "_head"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 128) -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Equal texts form a group; the row with the largest id stays. The full hash is taken only of rows that
-    survive both refinement levels, where they are scanned (the digest column for rows that are certainly
-    alone is computed apart, and costs nothing where it isn't selected). Grouping combines on the map side,
-    so a group of any size is one row for each task.
+    Equal texts form a group; the row with the largest id stays. Refinement is progressive: rows whose length
+    no other has are alone, then rows whose (length, prefix hash) no other has, and only the rest are grouped by
+    the full hash. The digest is a column of the result, so the one scan of the texts takes it for every row; that
+    scan is written as a narrow table, and texts are never shuffled. Lone rows don't enter the last join. Grouping
+    combines on the map side, so a group of any size is one row for each task; the small side of a join is
+    broadcast only within a counted bound, and a hot key in a shuffle join is split by Spark's skew handling.
 
     Nulls: a null text counts as empty; a null id sorts below every other, so it stays only where its group
     has no other id (keep_id null, kept true). Repeated rows with one id and one text count in group_size and
-    are all kept or all dropped. An empty table gives no rows. Other columns don't matter.
+    are all kept or all dropped. An empty table gives no rows. Other columns, whatever their names, don't matter.
     """
-    d = _refined(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text", prefix)
-    digest = F.sha2(body("_text").cast("binary"), 256)
-    d = d.withColumn("_full", F.when(F.col("_alike"), digest))
-    groups = (
-        d.filter("_alike")
-        .groupBy("_n_bytes", "_head", "_full")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .filter("group_size > 1")
-        .select("_full", "keep_id", "group_size")
-    )
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return d.select("doc_id", "_full", digest.alias("text_sha256")).join(groups, "_full", "left").select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        keep.eqNullSafe(F.col("doc_id")).alias("kept"),
-        "text_sha256",
-    )
+    text = body(text_col)
+    d = written(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), *(c.alias(n) for n, c in _shape(text, prefix).items())))
+    level = ["_n_bytes", "_head"]
+    heads = small(_heads(d))
+    alone = d.join(heads, level, "left_anti")
+    groups = d.join(heads, level, "left_semi").groupBy(*level, "text_sha256")
+    groups = groups.agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    columns = ["doc_id", "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256"]
+    met = d.join(heads, level, "left_semi").join(groups, [*level, "text_sha256"])
+    lone = alone.withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")})
+    return lone.select(*columns).unionByName(met.select(*columns))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 128) -> DataFrame:
     """docs with one row for each text, that with the largest id; same columns.
 
-    Rows that refinement finds alone pass without a shuffle. Of the others each task first keeps its best row
-    for each full hash (Spark's limit of ranked windows), then one row stays. Of rows with one id and one
-    text any one stays. A null text counts as empty.
+    Rows that refinement finds alone pass without a shuffle where the surviving (length, prefix hash) pairs are few
+    enough to be broadcast (BROADCAST_ROWS), else after one. Only the others have their full text hashed: each task
+    keeps its best row for each hash (Spark's limit of ranked windows), then one row stays. Of rows with one id and
+    one text any one stays. A null text counts as empty, a null id as smallest. An empty table gives no rows.
     """
     rows, name = masked(docs)
-    d = _refined(rows, name[text_col], prefix)
-    best = W.partitionBy("_full").orderBy(F.col(name[id_col]).desc_nulls_last())
+    text, level = body(name[text_col]), ["_n_bytes", "_head"]
+    d = rows.withColumns(_shape(text, prefix))
+    heads = small(_heads(written(d.select(*level))))
+    best = W.partitionBy(*level, "_full").orderBy(F.col(name[id_col]).desc_nulls_last())
     copies = (
-        d.filter("_alike")
-        .withColumn("_full", F.sha2(body(name[text_col]).cast("binary"), 256))
+        d.join(heads, level, "left_semi")
+        .withColumn("_full", F.sha2(text.cast("binary"), 256))
         .withColumn("_rank", F.row_number().over(best))
         .filter("_rank = 1")
     )
-    return d.filter("NOT _alike").select(*unmasked(docs)).unionByName(copies.select(*unmasked(docs)))
+    return d.join(heads, level, "left_anti").select(*unmasked(docs)).unionByName(copies.select(*unmasked(docs)))
