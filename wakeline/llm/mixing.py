@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import masked, unmasked
+from .common import masked, unmasked, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hash buckets for each source and level; also the most rows of one source that a running sum reads.
-BUCKETS = 1024
+#: Hexadecimal digits of the hash that name a bucket, at each of two levels; a running sum reads 16 ** DIGITS rows of a source.
+DIGITS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -53,31 +53,34 @@ def mixture(
     share: float = 1.5,
     max_epochs: int = 2,
     seed: int = 42,
+    size_col: str | None = None,
 ) -> DataFrame:
     """One row for each row of docs: its columns, then _size, _source_size, _target and _epochs (times the mix takes it).
 
     Sources in code-point order, null last, get `weights` in turn. A source is taken floor(target / size)
     times whole; what is left goes to its documents in the order of a seeded hash of the id, up to where the
     words are nearest the target. That point is found by summing hash buckets, then buckets of the bucket it
-    falls in, and only then documents, so no task reads the documents of a hot source.
+    falls in, and only then documents, so no task reads the documents of a hot source. Words are counted in one scan
+    of the texts, of which a narrow table is kept; with size_col they are given (a null is 0) and no text is read.
 
-    A null text has size 0 and takes part; null sources are one source; rows that repeat count each.
-    Sources without words have target 0. An empty table gives no rows.
+    A null text has size 0 and takes part; null sources are one source; rows that repeat count each, and those of one
+    id are taken alike (null ids are one id). Sources without words have target 0. An empty table gives no rows.
+    Columns of docs may have any names, those of the result too.
     """
     rows, name = masked(docs)
+    size = word_count(F.col(name[text_col])) if size_col is None else F.coalesce(F.col(name[size_col]), F.lit(0)).cast("long")
+    place = F.md5(F.concat(F.coalesce(F.col(name[id_col]).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
     own = rows.withColumns(
         {
-            "_size": word_count(F.col(name[text_col])),
-            "_hash": F.xxhash64(F.col(name[id_col]), F.lit(seed)),
+            "_size": size,
+            "_hash": place,
             "_source": F.coalesce(F.concat(F.lit("="), F.col(name[source_col]).cast("string")), F.lit("")),
         }
     )
-    buckets = {
-        "_b1": F.pmod("_hash", F.lit(BUCKETS)),
-        "_b2": F.pmod(F.shiftright("_hash", 20), F.lit(BUCKETS)),
-    }
-    own = own.withColumns(buckets)
+    # Buckets are prefixes, so hash order is bucket order.
+    own = own.withColumns({"_b1": F.substring("_hash", 1, DIGITS), "_b2": F.substring("_hash", DIGITS + 1, DIGITS)})
     narrow = own.select("_source", "_b1", "_b2", "_hash", "_size")
+    narrow = written(narrow) if size_col is None else narrow
     sizes = narrow.groupBy("_source", "_b1").agg(F.sum("_size").alias("_words"))
     sources = sizes.groupBy("_source").agg(F.sum("_words").alias("source_size"))
     # The key puts null first and sources in code-point order, so null is moved to the end.
@@ -133,7 +136,10 @@ def mixture(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it, rows taken 0 times gone; same columns."""
+    """docs with each row as often as the mix takes it, rows taken 0 times gone; same columns.
+
+    Nulls, repeated rows, ties and empty tables as in mixture(); rows of null or empty text may repeat too.
+    """
     m = mixture(docs, **options)
     last = m.columns[-1]
     m = m.toDF(*(f"c{i}" for i in range(len(m.columns) - 1)), last)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embeddings, exact, html, langid, mixing, passages, simhash, suffixes, urls
-from .common import table
+from .common import table, written
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mixture(docs).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    return mixing.mixture(written(docs), size_col="size").select(
         "doc_id",
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),
@@ -56,6 +56,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), model)
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8_url_filter that SQL can say: host, path and the longest rule that fits."""
+    host, path = urls.host_and_path(F.col("url"))
+    rule, action = urls.rule_of(host, path)
+    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"), rule.alias("rule"), action.alias("action"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -75,6 +82,7 @@ QUERIES = {
         op6_language,
         op7_html_text,
         op8_url_filter,
+        url_rules,
         op9_simhash,
         op10_substring_dedup,
     )
@@ -86,6 +94,22 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op4_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                          md5(CAST(doc_id AS VARCHAR) || ':42') AS h FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS cap,
+                     [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+        v AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+              FROM s WINDOW b AS (ORDER BY cap / w, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        l AS (SELECT min_by(level, cap / w) FILTER (level * w <= cap) AS level FROM v),
+        g AS (SELECT source, source_size, least(cap, coalesce(l.level * w, cap)) AS target FROM s, l),
+        n AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM g),
+        m AS (SELECT d.*, source_size, target, whole, target - whole * source_size AS need,
+                     sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS own
+              FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target,
+               CAST(size * (whole + CASE WHEN need > 0 AND upto - own / 2 <= need THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM m
+    """,
     "op3_embedding_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
@@ -94,6 +118,15 @@ ORACLE_SQL = {
         SELECT vec_id, coalesce(n, 0) AS n_links, c.b AS component_id, c.b = vec_id AS kept
         FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
     """,
+    "url_rules": r"""
+        WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+        r(action, h, q) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+        f AS (SELECT page_id, max_by(h || q, length(h || q)) AS rule, max_by(action, length(h || q)) AS action
+              FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id)
+        SELECT page_id, host, path, rule, action FROM p LEFT JOIN f USING (page_id)
+    """,
     "op10_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
