@@ -17,7 +17,8 @@ from .components import components
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Blocks into which 64 bits are cut; two fingerprints that differ in d bits agree on BLOCKS - d blocks at least.
 BLOCKS = 4
-#: Fingerprints of a bucket that one task compares; larger buckets are dealt again by more of their bits.
+#: Fingerprints of a bucket that one task compares; larger buckets are dealt again by more of their bits, then cut into
+#: slices of which each two are compared.
 BUCKET = 20_000
 #: Children of a node of the index.
 FANOUT = 16
@@ -206,8 +207,9 @@ def fingerprint_links(fps: DataFrame, most: int = 2) -> DataFrame:
 
     Two fingerprints within `most` bits agree on BLOCKS - most of BLOCKS blocks, so each is dealt out by every
     choice of so many blocks, and each bucket is searched with a Gray-order index. A bucket of more than
-    BUCKET fingerprints is dealt once more in the same way, by most + 1 parts of its other bits, so no pair is
-    lost. most must be below BLOCKS.
+    BUCKET fingerprints is dealt once more in the same way, by most + 1 parts of its other bits, and what is still
+    larger is cut into slices of which each two meet in a cell of their own, so no pair is lost and no task holds
+    more than a bucket. most must be below BLOCKS.
     """
     if not 0 <= most < BLOCKS:
         raise ValueError(f"most must be 0 to {BLOCKS - 1}")
@@ -233,7 +235,11 @@ def fingerprint_links(fps: DataFrame, most: int = 2) -> DataFrame:
         F.xxhash64("bucket", F.lit(j), F.col("fp").bitwiseAND(F.lit(p)).bitwiseAND(F.bitwise_not("mask")))
         for j, p in enumerate(parts)
     ]
-    work = work.unionByName(large.select(F.explode(F.array(*again)).alias("bucket"), "fp"))
+    again = large.select(F.explode(F.array(*again)).alias("bucket"), "fp")
+    crowds = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    slices = F.when(F.col("n") > BUCKET, F.ceil(F.col("n") / max(1, BUCKET // 2))).otherwise(1)
+    again = again.join(crowds.select("bucket", slices.alias("slices")), "bucket")
+    work = work.unionByName(again.select(cells("bucket", "fp").alias("bucket"), "fp"))
     work = work.repartition("bucket").sortWithinPartitions("bucket")
     return work.mapInArrow(lambda it: bucket_links(it, most), "a bigint, b bigint")
 
@@ -242,7 +248,8 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
     """One row for each input row: doc_id, fingerprint (16 hex digits), component_id.
 
     Documents link where their fingerprints differ in `most` bits or fewer; component_id is the smallest
-    doc_id that is reachable. Only distinct fingerprints are compared, so copies cost one row. A text without
+    doc_id that is reachable. Ids are numbers. Only distinct fingerprints are compared, so copies cost one row, and
+    the join back to documents has a hot fingerprint's rows on one side only, which Spark splits. A text without
     words (null or empty too) has fingerprint zero, linked like any other. A null id gets a component, and
     is its smallest member only where the component has no other id. Repeated rows give repeated rows.
     """
@@ -265,15 +272,6 @@ NEAR_BUCKET = 4096
 MEMBERS = 2_000_000
 
 
-def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, in order; none for a text without words."""
-    w = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not w:
-        return np.zeros(0, dtype=np.uint64)
-    shingles = {b" ".join(w[j : j + words]) for j in range(max(1, len(w) - words + 1))}
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s) for s in shingles), dtype=np.uint64, count=len(shingles)))
-
-
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """The distinct hashes of a text's word shingles, in order; none for a text without words."""
     w = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
@@ -465,9 +463,9 @@ def similar_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
-def cells(key: str) -> Column:
-    """A row for each cell of two slices that an id of group `key` with `slices` belongs to: every pair meets in one at least."""
-    own = F.pmod(F.xxhash64("id"), F.col("slices"))
+def cells(key: str, member: str = "id") -> Column:
+    """A row for each cell of two slices that a member of group `key` with `slices` belongs to: every pair meets in one at least."""
+    own = F.pmod(F.xxhash64(member), F.col("slices"))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda j: (j != own) | (F.col("slices") == 1))
     return F.explode(F.transform(others, lambda j: F.xxhash64(key, F.least(own, j), F.greatest(own, j))))
 
@@ -476,7 +474,8 @@ def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5
     """docs with one row of each group of similar texts, that with its smallest id; same columns.
 
     Only ids that go are joined to the documents, and rows with a null id stay. Repeated rows of one id all
-    stay or go.
+    stay or go; of different texts under one id each counts. Null and empty texts are alike, so one of them stays.
+    An empty table gives no rows. Other columns may have any names. Ids are numbers.
     """
     gone = similar_groups(docs, id_col, text_col, words, similarity).filter("doc_id <> component_id").select("doc_id")
     rows, name = masked(docs)
