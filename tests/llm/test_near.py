@@ -3,7 +3,7 @@ import re
 import numpy as np
 import xxhash
 
-from wakeline.llm import embeddings, passages, simhash, suffixes, winnow
+from wakeline.llm import embeddings, passages, simhash, suffixes
 from wakeline.llm.components import components
 
 
@@ -165,8 +165,8 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
     texts = corpus(np.random.default_rng(6))
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] + [(None, texts[0], "c")], "doc_id long, text string, content string")
     want = plain_repeats(texts, 100)
-    for bucket in (winnow.BUCKET, 1):  # the second: every minimizer is settled window by window
-        monkeypatch.setattr(winnow, "BUCKET", bucket)
+    for bucket in (suffixes.BUCKET, 1):  # the second: minimizers of several kinds are settled window by window
+        monkeypatch.setattr(suffixes, "BUCKET", bucket)
         got = {r.doc_id: r for r in suffixes.remove_repeats(df).collect()}
         for i, w in enumerate(want):
             r = got[i]
@@ -181,13 +181,35 @@ def test_suffix_dedup_repeated_rows_are_one_document(spark):
     assert [r.n_removed for r in suffixes.remove_repeats(df).collect()] == [plain_repeats([t], 100)[0][1]] * 2
 
 
-def test_maximal_repeats_are_repeats(spark):
-    texts = [t or "" for t in corpus(np.random.default_rng(8), 30)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
-    groups: dict = {}
-    for r in suffixes.maximal_repeats(df, 100).collect():
-        groups.setdefault((r.grp, r.length), []).append(texts[r.doc].encode()[r.start : r.start + r.length])
-    assert groups and all(len(set(g)) == 1 and len(g[0]) == k[1] >= 100 for k, g in groups.items())
+def places_of(text, texts):
+    found = set()
+    for i, t in enumerate(texts):
+        at = t.find(text)
+        while at >= 0:
+            found.add((i, at))
+            at = t.find(text, at + 1)
+    return found
+
+
+def test_maximal_repeats_have_all_occurrences(spark, monkeypatch):
+    texts = [(t or "").encode() for t in corpus(np.random.default_rng(8), 30)]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc long, text string")
+    windows: dict = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 99):
+            windows.setdefault(t[j : j + 100], set()).add((i, j))
+    for bucket in (suffixes.BUCKET, 1):
+        monkeypatch.setattr(suffixes, "BUCKET", bucket)
+        groups: dict = {}
+        for r in suffixes.maximal_repeats(df, 100).collect():
+            assert r.length >= 100
+            groups.setdefault((r.grp, r.length), {})[r.doc, r.start] = r.first
+        inside = set()
+        for (_, n), g in groups.items():
+            (text,) = {texts[i][j : j + n] for i, j in g}
+            assert set(g) == places_of(text, texts) and [k for k, first in g.items() if first] == [min(g)]
+            inside |= {(i, x) for i, j in g for x in range(j, j + n - 99)}
+        assert inside == {p for places in windows.values() if len(places) > 1 for p in places}
 
 
 def plain_passages(texts, window):
@@ -207,15 +229,14 @@ def plain_passages(texts, window):
     return out
 
 
-def test_passages_equal_brute_force(spark, monkeypatch):
+def test_passages_equal_brute_force(spark):
     texts = corpus(np.random.default_rng(7)) + ["a " * 200, " \t\n"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string")
     want = plain_passages(texts, 35)
-    for bucket in (winnow.BUCKET, 1):
-        monkeypatch.setattr(winnow, "BUCKET", bucket)
-        got = {r.doc_id: r for r in passages.remove_passages(df).collect()}
-        for i, w in enumerate(want):
-            assert (got[i].n_words, got[i].n_removed, got[i].kept_text) == w, i
+    got = {r.doc_id: r for r in passages.remove_passages(df).collect()}
+    for i, w in enumerate(want):
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_text) == w, i
+    assert got[None].n_removed == 0
     assert passages.remove_passages(df.limit(0)).count() == 0
 
 

@@ -32,7 +32,7 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 PIECE = 1 << 20
 #: Words whose hash a task keeps.
-WORDS = 800_000
+WORDS = 250_000
 
 FRAGMENTS = "h bigint, head bigint, tail bigint, doc bigint, start int, n_windows int"
 #: What names a fragment's content.
@@ -213,9 +213,13 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc bigint, z binary")
 
 
-def unpacked(piece: pa.RecordBatch) -> list[str]:
+def unpacked_bytes(piece: pa.RecordBatch) -> list[bytes]:
     grow = zstandard.ZstdDecompressor().decompress
-    return [grow(z).decode("utf-8", "surrogatepass") for z in piece.column("z").to_pylist()]
+    return [grow(z) for z in piece.column("z").to_pylist()]
+
+
+def unpacked(piece: pa.RecordBatch) -> list[str]:
+    return [raw.decode("utf-8", "surrogatepass") for raw in unpacked_bytes(piece)]
 
 
 #: emit(symbols of some texts, arrays doc, place in all symbols, start, n_windows, n, h, head, tail) to columns

@@ -35,7 +35,8 @@ def repeated_runs(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
     Edges are counted by their two nodes with a map-side combine, and joined back to those that may be part of a
     run, so a frequent window needs no task of its own. A run lies in one fragment.
     """
-    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h")
+    # Written, so that Spark can split a frequent minimizer in the join.
+    several = written(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h"))
     mixed = kinds.join(several, "h", "left_semi")
     edges = written(fragments.contents(docs, mixed, fragments.word_symbols, window, fragments.edges_of(window), fragments.EDGES))
     met = edges.groupBy("head", "tail").agg(F.sum("n").alias("met")).filter("met > 1").select("head", "tail")
@@ -51,7 +52,7 @@ def repeated_runs(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
         )
         .select("doc", (F.col("start") + F.col("off")).alias("start"), *PATH)
     )
-    discard(edges)
+    discard(edges, several)
     return runs
 
 

@@ -94,6 +94,24 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op2_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        e AS (SELECT doc_id, x, len(x) // 2 AS n FROM d),
+        -- Blocks of 512 bytes, as cutting a window out of a long string takes time in proportion to its place.
+        b AS (SELECT doc_id, j, substr(x, 1024 * j + 1, 1024 + 198) AS y, n FROM (SELECT *, unnest(range(0, n // 512 + 1)) AS j FROM e)),
+        w AS (SELECT doc_id, 512 * j + i AS p, md5(substr(y, 2 * i + 1, 200)) AS h
+              FROM (SELECT *, unnest(range(0, greatest(0, least(512, n - 99 - 512 * j)))) AS i FROM b)),
+        r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+        g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS s
+              FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM r)),
+        spans AS (SELECT doc_id, s, min(p) AS a, max(p) + 100 AS z FROM g GROUP BY doc_id, s),
+        cuts AS (SELECT doc_id, a, z, coalesce(lag(z) OVER o, 0) AS before, row_number() OVER o = count(*) OVER (PARTITION BY doc_id) AS final
+                 FROM spans WINDOW o AS (PARTITION BY doc_id ORDER BY a)),
+        kept AS (SELECT doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)) || CASE WHEN final THEN substr(x, 2 * z + 1) ELSE '' END, '' ORDER BY a) AS rest,
+                        sum(z - a) AS gone, count(*) AS runs FROM cuts JOIN e USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(unhex(coalesce(rest, x))) AS kept_sha256
+        FROM e LEFT JOIN kept USING (doc_id)
+    """,
     "op4_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
                           md5(CAST(doc_id AS VARCHAR) || ':42') AS h FROM documents),

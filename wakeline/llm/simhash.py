@@ -283,7 +283,7 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
 def wide_fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(sets, LANES) fingerprints of sets of shingle hashes and (sets, KEYS) minimum shingle hashes."""
-    from .winnow import mixed
+    from .fragments import mixed
 
     seeds = np.random.default_rng(23).integers(0, 1 << 63, LANES + KEYS, dtype=np.uint64)
     wide, keys = np.zeros((len(sets), LANES), dtype=np.uint64), np.zeros((len(sets), KEYS), dtype=np.uint64)

@@ -1,35 +1,44 @@
-"""Suffix-array dedup of byte strings: maximal repeats from an enhanced suffix array.
+"""Suffix-array dedup of byte strings: maximal repeats from enhanced suffix arrays.
 
-The suffixes are dealt by the minimizer of their first `least` bytes, so equal strings of that length meet.
-Each bucket sorts its suffixes, computes the common prefixes of neighbours and scans them with a stack: every
-interval of the common-prefix tree whose members are preceded by different bytes (or begin a fragment) is a
-maximal repeat, and is output with all its occurrences.
+Suffixes are dealt by the minimizer of their first `least` bytes, so equal strings of that length meet. A bucket has
+the fragments (fragments.py) of one minimizer; equal ones stand in its array once, with their number. It sorts its
+suffixes by their bytes, computes the common prefixes of neighbours and scans them with a stack: every interval of
+the common-prefix tree whose members are preceded by different bytes (or begin a fragment) is a maximal repeat, and so
+is a leaf that stands for several equal fragments. Joins by fragment lead from the members of an interval to all
+their occurrences in the corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import winnow
+from . import fragments
 from .arrow import pieces, ranges, runs
 from .common import written
+from .fragments import KIND, mixed
 
 MINIMIZER = 32
-GROUPS = "grp bigint, doc bigint, start int, length int, first boolean"
+#: Kinds of fragments that one task searches together. A minimizer with more is settled window by window in joins.
+BUCKET = 20_000
+CONTENTS = "h bigint, head bigint, tail bigint, n_windows int, n bigint, doc bigint, start int, content binary"
+#: Members of intervals: a suffix of a kind of fragment, with the smallest occurrence of the repeat.
+MEMBERS = "grp bigint, h bigint, head bigint, tail bigint, n_windows int, offset int, length int, first_doc bigint, first_start int"
+#: Spans of smallest occurrences that repeat something smaller.
+SPANS = "doc bigint, start int, length int"
 
 
-def fragment_bytes(least: int):
-    def cut(text: str, starts: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        raw = text.encode("utf-8", "surrogatepass")
-        return [raw[s : s + n + least - 1] for s, n in zip(starts.tolist(), counts.tolist())]
+def content_of(least: int) -> fragments.Emit:
+    def emit(s: fragments.Symbols, doc, at, start, n_windows, n, h, head, tail) -> list:
+        content = [s.content(a, b) for a, b in zip(at.tolist(), (at + n_windows + least - 1).tolist())]
+        return [h, head, tail, n_windows, n, doc, start, pa.array(content, pa.binary())]
 
-    return cut
+    return emit
 
 
 def intervals(lcp: list[int], rank: list[int], left: list[int]) -> list[tuple[int, int, int, int]]:
@@ -62,24 +71,56 @@ def intervals(lcp: list[int], rank: list[int], left: list[int]) -> list[tuple[in
     return out
 
 
+def merged_spans(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    """The spans by document, those that overlap or touch as one."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], (start + length)[order]
+    if len(doc):
+        # Spans of all documents on one line, far enough apart.
+        shift = np.cumsum(np.concatenate(([0], np.diff(doc) != 0))).astype(np.int64) << 40
+        reach = np.maximum.accumulate(end + shift)
+        first = np.flatnonzero(np.concatenate(([True], start[1:] + shift[1:] > reach[:-1])))
+        last = np.append(first[1:], len(doc)) - 1
+        doc, start, end = doc[first], start[first], reach[last] - shift[last]
+    arrays = [pa.array(x) for x in (doc.astype(np.int64), start.astype(np.int32), (end - start).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(arrays, ["doc", "start", "length"])
+
+
 def bucket_repeats(least: int, spans_only: bool):
-    """Maximal repeats of `least` bytes or more among the fragments of each bucket: GROUPS rows, or with
-    spans_only the SPANS of all occurrences but the first of each, those that meet as one."""
+    """Maximal repeats of `least` bytes or more among the fragments of each bucket: MEMBERS rows, or with spans_only
+    the SPANS of the kinds' smallest occurrences that are not the first of a repeat, those that meet as one."""
 
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        h, doc, start, size = (rows.column(c).to_numpy() for c in ("h", "doc", "start", "n_windows"))
+        h, head, tail, size, n, doc, start = (rows.column(c).to_numpy() for c in (*KIND, "n", "doc", "start"))
         text = rows.column("content").to_pylist()
         # Rows of docs that repeat as a whole give the same fragment several times.
         order = np.lexsort((start, doc, h))
         twice = (np.diff(h[order]) == 0) & (np.diff(doc[order]) == 0) & (np.diff(start[order]) == 0)
         if twice.any():
             own = np.sort(order[np.concatenate(([True], ~twice))])
-            h, doc, start, size = h[own], doc[own], start[own], size[own]
+            h, head, tail, size, n, doc, start = (x[own] for x in (h, head, tail, size, n, doc, start))
             text = [text[i] for i in own.tolist()]
+        kinds = (h, head, tail, size, doc, start)
         length = size.astype(np.int64) + least - 1
         offset = np.cumsum(length) - length
         flat = np.frombuffer(b"".join(text) + bytes(least + 16), dtype=np.uint8)
         words = np.ndarray((len(flat) - 7,), dtype=">u8", buffer=flat, strides=(1,))
+        # Leaves of several equal fragments are repeats, unless an interval has them whole.
+        leaf = n > 1
+        yield from search(kinds, offset, length, flat, words, leaf)
+        row = np.flatnonzero(leaf)
+        if len(row) and not spans_only:
+            yield members(kinds, row, np.zeros(len(row), dtype=np.int64), length[row], doc[row], start[row])
+
+    def members(kinds, row, offset, length, first_doc, first_start) -> pa.RecordBatch:
+        # A repeat is named by its minimizer, first occurrence and length.
+        h = kinds[0]
+        name = mixed(mixed(h[row].view(np.uint64) ^ mixed(first_doc.view(np.uint64))) + (length.astype(np.uint64) << np.uint64(32)) + first_start.astype(np.uint64))
+        columns = [name.view(np.int64), *(x[row] for x in kinds[:4]), offset.astype(np.int32), length.astype(np.int32), first_doc, first_start.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [c.split()[0] for c in MEMBERS.split(", ")])
+
+    def search(kinds, offset, length, flat, words, leaf) -> Iterator[pa.RecordBatch]:
+        h, _, _, size, _, _ = kinds
         at = ranges(offset, size)
         row = np.repeat(np.arange(len(h)), size)
         kind = np.cumsum(np.concatenate(([True], h[1:] != h[:-1])))[row] if len(h) else row
@@ -113,9 +154,10 @@ def bucket_repeats(least: int, spans_only: bool):
                 continue
             heads = np.append(runs(kind), len(kind))
             s = slice(heads[part[0]], heads[part[-1] + 1])
-            yield from scan(at[s], row[s], kind[s], left[s], rest[s], most, flat, offset, doc, start, h)
+            yield from scan(at[s], row[s], kind[s], left[s], rest[s], most, flat, offset, length, kinds, leaf)
 
-    def scan(at, row, kind, left, rest, most, flat, offset, doc, start, h) -> Iterator[pa.RecordBatch]:
+    def scan(at, row, kind, left, rest, most, flat, offset, length, kinds, leaf) -> Iterator[pa.RecordBatch]:
+        doc, start = kinds[4:]
         tail = flat[np.minimum(at[:, None] + least + np.arange(most), len(flat) - 1)]
         tail = np.where(np.arange(most) < rest[:, None], tail, 0).astype(np.uint8)
         keys = tail.view(">u8").astype(np.uint64)
@@ -132,59 +174,98 @@ def bucket_repeats(least: int, spans_only: bool):
         if not found:
             return
         f = np.array(found)
-        members = ranges(f[:, 1], f[:, 2] - f[:, 1] + 1)
         count = f[:, 2] - f[:, 1] + 1
-        first = rank[members] == np.repeat(f[:, 3], count)
+        within = ranges(f[:, 1], count)
+        long = np.repeat(f[:, 0], count)
+        whole = (long == length[row[within]]) & (at[within] == offset[row[within]])
+        leaf[row[within[whole]]] = False
+        first = rank[within] == np.repeat(f[:, 3], count)
         if spans_only:
-            yield winnow.merged_spans(doc[row[members]][~first], place[members][~first], np.repeat(f[:, 0], count)[~first])
+            yield merged_spans(doc[row[within]][~first], place[within][~first], long[~first])
             return
-        group = h[row[f[:, 1]]].view(np.uint64) + winnow.mixed((f[:, 0] << 32 | f[:, 3]).astype(np.uint64))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(group.view(np.int64), count)), pa.array(doc[row[members]]), pa.array(place[members].astype(np.int32)),
-                pa.array(np.repeat(f[:, 0], count).astype(np.int32)), pa.array(first),
-            ],
-            ["grp", "doc", "start", "length", "first"],
-        )
+        best = np.repeat(by_place[f[:, 3]], count)
+        yield members(kinds, row[within], (at - offset[row])[within], long, doc[row[best]], place[best])
 
     return work
 
 
+def by_bucket(rows: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, most: int = 40_000) -> DataFrame:
+    """work() on tables of whole buckets (equal h), of about `most` rows, in each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            h = batch.column("h").to_numpy()
+            if size < most or h[0] == h[-1]:
+                continue
+            cut = int(np.searchsorted(h, h[-1]))
+            held[-1] = batch.slice(0, cut)
+            yield from work(pa.Table.from_batches(held))
+            held, size = [batch.slice(cut)], batch.num_rows - cut
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
+
+
+def crowded_windows(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
+    """(grp, doc, start, length, first): every repeated window of `least` bytes at the places given, by itself.
+
+    For minimizers with so many kinds of fragments that no task should hold them: windows are named by their nodes,
+    counted with a map-side combine and joined back.
+    """
+    each = fragments.contents(docs, places, fragments.byte_symbols, least, fragments.edges_of(least), fragments.EDGES)
+    each = each.select("head", "tail", "doc", (F.col("start") + F.col("off")).alias("start"), "n")
+    met = each.groupBy("head", "tail").agg(F.sum("n").alias("met"), F.min(F.struct("doc", "start")).alias("first"))
+    is_first = (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start"))
+    found = each.join(met.filter("met > 1"), ["head", "tail"])
+    return found.select(F.xxhash64("head", "tail").alias("grp"), "doc", "start", F.lit(least).alias("length"), is_first.alias("first"))
+
+
+def _prepared(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fragments that may repeat, their kinds, and the minimizers (h) of more than BUCKET kinds; written tables."""
+    found = fragments.candidates(docs, fragments.byte_symbols, least, MINIMIZER)
+    kinds = fragments.kinds_of(found)
+    crowds = written(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > BUCKET).select("h"))
+    return found, kinds, crowds
+
+
 def maximal_repeats(docs: DataFrame, least: int) -> DataFrame:
-    """GROUPS rows of docs(doc, text): each repeat of `least` bytes or more with all occurrences; first is the smallest.
+    """(grp, doc, start, length, first) of docs(doc, text): the repeats of `least` bytes or more, each with all occurrences.
+
+    first marks the smallest (doc, start). A repeat is maximal within the fragments that hold it (less than twice
+    `least` bytes); a longer string appears as one repeat for each of its minimizers, which overlap and cover it.
+    Minimizers of more than BUCKET kinds give their repeated windows of `least` bytes, with all occurrences too.
+    """
+    found, kinds, crowds = _prepared(docs, least)
+    some = fragments.contents(docs, kinds.join(crowds, "h", "left_anti"), fragments.byte_symbols, least, content_of(least), CONTENTS)
+    groups = by_bucket(some, bucket_repeats(least, False), MEMBERS)
+    every = groups.join(found, KIND).withColumn("at", F.col("start") + F.col("offset"))
+    is_first = (F.col("doc") == F.col("first_doc")) & (F.col("at") == F.col("first_start"))
+    every = every.select("grp", "doc", F.col("at").alias("start"), "length", is_first.alias("first"))
+    places = found.join(crowds, "h", "left_semi").withColumn("n", F.lit(1).cast("long"))
+    return every.unionByName(crowded_windows(docs, places, least)).distinct()
+
+
+def removed_spans(docs: DataFrame, least: int) -> DataFrame:
+    """SPANS of docs(doc, text) that repeat something smaller, as maximal_repeats() finds them.
 
-    A string that crosses the bounds of fragments appears as one repeat for each minimizer, all its bytes
-    covered. Fragments that are wholly alike are one repeat by their counts; spans known within their piece
-    to repeat something smaller appear as groups of their own, without the occurrence that they repeat.
+    The array decides on the smallest occurrence of each kind of fragment; of a kind that occurs several times all
+    others go whole, as a leaf of the array says.
     """
-    return _repeats(docs, least, spans_only=False)
-
-
-def _repeats(docs: DataFrame, least: int, spans_only: bool) -> DataFrame:
-    t = winnow.settled(docs, winnow.byte_symbols, least, MINIMIZER, first_stays=True)
-    length = (F.col("n_windows") + (least - 1)).alias("length")
-    known = winnow.known_repeats(docs, winnow.byte_symbols, least, MINIMIZER, first_stays=True)
-    known = known.select(F.xxhash64("doc", "start").alias("grp"), "doc", "start", "length", F.lit(False).alias("first"))
-    is_first = lambda c: (F.col("doc") == F.col(f"{c}.doc")) & (F.col("start") == F.col(f"{c}.start"))
-    alike = t.filter("alike").select(F.col("h").alias("grp"), "doc", "start", length, is_first("first").alias("first"))
-    different = t.filter("NOT alike").drop("first")
-    kinds = written(winnow.kinds(different))
-    members = different.join(kinds.filter("n > 1").select("h", "fh", "one"), ["h", "fh"])
-    members = members.select(F.xxhash64("h", "fh").alias("grp"), "doc", "start", length, is_first("one").alias("first"))
-    cut = fragment_bytes(least)
-    some = winnow.contents(docs, kinds.filter("NOT crowded"), cut)
-    many = winnow.contents(docs, kinds.filter("crowded"), cut)
-
-    def hashes(content: bytes) -> np.ndarray:
-        return winnow.Hashes(winnow._byte_values[np.frombuffer(content, dtype=np.uint8)]).all(least)
-
-    single = winnow.by_window(many, hashes)
-    single = single.select(F.xxhash64("h", "w").alias("grp"), "doc", "start", F.lit(least).alias("length"), is_first("first").alias("first"))
-    searched = winnow.by_bucket(some, bucket_repeats(least, spans_only), winnow.SPANS if spans_only else GROUPS)
-    rest = known.unionByName(alike).unionByName(members).unionByName(single)
-    if spans_only:
-        return rest.filter("NOT first").select("doc", "start", "length").unionByName(searched)
-    return rest.unionByName(searched)
+    found, kinds, crowds = _prepared(docs, least)
+    some = fragments.contents(docs, kinds.join(crowds, "h", "left_anti"), fragments.byte_symbols, least, content_of(least), CONTENTS)
+    searched = by_bucket(some, bucket_repeats(least, True), SPANS)
+    single = crowded_windows(docs, kinds.join(crowds, "h", "left_semi"), least).filter("NOT first").select("doc", "start", "length")
+    leaves = kinds.filter("n > 1").select(*KIND, F.struct("doc", "start").alias("first"))
+    copies = found.join(leaves, KIND).filter(F.struct("doc", "start") != F.col("first"))
+    copies = copies.select("doc", "start", (F.col("n_windows") + (least - 1)).alias("length"))
+    return copies.unionByName(searched).unionByName(single)
 
 
 def remove_repeats(docs: DataFrame, least: int = 100, id_col="doc_id", text_col="text", digests: bool = False) -> DataFrame:
@@ -193,25 +274,29 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col="doc_id", text_col=
     Each UTF-8 byte in a string of `least` bytes that also starts earlier (smaller id, or before in the same
     text) goes; strings are judged on the input, overlaps count. n_spans: maximal removed runs.
 
-    A null text is empty. Rows with a null id are returned whole and don't count as occurrences. Repeated rows
-    with one id and one text are one document; of different texts under one id the spans of all are taken
-    from each. Texts shorter than `least` are returned whole.
+    Ids are numbers. A null text is empty. Rows with a null id are returned whole and don't count as occurrences.
+    Repeated rows with one id and one text are one document; of different texts under one id the spans of all are
+    taken from each. Texts shorter than `least` are returned whole. An empty table gives no rows; other columns don't
+    matter.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marked = winnow.by_document(d, _repeats(d, least, spans_only=True))
+    marked = fragments.by_document(d, removed_spans(d, least))
     name = "kept_sha256" if digests else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text", winnow.PIECE):
+            for piece in pieces(batch, "z", fragments.PIECE // 4):
                 total, removed, n_spans, kept = [], [], [], []
-                columns = (piece.column(c).to_pylist() for c in ("text", "starts", "lengths"))
-                for text, starts, lengths in zip(*columns):
-                    raw = text.encode("utf-8", "surrogatepass")
+                lists = piece.column("spans")
+                size, flat = lists.value_lengths().fill_null(0).to_numpy(), lists.flatten()
+                starts, lengths = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+                end = 0
+                for raw, n in zip(fragments.unpacked_bytes(piece), size.tolist()):
+                    own, end = slice(end, end + n), end + n
                     gone = spans_ = 0
                     rest = raw
-                    if starts:
-                        cover = winnow.covered(len(raw), np.array(starts), np.array(lengths))
+                    if n:
+                        cover = fragments.covered(len(raw), starts[own], lengths[own])
                         gone = int(cover.sum())
                         spans_ = int(cover[:1].sum() + (cover[1:] & ~cover[:-1]).sum())
                         rest = np.frombuffer(raw, dtype=np.uint8)[~cover].tobytes()
