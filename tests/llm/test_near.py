@@ -276,3 +276,44 @@ def test_vector_recall_at_production_parameters(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     linked = sum(r.n_links for r in embeddings.near_vectors(df).collect())
     assert linked >= 2 * 390
+
+
+LONG = "long text of many words without a repeat " + " ".join(f"n{i * i}" for i in range(40_000))
+
+
+def test_operators_take_odd_rows_and_clashing_columns(spark):
+    """Nulls, empty and very long texts, repeated rows, empty tables, and extra columns named like the operators' own."""
+    import pytest
+
+    from wakeline.llm import exact, html, langid, mixing, urls
+
+    rows = [(1, "one text here", "en"), (1, "one text here", "en"), (2, None, None), (3, "", "en"), (None, "no id", None), (4, LONG, "en"), (5, LONG, "de")]
+    extra = ["doc", "start", "h", "head", "tail", "spans", "z", "fp", "wide", "keys", "_full", "_n_bytes", "_hash", "_source", "score", "held_out"]
+    df = spark.createDataFrame([(*r, *["clash"] * len(extra)) for r in rows], ", ".join(["doc_id long, text string, lang string", *(f"{c} string" for c in extra)]))
+    df = df.withColumn("source", df["lang"])
+    models = langid.fit(df)
+    operators = {
+        "exact_groups": exact.exact_groups, "remove_repeats": suffixes.remove_repeats, "mixture": mixing.mixture,
+        "identify": lambda d: langid.identify(d, models), "near_groups": simhash.near_groups, "remove_passages": passages.remove_passages,
+    }
+    out = {name: f(df).collect() for name, f in operators.items()}
+    assert {name: len(r) for name, r in out.items()} == dict.fromkeys(operators, len(rows))
+    assert all(f(df.limit(0)).count() == 0 for f in operators.values())
+    n_words = {r.doc_id: (r.n_words, r.n_removed) for r in out["remove_passages"]}
+    assert n_words[4] == n_words[5] == (len(LONG.split()),) * 2 and n_words[2] == n_words[3] == (0, 0)
+    n_bytes = {r.doc_id: (r.n_bytes, r.n_removed) for r in out["remove_repeats"]}
+    assert n_bytes[4] == (len(LONG), 0) and n_bytes[5] == (len(LONG), len(LONG)) and n_bytes[1] == (13, 0)
+    for f in (exact.exact_dedup, simhash.near_dedup, mixing.mixed_documents, lambda d: langid.accepted(d, models)):
+        got = f(df)
+        assert got.columns == df.columns and got.count() <= 2 * len(rows) and f(df.limit(0)).count() == 0
+    kept = sorted((r.doc_id is None, r.doc_id) for r in simhash.near_dedup(df).collect())
+    assert kept == [(False, 1), (False, 1), (False, 2), (False, 4), (True, None)]
+    pages = spark.createDataFrame([(1, "http://x.org/es/1", "<p>a, b.", "c")] * 2 + [(2, None, None, "c")], "page_id long, url string, html string, text string")
+    pages = pages.withColumnsRenamed({}).withColumn("host", pages["text"]).withColumn("_grams", pages["text"])
+    assert [r.text for r in html.main_texts(pages).collect()] == ["a, b.", "a, b.", ""] and html.main_texts(pages.limit(0)).count() == 0
+    urls_out = urls.judge_urls(pages, urls.fit(urls.labelled_urls(spark, ["casino"], ["museum"]))).collect()
+    assert [r.verdict for r in urls_out][:2] == ["block"] * 2 and len(urls_out) == 3
+    pytest.importorskip("public_tokenizers")
+    from wakeline.llm import bpe, queries
+
+    assert bpe.bpe_encode(df, queries.tokenizer_path()).count() == len(rows)

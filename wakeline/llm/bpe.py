@@ -25,8 +25,8 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 SPACES = re.compile(f"[{SPACE}]+")
 NONE = np.iinfo(np.int64).max
-#: Distinct chunks of text that a task keeps at once.
-CACHE = 200_000
+#: Distinct chunks of text that a task keeps at once, and their bytes with what they encode to.
+CACHE, CACHE_BYTES = 200_000, 64 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -55,6 +55,8 @@ class Bpe:
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], dtype=np.int64)
         self.last = np.array([vocab[s + end] for s in symbols], dtype=np.int64)
+        if any("<" not in t or " " in t for t in self.special):
+            raise ValueError("special tokens must have a < and no space, by which chunks that may hold one are known")
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +141,8 @@ def bpe_encode(
     ids_sha256 is over the ids as little-endian 32-bit numbers, decoded_sha256 over the decoded text in UTF-8.
     Row by row, without a shuffle. A text is cut at spaces into chunks, which cannot share a word, so each
     distinct chunk is encoded once in a task (a bounded cache); new ones go through the merge rounds together.
-    A null text counts as empty (no tokens). Repeated rows give repeated rows.
+    A null text counts as empty (no tokens). Repeated rows give repeated rows, an empty table none. Ids are numbers (a
+    null stays null). Other columns, whatever their names, don't matter.
     """
     bpe = Bpe(path)
     extra = [("ids", "array<int>")] * ids + [("decoded", "string")] * decoded
@@ -149,14 +152,18 @@ def bpe_encode(
 
     def make():
         cache: dict[str, tuple[bytes, str]] = {}
+        held = 0
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            if len(cache) > CACHE:
+            nonlocal held
+            if len(cache) > CACHE or held > CACHE_BYTES:
                 cache.clear()
+                held = 0
             texts = [(t or "").split(" ") for t in batch.column("_text").to_pylist()]
             new = list(set().union(*texts) - cache.keys())
             for chunk, tokens in zip(new, bpe.encode_chunks(new)):
                 cache[chunk] = (tokens.astype("<u4").tobytes(), bpe.decode(tokens.tolist()))
+                held += len(chunk) + 4 * len(tokens) + len(cache[chunk][1])
             found = [[cache[c] for c in chunks] for chunks in texts]
             raw = [b"".join([f[0] for f in doc]) for doc in found]
             text = [" ".join([f[1] for f in doc if f[0]]) for doc in found]

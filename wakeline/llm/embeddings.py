@@ -126,7 +126,9 @@ def near_vectors(
 
     Null, empty and zero vectors and those with null or non-finite components have no links and are kept.
     component_id is the smallest vec_id reachable; rows that repeat an id are told apart by their vectors. A
-    null id links like any other and names a component only where nothing else is in it.
+    null id links like any other and names a component only where nothing else is in it. An empty table gives no
+    rows; other columns, whatever their names, don't matter. A bucket of many distinct vectors that are all close is
+    compared pair by pair, spread over the cells of its slices: that work is quadratic by nature.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("values"))
     bad = F.exists("values", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))

@@ -189,17 +189,21 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
 
 
 def fit(
-    docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", rows_per_lang: int = 1500, folds: int = 5, seed: int = 7
-) -> Models:
+    docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", rows_per_lang: int = 1500, folds: int = 5, seed: int = 7,
+    bytes_per_lang: int = 16 << 20,
+) -> Models:
     """Models from a bounded sample: about rows_per_lang labelled rows of each language outside the held-out fold.
 
-    The rows are those of the smallest seeded hashes of the id, whole. A sixth of them is kept apart and
-    calibrates rejection. Counting runs on the executors; only distinct n-grams of the sample reach the driver.
+    The rows are those of the smallest seeded hashes of the id, whole; fewer where their texts are so long that the
+    language would pass bytes_per_lang (about), so the n-gram tables are bounded too. A sixth of them is kept apart
+    and calibrates rejection. Counting runs on the executors; only distinct n-grams of the sample reach the driver.
+    Rows without an id, a text or a language are not learned from. Ties in the hash stay or go together.
     """
     known = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"), folds))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known_sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    sizes = {r["lang"]: max(r["n"], rows_per_lang * (r["bytes"] or 0) / bytes_per_lang) for r in known_sizes}
     langs = sorted(sizes)
     if not langs:
         return Models([], [], [], np.zeros(0), np.zeros((0, 2)))
@@ -247,7 +251,9 @@ def identify(docs: DataFrame, models: Models, id_col="doc_id", text_col="text",
     """One row for each input row: doc_id, held_out, lang_pred, score, rejected.
 
     Row by row over whole texts, without a shuffle. A text that is null or has no letter is `und` with score 0
-    and rejected; with no learned language all are. Repeated rows give repeated rows.
+    and rejected; with no learned language all are. Repeated rows give repeated rows, an empty table none. Ids are
+    numbers; a null id is not held out. Of languages that fit a text alike the first by name is taken. Other columns,
+    whatever their names, don't matter.
     """
     langs = np.array([*models.langs, UNDETERMINED], dtype=object)
 
@@ -270,7 +276,11 @@ def identify(docs: DataFrame, models: Models, id_col="doc_id", text_col="text",
 
 
 def accepted(docs: DataFrame, models: Models, text_col="text") -> DataFrame:
-    """docs without the rows that identify() rejects; same columns."""
+    """docs without the rows that identify() rejects; same columns, whatever their names.
+
+    A null text, an empty one or one without letters is rejected, and all are if no language was learned. Repeated
+    rows are judged alike; an empty table gives no rows.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,8 +23,8 @@ from .arrow import pieces, ranges, runs
 from .common import written
 from .fragments import KIND, mixed
 
-MINIMIZER = 32
-#: Kinds of fragments that one task searches together. A minimizer with more is settled window by window in joins.
+MINIMIZER = 24
+#: Kinds of fragments that one task searches together. A crowded minimizer has more and is settled window by window in joins.
 BUCKET = 20_000
 CONTENTS = "h bigint, head bigint, tail bigint, n_windows int, n bigint, doc bigint, start int, content binary"
 #: Members of intervals: a suffix of a kind of fragment, with the smallest occurrence of the repeat.
@@ -228,11 +228,12 @@ def crowded_windows(docs: DataFrame, places: DataFrame, least: int) -> DataFrame
 
 
 def _prepared(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fragments that may repeat, their kinds, and the minimizers (h) of more than BUCKET kinds; written tables."""
+    """Fragments that may repeat, their kinds, and minimizers (h) of several kinds, crowded if more than BUCKET; written
+    tables."""
     found = fragments.candidates(docs, fragments.byte_symbols, least, MINIMIZER)
     kinds = fragments.kinds_of(found)
-    crowds = written(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > BUCKET).select("h"))
-    return found, kinds, crowds
+    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    return found, kinds, written(several.select("h", (F.col("kinds") > BUCKET).alias("crowded")))
 
 
 def maximal_repeats(docs: DataFrame, least: int) -> DataFrame:
@@ -242,7 +243,8 @@ def maximal_repeats(docs: DataFrame, least: int) -> DataFrame:
     `least` bytes); a longer string appears as one repeat for each of its minimizers, which overlap and cover it.
     Minimizers of more than BUCKET kinds give their repeated windows of `least` bytes, with all occurrences too.
     """
-    found, kinds, crowds = _prepared(docs, least)
+    found, kinds, several = _prepared(docs, least)
+    crowds = several.filter("crowded").select("h")
     some = fragments.contents(docs, kinds.join(crowds, "h", "left_anti"), fragments.byte_symbols, least, content_of(least), CONTENTS)
     groups = by_bucket(some, bucket_repeats(least, False), MEMBERS)
     every = groups.join(found, KIND).withColumn("at", F.col("start") + F.col("offset"))
@@ -255,13 +257,14 @@ def maximal_repeats(docs: DataFrame, least: int) -> DataFrame:
 def removed_spans(docs: DataFrame, least: int) -> DataFrame:
     """SPANS of docs(doc, text) that repeat something smaller, as maximal_repeats() finds them.
 
-    The array decides on the smallest occurrence of each kind of fragment; of a kind that occurs several times all
-    others go whole, as a leaf of the array says.
+    The arrays decide on the smallest occurrence of each kind of fragment; of a kind that occurs several times all
+    others go whole, as its leaf says. The array of a minimizer with one kind is that leaf, and needs no bytes.
     """
-    found, kinds, crowds = _prepared(docs, least)
-    some = fragments.contents(docs, kinds.join(crowds, "h", "left_anti"), fragments.byte_symbols, least, content_of(least), CONTENTS)
+    found, kinds, several = _prepared(docs, least)
+    of = lambda crowded: kinds.join(several.filter(F.col("crowded") == crowded).select("h"), "h", "left_semi")
+    some = fragments.contents(docs, of(False), fragments.byte_symbols, least, content_of(least), CONTENTS)
     searched = by_bucket(some, bucket_repeats(least, True), SPANS)
-    single = crowded_windows(docs, kinds.join(crowds, "h", "left_semi"), least).filter("NOT first").select("doc", "start", "length")
+    single = crowded_windows(docs, of(True), least).filter("NOT first").select("doc", "start", "length")
     leaves = kinds.filter("n > 1").select(*KIND, F.struct("doc", "start").alias("first"))
     copies = found.join(leaves, KIND).filter(F.struct("doc", "start") != F.col("first"))
     copies = copies.select("doc", "start", (F.col("n_windows") + (least - 1)).alias("length"))

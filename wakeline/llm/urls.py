@@ -129,7 +129,7 @@ def judge_urls(pages: DataFrame, model: PipelineModel, id_col="page_id", url_col
     """One row for each input row: page_id, host, path, rule, verdict, score (the method's chance of block).
 
     Row by row, without a shuffle. A null url or one without :// has empty host and path and is left to the
-    method. Repeated rows give repeated rows; other columns don't matter.
+    method. Repeated rows give repeated rows, an empty table none; other columns, whatever their names, don't matter.
     """
     host, path = host_and_path(F.col("_url"))
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_url"))
