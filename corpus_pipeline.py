@@ -9,27 +9,34 @@ from wakeline.llm.common import table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and those that fit no learned language, go."""
+    """Documents without letters (null and empty ones too), and those that fit no learned language, go.
+
+    The models learn from docs' own labels. Repeated rows are judged alike; an empty table gives no rows.
+    """
     return langid.accepted(docs, langid.fit(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
+    """Of equal texts the document with the largest doc_id stays, once; null counts as empty, a null id as smallest."""
     return exact.exact_dedup(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are similar by five-word shingles (0.8 or more) the one with the smallest doc_id stays."""
+    """Of documents that are similar by five-word shingles (0.8 or more) the one with the smallest doc_id stays.
+
+    SimHash bits find candidates, exact Jaccard similarity decides; groups are connected components. Rows without an
+    id stay.
+    """
     return simhash.near_dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat as often as the mix takes them; those that it doesn't take go."""
+    """Documents repeat as often as the mix takes them; those that it doesn't take go. A null source is one source."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each taken document, with digests of the ids and of the text decoded from them."""
+    """Token ids of each taken document, with digests of the ids and of the text decoded from them; a row for each copy."""
     return bpe.bpe_encode(docs, queries.tokenizer_path(), decoded=False)
 
 
