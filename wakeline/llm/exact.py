@@ -44,7 +44,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = small(_heads(d))
     alone = d.join(heads, level, "left_anti")
     groups = d.join(heads, level, "left_semi").groupBy(*level, "text_sha256")
-    groups = groups.agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that Spark can split a hot text in the join back.
+    groups = written(groups.agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     columns = ["doc_id", "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256"]
     met = d.join(heads, level, "left_semi").join(groups, [*level, "text_sha256"])
     lone = alone.withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")})
