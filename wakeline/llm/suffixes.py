@@ -189,7 +189,7 @@ def bucket_repeats(least: int, spans_only: bool):
     return work
 
 
-def by_bucket(rows: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, most: int = 40_000) -> DataFrame:
+def by_bucket(rows: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, most: int = 15_000) -> DataFrame:
     """work() on tables of whole buckets (equal h), of about `most` rows, in each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
