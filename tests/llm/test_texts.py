@@ -112,3 +112,19 @@ def test_html_odd_input(spark):
     assert [r.page_id for r in out] == [1, 2, 3, 4, 5, 5]
     assert out[0].text == "" and out[1].text == "" and out[3].text == "plain text, only." and out[4].text == "ax"
     assert all(r.n_chars == len(r.text) for r in out)
+
+
+@pytest.mark.parametrize("broken", ["<a x ", '<a "', "<p><div><h1>", "<b><i>", "<!", "<p \"x' ", "<li>a", "<![CDATA[", "</p><div>x"])
+def test_html_broken_pages_take_linear_time(broken):
+    import time
+
+    began = time.process_time()
+    html.main_text(broken * (400_000 // len(broken)))
+    assert time.process_time() - began < 20
+
+
+def test_html_short_blocks_of_a_marked_article_stay():
+    inner = f"<h1>Title</h1><p>{LONG}</p><h2>Part</h2><p>{LONG}</p><figure><figcaption>A caption</figcaption></figure><p>{LONG}</p><p>Ends.</p>"
+    want = "\n".join(t for t in re.split(r"<[^>]*>", inner) if t)
+    page = PAGE.format(body=f"<div><article>{inner}</article></div><div><p>Elsewhere, {LONG}</p></div>")
+    assert html.main_text(page) == want
