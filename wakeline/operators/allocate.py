@@ -127,3 +127,20 @@ def conservation_faults(intervals: DataFrame, parts: DataFrame, seconds_toleranc
         .when(F.col("km") > km_tolerance, F.lit("distance_not_conserved"))
     )
     return i.select("interval_id").join(sums, "interval_id", "left").select("interval_id", fault.alias("fault")).filter("fault IS NOT NULL")
+
+
+def contribution_faults(parts: DataFrame) -> DataFrame:
+    """(interval_id, fault) of contributions that can't stand by themselves, whatever their interval: no time, an
+    amount that is negative or no number, or speed support that fits neither the time nor the integral."""
+    amount = lambda c: ~F.isnan(c) & (F.col(c) >= 0) & (F.col(c) < float("inf"))
+    integral, support = F.col("reported_sog_integral_knot_seconds"), F.col("speed_supported_seconds")
+    duration = (F.unix_micros("end") - F.unix_micros("start")) / 1e6
+    fault = (
+        F.when(~F.coalesce(duration > 0, F.lit(False)), F.lit("no_duration"))
+        .when(F.col("interval_id").isNull() | F.col("mmsi").isNull(), F.lit("no_identity"))
+        .when(~F.coalesce(amount("distance_km") & amount("speed_supported_seconds"), F.lit(False)), F.lit("bad_amount"))
+        .when(integral.isNotNull() & ~amount("reported_sog_integral_knot_seconds"), F.lit("bad_amount"))
+        .when(support > duration, F.lit("support_longer_than_part"))
+        .when(integral.isNotNull() != (support > 0), F.lit("support_without_integral_or_reverse"))
+    )
+    return parts.select("interval_id", fault.alias("fault")).filter("fault IS NOT NULL")

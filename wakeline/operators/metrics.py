@@ -99,3 +99,10 @@ def export_faults(exports: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("cell"), F.lit(None).cast("string").alias("variant"), F.lit("mixed_batch").alias("fault")
     )
     return repeated.unionByName(uneven).unionByName(mixed)
+
+
+def spatial_selection(**settings: object) -> None:
+    """Refuse an export whose domain, geometry version or resolution is left open; all that are missing are named."""
+    missing = [name for name in ("domain", "geometry_version", "resolution") if settings.get(name) in (None, "")]
+    if missing:
+        raise ValueError(f"an export over space needs {', '.join(missing)}")
