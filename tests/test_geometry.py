@@ -91,6 +91,36 @@ def test_screen():
     assert screen(0, 0, 0, 0) == "material_land_crossing" and screen(101, 0, 101, 0) == "shoreline_uncertainty"
 
 
+def test_screen_of_many_is_screen_of_each():
+    rng = np.random.default_rng(5)
+    for land in (box(-100, -500, 100, 500), box(-9990, -9990, -4000, 9990), None):
+        t = tile(land=land)
+        p = rng.uniform(-11_000, 11_000, (300, 2))
+        q = p + rng.choice([0.0, 3.0, 400.0, 9000.0], (300, 1)) * rng.uniform(-1, 1, (300, 2))
+        assert t.screen_many(p, q) == [t.screen(a, b) for a, b in zip(p, q)]
+
+
+def test_invalid_rings_are_errors():
+    bow = {"type": "Polygon", "coordinates": [ring((0, 0), (100, 100), (100, 0), (0, 100))]}
+    pinched = {"type": "Polygon", "coordinates": [ring((0, 0), (100, 0), (50, 50), (100, 100), (0, 100), (50, 50))]}
+    overlapping = {"type": "MultiPolygon", "coordinates": [box(0, 0, 100, 100)["coordinates"], box(50, 50, 150, 150)["coordinates"]]}
+    twice = {"type": "MultiPolygon", "coordinates": [box(0, 0, 100, 100)["coordinates"]] * 2}
+    for bad in (bow, pinched, overlapping, twice):
+        with pytest.raises(ValueError, match="cross"):
+            tile(land=bad)
+    tile(land={"type": "Polygon", "coordinates": [ring((0, 0), (90, 0), (90, 90), (0, 90)), ring((30, 30), (60, 30), (60, 60), (30, 60))]})
+    many = [(1000 * np.cos(k / 5000 * np.pi), 1000 * np.sin(k / 5000 * np.pi)) for k in range(10_000)]
+    tile(land={"type": "Polygon", "coordinates": [ring(*many)]})
+
+
+def test_cover():
+    tile().require_cover()
+    halves = [("a", ring((-3000, -3000), (0, -3000), (0, 3000), (-3000, 3000))), ("b", ring((1, -3000), (3000, -3000), (3000, 3000), (1, 3000)))]
+    for cells in (halves, halves[:1]):
+        with pytest.raises(ValueError, match="no cell"):
+            tile(cells=cells).require_cover()
+
+
 def test_projection_round_trip(spark):
     pts = [(20.0, 10.0), (20.3, 10.2), (19.7, 9.8), (25.0, 10.0), (None, 10.0)]
     df = spark.createDataFrame(pts, "lon double, lat double")

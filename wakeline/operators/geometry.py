@@ -22,6 +22,8 @@ Ring = list[tuple[float, float]]
 
 #: Routes clipped at once.
 ROUTES = 512
+#: Pairs of a route and an edge looked at together.
+SCREENED = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -49,7 +51,46 @@ def rings_of(document: dict, projection: LocalProjection, most: int, allow_empty
         raise ValueError("a geometry is empty")
     if any(len(r) < 4 or tuple(r[0][:2]) != tuple(r[-1][:2]) for r in rings):
         raise ValueError("a ring isn't closed")
-    return [[projection.forward_point(p[0], p[1]) for p in ring] for ring in rings]
+    projected = [[projection.forward_point(p[0], p[1]) for p in ring] for ring in rings]
+    if crossing(projected):
+        raise ValueError("the rings of a geometry cross or overlap")
+    return projected
+
+
+def crossing(rings: list[Ring]) -> bool:
+    """Whether two edges of the rings cross or lie on each other, or a ring meets itself; rings may touch in points."""
+    shape = Edges(rings)
+    ring = np.concatenate([np.full(len(r), i) for i, r in enumerate([[0 for a, b in zip(r, r[1:]) if a != b] for r in rings])] or [np.zeros(0)])
+    if not len(ring):
+        return bool(rings)
+    if (np.bincount(ring.astype(int), minlength=len(rings)) < 3).any():
+        return True
+    start = np.searchsorted(ring, ring)
+    size = np.searchsorted(ring, ring, side="right") - start
+    follows = start + (np.arange(len(ring)) - start + 1) % size
+    low, high = np.minimum(shape.a, shape.b), np.maximum(shape.a, shape.b)
+    order = np.argsort(low[:, 0], kind="stable")
+    ends = np.searchsorted(low[order, 0], high[order, 0], side="right")
+    for at in np.array_split(np.arange(len(order)), -(-len(order) // 64)):
+        first = np.repeat(at, ends[at] - at - 1)
+        i, j = order[first], order[span(at + 1, ends[at] - at - 1)]
+        near = (low[i, 1] <= high[j, 1]) & (low[j, 1] <= high[i, 1])
+        i, j = i[near], j[near]
+        side = lambda o, d, p: d[:, 0] * (p - o)[:, 1] - d[:, 1] * (p - o)[:, 0]
+        ia, ib = side(shape.a[i], shape.d[i], shape.a[j]), side(shape.a[i], shape.d[i], shape.b[j])
+        ja, jb = side(shape.a[j], shape.d[j], shape.a[i]), side(shape.a[j], shape.d[j], shape.b[i])
+        if ((ia * ib < 0) & (ja * jb < 0)).any():
+            return True
+        flat = (ia == 0) & (ib == 0)
+        along = shape.d[i] / np.sqrt(shape.square[i])[:, None]
+        to = [((x[j] - shape.a[i]) * along).sum(axis=1) for x in (shape.a, shape.b)]
+        shared = np.minimum(np.sqrt(shape.square[i]), np.maximum(*to)) - np.maximum(0, np.minimum(*to))
+        if (flat & (shared > 0)).any():
+            return True
+        touch = (ia * ib <= 0) & (ja * jb <= 0) & ~flat
+        if (touch & (ring[i] == ring[j]) & (follows[i] != j) & (follows[j] != i)).any():
+            return True
+    return False
 
 
 class Edges:
@@ -78,6 +119,12 @@ class Edges:
         t = np.clip(((p - self.a) * self.d).sum(axis=1) / self.square, 0, 1)
         return float(np.sqrt(((self.a + t[:, None] * self.d - p) ** 2).sum(axis=1)).min())
 
+    def around(self, p: np.ndarray, q: np.ndarray, distance: float) -> np.ndarray:
+        """(route, edge) whether their boxes come within a distance, with some room for rounding."""
+        room = distance + 1e-6
+        lo, hi = np.minimum(p, q)[:, None] - room, np.maximum(p, q)[:, None] + room
+        return ((np.minimum(self.a, self.b) <= hi) & (np.maximum(self.a, self.b) >= lo)).all(axis=2)
+
     def cuts(self, p: np.ndarray, q: np.ndarray) -> list[float]:
         """Parameters at which the route meets an edge, with both ends of overlaps."""
         if not len(self.a):
@@ -106,7 +153,10 @@ class Edges:
         d = q - p
         length = float(d @ d)
         out = []
-        for a, b, e, square in zip(self.a, self.b, self.d, self.square):
+        if not len(self.a):
+            return out
+        some = self.around(p[None], q[None], distance)[0]
+        for a, b, e, square in zip(self.a[some], self.b[some], self.d[some], self.square[some]):
             spans = []
             for c in (a, b):  # the discs at the ends: |p + t d - c| <= distance
                 f = p - c
@@ -308,6 +358,38 @@ class Tile:
             return "material_land_crossing"
         return "shoreline_uncertainty" if land or shore else None
 
+    def screen_many(self, p: np.ndarray, q: np.ndarray) -> list[str | None]:
+        """screen() of each route. A route with no edge around it is judged by one of its points, all such at once."""
+        c, n = self.config, len(p)
+        plain = np.ones(n, dtype=bool)
+        held = {}
+        for name, edges, distance in (("support", self.support, c.numerical_tolerance_m), ("land", self.land, c.shoreline_uncertainty_m)):
+            m = len(edges.a)
+            held[name] = np.zeros(n, dtype=bool)
+            if m:
+                for at in np.array_split(np.arange(n), -(-n * m // SCREENED) or 1):
+                    plain[at] &= ~edges.around(p[at], q[at], distance).any(axis=1)
+                    k = len(at)
+                    held[name][at] = contains_many(p[at], np.repeat(np.arange(k), m), edges, np.tile(np.arange(m), k), k)[0]
+        # Deep land decides only for routes long enough; short ones on land are left to screen().
+        plain &= ~held["land"] | ~held["support"]
+        out = np.where(held["support"], None, "water_mask_unavailable").astype(object)
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = self.screen(p[i], q[i])
+        return out.tolist()
+
+    def require_cover(self) -> None:
+        """The area has no gap between its cells: beside each edge of a cell or of the area, what is in the area is in a cell."""
+        for edges in (self.cell_edges, self.aoi):
+            pieces = 1 if edges is self.cell_edges else 16
+            t = np.arange(pieces)[:, None, None] / pieces
+            a = (edges.a + t * edges.d).reshape(-1, 2)
+            d = np.tile(edges.d / pieces, (pieces, 1))
+            beside = 2 * self.config.numerical_tolerance_m * np.stack([-d[:, 1], d[:, 0]], axis=1) / np.hypot(*d.T)[:, None]
+            for at in np.array_split(np.arange(len(a)), -(-len(a) * max(1, len(self.aoi.a)) // SCREENED)):
+                for shift in (beside[at], -beside[at]):
+                    self.parts_many(a[at] + shift, a[at] + d[at] + shift)
+
     def parts_column(self, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
         """array<struct<lo, hi, cell>> of each route; an Arrow function, as built-ins have no geometry."""
 
@@ -327,7 +409,11 @@ class Tile:
     def screen_column(self, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
         @F.pandas_udf("string")
         def judge(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-            rows = zip(np.stack([a, b], axis=1), np.stack([c, d], axis=1))
-            return pd.Series([self.screen(p, q) if np.isfinite([*p, *q]).all() else None for p, q in rows], dtype=object)
+            p, q = np.stack([a, b], axis=1).astype(float), np.stack([c, d], axis=1).astype(float)
+            ok = np.isfinite(p).all(axis=1) & np.isfinite(q).all(axis=1)
+            out = np.full(len(p), None, dtype=object)
+            if ok.any():
+                out[ok] = self.screen_many(p[ok], q[ok])
+            return pd.Series(out, dtype=object)
 
         return judge(x1, y1, x2, y2)
