@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wakeline import cli
 from wakeline.functions.parsing import CURRENT, HEADERS
 from wakeline.functions.projection import LocalProjection
-from wakeline.operators import tracks
+from wakeline.operators import reconcile, tracks
 from wakeline.operators.geometry import Tile, TileConfig
 from wakeline.operators.reconcile import SpatialFilter, TimeWindow
 from wakeline.plans import ingest, jobs, trajectories
@@ -199,10 +199,25 @@ def test_run_from_ingestion(spark, tmp_path):
     out = trajectories.run(spark, run1, tile(), track(), tmp_path / "tracks")
     assert counts(out) == {"accepted_estimate": 4}
     assert trajectories.run(spark, run1, tile(), track(), tmp_path / "tracks") == out
+    assert sorted(p.name for p in out.iterdir() if p.is_dir()) == sorted(trajectories.ARTIFACTS)
     points = spark.read.parquet(str(out / "points"))
     assert points.count() == 5 and points.filter("cell_status = 'observed_point'").count() == 5
 
 
+def test_audit_outcomes(spark):
+    audit = spark.createDataFrame([("accepted",), ("accepted",), ("rejected",)], "outcome string")
+    trajectories.checked_outcomes(audit, {"accepted": 2, "rejected": 1})
+    for bad, counts_ in ((audit, {"accepted": 2}), (audit.selectExpr("'else' AS outcome"), {"else": 3}), (audit.selectExpr("CAST(NULL AS STRING) AS outcome"), {})):
+        with pytest.raises(ValueError):
+            trajectories.checked_outcomes(bad, counts_)
+
+
+def test_rows_without_time_are_dealt_out(spark):
+    rows = spark.range(4000).selectExpr("CAST(id AS STRING) AS record_key", "'' AS mmsi", "CAST(NULL AS TIMESTAMP) AS timestamp")
+    sizes = [r["n"] for r in reconcile.dealt(rows).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 4000 and (len(sizes) == 1 or max(sizes) < 2500)
+
+
 def test_command_line(spark, tmp_path, capsys):
     p = write(tmp_path / "v.csv", [line(T0), line(T0 + timedelta(seconds=60), sog="")])
     assert cli.main(["validate-csv", str(p), "--era", CURRENT]) == 0

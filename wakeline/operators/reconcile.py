@@ -76,9 +76,10 @@ def simultaneous(rows: DataFrame) -> DataFrame:
     """rows with variants (distinct signatures) and keeper (smallest key) of each vessel and instant.
 
     Only candidate and filtered rows take part; rows without identity or time have none. min and max tell
-    whether signatures differ without gathering them.
+    whether signatures differ without gathering them. Rows without a time are no group: _apart deals them out.
     """
-    w = W.partitionBy("mmsi", "timestamp")
+    rows = rows.withColumn("_apart", F.when(F.col("timestamp").isNull(), F.xxhash64("record_key")).otherwise(F.lit(0)))
+    w = W.partitionBy("mmsi", "timestamp", "_apart")
     eligible = F.col("outcome").isin("candidate", "filtered")
     return rows.select(
         "*",
@@ -98,8 +99,8 @@ def reconciled(rows: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     if carried is None:
         grouped = grouped.withColumn("carried_conflict", F.lit(None).cast("string"))
     else:
-        c = carried.select("mmsi", "timestamp", F.col("signature").alias("_own"), F.col("record_key").alias("_key"))
-        grouped = grouped.join(c, ["mmsi", "timestamp"], "left")
+        c = carried.select("mmsi", "timestamp", F.lit(0).cast("long").alias("_apart"), F.col("signature").alias("_own"), F.col("record_key").alias("_key"))
+        grouped = grouped.join(c, ["mmsi", "timestamp", "_apart"], "left")
         grouped = grouped.withColumn(
             "carried_conflict", F.when(F.col("signature") != F.col("_own"), F.col("_key"))
         ).drop("_own", "_key")
@@ -119,7 +120,14 @@ def reconciled(rows: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     )
     return grouped.withColumns(
         {"reasons": F.when(conflict, F.concat("reasons", more)).otherwise(F.col("reasons")), "outcome": outcome}
-    ).drop("differs", "keeper")
+    ).drop("differs", "keeper", "_apart")
+
+
+def dealt(audit: DataFrame) -> DataFrame:
+    """audit by vessel and time in each partition; rows that belong to no vessel's track are spread by their keys."""
+    tracked = F.coalesce(valid_mmsi(F.col("mmsi")) & F.col("timestamp").isNotNull(), F.lit(False))
+    rows = audit.repartition(F.col("mmsi"), F.when(~tracked, F.xxhash64("record_key")))
+    return rows.sortWithinPartitions("mmsi", "timestamp", "record_key")
 
 
 def carried_state(audit: DataFrame, core_end: datetime | Column, prior: DataFrame | None = None) -> DataFrame:

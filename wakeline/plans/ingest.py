@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import canonical_json, plain_fingerprint, record_key, retained_signature
 from ..functions.parsing import HEADERS, TIME_POLICIES, Parser
-from ..operators.reconcile import SpatialFilter, TimeWindow, carried_state, reconciled, with_scope
+from ..operators.reconcile import SpatialFilter, TimeWindow, carried_state, dealt, reconciled, with_scope
 from ..sources.catalog import SourcePartition
 from ..sources.rawtext import read_positions
 from . import jobs
@@ -103,7 +103,7 @@ def ingest(
         receipt.require_normalization()
     before, prior, w = None, None, config.window
     if carried is not None:
-        before = jobs.verified_receipt(carried, METHOD, ARTIFACTS)
+        before = jobs.verified_receipt(spark, carried, METHOD, ARTIFACTS)
         if before["policy_hash"] != config.policy_hash or jobs.instant(before["core_end"]) != w.core_start:
             raise ValueError("the carried run has another policy or isn't adjacent")
         prior = spark.read.parquet(str(carried / "state"))
@@ -115,13 +115,13 @@ def ingest(
     key = plain_fingerprint({"manifest": manifest.key, "receipts": own})
     final = root / key
     if final.exists():
-        jobs.verified_receipt(final, METHOD, ARTIFACTS)
+        jobs.verified_receipt(spark, final, METHOD, ARTIFACTS)
         return final
     stage = jobs.staged(root, key)
     try:
         zstd = lambda df, name: df.write.option("compression", "zstd").parquet(str(stage / name))
         audit = audited(raw_records(spark, inputs, config), config, prior)
-        zstd(audit.repartition("mmsi").sortWithinPartitions("mmsi", "timestamp", "record_key"), "audit")
+        zstd(dealt(audit), "audit")
         audit = spark.read.parquet(str(stage / "audit"))
         accepted = audit.filter("outcome = 'accepted'").drop("carried_conflict")
         zstd(accepted.filter("scope = 'core'"), "positions")
@@ -139,7 +139,7 @@ def ingest(
             "input_rows": sum(counts.values()), "carried_run_key": before and before["run_key"],
             "artifacts": {a: jobs.content_digest(spark.read.parquet(str(stage / a))) for a in sorted(ARTIFACTS)},
         }
-        jobs.publish(stage, final, receipt)
+        jobs.publish(spark, stage, final, receipt)
     except BaseException as error:
         jobs.mark_failed(stage, error)
         raise

@@ -7,11 +7,13 @@ import json
 import os
 import re
 import shutil
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import plain_fingerprint
@@ -89,19 +91,28 @@ def content_digest(df: DataFrame) -> str:
     return plain_fingerprint([str(x) for x in row])
 
 
-def file_digests(directory: Path) -> dict[str, str]:
-    """SHA-256 of each data file below a run directory."""
-    out = {}
-    for p in sorted(directory.rglob("*.parquet")):
-        if p.is_file():
-            with p.open("rb") as f:
-                out[str(p.relative_to(directory))] = hashlib.file_digest(f, "sha256").hexdigest()
-    return out
+def file_digests(spark: SparkSession, directory: Path) -> dict[str, str]:
+    """SHA-256 of each data file below a run directory, which tasks read a block at a time; it must be on a shared mount."""
 
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, found = batch.column(0).to_pylist(), []
+            for name in names:
+                with open(os.path.join(base, name), "rb") as f:
+                    found.append(hashlib.file_digest(f, "sha256").hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string())], ["name", "sha256"])
 
-def publish(stage: Path, final: Path, receipt: dict) -> dict:
+    base = str(directory)
+    names = [(str(p.relative_to(directory)),) for p in sorted(directory.rglob("*.parquet")) if p.is_file()]
+    if not names:
+        return {}
+    files = spark.createDataFrame(names, "name string").repartition(min(len(names), 1000), "name")
+    return {r["name"]: r["sha256"] for r in files.mapInArrow(digests, "name string, sha256 string").collect()}
+
+
+def publish(spark: SparkSession, stage: Path, final: Path, receipt: dict) -> dict:
     """Write the receipt last, then rename the staged directory; an existing final directory is an error."""
-    receipt = receipt | {"status": "complete", "files": file_digests(stage)}
+    receipt = receipt | {"status": "complete", "files": file_digests(spark, stage)}
     (stage / "complete.json").write_text(json.dumps(receipt, sort_keys=True, indent=1))
     for p in stage.rglob("*"):
         os.chmod(p, 0o700 if p.is_dir() else 0o600)
@@ -118,14 +129,14 @@ def mark_failed(stage: Path, error: BaseException) -> None:
         (stage / "failure.json").write_text(json.dumps({"status": "failed", "error": f"{type(error).__name__}: {error}"[:2000]}))
 
 
-def verified_receipt(directory: Path, method: str, artifacts: set[str]) -> dict:
+def verified_receipt(spark: SparkSession, directory: Path, method: str, artifacts: set[str]) -> dict:
     """The receipt of a published run whose files are as they were."""
     if directory.name.startswith(".") or (directory / "failure.json").exists() or not (directory / "complete.json").exists():
         raise ValueError(f"{directory} isn't a complete run")
     receipt = strict_json(directory / "complete.json")
     if receipt.get("status") != "complete" or receipt.get("method") != method or receipt.get("run_key") != directory.name:
         raise ValueError(f"{directory}: the receipt doesn't belong to it")
-    if set(receipt["artifacts"]) != artifacts or receipt["files"] != file_digests(directory):
+    if set(receipt["artifacts"]) != artifacts or receipt["files"] != file_digests(spark, directory):
         raise ValueError(f"{directory}: its files have changed")
     return receipt
 

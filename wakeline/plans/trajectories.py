@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -36,13 +38,23 @@ class Tables:
     state: DataFrame
 
 
-def estimate(audit: DataFrame, tile: Tile, config: TrajectoryConfig, carry: DataFrame | None = None) -> Tables:
-    """All results of one window; carry(mmsi, point, barrier_seen, episode_id) stands before it."""
+def estimate(
+    audit: DataFrame,
+    tile: Tile,
+    config: TrajectoryConfig,
+    carry: DataFrame | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+) -> Tables:
+    """All results of one window; carry(mmsi, point, barrier_seen, episode_id) stands before it.
+
+    Events are used four times and the contributions twice: keep(df, name) may write a table and reread it, so that
+    adjacency, the land screen and the clipping run once.
+    """
     t, projection = config.track, tile.config.projection
     e = tracks.adjacency(tracks.events_of(audit), carry)
-    e = tracks.with_episodes(tracks.decided(e, t, projection, tile.screen_column))
+    e = keep(tracks.with_episodes(tracks.decided(e, t, projection, tile.screen_column)), "events")
     intervals = tracks.interval_ledger(e)
-    parts = alloc.allocate(intervals, t.core_start, t.core_end, tile.config.resolution, tile.parts_column)
+    parts = keep(alloc.allocate(intervals, t.core_start, t.core_end, tile.config.resolution, tile.parts_column), "parts")
     ledger = alloc.rolled_up(intervals, parts, t.core_start, t.core_end, tile.config.numerical_tolerance_m)
     ledger = alloc.conserved(ledger, config.seconds_tolerance, config.km_tolerance)
     points = tracks.observed_points(e, projection, tile.parts_column)
@@ -57,35 +69,58 @@ def carry_of(spark: SparkSession, ingested: Path, tracked: Path | None) -> DataF
     return tracks.merged_carry(state, spark.read.parquet(str(tracked / "state")))
 
 
+def checked_outcomes(audit: DataFrame, counts: dict[str, int]) -> None:
+    """An audit table has only outcomes of an ingestion run, as often as its receipt says."""
+    found = {r["outcome"]: r["n"] for r in audit.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if odd := set(found) - {"accepted", "duplicate", "filtered", "rejected"}:
+        raise ValueError(f"unknown outcomes: {sorted(map(str, odd))}")
+    if found != counts:
+        raise ValueError("the audit table's rows aren't those of its receipt")
+
+
 def run(
     spark: SparkSession, ingested: Path, tile: Tile, config: TrajectoryConfig, root: Path, carried: tuple[Path, Path | None] | None = None
 ) -> Path:
     """Estimate over a complete ingestion run and publish, or find the same run. carried: the runs before."""
-    receipt = jobs.verified_receipt(ingested, ingest.METHOD, ingest.ARTIFACTS)
-    before = jobs.verified_receipt(carried[0], ingest.METHOD, ingest.ARTIFACTS)["run_key"] if carried else None
+    receipt = jobs.verified_receipt(spark, ingested, ingest.METHOD, ingest.ARTIFACTS)
+    before = jobs.verified_receipt(spark, carried[0], ingest.METHOD, ingest.ARTIFACTS)["run_key"] if carried else None
     if before != receipt["carried_run_key"]:
         raise ValueError("the carried run isn't the one that the ingestion run refers to")
     tracked = carried[1] if carried else None
-    if tracked and jobs.verified_receipt(tracked, METHOD, ARTIFACTS)["ingestion_run_key"] != before:
+    if tracked and jobs.verified_receipt(spark, tracked, METHOD, ARTIFACTS)["ingestion_run_key"] != before:
         raise ValueError("the carried trajectories aren't of the carried ingestion run")
     identity = {"ingestion": receipt["run_key"], "config": repr(config), "tile": tile.fingerprint, "carried": tracked and tracked.name}
     key = plain_fingerprint(identity | {"method": METHOD})
     final = root / key
     if final.exists():
-        jobs.verified_receipt(final, METHOD, ARTIFACTS)
+        jobs.verified_receipt(spark, final, METHOD, ARTIFACTS)
         return final
     stage = jobs.staged(root, key)
     try:
         audit = spark.read.parquet(str(ingested / "audit"))
-        tables = estimate(audit, tile, config, carry_of(spark, *carried) if carried else None)
+        checked_outcomes(audit, receipt["counts"])
+        work = stage / "work"
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            df.write.option("compression", "zstd").parquet(str(work / name))
+            return spark.read.parquet(str(work / name))
+
+        tables = estimate(audit, tile, config, carry_of(spark, *carried) if carried else None, keep)
+        if (n := tables.contributions.count()) > config.max_contributions:
+            raise ValueError(f"{n} contributions, more than allowed")
         for name in sorted(ARTIFACTS):
             getattr(tables, name).write.option("compression", "zstd").parquet(str(stage / name))
+        shutil.rmtree(work)
         made = {name: spark.read.parquet(str(stage / name)) for name in ARTIFACTS}
-        if (n := made["contributions"].count()) > config.max_contributions:
-            raise ValueError(f"{n} contributions, more than allowed")
         counts = {r["outcome"]: r["n"] for r in made["intervals"].groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
-        jobs.verified_receipt(ingested, ingest.METHOD, ingest.ARTIFACTS)  # the input hasn't changed meanwhile
+        # The inputs haven't changed meanwhile.
+        jobs.verified_receipt(spark, ingested, ingest.METHOD, ingest.ARTIFACTS)
+        if carried:
+            jobs.verified_receipt(spark, carried[0], ingest.METHOD, ingest.ARTIFACTS)
+        if tracked:
+            jobs.verified_receipt(spark, tracked, METHOD, ARTIFACTS)
         jobs.publish(
+            spark,
             stage,
             final,
             {
@@ -107,7 +142,9 @@ def load_tile(document: dict, config: TileConfig) -> Tile:
     if not all(isinstance(d[v], str) and d[v].strip() for v in ("domain_version", "water_mask_version")):
         raise ValueError("geometry versions are required")
     cells = [(c["id"], [tuple(p) for p in c["ring"]]) for c in d["cells"]]
-    return Tile(config, d["aoi"], d["land"], d["mask_support"], cells)
+    tile = Tile(config, d["aoi"], d["land"], d["mask_support"], cells)
+    tile.require_cover()
+    return tile
 
 
 def load_job(path: Path) -> dict:
