@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import platform
 import shutil
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +92,8 @@ def run(
     if tracked and jobs.verified_receipt(spark, tracked, METHOD, ARTIFACTS)["ingestion_run_key"] != before:
         raise ValueError("the carried trajectories aren't of the carried ingestion run")
     identity = {"ingestion": receipt["run_key"], "config": repr(config), "tile": tile.fingerprint, "carried": tracked and tracked.name}
-    key = plain_fingerprint(identity | {"method": METHOD})
+    software = {"python": platform.python_version(), "pyspark": spark.version, "numpy": np.__version__}
+    key = plain_fingerprint(identity | {"method": METHOD, "software": software})
     final = root / key
     if final.exists():
         jobs.verified_receipt(spark, final, METHOD, ARTIFACTS)
@@ -124,7 +127,7 @@ def run(
             stage,
             final,
             {
-                "method": METHOD, "run_key": key, "ingestion_run_key": receipt["run_key"], "counts": counts,
+                "method": METHOD, "software": software, "run_key": key, "ingestion_run_key": receipt["run_key"], "counts": counts,
                 "artifacts": {name: jobs.content_digest(df) for name, df in made.items()},
             },
         )
