@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 PIECE = 1 << 20
-#: Words whose hash a task keeps.
-WORDS = 250_000
+#: Bytes of words that are hashed at once.
+BLOCK = 1 << 16
 
 FRAGMENTS = "h bigint, head bigint, tail bigint, doc bigint, start int, n_windows int"
 #: What names a fragment's content.
@@ -97,31 +96,38 @@ def byte_symbols(texts: list[str]) -> Symbols:
     return Symbols(_byte_values[np.frombuffer(data, dtype=np.uint8)], np.array([len(r) for r in raw], dtype=np.int64), data, None)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word, 5)
-        return h
+#: The ASCII white space besides the space itself, made spaces.
+_spaces = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
 
-_words = _Words()
-
-
-def words_of(text: str) -> list[bytes]:
-    """The words [^\\x20\\x09-\\x0D]+ of a text in UTF-8."""
-    return text.encode("utf-8", "surrogatepass").split()
+def word_values(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A hash for each of data[edges[i] : edges[i + 1]], by prefix sums over blocks of whole words."""
+    out, i = np.empty(len(edges) - 1, dtype=np.uint64), 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + BLOCK, side="right")) - 1)
+        block, at = data[edges[i] : edges[j]], edges[i : j + 1] - edges[i]
+        up, down = powers(len(block))
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_byte_values[block] * up[: len(block)], dtype=np.uint64)))[at]
+        out[i:j] = mixed((sums[1:] - sums[:-1]) * down[at[:-1]])
+        i = j
+    return out
 
 
 def word_symbols(texts: list[str]) -> Symbols:
-    """The words of texts; content() has one space between words."""
-    if len(_words) > WORDS:
-        _words.clear()
-    words = [words_of(t) for t in texts]
-    n = np.array([len(w) for w in words], dtype=np.int64)
-    flat = list(chain.from_iterable(words))
-    values = np.fromiter(map(_words.__getitem__, flat), dtype=np.uint64, count=len(flat))
-    edges = np.zeros(len(flat) + 1, dtype=np.int64)
-    np.cumsum(np.fromiter(map(len, flat), dtype=np.int64, count=len(flat)) + 1, out=edges[1:])
-    return Symbols(values, n, b" ".join(flat) + b" ", edges, 1)
+    """The words [^\\x20\\x09-\\x0D]+ of texts in UTF-8; content() has one space between words.
+
+    Values only choose minimizers, so two words may share one; nodes are taken of the words themselves.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer((b" ".join(raw) + b" ").translate(_spaces), dtype=np.uint8)
+    space = data == 32
+    ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1  # the space after each word; others go
+    kept = ~space
+    kept[ends] = True
+    upto = np.searchsorted(ends, np.cumsum([len(r) + 1 for r in raw], dtype=np.int64))
+    data = data[kept]
+    edges = np.concatenate((np.zeros(1, dtype=np.int64), np.flatnonzero(data == 32) + 1))
+    return Symbols(word_values(data, edges), np.diff(upto, prepend=0), data.tobytes(), edges, 1)
 
 
 Reader = Callable[[list[str]], Symbols]

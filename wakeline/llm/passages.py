@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from . import fragments
 from .arrow import pieces
 from .common import discard, written
-from .fragments import words_of
 
 MINIMIZER = 8
 PATH = ["head", "tail", "n_windows"]
@@ -142,12 +141,12 @@ def remove_passages(docs: DataFrame, window: int = 35, id_col="doc_id", text_col
                 at = base[text[ok]] + start[ok]
                 same = (s.nodes(at, window - 1).view(np.int64) == first[ok]) & (s.nodes(at + length[ok] - window + 1, window - 1).view(np.int64) == last[ok])
                 cover = fragments.covered(len(s.values), at[same], length[ok][same])
-                removed, kept = [], []
-                for t, a, n in zip(texts, base.tolist(), s.lengths.tolist()):
-                    words, gone = words_of(t), cover[a : a + n]
-                    removed.append(int(gone.sum()))
-                    rest = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if removed[-1] else words)
-                    kept.append(hashlib.sha256(rest).hexdigest() if digests else rest.decode("utf-8", "replace"))
+                gone, size = np.concatenate(([0], np.cumsum(cover))), np.diff(s.edges)
+                left = np.frombuffer(s.data, dtype=np.uint8)[np.repeat(~cover, size)].tobytes()
+                edges = np.concatenate(([0], np.cumsum(size * ~cover)))
+                kept = [left[a : max(a, b - 1)] for a, b in zip(edges[base].tolist(), edges[base + s.lengths].tolist())]
+                kept = [hashlib.sha256(k).hexdigest() if digests else k.decode("utf-8", "replace") for k in kept]
+                removed = gone[base + s.lengths] - gone[base]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc"), pa.array(s.lengths), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
                     ["doc_id", "n_words", "n_removed", name],
