@@ -11,6 +11,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_pieces
+from .arrow import map_pieces, ranges
 
 #: The white space of the file's patterns (control characters 1C to 1F are none).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-SPACES = re.compile(f"[{SPACE}]+")
+#: Words of many chunks and the spaces between these.
+MARKED = regex.compile(f"{WORDS.pattern}| ")
 NONE = np.iinfo(np.int64).max
 #: Distinct chunks of text that a task keeps at once, and their bytes with what they encode to.
 CACHE, CACHE_BYTES = 200_000, 64 << 20
@@ -36,6 +38,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+def folded(text: str) -> str:
+    """NFC, then lower case. White space stays as it is: no word has any."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 class Bpe:
     """Tables of a tokenizer file; small (a few MB), so it goes to the tasks with the function."""
 
@@ -100,30 +107,40 @@ class Bpe:
         word, symbols = np.concatenate(done_words), np.concatenate(done_symbols)
         return symbols[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
-    def words(self, chunk: str) -> list[bytes | int]:
-        """The words of a chunk as bytes, special tokens as ids."""
-        out: list[bytes | int] = []
-        for part in self.split_special.split(chunk) if "<" in chunk else (chunk,):
+    def words(self, chunk: str) -> list[str | int]:
+        """The words of a chunk, special tokens as ids."""
+        out: list[str | int] = []
+        for part in self.split_special.split(chunk):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                flat = SPACES.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower()
-                out += [w.encode() for w in WORDS.findall(flat)]
+                out += WORDS.findall(folded(part))
         return out
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """Token ids of each chunk."""
-        cut = [self.words(c) for c in chunks]
-        number: dict[bytes, int] = {}
-        for words in cut:
-            for w in words:
-                if isinstance(w, bytes):
-                    number.setdefault(w, len(number))
-        ids, counts = self.merge(list(number))
-        ends = np.cumsum(counts)
-        empty = np.zeros(0, dtype=np.int64)
-        of = lambda w: ids[ends[number[w]] - counts[number[w]] : ends[number[w]]] if isinstance(w, bytes) else [w]
-        return [np.concatenate([of(w) for w in words]).astype(np.int64) if words else empty for words in cut]
+    def cut(self, chunks: list[str]) -> list[list[str | int]]:
+        """The words of each chunk. Those without a space or < go together, with spaces between, over which neither
+        normalisation nor the pattern reaches."""
+        plain = [c for c in chunks if "<" not in c and " " not in c]
+        found = MARKED.findall(folded(" ".join(plain)))
+        marks = [-1, *(i for i, w in enumerate(found) if w == " "), len(found)]
+        lists = iter([found[a + 1 : b] for a, b in zip(marks, marks[1:])])
+        return [self.words(c) if "<" in c or " " in c else next(lists) for c in chunks]
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all chunks in one array, and the bounds of each chunk's (one more than chunks)."""
+        cut = self.cut(chunks)
+        flat = list(chain.from_iterable(cut))
+        special = np.array(list(self.special.values()), dtype=np.int64)
+        # Special tokens stand behind the words: counted from the end.
+        number: dict[str | int, int] = {t: i - len(special) for i, t in enumerate(special.tolist())}
+        new = [w for w in dict.fromkeys(flat) if w not in number]
+        number.update(zip(new, range(len(new))))
+        ids, counts = self.merge([w.encode() for w in new])
+        ids, counts = np.concatenate((ids, special)), np.concatenate((counts, np.ones(len(special), dtype=np.int64)))
+        at = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        n = counts[at]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        return ids[ranges((np.cumsum(counts) - counts)[at], n)], upto[np.cumsum([0, *map(len, cut)])]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_chunks([text])[0].tolist()
@@ -161,9 +178,11 @@ def bpe_encode(
                 held = 0
             texts = [(t or "").split(" ") for t in batch.column("_text").to_pylist()]
             new = list(set().union(*texts) - cache.keys())
-            for chunk, tokens in zip(new, bpe.encode_chunks(new)):
-                cache[chunk] = (tokens.astype("<u4").tobytes(), bpe.decode(tokens.tolist()))
-                held += len(chunk) + 4 * len(tokens) + len(cache[chunk][1])
+            tokens, bounds = bpe.encode_chunks(new)
+            tokens, names, bounds = tokens.astype("<u4").tobytes(), list(map(bpe.tokens.__getitem__, tokens.tolist())), bounds.tolist()
+            for chunk, a, b in zip(new, bounds, bounds[1:]):
+                cache[chunk] = (tokens[4 * a : 4 * b], text := " ".join(names[a:b]))
+                held += len(chunk) + 4 * (b - a) + len(text)
             found = [[cache[c] for c in chunks] for chunks in texts]
             raw = [b"".join([f[0] for f in doc]) for doc in found]
             text = [" ".join([f[1] for f in doc if f[0]]) for doc in found]
