@@ -1,9 +1,10 @@
+import random
 import re
 
 import numpy as np
 import xxhash
 
-from wakeline.llm import embeddings, passages, simhash, suffixes
+from wakeline.llm import embeddings, fragments, passages, simhash, suffixes
 from wakeline.llm.components import components
 
 
@@ -229,6 +230,19 @@ def plain_passages(texts, window):
     return out
 
 
+def test_words_of_odd_white_space(monkeypatch):
+    rng = random.Random(1)
+    for block in (1, 7, 1 << 16):
+        monkeypatch.setattr(fragments, "BLOCK", block)
+        for _ in range(200):
+            texts = ["".join(rng.choice(" \t\n\v\f\r\x1c\x85 abé日") for _ in range(rng.randrange(12))) for _ in range(rng.randrange(5))]
+            s, words = fragments.word_symbols(texts), [t.encode().split() for t in texts]
+            flat = [w for t in words for w in t]
+            assert s.lengths.tolist() == [len(w) for w in words]
+            assert [s.content(i, i + 1) for i in range(len(flat))] == flat
+            assert len(set(zip(flat, s.values.tolist()))) == len(set(flat))
+
+
 def test_passages_equal_brute_force(spark):
     texts = corpus(np.random.default_rng(7)) + ["a " * 200, " \t\n"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string")

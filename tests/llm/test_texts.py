@@ -26,6 +26,21 @@ def test_bpe_equals_the_library(spark):
     assert bpe.bpe_encode(df.limit(0), path).count() == 0
 
 
+def test_chunks_together_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library, ours = Tokenizer.from_file(path), bpe.Bpe(path)
+    library.no_truncation(), library.no_padding()
+    rng = random.Random(3)
+    signs = [*"\n\t\x85aé\u0301Σİß하Å1²'s<>日😀\x1c", "'ll", *ours.special]
+    chunks = ["".join(rng.choice(signs) for _ in range(rng.randrange(8))) for _ in range(1500)]
+    ids, bounds = ours.encode_chunks(chunks)
+    for chunk, a, b in zip(chunks, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == library.encode(chunk, add_special_tokens=False).ids, chunk
+    assert len(ours.encode_chunks([])[0]) == 0
+
+
 def sentence(rng, words, n):
     return " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
 
