@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, exact, html, langid, mixing, passages, simhash, suffixes, urls
+from . import balls, bpe, digests, embeddings, exact, html, langid, mixing, passages, simhash, spelling, suffixes, urls
 from .common import table, written
 
 
@@ -71,6 +71,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_passages(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op11_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,10 +97,94 @@ QUERIES = {
         url_rules,
         op9_simhash,
         op10_substring_dedup,
+        op11_ball_clusters,
+        op12_spelling,
+        op13_fingerprints,
     )
 }
 
+
+
+def kmeans_sql(rounds: int = 10) -> str:
+    """Plain k-means in SQL, round by round: each compares every vector with every centroid."""
+    steps = [
+        """v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+           FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, e) - 1 AS c, e FROM v
+           QUALIFY row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, e) <= 8)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (SELECT r, min(struct_pack(d := list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, k.e) + list_inner_product(k.e, k.e), c := k.c)) AS m
+                FROM v, c{i} k GROUP BY r)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""s{i} AS (SELECT m.c AS c, p, floor(sum(e[p]) / count(*)) AS x FROM (SELECT m, e, unnest(range(1, 65)) AS p FROM a{i} JOIN v USING (r)) GROUP BY m.c, p),
+                c{i + 1} AS MATERIALIZED (SELECT k.c, coalesce(any_value(n.e), any_value(k.e)) AS e
+                    FROM c{i} k LEFT JOIN (SELECT c, list(x ORDER BY p) AS e FROM s{i} GROUP BY c) n ON n.c = k.c GROUP BY k.c)"""
+            )
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(k.e, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+        FROM a{rounds} JOIN v USING (r) JOIN c{rounds} k ON k.c = m.c"""
+
+
+#: CRC-32 (reflected polynomial 3988292384) of a list of bytes, with the table t.x of one row in scope.
+CRC_TABLE_SQL = """(SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS x)"""
+CRC_SQL = "xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {bytes}), lambda c, b: xor(c >> 8, t.x[1 + (xor(c, b) & 255)])))"
+#: UTF-8 of a string of code points below 2048.
+BYTES_SQL = "flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64]::BIGINT[] END))"
+
 ORACLE_SQL = {
+    "op11_ball_clusters": kmeans_sql(),
+    "op12_spelling": f"""
+        WITH RECURSIVE t AS {CRC_TABLE_SQL},
+        u AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+        o AS (SELECT doc_id, run, count(*) AS k FROM u GROUP BY ALL),
+        b AS (SELECT run, k, {BYTES_SQL.format(text="coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS bytes FROM o),
+        h AS (SELECT run, k, {CRC_SQL.format(bytes="bytes")} AS h FROM b, t),
+        x AS (SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM h),
+        w AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM x WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+        p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+        cut AS (SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM p),
+        gap AS (SELECT word, substr(word, 1, i - 1) || '?' || substr(word, i + 1) AS wild FROM p),
+        near AS MATERIALIZED (SELECT a.word, b.word AS other FROM gap a JOIN gap b ON a.wild = b.wild AND a.word <> b.word
+            UNION SELECT cut.word, w.word FROM cut JOIN w ON cut.less = w.word UNION SELECT w.word, cut.word FROM cut JOIN w ON cut.less = w.word),
+        best AS (SELECT near.word, count(*) AS n_near, min(struct_pack(m := -w.n, o := other)) AS b FROM near JOIN w ON w.word = other GROUP BY near.word),
+        f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 2 * w.n THEN b.o END AS form, CASE WHEN -b.m >= 2 * w.n THEN -b.m END AS form_n
+            FROM w LEFT JOIN best USING (word)),
+        r(word, reached) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.reached WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, r.reached AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word JOIN f e ON e.word = r.reached AND e.form IS NULL
+    """,
+    "op13_fingerprints": """
+        WITH RECURSIVE bounds(code, b) AS (SELECT 1, 1::BIGINT UNION ALL SELECT code + 1, b + greatest(1, b // 8) FROM bounds WHERE code < 255),
+        d AS (SELECT doc_id, coalesce(text, '') AS s, coalesce(lead(coalesce(text, '')) OVER o, first_value(coalesce(text, '')) OVER o) AS following,
+                     coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id FROM documents WINDOW o AS (ORDER BY doc_id)),
+        e AS (SELECT doc_id, next_id, s, length(s) AS n, substr(s, 1, length(s) - length(s) // 4) || substr(following, 1, length(s) // 4) AS edited FROM d),
+        x AS (SELECT doc_id, 0 AS kind, hex(encode(s)) AS x FROM e UNION ALL SELECT doc_id, 1, hex(encode(edited)) FROM e),
+        blocks AS (SELECT doc_id, kind, len(x) // 2 AS n, j, substr(x, 1024 * j + 1, 1024 + 4) AS y FROM (SELECT *, unnest(range(0, len(x) // 1024 + 1)) AS j FROM x)),
+        triplets AS (SELECT doc_id, kind, ((CAST('0x' || substr(y, 2 * i + 1, 6) AS BIGINT) * 2654435761) % 4294967296) >> 24 AS k
+            FROM (SELECT *, unnest(range(0, greatest(0, least(512, n - 2 - 512 * j)))) AS i FROM blocks)),
+        counts AS (SELECT doc_id, kind, k, count(*) AS c FROM triplets GROUP BY ALL),
+        full_counts AS (SELECT x.doc_id, x.kind, len(x.x) // 2 AS n_bytes, k, coalesce(c, 0) AS c
+            FROM (SELECT *, unnest(range(0, 256)) AS k FROM x) x LEFT JOIN counts USING (doc_id, kind, k)),
+        q AS (SELECT doc_id, kind, any_value(n_bytes) AS n_bytes, list(c ORDER BY k) AS c, list_sort(list(c)) AS s FROM full_counts GROUP BY doc_id, kind),
+        codes AS (SELECT doc_id, kind, (SELECT count(*) FROM bounds WHERE b <= n_bytes) AS len_code,
+                         least(15, 16 * s[64] // greatest(1, s[192])) AS r1, least(15, 16 * s[128] // greatest(1, s[192])) AS r2,
+                         list_transform(c, lambda v: (v > s[64])::INT + (v > s[128])::INT + (v > s[192])::INT) AS code FROM q),
+        prints AS (SELECT *, lower(printf('%02x', len_code) || printf('%02x', 16 * r1 + r2) || array_to_string(list_transform(range(0, 64),
+                         lambda i: printf('%02x', 64 * code[4 * i + 1] + 16 * code[4 * i + 2] + 4 * code[4 * i + 3] + code[4 * i + 4])), '')) AS f FROM codes),
+        pairs AS (SELECT e.doc_id, e.n, sha256(e.edited) AS sha, a.f AS fa, b.f AS fb, [a.len_code, a.r1, a.r2] || a.code AS va, [b.len_code, b.r1, b.r2] || b.code AS vb,
+                         [c.len_code, c.r1, c.r2] || c.code AS vc
+            FROM e JOIN prints a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN prints b ON b.doc_id = e.doc_id AND b.kind = 1 JOIN prints c ON c.doc_id = e.next_id AND c.kind = 0),
+        scores AS (SELECT *, 4 * least(32, abs(va[1] - vb[1])) + 4 * (abs(va[2] - vb[2]) + abs(va[3] - vb[3]))
+                             + list_sum(list_transform(range(4, 260), lambda i: [0, 1, 2, 6][1 + abs(va[i] - vb[i])])) AS s1,
+                             4 * least(32, abs(va[1] - vc[1])) + 4 * (abs(va[2] - vc[2]) + abs(va[3] - vc[3]))
+                             + list_sum(list_transform(range(4, 260), lambda i: [0, 1, 2, 6][1 + abs(va[i] - vc[i])])) AS s2 FROM pairs)
+        SELECT doc_id, n AS n_chars, sha AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint, 1 - least(s1, 512) / 512.0::DOUBLE AS near_edited, 1 - least(s2, 512) / 512.0::DOUBLE AS near_next FROM scores
+    """,
     "op1_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
