@@ -127,11 +127,11 @@ def _sums(rows: DataFrame, dim: int) -> dict[int, tuple[int, int, int, list[int]
     return out
 
 
-def first_centres(rows: DataFrame, k: int, seed: int) -> np.ndarray:
+def first_centres(rows: DataFrame, k: int, seed: int, dim: int) -> np.ndarray:
     """The k rows whose sha256 of "seed:id" is smallest; rows without an id come last, repeated ids by their components."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("_id").cast("string")), 256)
     chosen = rows.orderBy(order.asc_nulls_last(), "_x").limit(k).collect()
-    return np.array([r["_x"] for r in chosen], dtype=np.int64).reshape(len(chosen), -1)
+    return np.array([r["_x"] for r in chosen], dtype=np.int64).reshape(-1, dim)
 
 
 def ball_kmeans(
@@ -153,7 +153,7 @@ def ball_kmeans(
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), whole_components(F.col(vector_col), dim, scale).alias("_x")).filter(F.col("_x").isNotNull())
     state = written(rows.select("_id", "_x", F.lit(0).cast("long").alias("_own")))
-    centres = first_centres(state, k, seed)
+    centres = first_centres(state, k, seed, dim)
     if not len(centres):
         centres = np.zeros((1, dim), dtype=np.int64)
     radii: list[int | None] = [None] * len(centres)

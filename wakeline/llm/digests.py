@@ -112,11 +112,20 @@ def compared(a: Column, b: Column) -> Column:
     return scored(a, b)
 
 
-def _split_ids(docs: DataFrame, parts: int) -> tuple[int, np.ndarray]:
-    """The smallest id, and those at which further ranges of about equally many rows begin; at most parts of them come to the driver."""
+def _first_ids(docs: DataFrame, parts: int) -> np.ndarray:
+    """The smallest id of each of about equally large ranges of ids, in order; at most parts of them come to the driver.
+
+    Percentiles are computed in doubles, which don't hold all ids, so they only say where ranges are cut.
+    """
     shares = [i / parts for i in range(1, parts)]
-    found = docs.agg(F.min("_id"), F.percentile_approx("_id", shares, 20 * parts) if shares else F.array()).first()
-    return found[0] or 0, np.array(sorted({i for i in found[1] or () if i is not None and i != found[0]}), dtype=np.int64)
+    cuts = np.unique(np.array(docs.agg(F.percentile_approx("_id", shares, 20 * parts)).first()[0] or [] if shares else [], dtype=np.int64))
+
+    @F.pandas_udf("long")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy(dtype=np.int64), side="right"))
+
+    known = docs.filter(F.col("_id").isNotNull()).select("_id")
+    return np.array(sorted(r[0] for r in known.groupBy(place("_id")).agg(F.min("_id").alias("first")).select("first").collect()), dtype=np.int64)
 
 
 def in_ranges(docs: DataFrame) -> DataFrame:
@@ -127,16 +136,15 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     Rows without an id are spread by their texts.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lowest, begins = _split_ids(docs, parts)
-    ranges = len(begins) + 1
+    begins = _first_ids(docs, parts)
+    ranges = max(1, len(begins))
 
     @F.pandas_udf("long")
     def place(ids: pd.Series) -> pd.Series:
         """Twice the range, one more for the range's first id."""
         i = ids.to_numpy(dtype=np.int64)
-        part = np.searchsorted(begins, i, side="right")
-        first = np.where(part > 0, begins[part - 1] if len(begins) else 0, lowest) == i
-        return pd.Series(2 * part + first)
+        part = np.searchsorted(begins[1:], i, side="right")
+        return pd.Series(2 * part + (begins[part] == i if len(begins) else False))
 
     at = F.when(F.col("_id").isNull(), 2 * F.pmod(F.xxhash64("_text"), F.lit(ranges))).otherwise(F.col("_at"))
     placed = docs.withColumn("_at", place(F.coalesce("_id", F.lit(0)))).withColumn("_at", at)
