@@ -129,7 +129,7 @@ def test_html_odd_input(spark):
     assert all(r.n_chars == len(r.text) for r in out)
 
 
-@pytest.mark.parametrize("broken", ["<a x ", '<a "', "<p><div><h1>", "<b><i>", "<!", "<p \"x' ", "<li>a", "<![CDATA[", "</p><div>x"])
+@pytest.mark.parametrize("broken", ["<a x ", '<a "', "<p><div><h1>", "<b><i>", "<!", "<p \"x' ", "<li>a", "<![CDATA[", "</p><div>x", "<svg>", "<object>x", "<head>", "<b class=ad>", "<h2>comments</h2>"])
 def test_html_broken_pages_take_linear_time(broken):
     import time
 
@@ -143,3 +143,38 @@ def test_html_short_blocks_of_a_marked_article_stay():
     want = "\n".join(t for t in re.split(r"<[^>]*>", inner) if t)
     page = PAGE.format(body=f"<div><article>{inner}</article></div><div><p>Elsewhere, {LONG}</p></div>")
     assert html.main_text(page) == want
+
+
+FOUR = "".join(f"<p>{LONG} {i}</p>" for i in range(4))
+FOUR_TEXT = "\n".join(f"{LONG} {i}" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><meta name=x><body><article>{FOUR}</article></body></html>",
+        f"<html><head><title>T</title><link href=x><div>{FOUR}</div></html>",
+        *[f'<body><div class="{c}">{FOUR}</div></body>' for c in ("layout has-sidebar", "content no-sidebar", "social-history", "sidebar-left", "header", "comments")],
+        *[f'<body><article class="{c}">{FOUR}</article></body>' for c in ("post comments-open", "article with-header", "post-header")],
+        f'<body><form action="x"><input><div>{FOUR}</div><button>Go</button></form></body>',
+        *[f"<body><{t} a=b><article>{FOUR}</article></body>" for t in ("svg", "object", "video", "math", "canvas", "iframe")],
+        f'<body><header><div class="wrap">{FOUR}</div></header><footer>me</footer></body>',
+        f'<body><div class="postHeader"><p>{LONG} 0</p></div>{FOUR[FOUR.index("</p>") + 4 :]}</body>',
+        f'<body><article>{FOUR}<h2>3 Comments</h2><ul><li>I agree, {LONG}</li><li>I do not, {LONG}</li></ul></article></body>',
+        f'<body><article>{FOUR}<div class="comment-list"><article class="comment">I agree, {LONG}</article></div></article></body>',
+        f'<body><article>{FOUR.replace("</p>", "</p>" + "<div class=ad-slot><p>" + LONG + " Buy.</p></div>", 2)}<div id="related-posts"><p>{LONG}</p></div></article></body>',
+        f'<body><div>{FOUR}</div><div class="siteFooter"><p>{LONG}</p></div><form><p>Mail, please.</p></form></body>',
+    ],
+)
+def test_html_names_and_missing_ends_hide_no_article(page):
+    assert html.main_text(page) == FOUR_TEXT
+
+
+def test_html_discussion_is_no_comment_and_unclosed_scripts_go_on():
+    page = f"<body><article><p>{LONG} 0</p><h2>Discussion</h2><p>{LONG} 1</p></article><script>var x = '<p>{LONG}</p>'"
+    assert html.main_text(page) == f"{LONG} 0\nDiscussion\n{LONG} 1"
+
+
+def test_html_pages_of_comments_only_are_no_article():
+    page = f'<body><article><p>{LONG}</p></article><div class="comments">{"<p>I agree, " + LONG + "</p>"}{"<p>So do I, " + LONG + "</p>"}</div></body>'
+    assert html.main_text(page) == LONG

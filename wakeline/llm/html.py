@@ -26,7 +26,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math meter output progress q "
     "rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split()
 )
-CLUTTER = frozenset("nav footer aside form button select option menu dialog head fieldset datalist marquee".split())
+CLUTTER = frozenset("nav footer aside button select option menu dialog head datalist marquee".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag ends, up to a boundary.
 ENDS = {
@@ -38,7 +38,14 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words of class, id and role that mark what is no article.
+#: Elements that may hold a page's whole text: clutter only while they hold less than MOST of it.
+LOOSE = frozenset("form fieldset header".split())
+#: Elements inside which a missing end tag is noticed at the next of BLOCKS, and where BLOCKS end them even before one.
+EMBEDDED = frozenset("svg math object canvas video audio title textarea xmp noframes noscript template iframe".split())
+FOREIGN = frozenset("svg math".split())
+BLOCKS = "address article aside blockquote body center dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split()
+BLOCK = re.compile(rf"<(?:{'|'.join(BLOCKS)})(?=[\s/>])", re.I)
+#: Words that mark what is no article, as a whole class, id or role, or as the last noun of one.
 CLUTTER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner banners promo promotion promoted sponsor "
     "sponsored sidebar side comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr "
@@ -47,7 +54,27 @@ CLUTTER_WORDS = frozenset(
     "header masthead topbar pagination pager widget widgets toolbar search complementary contentinfo hidden copyright legal "
     "tags toc".split()
 )
-NAMES = re.compile(r"[a-z]+")
+#: Nouns and places after which the word before decides, as in ad-slot or sidebar-left.
+GENERIC = frozenset(
+    "slot container wrapper wrap box block list area section bar inner outer unit panel links button buttons item items row "
+    "col column group zone holder content body posts articles stories news icons media network networks products items card "
+    "cards grid teaser teasers feed this heading count text label message left right top bottom primary secondary mobile "
+    "desktop sticky fixed".split()
+)
+#: Words that say what a part lacks or is arranged with, not what it is; and those whose header is the article's own.
+LACKS = frozenset("has no not non with without hide show layout".split())
+OWN_HEADER = frozenset("article post entry story news blog main".split())
+#: Headings of reader comments, which then go on to the end of the element around the heading.
+COMMENTS = re.compile(
+    r"(?:\d+ |reader |user )?(?:comments?|kommentare?|leserkommentare|comentarios?|commentaires?)(?: ?\(\d+\)| \d+)?:?|"
+    r"leave a (?:reply|comment):?|\d+ (?:replies|responses):?",
+    re.I,
+)
+NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Share of a page's text that makes an element the page's body, whatever its name.
+MOST = 0.5
+#: How sure it is that an element is clutter: by a noun in its name, by its whole name, by its kind.
+BY_NOUN, BY_NAME, BY_KIND = 1, 2, 3
 LANDMARKS = ("article", "main")
 #: Elements nested deeper than this are siblings, as in browsers; no text is lost by it.
 DEPTH = 512
@@ -64,35 +91,58 @@ class Block:
     path: str
     text: str
     linked: int
-    clutter: bool
+    marks: tuple[Open, ...]
     landmark: str
     element: Open
 
 
 @dataclass(eq=False)
 class Open:
+    """An open element; marks are the elements that make it clutter, from the outermost to itself."""
+
     tag: str
     path: str
-    clutter: bool
     landmark: str
+    marks: tuple[Open, ...] = ()
     inline: bool = False
     up: Open | None = None
+    sure: int = 0
+    comments: bool = False
 
 
 def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(raw)}
 
 
-def is_clutter(tag: str, raw: str) -> bool:
-    if tag in CLUTTER:
-        return True
-    if not raw or tag in ("html", "body", "main"):
-        return False
+def named_clutter(name: str) -> int:
+    """BY_NAME if a class, id or role is a clutter word, BY_NOUN if its last noun is, else 0."""
+    if name.lower() in CLUTTER_WORDS:
+        return BY_NAME
+    parts = [w.lower() for w in NAMES.findall(name)]
+    while len(parts) > 1 and parts[-1] in GENERIC and parts[-1] not in CLUTTER_WORDS:
+        parts.pop()
+    if not parts or parts[-1] not in CLUTTER_WORDS or not LACKS.isdisjoint(parts):
+        return 0
+    return 0 if parts[-1] == "header" and not OWN_HEADER.isdisjoint(parts) else BY_NOUN
+
+
+def clutter_of(tag: str, raw: str, landmark: str) -> int:
+    """How sure it is that an element is clutter by itself: 0, BY_NOUN, BY_NAME or BY_KIND."""
+    if tag in LOOSE:
+        kind = 0 if tag == "header" and landmark == "article" else BY_NOUN
+    else:
+        kind = BY_KIND if tag in CLUTTER else 0
+    if kind == BY_KIND or not raw:
+        return kind
     a = attributes(raw)
-    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
-    words = NAMES.findall(f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".lower())
-    return not CLUTTER_WORDS.isdisjoint(words)
+    if ("hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""))) and tag not in ("html", "body"):
+        return BY_KIND
+    if tag in ("html", "body", "main"):
+        return 0
+    names = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".split()
+    sure = max(map(named_clutter, names), default=0)
+    # An article is clutter only where it is called so as a whole: readers' comments are articles, too.
+    return max(kind, 0 if tag == "article" and sure < BY_NAME else sure)
 
 
 class Tokens:
@@ -149,18 +199,35 @@ class Tokens:
                 closing = html[begin + 1] == "/"
                 yield "", "/" + tag if closing else tag, html[m.end() : at - 1]
                 if not closing and tag in RAW and html[at - 2] != "/":
-                    stop = self.end_of_raw(tag, at)
-                    at = stop if stop >= 0 else end
+                    at = self.end_of_raw(tag, at)
+
+    def seek(self, what: re.Pattern, at: int) -> re.Match | None:
+        """Like search(), but what isn't in the rest of the page is not searched for again."""
+        found = None if what.pattern in self.gone else what.search(self.html, at)
+        if not found:
+            self.gone.add(what.pattern)
+        return found
 
     def end_of_raw(self, tag: str, at: int) -> int:
-        m = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.html, at)
-        return m.end() if m else -1
+        """Where the content of an element that is not looked into ends.
+
+        Without an end tag scripts and styles go on to the page's end, others to the next block. A block ends svg and math
+        even before their end tag, as in browsers.
+        """
+        end = rf"</{re.escape(tag)}\s*>"
+        if tag in FOREIGN:
+            m = self.seek(re.compile(rf"{end}|{BLOCK.pattern}", re.I), at)
+            return len(self.html) if not m else m.end() if m[0][1] == "/" else m.start()
+        if m := self.seek(re.compile(end, re.I), at):
+            return m.end()
+        m = self.seek(BLOCK, at) if tag in EMBEDDED else None
+        return m.start() if m else len(self.html)
 
 
 def blocks_of(html: str) -> list[Block]:
     """The page's text blocks in order, each with its root-to-leaf path of block elements."""
     out: list[Block] = []
-    stack = [Open("", "", False, "")]
+    stack = [Open("", "", "")]
     count: dict[str, int] = {}
     held: list[str] = []
     linked, links = 0, 0
@@ -177,7 +244,10 @@ def blocks_of(html: str) -> list[Block]:
             text = SPACES.sub(" ", unescape("".join(held))).strip()
             if text:
                 top = next(o for o in reversed(stack) if not o.inline)
-                out.append(Block(top.path, text, min(linked, len(text)), stack[-1].clutter, stack[-1].landmark, top))
+                if top.tag in HEADINGS and out and COMMENTS.fullmatch(text) and out[-1].path.startswith(top.up.path):
+                    top.up.comments = True
+                about = () if not any(o.comments for o in stack) else (COMMENT_PART,)
+                out.append(Block(top.path, text, min(linked, len(text)), stack[-1].marks + about, stack[-1].landmark, top))
             held.clear()
         linked = 0
 
@@ -214,15 +284,16 @@ def blocks_of(html: str) -> list[Block]:
                     if not stack[i].inline:
                         break
                     if stack[i].tag == tag:
-                        if stack[i].clutter and not stack[i - 1].clutter:
+                        if stack[i].sure:
                             flush()
                         close(i)
                         break
             elif len(stack) < DEPTH:
-                clutter = stack[-1].clutter or is_clutter(tag, rest)
-                if clutter and not stack[-1].clutter:
+                o = Open(tag, stack[-1].path, stack[-1].landmark, inline=True, sure=clutter_of(tag, rest, stack[-1].landmark))
+                if o.sure:
                     flush()
-                push(Open(tag, stack[-1].path, clutter, stack[-1].landmark, True))
+                o.marks = stack[-1].marks + ((o,) if o.sure else ())
+                push(o)
                 links += tag == "a"
             continue
         flush()
@@ -232,6 +303,9 @@ def blocks_of(html: str) -> list[Block]:
                     close(i)
                     break
             continue
+        if count.get("head") and tag not in ("html", "head"):
+            # Its end tag may be left out; nothing that stands in it comes here.
+            close(next(i for i, o in enumerate(stack) if o.tag == "head"))
         # A paragraph ends where any block begins; some elements end their like.
         ended, bounds = ENDS.get(tag, ({"p"}, {"table", "td", "div", "article", "section", "body"}))
         for i in range(len(stack) - 1, 0, -1) if any(count.get(t) for t in (*ended, "p")) else ():
@@ -246,14 +320,38 @@ def blocks_of(html: str) -> list[Block]:
         landmark = up.landmark
         if tag in LANDMARKS and landmark != "article":
             landmark = tag
-        clutter = up.clutter or is_clutter(tag, rest)
-        if tag == "header" and not (up.landmark == "article"):
-            clutter = True
-        push(Open(tag, f"{up.path}/{tag}", clutter, landmark, up=next(o for o in reversed(stack) if not o.inline)))
+        o = Open(tag, f"{up.path}/{tag}", landmark, up=next(o for o in reversed(stack) if not o.inline), sure=clutter_of(tag, rest, up.landmark))
+        o.marks = up.marks + ((o,) if o.sure else ())
+        push(o)
     flush()
     return out
 
 
+#: What marks blocks after a heading of reader comments.
+COMMENT_PART = Open("", "", "", sure=BY_KIND)
+
+
+def uncluttered(blocks: list[Block]) -> list[Block]:
+    """The blocks that no clutter element is around.
+
+    An element that is clutter only by a noun in its name, or as a form or header, is none if it holds MOST of the text that is
+    not surely clutter. If that leaves nothing, so it is with elements that are clutter by their whole name.
+    """
+    for doubt in (BY_NOUN, BY_NAME):
+        held: dict[Open, int] = {}
+        total = 0
+        for b in blocks:
+            if all(o.sure <= doubt for o in b.marks):
+                total += len(b.text)
+                for o in b.marks:
+                    held[o] = held.get(o, 0) + len(b.text)
+        bodies = {o for o, n in held.items() if n >= MOST * total}
+        left = [b for b in blocks if all(o in bodies for o in b.marks)]
+        if left:
+            break
+    return left
+
+
 def smoothed(values: np.ndarray, radius: int = 1) -> np.ndarray:
     """Gaussian smoothing over the order of the blocks."""
     kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / max(radius, 1)) ** 2)
@@ -323,9 +421,9 @@ def main_text(html: str) -> str:
     For each tag path: the text length and the punctuation of its blocks over their number. Both ratios,
     smoothed over the order of the blocks, are fused (their product, scaled by the path's text outside links and by
     OUTSIDE where the page marks an article and the block is not in it), and blocks above the mean times a half are
-    content. Clutter (by element, class, id or role) has ratio 0. choice() adds what is short beside the content.
+    content. Clutter (by element, class, id or role, see uncluttered()) has ratio 0. choice() adds what is short beside the content.
     """
-    blocks = [b for b in blocks_of(html) if not b.clutter]
+    blocks = uncluttered(blocks_of(html))
     if not blocks:
         return ""
     mark = next((m for m in LANDMARKS if any(b.landmark == m for b in blocks)), "")
