@@ -48,20 +48,28 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{BLANK}|{BLANK}\z", "")
 
 
+def present(s: Column) -> Column:
+    """Null for stripped text that stands for nothing: blank, null, nan and na in any case."""
+    return F.when(~F.lower(s).isin("", "null", "nan", "na"), s)
+
+
 def optional(c: Column) -> Column:
     """Null for blank, null, nan and na in any case, else the stripped text."""
-    s = stripped(c)
-    return F.when(~F.lower(s).isin("", "null", "nan", "na"), s)
+    return present(stripped(c))
 
 
 def valid_mmsi(c: Column) -> Column:
     return F.coalesce(c.rlike(r"\A[0-9]{9}\z"), F.lit(False))
 
 
+def decimal_text(s: Column) -> Column:
+    """The double that stripped decimal text says, perhaps infinite; the gate keeps out what only one of two engines would read."""
+    return F.when(s.rlike(NUMBER), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
+
+
 def number(c: Column) -> Column:
-    """A finite decimal number, else null; the gate keeps out what only one of two engines would read."""
-    s = stripped(c)
-    value = F.when(s.rlike(NUMBER), F.regexp_replace(s, "_", "").try_cast("double"))
+    """A finite decimal number, else null."""
+    value = decimal_text(stripped(c))
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
@@ -101,52 +109,65 @@ class Parser:
             raise ValueError(f"time policy must be one of {TIME_POLICIES}")
 
     def parse(self, raw: DataFrame) -> DataFrame:
-        """raw with the parsed columns added; with any reason all values but mmsi are null and flags empty."""
+        """raw with the parsed columns added; with any reason all values but mmsi are null and flags empty.
+
+        In stages, each of which names only columns of the one before, so that no expression is evaluated twice: stripped
+        texts, typed values, tests, then reasons, flags and what is kept.
+        """
         role = {k: F.col(f"`{v}`") for k, v in ROLES[self.era].items()}
-        mmsi, time = stripped(role["mmsi"]), role["time"]
-        naive = F.coalesce(is_naive(time), F.lit(False))
-        ts = event_time(time)
-        if self.time_policy == "reject":
-            ts = F.when(~naive, ts)
-        year = F.year(ts)
-        era_ok = year.between(2018, 2024) if self.era == LEGACY else year >= 2025
-        lat, lon = number(role["lat"]), number(role["lon"])
+        # Legacy and current columns differ in case only for some names, so raw columns go by a struct.
+        texts = raw.select(F.struct("*").alias("raw"), role["time"].alias("_time"), *[stripped(role[k]).alias(k) for k in role if k != "time"])
+        values = texts.select(
+            "raw",
+            "mmsi",
+            F.coalesce(is_naive(F.col("_time")), F.lit(False)).alias("naive"),
+            event_time(F.col("_time")).alias("ts"),
+            *[decimal_text(F.col(k)).alias(k) for k in ("lat", "lon")],
+            present(F.col("sog")).alias("speed_text"),
+            decimal_text(F.col("sog")).alias("speed"),
+            *[present(F.col(k)).alias(k) for k in ("code", "equipment", "imo")],
+        )
+        timed = values.withColumn("ts", F.when(~F.col("naive"), F.col("ts"))) if self.time_policy == "reject" else values
+        within = lambda c, most: F.coalesce(F.abs(c) <= most, F.lit(False))
         slack = 0.00001 if self.era == CURRENT else 0.0
-        lat_ok = F.coalesce(F.abs(lat) <= 90 - slack, F.lit(False))
-        lon_ok = F.coalesce(F.abs(lon) <= 180 - slack, F.lit(False))
-        speed_text = optional(role["sog"])
-        speed = number(speed_text)
-        speed_ok = F.coalesce(speed.between(0, MAX_SOG[self.era]), F.lit(False))
-        equipment = optional(role["equipment"])
+        year = F.year("ts")
+        tested = timed.withColumns(
+            {
+                "mmsi_ok": valid_mmsi(F.col("mmsi")),
+                "era_ok": year.between(2018, 2024) if self.era == LEGACY else year >= 2025,  # null without a time
+                "lat_ok": within("lat", 90 - slack),
+                "lon_ok": within("lon", 180 - slack),
+                "speed_ok": F.coalesce(F.col("speed").between(0, MAX_SOG[self.era]), F.lit(False)),
+                "odd_equipment": F.coalesce(~F.col("equipment").isin("A", "B"), F.lit(False)),
+            }
+        )
         reasons = F.array_compact(
             F.array(
-                F.when(~valid_mmsi(mmsi), F.lit("invalid_mmsi")),
-                F.when(ts.isNull(), F.lit("invalid_or_naive_timestamp")).when(~era_ok, F.lit("timestamp_outside_source_era")),
-                F.when(~lat_ok, F.lit("invalid_lat")),
-                F.when(~lon_ok, F.lit("invalid_lon")),
+                F.when(~F.col("mmsi_ok"), F.lit("invalid_mmsi")),
+                F.when(F.col("era_ok").isNull(), F.lit("invalid_or_naive_timestamp")).when(~F.col("era_ok"), F.lit("timestamp_outside_source_era")),
+                F.when(~F.col("lat_ok"), F.lit("invalid_lat")),
+                F.when(~F.col("lon_ok"), F.lit("invalid_lon")),
             )
         )
         flags = F.array_compact(
             F.array(
-                F.when(naive, F.lit("source_dictionary_utc_assumed")),
-                F.when(speed_text.isNull(), F.lit("missing_sog")).when(~speed_ok, F.lit("invalid_or_sentinel_sog")),
-                F.when(equipment.isNotNull() & ~equipment.isin("A", "B"), F.lit("unknown_equipment_class")),
+                F.when(F.col("naive"), F.lit("source_dictionary_utc_assumed")),
+                F.when(F.col("speed_text").isNull(), F.lit("missing_sog")).when(~F.col("speed_ok"), F.lit("invalid_or_sentinel_sog")),
+                F.when(F.col("odd_equipment"), F.lit("unknown_equipment_class")),
             )
         )
-        good = F.size("reasons") == 0
+        good = F.col("mmsi_ok") & F.coalesce("era_ok", F.lit(False)) & F.col("lat_ok") & F.col("lon_ok")
+        judged = tested.withColumn("good", good)
         kept = {
-            "timestamp": ts, "longitude": lon, "latitude": lat, "sog_knots": F.when(speed_ok, speed),
-            "raw_vessel_code": optional(role["code"]), "equipment_class": equipment, "imo": optional(role["imo"]),
+            "timestamp": F.col("ts"), "longitude": F.col("lon"), "latitude": F.col("lat"), "sog_knots": F.when(F.col("speed_ok"), F.col("speed")),
+            "raw_vessel_code": F.col("code"), "equipment_class": F.col("equipment"), "imo": F.col("imo"),
         }
-        # Legacy and current columns differ in case only for some names, so raw columns go by a struct.
-        rows = raw.select(F.struct("*").alias("raw"), reasons.alias("reasons"), flags.alias("flags"), mmsi.alias("mmsi"),
-                          *[v.alias(k) for k, v in kept.items()])
-        return rows.select(
+        return judged.select(
             "raw",
             "mmsi",
-            *[F.when(good, F.col(k)).alias(k) for k in kept],
-            F.when(good, F.col("flags")).otherwise(F.array().cast("array<string>")).alias("quality_flags"),
-            "reasons",
+            *[F.when(F.col("good"), v).alias(k) for k, v in kept.items()],
+            F.when(F.col("good"), flags).otherwise(F.array().cast("array<string>")).alias("quality_flags"),
+            reasons.alias("reasons"),
         )
 
 
