@@ -1,9 +1,12 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wakeline.functions.projection import LocalProjection
-from wakeline.operators.geometry import Tile, TileConfig
+from wakeline.operators.boxes import PackedBoxes, meeting
+from wakeline.operators.geometry import Tile, TileConfig, covered
 from wakeline.plans.grid import geographic
 
 P = LocalProjection(20.0, 10.0, 50_000.0, 0.007)
@@ -81,9 +84,41 @@ def test_hexagons_agree_with_convex_clipping():
             assert abs(max(0.0, hi - lo) - got.get(name, 0.0)) < 1e-6
 
 
+def plain_inside(edges, p):
+    odd = False
+    for (ax, ay), (bx, by) in zip(edges.a, edges.b):
+        if (ay > p[1]) != (by > p[1]) and ax + (p[1] - ay) * (bx - ax) / (by - ay) > p[0]:
+            odd = not odd
+    return odd
+
+
+def plain_distance(a, b, p):
+    t = min(1.0, max(0.0, (p - a) @ (b - a) / ((b - a) @ (b - a))))
+    return float(np.hypot(*(a + t * (b - a) - p)))
+
+
+def plain_screen(t, p, q, steps=4000):
+    """The land mask's verdict by samples of the route; also whether it is too close to call."""
+    c, length = t.config, float(np.hypot(*(q - p)))
+    at = [p + s * (q - p) for s in ((np.arange(steps) + 0.5) / steps if length else [0.0])]
+    away = lambda edges, x: min((plain_distance(a, b, x) for a, b in zip(edges.a, edges.b)), default=np.inf)
+    state = [(plain_inside(t.support, x), plain_inside(t.land, x), away(t.land, x)) for x in at]
+    step = length / steps
+    outside = sum(not s for s, _, _ in state) * step
+    deep = sum(i and d >= c.shoreline_uncertainty_m for _, i, d in state) * step
+    touched = any(i or d <= c.shoreline_uncertainty_m for _, i, d in state)
+    closest = min(abs(d - c.shoreline_uncertainty_m) for _, _, d in state)
+    close = 0 < outside < 2 * step or abs(deep - c.material_land_crossing_m) < 3 * step or (not touched and closest < step)
+    if not length:
+        outside, deep = outside or not state[0][0], c.material_land_crossing_m if state[0][1] and state[0][2] >= c.shoreline_uncertainty_m else 0
+        return ("water_mask_unavailable" if outside else "material_land_crossing" if deep else "shoreline_uncertainty" if touched else None), False
+    verdict = "water_mask_unavailable" if outside else "material_land_crossing" if deep >= c.material_land_crossing_m else "shoreline_uncertainty" if touched else None
+    return verdict, close
+
+
 def test_screen():
     t = tile(land=box(-100, -500, 100, 500))
-    screen = lambda *r: t.screen(np.array(r[:2], float), np.array(r[2:], float))
+    screen = lambda *r: t.screen_many(np.array([r[:2]], float), np.array([r[2:]], float))[0]
     assert screen(-1000, 0, 1000, 0) == "material_land_crossing"
     assert screen(-1000, 501, 1000, 501) == "shoreline_uncertainty"
     assert screen(-1000, 600, 1000, 600) is None
@@ -91,13 +126,77 @@ def test_screen():
     assert screen(0, 0, 0, 0) == "material_land_crossing" and screen(101, 0, 101, 0) == "shoreline_uncertainty"
 
 
-def test_screen_of_many_is_screen_of_each():
+def test_screen_agrees_with_samples_of_each_route():
     rng = np.random.default_rng(5)
-    for land in (box(-100, -500, 100, 500), box(-9990, -9990, -4000, 9990), None):
+    jagged = [(300 * np.cos(k) * (1 + k % 2), 300 * np.sin(k) * (1 + k % 2)) for k in np.linspace(0, 2 * np.pi, 9)[:-1]]
+    holed = {"type": "Polygon", "coordinates": [ring((-400, -400), (400, -400), (400, 400), (-400, 400)), ring((-200, -200), (200, -200), (200, 200), (-200, 200))]}
+    for land in (box(-100, -500, 100, 500), {"type": "Polygon", "coordinates": [ring(*jagged)]}, holed, None):
         t = tile(land=land)
-        p = rng.uniform(-11_000, 11_000, (300, 2))
-        q = p + rng.choice([0.0, 3.0, 400.0, 9000.0], (300, 1)) * rng.uniform(-1, 1, (300, 2))
-        assert t.screen_many(p, q) == [t.screen(a, b) for a, b in zip(p, q)]
+        p = rng.uniform(-700, 700, (60, 2))
+        q = p + rng.choice([0.0, 3.0, 400.0, 12_000.0], (60, 1)) * rng.uniform(-1, 1, (60, 2))
+        p[:6], q[:6] = rng.uniform(-11_000, 11_000, (6, 2)), rng.uniform(-11_000, 11_000, (6, 2))
+        told = 0
+        for got, a, b in zip(t.screen_many(p, q), p, q):
+            want, close = plain_screen(t, a, b, 300)
+            told += not close
+            assert close or got == want, (a, b)
+        assert told > 40
+
+
+def test_covered_is_the_union_of_intervals():
+    rng = np.random.default_rng(7)
+    who, low = rng.integers(0, 30, 300), rng.uniform(0, 1, 300)
+    high = np.minimum(1, low + rng.choice([0, 0.01, 0.3], 300))
+    got = covered(who, low, high, 31)
+    for i in range(31):
+        want, end = 0.0, 0.0
+        for a, b in sorted(zip(low[who == i].tolist(), high[who == i].tolist())):
+            want += max(0.0, b - max(a, end))
+            end = max(end, b)
+        assert abs(got[i] - want) < 1e-12
+    assert covered(who[:0], low[:0], high[:0], 3).tolist() == [0, 0, 0]
+
+
+def meets(a, b):
+    return (a[:, None, :2] <= b[None, :, 2:]).all(axis=2) & (b[None, :, :2] <= a[:, None, 2:]).all(axis=2)
+
+
+def random_boxes(rng, n, sizes):
+    low = rng.uniform(-5000, 5000, (n, 2)).round(rng.integers(0, 3))
+    return np.hstack([low, low + rng.choice(sizes, (n, 1)) * rng.uniform(0, 1, (n, 2)).round(2)])
+
+
+@pytest.mark.parametrize("n", [0, 1, 16, 17, 300, 10_000])
+def test_packed_boxes_equal_all_pairs(n):
+    rng = np.random.default_rng(n)
+    boxes, queries = random_boxes(rng, n, [0.0, 10.0, 300.0]), random_boxes(rng, 200, [0.0, 50.0, 2000.0])
+    who, which = PackedBoxes(boxes).pairs(queries[:, :2], queries[:, 2:])
+    want = np.nonzero(meets(queries, boxes))
+    assert (who == want[0]).all() and (which == want[1]).all()
+
+
+def test_packed_boxes_take_time_by_hits():
+    seconds = {}
+    for side in (100, 1000):
+        x, y = (g.ravel() * 100.0 for g in np.meshgrid(np.arange(side), np.arange(side)))
+        index = PackedBoxes(np.stack([x, y, x + 100, y + 100], axis=1))
+        at = np.random.default_rng(1).uniform(0, side * 100, (20_000, 2))
+        began = time.process_time()
+        found = len(index.pairs(at, at + 50)[0])
+        seconds[side] = time.process_time() - began
+        assert 20_000 < found < 80_000
+    assert seconds[1000] < 5 * seconds[100] + 0.5  # a hundred times the boxes
+
+
+def test_meeting_boxes_equal_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    a, b = random_boxes(rng, 150, [0.0, 20.0, 4000.0, 100_000.0]), random_boxes(rng, 200, [0.0, 90.0, 3000.0])
+    a[:20, :2], a[:20, 2:] = b[:20, 2:], b[:20, 2:] + 64.0  # corners that touch
+    frame = lambda boxes: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(boxes)], "id int, x0 double, y0 double, x1 double, y1 double")
+    odd = spark.createDataFrame([(-1, None, 0.0, 1.0, 1.0), (-2, 0.0, 0.0, float("inf"), 1.0), (-3, float("nan"), 0.0, 1.0, 1.0)], "id int, x0 double, y0 double, x1 double, y1 double")
+    got = sorted(map(tuple, meeting(frame(a).unionByName(odd), frame(b).unionByName(odd)).collect()))
+    assert got == sorted(zip(*(x.tolist() for x in np.nonzero(meets(a, b)))))
+    assert meeting(frame(a), frame(b).limit(0)).count() == 0
 
 
 def test_invalid_rings_are_errors():

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -16,14 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import plain_fingerprint
 from ..functions.projection import LocalProjection
+from .boxes import PackedBoxes
 
 Ring = list[tuple[float, float]]
 
 
-#: Routes clipped at once.
-ROUTES = 512
-#: Pairs of a route and an edge looked at together.
-SCREENED = 1 << 20
+#: Routes clipped or screened at once.
+ROUTES = 2048
 
 
 @dataclass(frozen=True)
@@ -104,82 +104,23 @@ class Edges:
         self.square = (self.d**2).sum(axis=1)
         self.box = (*np.minimum(self.a, self.b).min(axis=0), *np.maximum(self.a, self.b).max(axis=0)) if len(flat) else None
 
-    def inside(self, p: np.ndarray) -> bool:
-        """Even-odd rule."""
-        if not len(self.a):
-            return False
-        (ax, ay), (bx, by), (x, y) = self.a.T, self.b.T, p
-        across = (ay > y) != (by > y)
-        at = ax[across] + (y - ay[across]) * (bx - ax)[across] / (by - ay)[across]
-        return bool((at > x).sum() % 2)
-
-    def distance(self, p: np.ndarray) -> float:
-        if not len(self.a):
-            return np.inf
-        t = np.clip(((p - self.a) * self.d).sum(axis=1) / self.square, 0, 1)
-        return float(np.sqrt(((self.a + t[:, None] * self.d - p) ** 2).sum(axis=1)).min())
-
-    def around(self, p: np.ndarray, q: np.ndarray, distance: float) -> np.ndarray:
-        """(route, edge) whether their boxes come within a distance, with some room for rounding."""
+    @cached_property
+    def index(self) -> PackedBoxes:
+        return PackedBoxes(np.hstack([np.minimum(self.a, self.b), np.maximum(self.a, self.b)]))
+
+    def around(self, p: np.ndarray, q: np.ndarray, distance: float) -> tuple[np.ndarray, np.ndarray]:
+        """(route, edge) whose boxes come within a distance, with some room for rounding."""
         room = distance + 1e-6
-        lo, hi = np.minimum(p, q)[:, None] - room, np.maximum(p, q)[:, None] + room
-        return ((np.minimum(self.a, self.b) <= hi) & (np.maximum(self.a, self.b) >= lo)).all(axis=2)
-
-    def cuts(self, p: np.ndarray, q: np.ndarray) -> list[float]:
-        """Parameters at which the route meets an edge, with both ends of overlaps."""
-        if not len(self.a):
-            return []
-        d = q - p
-        length = float(d @ d)
-        cross = d[0] * self.d[:, 1] - d[1] * self.d[:, 0]
-        to = self.a - p
-        out: list[float] = []
-        meets = np.abs(cross) > 1e-12 * np.sqrt(length * self.square)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (to[:, 0] * self.d[:, 1] - to[:, 1] * self.d[:, 0]) / cross
-            s = (to[:, 0] * d[1] - to[:, 1] * d[0]) / cross
-        ok = meets & (t >= 0) & (t <= 1) & (s >= 0) & (s <= 1)
-        out += t[ok].tolist()
-        for i in np.flatnonzero(~meets):
-            if abs(d[0] * to[i, 1] - d[1] * to[i, 0]) <= 1e-9 * length:
-                ends = sorted(float((e - p) @ d / length) for e in (self.a[i], self.b[i]))
-                lo, hi = max(0.0, ends[0]), min(1.0, ends[1])
-                if lo <= hi:
-                    out += [lo, hi]
-        return out
+        return self.index.pairs(np.minimum(p, q) - room, np.maximum(p, q) + room)
 
-    def near(self, p: np.ndarray, q: np.ndarray, distance: float) -> list[tuple[float, float]]:
-        """The intervals of the route within a distance of each edge: a line cuts the capsule around it once."""
-        d = q - p
-        length = float(d @ d)
-        out = []
-        if not len(self.a):
-            return out
-        some = self.around(p[None], q[None], distance)[0]
-        for a, b, e, square in zip(self.a[some], self.b[some], self.d[some], self.square[some]):
-            spans = []
-            for c in (a, b):  # the discs at the ends: |p + t d - c| <= distance
-                f = p - c
-                half, rest = float(f @ d), float(f @ f) - distance**2
-                root = half * half - length * rest
-                if root >= 0:
-                    spans.append(((-half - root**0.5) / length, (-half + root**0.5) / length))
-            normal = np.array([-e[1], e[0]]) / square**0.5
-            bounds = []
-            for n, lo, hi in ((normal, -distance, distance), (e / square**0.5, 0.0, square**0.5)):
-                start, speed = float((p - a) @ n), float(d @ n)
-                if abs(speed) < 1e-15:
-                    bounds.append((0.0, 1.0) if lo <= start <= hi else (1.0, 0.0))
-                else:
-                    bounds.append(tuple(sorted(((lo - start) / speed, (hi - start) / speed))))
-            lo, hi = max(x[0] for x in bounds), min(x[1] for x in bounds)
-            if lo <= hi:
-                spans.append((lo, hi))
-            if spans:
-                lo, hi = max(0.0, min(x[0] for x in spans)), min(1.0, max(x[1] for x in spans))
-                if lo <= hi:
-                    out.append((lo, hi))
-        return out
+    def inside(self, points: np.ndarray) -> np.ndarray:
+        """Even-odd rule: edges that a ray to the right crosses."""
+        ray = np.stack([np.full(len(points), np.inf), points[:, 1]], axis=1)
+        return contains_many(points, *self.index.pairs(points, ray), self, len(points))[0]
+
+    def away(self, points: np.ndarray, most: float) -> np.ndarray:
+        """The distance to the next edge; infinite where it is more than most, about."""
+        return contains_many(points, *self.around(points, points, most), self, len(points))[1]
 
 
 def joined(shapes: list[Edges]) -> Edges:
@@ -215,7 +156,7 @@ def cuts_many(p: np.ndarray, d: np.ndarray, who: np.ndarray, edges: Edges, which
     return np.concatenate([who[ok], own, own]), np.concatenate([t[ok], lo[both], hi[both]])
 
 
-def contains_many(points: np.ndarray, test: np.ndarray, edges: Edges, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def contains_many(points: np.ndarray, test: np.ndarray, which: np.ndarray, edges: Edges, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(inside, distance) of n tests of a point against some edges: test[i] looks at edge which[i]."""
     if not len(test):
         return np.zeros(n, dtype=bool), np.full(n, np.inf)
@@ -230,11 +171,49 @@ def contains_many(points: np.ndarray, test: np.ndarray, edges: Edges, which: np.
     return crossings % 2 == 1, apart
 
 
-def minus(spans: list[tuple[float, float]], holes: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    out = spans
-    for lo, hi in holes:
-        out = [piece for a, b in out for piece in ((a, min(b, lo)), (max(a, hi), b)) if piece[1] > piece[0]]
-    return out
+def near_many(p: np.ndarray, d: np.ndarray, who: np.ndarray, edges: Edges, which: np.ndarray, distance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(route, from, to): where route who[i] is within a distance of edge which[i].
+
+    A line cuts the capsule around an edge once: the interval spans those of the discs at both ends and of the strip between.
+    """
+    a, b, e, size = edges.a[which], edges.b[which], edges.d[which], np.sqrt(edges.square[which])
+    p, d = p[who], d[who]
+    length = (d * d).sum(axis=1)
+    low, high = np.full(len(who), np.inf), np.full(len(who), -np.inf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for centre in (a, b):
+            f = p - centre
+            half = (f * d).sum(axis=1)
+            square = half * half - length * ((f * f).sum(axis=1) - distance**2)
+            root = np.sqrt(square)
+            low = np.where(square >= 0, np.minimum(low, (-half - root) / length), low)
+            high = np.where(square >= 0, np.maximum(high, (-half + root) / length), high)
+        first, last = np.full(len(who), -np.inf), np.full(len(who), np.inf)
+        for n, lo, hi in ((np.stack([-e[:, 1], e[:, 0]], axis=1), -distance, distance), (e, 0.0, size)):
+            start, speed = ((p - a) * n).sum(axis=1) / size, (d * n).sum(axis=1) / size
+            still = np.abs(speed) < 1e-15
+            to = np.sort(np.stack([(lo - start) / speed, (hi - start) / speed]), axis=0)
+            held = (lo <= start) & (start <= hi)
+            first = np.maximum(first, np.where(still, np.where(held, -np.inf, np.inf), to[0]))
+            last = np.minimum(last, np.where(still, np.where(held, np.inf, -np.inf), to[1]))
+    strip = first <= last
+    low, high = np.where(strip, np.minimum(low, first), low), np.where(strip, np.maximum(high, last), high)
+    low, high = np.maximum(low, 0.0), np.minimum(high, 1.0)
+    ok = low <= high
+    return who[ok], low[ok], high[ok]
+
+
+def covered(who: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """The length of the union of each route's intervals. Ranks, not sums, keep routes apart, so nothing is rounded away."""
+    order = np.lexsort((low, who))
+    who, low, high = who[order], low[order], high[order]
+    ascending = np.sort(high)
+    rank = np.searchsorted(ascending, high)
+    reach = np.maximum.accumulate(who * len(high) + rank) if len(who) else rank
+    before = np.full(len(who), -np.inf)
+    same = np.flatnonzero(who[1:] == who[:-1]) + 1
+    before[same] = ascending[reach[same - 1] - who[same] * len(high)]
+    return np.bincount(who, weights=np.maximum(0.0, high - np.maximum(low, before)), minlength=n)
 
 
 class Tile:
@@ -257,7 +236,7 @@ class Tile:
         self.cells = sorted(ids)
         by_id = dict(cells)
         self.shapes = [Edges([[config.projection.forward_point(*p) for p in by_id[c]]]) for c in self.cells]
-        self.boxes = np.array([s.box for s in self.shapes])
+        self.index = PackedBoxes([s.box for s in self.shapes])
         self.edge_count = np.array([len(s.a) for s in self.shapes])
         self.edge_start = np.cumsum(self.edge_count) - self.edge_count
         self.cell_edges = joined(self.shapes)
@@ -265,11 +244,10 @@ class Tile:
     def candidate_pairs(self, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(route, cell) for boxes that come within the tolerance of each other, by route and id."""
         e = self.config.numerical_tolerance_m
-        lo, hi, b = np.minimum(p, q) - e, np.maximum(p, q) + e, self.boxes
-        near = (b[:, 0] <= hi[:, :1]) & (b[:, 2] >= lo[:, :1]) & (b[:, 1] <= hi[:, 1:]) & (b[:, 3] >= lo[:, 1:])
-        if len(near) and near.sum(axis=1).max() > self.config.max_candidates:
+        route, cell = self.index.pairs(np.minimum(p, q) - e, np.maximum(p, q) + e)
+        if len(route) and np.bincount(route).max() > self.config.max_candidates:
             raise ValueError("a route has too many candidate cells")
-        return np.nonzero(near)
+        return route, cell
 
     def parts_many(self, p: np.ndarray, q: np.ndarray) -> list[list[tuple[float, float, str | None]]]:
         """For each route P to Q: (from, to, cell) covering [0, 1]; cell is None outside the area.
@@ -282,7 +260,7 @@ class Tile:
         route, cell = self.candidate_pairs(p, q)
         edge = span(self.edge_start[cell], self.edge_count[cell])
         of = np.repeat(route, self.edge_count[cell])
-        area_of, area_edge = np.repeat(np.arange(n), len(self.aoi.a)), np.tile(np.arange(len(self.aoi.a)), n)
+        area_of, area_edge = self.aoi.around(p, q, 0.0)
         cut_of, cut = [np.arange(n), np.arange(n)], [np.zeros(n), np.ones(n)]
         for who, edges, which in ((of, self.cell_edges, edge), (area_of, self.aoi, area_edge)):
             moving = length[who] > 0
@@ -309,8 +287,7 @@ class Tile:
         mine = np.repeat(np.arange(n), sizes)
         middle = p[mine] + ((lo + hi) / 2)[:, None] * d[mine]
         m = len(middle)
-        inside, apart = contains_many(middle, np.repeat(np.arange(m), len(self.aoi.a)), self.aoi, np.tile(np.arange(len(self.aoi.a)), m), m)
-        in_area = inside | (apart == 0)
+        in_area = self.aoi.inside(middle) | (self.aoi.away(middle, 0.0) == 0)
         first, count = np.searchsorted(route, np.arange(n)), np.bincount(route, minlength=n)
         pair = span(first[mine], count[mine])
         asks = np.repeat(np.arange(m), count[mine])
@@ -318,7 +295,7 @@ class Tile:
         asked = cell[pair]
         which = span(self.edge_start[asked], self.edge_count[asked])
         test = np.repeat(np.arange(len(asks)), self.edge_count[asked])
-        inside, apart = contains_many(middle[asks], test, self.cell_edges, which, len(asks))
+        inside, apart = contains_many(middle[asks], test, which, self.cell_edges, len(asks))
         hit = inside | (apart <= self.config.numerical_tolerance_m)
         owner = np.full(m, len(self.cells))
         np.minimum.at(owner, asks[hit], asked[hit])
@@ -329,55 +306,65 @@ class Tile:
         ends = np.cumsum(sizes).tolist()
         return [rows[e - s : e] for s, e in zip(sizes.tolist(), ends)]
 
-    def screen(self, p: np.ndarray, q: np.ndarray) -> str | None:
-        """Why a route is not accepted by the land mask, else None; the first reason counts."""
-        c = self.config
-        e, point = c.numerical_tolerance_m, bool((p == q).all())
-        length = float(np.hypot(*(q - p)))
-
-        def within(edges: Edges) -> list[tuple[float, float]]:
-            cuts = sorted({0.0, 1.0, *edges.cuts(p, q)})
-            return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a and edges.inside(p + (a + b) / 2 * (q - p))]
-
-        if point:
-            if not self.support.inside(p) and self.support.distance(p) > e:
-                return "water_mask_unavailable"
-            inside, away = self.land.inside(p), self.land.distance(p)
-            if inside and away >= c.shoreline_uncertainty_m:
-                return "material_land_crossing"
-            return "shoreline_uncertainty" if inside or away <= c.shoreline_uncertainty_m else None
-        outside = minus([(0.0, 1.0)], within(self.support))
-        if outside and sum(b - a for a, b in minus(outside, self.support.near(p, q, e))) * length > 1e-9:
-            return "water_mask_unavailable"
-        if not len(self.land.a):
-            return None
-        land = within(self.land)
-        shore = self.land.near(p, q, c.shoreline_uncertainty_m)
-        deep = sum(b - a for a, b in minus(land, shore)) * length
-        if deep > 0 and deep >= c.material_land_crossing_m:
-            return "material_land_crossing"
-        return "shoreline_uncertainty" if land or shore else None
-
     def screen_many(self, p: np.ndarray, q: np.ndarray) -> list[str | None]:
-        """screen() of each route. A route with no edge around it is judged by one of its points, all such at once."""
-        c, n = self.config, len(p)
-        plain = np.ones(n, dtype=bool)
-        held = {}
-        for name, edges, distance in (("support", self.support, c.numerical_tolerance_m), ("land", self.land, c.shoreline_uncertainty_m)):
-            m = len(edges.a)
-            held[name] = np.zeros(n, dtype=bool)
-            if m:
-                for at in np.array_split(np.arange(n), -(-n * m // SCREENED) or 1):
-                    plain[at] &= ~edges.around(p[at], q[at], distance).any(axis=1)
-                    k = len(at)
-                    held[name][at] = contains_many(p[at], np.repeat(np.arange(k), m), edges, np.tile(np.arange(m), k), k)[0]
-        # Deep land decides only for routes long enough; short ones on land are left to screen().
-        plain &= ~held["land"] | ~held["support"]
-        out = np.where(held["support"], None, "water_mask_unavailable").astype(object)
-        for i in np.flatnonzero(~plain).tolist():
-            out[i] = self.screen(p[i], q[i])
+        """Why each route is not accepted by the land mask, else None; the first reason counts.
+
+        In order: a part outside the support (with the tolerance around it), a length within the land that is as far as the
+        uncertainty from its shore and long enough, anything within the uncertainty of the land. All routes at once, as
+        unions of intervals; only edges whose boxes come near a route are looked at.
+        """
+        out = np.full(len(p), None, dtype=object)
+        point = (p == q).all(axis=1)
+        for at, judge in ((np.flatnonzero(point), self._screen_points), (np.flatnonzero(~point), self._screen_lines)):
+            for some in np.array_split(at, -(-len(at) // ROUTES) or 1):
+                if len(some):
+                    out[some] = judge(p[some], q[some])
         return out.tolist()
 
+    def _screen_points(self, p: np.ndarray, _: np.ndarray) -> np.ndarray:
+        c = self.config
+        outside = ~self.support.inside(p) & (self.support.away(p, c.numerical_tolerance_m) > c.numerical_tolerance_m)
+        inside, away = self.land.inside(p), self.land.away(p, c.shoreline_uncertainty_m)
+        return self._first_reason(outside, inside & (away >= c.shoreline_uncertainty_m), inside | (away <= c.shoreline_uncertainty_m))
+
+    def _screen_lines(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        c, n, d = self.config, len(p), q - p
+        length = np.hypot(*d.T)
+        whole = lambda *parts: covered(*map(np.concatenate, zip(*parts)), n) * length
+        supported = self._within(p, q, self.support), near_many(p, d, *self._near(p, q, self.support, c.numerical_tolerance_m))
+        outside = length - whole(*supported) > 1e-9
+        land, shore = self._within(p, q, self.land), near_many(p, d, *self._near(p, q, self.land, c.shoreline_uncertainty_m))
+        deep = whole(land, shore) - whole(shore)
+        touched = np.zeros(n, dtype=bool)
+        touched[land[0]] = touched[shore[0]] = True
+        return self._first_reason(outside, (deep > 1e-9) & (deep >= c.material_land_crossing_m), touched)
+
+    @staticmethod
+    def _near(p: np.ndarray, q: np.ndarray, edges: Edges, distance: float) -> tuple[np.ndarray, Edges, np.ndarray, float]:
+        route, edge = edges.around(p, q, distance)
+        return route, edges, edge, distance
+
+    @staticmethod
+    def _within(p: np.ndarray, q: np.ndarray, edges: Edges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(route, from, to) of the pieces of moving routes inside the rings, cut at every edge they meet."""
+        n, d = len(p), q - p
+        route, edge = edges.around(p, q, 0.0)
+        at, t = cuts_many(p, d, route, edges, edge)
+        who, t = np.concatenate([np.arange(n), np.arange(n), at]), np.concatenate([np.zeros(n), np.ones(n), t])
+        order = np.lexsort((t, who))
+        who, t = who[order], t[order]
+        piece = np.flatnonzero((who[1:] == who[:-1]) & (t[1:] > t[:-1]))
+        who, low, high = who[piece], t[piece], t[piece + 1]
+        inside = edges.inside(p[who] + ((low + high) / 2)[:, None] * d[who])
+        return who[inside], low[inside], high[inside]
+
+    @staticmethod
+    def _first_reason(outside: np.ndarray, deep: np.ndarray, touched: np.ndarray) -> np.ndarray:
+        out = np.where(touched, "shoreline_uncertainty", None).astype(object)
+        out[deep] = "material_land_crossing"
+        out[outside] = "water_mask_unavailable"
+        return out
+
     def require_cover(self) -> None:
         """The area has no gap between its cells: beside each edge of a cell or of the area, what is in the area is in a cell."""
         for edges in (self.cell_edges, self.aoi):
@@ -386,7 +373,7 @@ class Tile:
             a = (edges.a + t * edges.d).reshape(-1, 2)
             d = np.tile(edges.d / pieces, (pieces, 1))
             beside = 2 * self.config.numerical_tolerance_m * np.stack([-d[:, 1], d[:, 0]], axis=1) / np.hypot(*d.T)[:, None]
-            for at in np.array_split(np.arange(len(a)), -(-len(a) * max(1, len(self.aoi.a)) // SCREENED)):
+            for at in np.array_split(np.arange(len(a)), -(-len(a) // ROUTES)):
                 for shift in (beside[at], -beside[at]):
                     self.parts_many(a[at] + shift, a[at] + d[at] + shift)
 
@@ -406,6 +393,22 @@ class Tile:
 
         return clip(x1, y1, x2, y2)
 
+    def candidates_column(self, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+        """The ids of the cells whose boxes come within the tolerance of each route's box, in order."""
+
+        @F.pandas_udf("array<string>")
+        def find(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+            p, q = np.stack([a, b], axis=1).astype(float), np.stack([c, d], axis=1).astype(float)
+            ok = np.flatnonzero(np.isfinite(p).all(axis=1) & np.isfinite(q).all(axis=1))
+            route, cell = self.candidate_pairs(p[ok], q[ok])
+            names = np.array(self.cells, dtype=object)[cell]
+            out = pd.Series([None] * len(a), dtype=object)
+            for i, own in zip(ok.tolist(), np.split(names, np.searchsorted(route, np.arange(1, len(ok))))):
+                out[i] = own.tolist()
+            return out
+
+        return find(x1, y1, x2, y2)
+
     def screen_column(self, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
         @F.pandas_udf("string")
         def judge(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
