@@ -72,12 +72,16 @@ def _level(finest: int) -> Column:
     return F.greatest(F.lit(finest), F.when(extent > 0, F.ceil(F.log2(extent))).otherwise(F.lit(finest))).cast("int")
 
 
-def _dealt(boxes: DataFrame, prefix: str, role: str, levels: Column) -> DataFrame:
-    """A row for each square that a box touches, at each of some levels: at most four a level."""
-    each = boxes.withColumn("level", F.explode(levels)).withColumn("side", F.pow(F.lit(2.0), "level"))
+def _deal(role: str, level: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), level.alias("level"))
+
+
+def _dealt(boxes: DataFrame, prefix: str, deals: Column) -> DataFrame:
+    """A row for each square that a box touches, at the level of each of its deals: at most four each."""
+    each = boxes.withColumn("deal", F.explode(deals)).withColumn("side", F.pow(F.lit(2.0), "deal.level"))
     squares = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.col("side")), F.floor(F.col(b) / F.col("side"))))
     each = each.withColumn("gx", squares("x0", "x1")).withColumn("gy", squares("y0", "y1"))
-    return each.select(F.lit(role).alias("role"), "level", "side", "gx", "gy", *[F.col(c).alias(f"{prefix}{c}") for c in ("id", "x0", "y0", "x1", "y1")])
+    return each.select("deal", "side", "gx", "gy", *[F.col(c).alias(f"{prefix}{c}") for c in ("id", "x0", "y0", "x1", "y1")])
 
 
 def meeting(left: DataFrame, right: DataFrame, finest: int = 6) -> DataFrame:
@@ -94,10 +98,11 @@ def meeting(left: DataFrame, right: DataFrame, finest: int = 6) -> DataFrame:
     left, right = (usable(d.select("id", "x0", "y0", "x1", "y1")).withColumn("own", _level(finest)) for d in (left, right))
     has = lambda d: F.array(*[F.lit(r[0]) for r in d.select("own").distinct().collect()]).cast("array<int>")
     left_levels, right_levels = has(left), has(right)
-    own = F.array("own")
-    l_rows = _dealt(left, "l_", "own", own).unionByName(_dealt(left, "l_", "smaller", F.filter(right_levels, lambda x: x > F.col("own"))))
-    r_rows = _dealt(right, "r_", "own", F.filter(left_levels, lambda x: x >= F.col("own"))).unionByName(_dealt(right, "r_", "smaller", own))
-    met = l_rows.join(r_rows.drop("side"), ["role", "level", "gx", "gy"])
+    above = lambda role, levels, keep: F.transform(F.filter(levels, keep), lambda x: _deal(role, x))
+    own = F.col("own")
+    l_rows = _dealt(left, "l_", F.concat(F.array(_deal("own", own)), above("smaller", right_levels, lambda x: x > own)))
+    r_rows = _dealt(right, "r_", F.concat(F.array(_deal("smaller", own)), above("own", left_levels, lambda x: x >= own)))
+    met = l_rows.join(r_rows.drop("side"), ["deal", "gx", "gy"])
     overlap = (F.col("l_x0") <= F.col("r_x1")) & (F.col("r_x0") <= F.col("l_x1")) & (F.col("l_y0") <= F.col("r_y1")) & (F.col("r_y0") <= F.col("l_y1"))
     counted = lambda g, a, b: F.floor(F.greatest(a, b) / F.col("side")) == F.col(g)
     return met.filter(overlap & counted("gx", "l_x0", "r_x0") & counted("gy", "l_y0", "r_y0")).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"))

@@ -34,11 +34,23 @@ def polygon(x: float, y: float, side: float) -> dict:
     return {"type": "Polygon", "coordinates": [square(x, y, side)]}
 
 
-def make_grid() -> Tile:
+def cell_name(prefix: str, row: int, column: int) -> str:
+    return f"{prefix}{row:02d}c{column:02d}"
+
+
+def make_grid(land: tuple[tuple[float, float, float, float], ...] = (), support: float = 20_000.0) -> Tile:
+    """land: rectangles from (x, y) to (x, y); support: half of the support's side."""
     start = -SIDE * COUNT / 2
-    cells = [(f"r{r:02d}c{c:02d}", square(start + c * SIDE, start + r * SIDE, SIDE)) for r in range(COUNT) for c in range(COUNT)]
+    cells = [(cell_name("r", r, c), square(start + c * SIDE, start + r * SIDE, SIDE)) for r in range(COUNT) for c in range(COUNT)]
     area = polygon(-HALF_AREA, -HALF_AREA, 2 * HALF_AREA)
-    return Tile(TileConfig(PROJECTION, 7), area, {"type": "MultiPolygon", "coordinates": []}, polygon(-20_000, -20_000, 40_000), cells)
+    islands = [[[geographic(*p) for p in ((x, y), (u, y), (u, v), (x, v), (x, y))]] for x, y, u, v in land]
+    return Tile(TileConfig(PROJECTION, 7), area, {"type": "MultiPolygon", "coordinates": islands}, polygon(-support, -support, 2 * support), cells)
 
 
 GRID = make_grid()
+#: Islands, and half of the side of a support that some routes leave, for the land screen.
+ISLANDS = ((-6000.0, -7000.0, -5200.0, -2000.0), (-1000.0, 1000.0, 500.0, 1006.0), (2000.0, -500.0, 2003.0, 4000.0), (4000.0, 5000.0, 7000.0, 8000.0))
+SUPPORT = 10_000.0
+SHORE = make_grid(ISLANDS, SUPPORT)
+#: A tile of many small cells, as a table: side of a cell, and cells on a side.
+FINE_SIDE, FINE_COUNT = 200.0, 100

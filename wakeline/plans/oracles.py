@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .grid import COUNT, HALF_AREA, SIDE
+from .grid import COUNT, FINE_COUNT, FINE_SIDE, HALF_AREA, ISLANDS, SHORE, SIDE, SUPPORT
 
 #: Reports of the events table; copies adds the repeated and moved ones.
 E = """e AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_type, value,
@@ -123,6 +123,52 @@ PARTS = f"""{tracks()}, lines AS ({LINES}),
         CASE WHEN left_sog IS NOT NULL AND sog IS NOT NULL THEN (fu - bu) / 1e6::DOUBLE * (left_sog + (sog - left_sog) * (u + v) / 2) END AS integral
         FROM part WHERE fu > bu)"""
 
+
+
+def candidates(prefix: str, side: float, count: int) -> str:
+    """Every accepted route against every cell of a grid, box by box."""
+    at = lambda k: f"({k} - {count / 2}::DOUBLE) * {side}::DOUBLE"
+    e = "0.001::DOUBLE"
+    return f"""WITH {tracks()}, cells AS (SELECT '{prefix}' || lpad(CAST(i // {count} AS VARCHAR), 2, '0') || 'c' || lpad(CAST(i % {count} AS VARCHAR), 2, '0') AS cell,
+            {at(f"(i % {count})")} AS cx, {at(f"(i // {count})")} AS cy FROM range(0, {count * count}) t(i))
+        SELECT record_key AS right_record_key, count(*) AS n, min(cell) AS first_cell, max(cell) AS last_cell FROM acc JOIN cells
+        ON cx <= greatest(x1, x) + {e} AND cx + {side}::DOUBLE >= least(x1, x) - {e} AND cy <= greatest(y1, y) + {e} AND cy + {side}::DOUBLE >= least(y1, y) - {e}
+        GROUP BY record_key"""
+
+
+def slab(low: str, high: str, p: str, d: str) -> str:
+    """Where p + t d is between low and high, as [from, to]; all or nothing if d is 0."""
+    return f"""CASE WHEN {d} = 0 THEN CASE WHEN {p} BETWEEN {low} AND {high} THEN [-1e9::DOUBLE, 1e9::DOUBLE] ELSE [1e9::DOUBLE, -1e9::DOUBLE] END
+        ELSE [least(({low} - {p}) / {d}, ({high} - {p}) / {d}), greatest(({low} - {p}) / {d}, ({high} - {p}) / {d})] END"""
+
+
+def inside_length(shrunk: str) -> str:
+    """Metres of the route within an island's rectangle made smaller on each side."""
+    sx, sy = slab(f"ax + {shrunk}", f"bx - {shrunk}", "x1", "dx"), slab(f"ay + {shrunk}", f"by_ - {shrunk}", "y1", "dy")
+    return f"CASE WHEN least(bx - ax, by_ - ay) < 2 * {shrunk} THEN 0 ELSE greatest(0, least(1, ({sx})[2], ({sy})[2]) - greatest(0, ({sx})[1], ({sy})[1])) * len END"
+
+
+def to_box(x: str, y: str) -> str:
+    return f"sqrt(greatest(ax - {x}, 0, {x} - bx) ** 2 + greatest(ay - {y}, 0, {y} - by_) ** 2)"
+
+
+def to_route(x: str, y: str) -> str:
+    """Distance of a point from the route."""
+    t = f"least(1, greatest(0, (({x} - x1) * dx + ({y} - y1) * dy) / nullif(len * len, 0)))"
+    return f"sqrt((x1 + coalesce({t}, 0) * dx - {x}) ** 2 + (y1 + coalesce({t}, 0) * dy - {y}) ** 2)"
+
+
+#: Each route against each island: metres deep inside it, metres inside, and the distance where they don't meet.
+D = f"{SHORE.config.shoreline_uncertainty_m}::DOUBLE"
+SCREENED = f"""islands(ax, ay, bx, by_) AS (VALUES {", ".join("(" + ", ".join(f"{v}::DOUBLE" for v in i) + ")" for i in ISLANDS)}),
+    open_ AS (SELECT record_key, x1, y1, x - x1 AS dx, y - y1 AS dy, x, y, len FROM dec WHERE hit AND early = ''),
+    met AS (SELECT record_key, {inside_length(D)} AS deep, {inside_length("0.0::DOUBLE")} AS held, least({to_box("x1", "y1")}, {to_box("x", "y")},
+            {to_route("ax", "ay")}, {to_route("ax", "by_")}, {to_route("bx", "ay")}, {to_route("bx", "by_")}) AS away FROM open_, islands),
+    land AS (SELECT record_key, sum(deep) AS deep, bool_or(held > 0 OR away <= {D}) AS touched FROM met GROUP BY record_key),
+    screened AS (SELECT o.record_key, CASE WHEN greatest(abs(x1), abs(x), abs(y1), abs(y)) > {SUPPORT + 0.001}::DOUBLE THEN 'water_mask_unavailable'
+            WHEN deep >= {SHORE.config.material_land_crossing_m}::DOUBLE THEN 'material_land_crossing' WHEN touched THEN 'shoreline_uncertainty' END AS reason
+        FROM open_ o JOIN land USING (record_key))"""
+
 STABLE = "code IS NOT DISTINCT FROM left_code AND equipment IS NOT DISTINCT FROM left_equipment"
 STATE = f"""SELECT mmsi, arg_max(record_key, ts) FILTER (outcome = 'accepted' AND ts < {CORE_END}) AS point_key,
     max(ts) FILTER (outcome = 'accepted' AND ts < {CORE_END}) AS point_ts, coalesce(bool_or(outcome = 'rejected'), false) AS barrier_seen
@@ -187,6 +233,13 @@ ORACLE_SQL = {
     "implied_speed": f"WITH {tracks()} SELECT record_key, round(len, 2) AS length_m, round(knots, 3) AS knots FROM epi WHERE knots IS NOT NULL",
     "midnight_split": f"""WITH {PARTS} SELECT CAST(b AS DATE) AS utc_date, count(*) AS slices, round(sum((epoch_us(f) - epoch_us(b)) / 1e6::DOUBLE), 3) AS seconds
         FROM days GROUP BY ALL""",
+    "spatial_candidates": candidates("r", SIDE, COUNT).replace(
+        "GROUP BY record_key", "GROUP BY record_key UNION ALL SELECT record_key, 0, NULL, NULL FROM acc WHERE NOT EXISTS (SELECT 1 FROM cells "
+        "WHERE cx <= greatest(x1, x) + 0.001 AND cx + 3000 >= least(x1, x) - 0.001 AND cy <= greatest(y1, y) + 0.001 AND cy + 3000 >= least(y1, y) - 0.001)"
+    ),
+    "spatial_candidates_fine": candidates("f", FINE_SIDE, FINE_COUNT),
+    "land_screen": f"""WITH {tracks()}, {SCREENED} SELECT record_key AS right_record_key, CASE WHEN reasons = '' AND reason IS NULL THEN 'accepted_estimate' ELSE 'rejected' END AS outcome,
+        concat_ws(',', nullif(reasons, ''), reason) AS reasons FROM epi LEFT JOIN screened USING (record_key) WHERE hit""",
     "clip_allocation": f"""WITH {PARTS} SELECT coalesce(cell, 'outside') AS cell, utc_date, count(cell) AS parts, round(sum(seconds), 2) AS seconds, round(sum(km), 3) AS km
         FROM con GROUP BY ALL""",
     "ledger_rollup": f"""WITH {PARTS} SELECT record_key AS right_record_key, round(max(gap), 3) AS owned_seconds,

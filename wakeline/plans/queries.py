@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import civil, identity, parsing
 from ..operators import allocate as alloc
-from ..operators import metrics, reconcile, tracks
+from ..operators import boxes, metrics, reconcile, tracks
 from ..sources.catalog import catalog_table
 from . import relation as rel
-from .grid import GRID
+from .grid import FINE_COUNT, FINE_SIDE, GRID, SHORE
 
 CODES = {"click": "active", "view": "passive", "purchase": "active"}
 BANDS = {"slow": (0.0, 5.0), "medium": (5.0, 20.0), "fast": (20.0, 1000.0)}
@@ -196,6 +196,35 @@ def _contributions(spark, sf_dir):
     return i, alloc.allocate(i, rel.FIRST, rel.LAST, 7, GRID.parts_column)
 
 
+def spatial_candidates(spark, sf_dir):
+    """The cells of a tile that goes to the tasks, found by its packed index for each accepted route."""
+    i = _accepted(spark, sf_dir).filter("outcome = 'accepted_estimate'")
+    found = i.select("right_record_key", GRID.candidates_column(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("c"))
+    return found.select("right_record_key", F.size("c").alias("n"), F.array_min("c").alias("first_cell"), F.array_max("c").alias("last_cell"))
+
+
+def spatial_candidates_fine(spark, sf_dir):
+    """The same over a table of 10,000 cells, which no task holds: a join over grid squares."""
+    e = GRID.config.numerical_tolerance_m
+    i = _accepted(spark, sf_dir).filter("outcome = 'accepted_estimate'")
+    route = lambda pick, c, shift: (pick(F.col(f"{c}1"), F.col(f"{c}2")) + shift).alias(f"{c}{0 if shift < 0 else 1}")
+    routes = i.select(F.col("right_record_key").alias("id"), *[route(f, c, s) for c in "xy" for f, s in ((F.least, -e), (F.greatest, e))])
+    row, column = F.floor(F.col("id") / FINE_COUNT), F.col("id") % FINE_COUNT
+    at = lambda k: (k - FINE_COUNT / 2) * FINE_SIDE
+    cells = spark.range(FINE_COUNT * FINE_COUNT).select(
+        F.format_string("f%02dc%02d", row, column).alias("id"), at(column).alias("x0"), at(row).alias("y0"), at(column + 1).alias("x1"), at(row + 1).alias("y1")
+    )
+    met = boxes.meeting(routes, cells)
+    return met.groupBy(F.col("left_id").alias("right_record_key")).agg(F.count(F.lit(1)).alias("n"), F.min("right_id").alias("first_cell"), F.max("right_id").alias("last_cell"))
+
+
+def land_screen(spark, sf_dir):
+    """Reasons of a tile with islands, beside those that need no geometry."""
+    e = tracks.adjacency(tracks.events_of(rel.track_events(spark, sf_dir)))
+    i = tracks.interval_ledger(tracks.with_episodes(tracks.decided(e, rel.TRACKS, rel.PROJECTION, SHORE.screen_column)))
+    return i.select("right_record_key", "outcome", joined("reasons").alias("reasons"))
+
+
 def clip_allocation(spark, sf_dir):
     _, c = _contributions(spark, sf_dir)
     return c.groupBy(F.coalesce("cell", F.lit("outside")).alias("cell"), "utc_date").agg(
@@ -286,7 +315,7 @@ QUERIES = {
         parse_positions, parse_reasons, naive_time_policy, sog_flags, era_check, null_like, classify, validate_report, scope_filter,
         record_key_hash, reconcile_groups, reconcile_outcomes, reconcile_vessels, carry_conflict, ingestion_state, ingestion_state_carried,
         adjacency, interval_ladder, episodes, checkpoint, assess_pairs, project_xy, inverse_xy, implied_speed, midnight_split,
-        clip_allocation, ledger_rollup, conservation, daily_metrics, observed_vessels, speed_bands, dayparts, civil_day, export_check,
+        spatial_candidates, spatial_candidates_fine, land_screen, clip_allocation, ledger_rollup, conservation, daily_metrics, observed_vessels, speed_bands, dayparts, civil_day, export_check,
         metric_envelope, catalog, metrics_list,
     )
 }
