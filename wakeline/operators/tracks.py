@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.identity import fingerprint
 from ..functions.projection import LocalProjection
@@ -43,22 +44,101 @@ def events_of(audit: DataFrame) -> DataFrame:
     return audit.filter(ok).select("mmsi", *EVENT)
 
 
+#: Rows of a vessel from which it is cut into slices, about the rows of a slice, and the seconds of the time steps slices are made of.
+SLICE_ROWS, SLICE_SECONDS = 500_000, 600
+
+
+def sliced(events: DataFrame, rows: int = SLICE_ROWS, seconds: int = SLICE_SECONDS) -> DataFrame:
+    """events with _slice: vessels of more than some rows in slices of their time order, others in slice 0.
+
+    From counts by vessel and time step (combined before the shuffle), summed up for large vessels only. A slice has about
+    so many rows unless one time step has more; a vessel's events without time are a step of their own, the first. The
+    slice depends on nothing but the data. What comes after works slice by slice, with summaries passed from slice to slice.
+    """
+    step = F.coalesce(F.floor(F.unix_micros("timestamp") / F.lit(seconds * 1_000_000)), F.lit(-(2**62)))
+    e = events.withColumn("_step", step)
+    counts = e.groupBy("mmsi", "_step").agg(F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy("mmsi")
+    large = counts.withColumn("_all", F.sum("_n").over(w)).filter(F.col("_all") > rows)
+    before = F.sum("_n").over(w.orderBy("_step")) - F.col("_n")
+    slices = large.select("mmsi", "_step", F.floor(before / rows).alias("_slice"))
+    return e.join(slices, ["mmsi", "_step"], "left").withColumn("_slice", F.coalesce("_slice", F.lit(0))).drop("_step")
+
+
+def parts_of(rows: DataFrame) -> list[str]:
+    """What one task orders: a vessel, or a slice of one."""
+    return ["mmsi", "_slice"] if "_slice" in rows.columns else ["mmsi"]
+
+
+def passed_on(rows: DataFrame, summary: dict[str, Column], scan: dict[str, Callable[[WindowSpec, WindowSpec], Column]]) -> DataFrame:
+    """rows with the results of a scan over their vessel's slices.
+
+    summary: aggregates of each slice; scan: of each result, how it follows from them, given windows over the slices
+    before and over all slices of a vessel. There is one row for each slice, so the scan is small.
+    """
+    s = rows.groupBy("mmsi", "_slice").agg(*[c.alias(k) for k, c in summary.items()])
+    w = W.partitionBy("mmsi").orderBy("_slice")
+    earlier, whole = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    s = s.select("mmsi", "_slice", *[f(earlier, whole).alias(k) for k, f in scan.items()])
+    return rows.join(s, ["mmsi", "_slice"])
+
+
+def numbered(rows: DataFrame, position: str = "position") -> DataFrame:
+    """rows(mmsi, timestamp, record_key, ...) with their place, from 1, in the order of these three, nulls first.
+
+    Slices are ordered by themselves, and start where the counts of all earlier slices end: sums of slice counts within
+    vessels of the same first three digits (in hulls' ids, their country), and of the few sums of those before. So no task
+    sees more than a slice's rows, or one country's slices.
+    """
+    named = rows.withColumns({"_mmsi": F.col("mmsi"), "mmsi": F.coalesce(F.concat(F.lit("v"), "mmsi"), F.lit(""))})
+    cut = sliced(named)
+    own = W.partitionBy("mmsi", "_slice").orderBy(F.col("timestamp").asc_nulls_first(), "record_key")
+    counts = cut.groupBy("mmsi", "_slice").agg(F.count(F.lit(1)).alias("_n")).withColumn("_group", F.substring("mmsi", 1, 4))
+    groups = counts.groupBy("_group").agg(F.sum("_n").alias("_all"))
+    groups = groups.select("_group", (F.sum("_all").over(W.orderBy("_group")) - F.col("_all")).alias("_earlier"))
+    within = F.sum("_n").over(W.partitionBy("_group").orderBy("mmsi", "_slice")) - F.col("_n")
+    starts = counts.withColumn("_within", within).join(groups, "_group").select("mmsi", "_slice", (F.col("_within") + F.col("_earlier")).alias("_start"))
+    placed = cut.withColumn(position, F.row_number().over(own)).join(starts, ["mmsi", "_slice"])
+    placed = placed.withColumns({position: (F.col(position) + F.col("_start")).cast("long"), "mmsi": F.col("_mmsi")})
+    return placed.select(*rows.columns, position)
+
+
 def adjacency(events: DataFrame, carry: DataFrame | None = None) -> DataFrame:
     """Each event with prev (the one before it in time), skip, unknown_time, carried_barrier and carry_episode.
 
     carry(mmsi, point struct of EVENT, barrier_seen, episode_id) stands before a vessel's first event, unless
     that is timed and earlier: then the carried point and its episode are dropped and the barrier stays.
-    skip marks a repeat of the event before: it becomes the next one's prev, and is nothing else.
+    skip marks a repeat of the event before: it becomes the next one's prev, and is nothing else. Events of sliced() are
+    ordered slice by slice, with the same result.
     """
-    w = W.partitionBy("mmsi").orderBy(F.col("timestamp").asc_nulls_first(), "record_key")
-    whole = W.partitionBy("mmsi")
-    row = F.struct(*EVENT)
-    e = events.select(
-        "*",
-        F.lag(row).over(w).alias("prev"),
-        F.row_number().over(w).alias("nth"),
-        F.max(F.col("timestamp").isNull()).over(whole).alias("unknown_time"),
-    )
+    parts = W.partitionBy(*parts_of(events))
+    w = parts.orderBy(F.col("timestamp").asc_nulls_first(), "record_key")
+    row, order = F.struct(*EVENT), F.struct("timestamp", "record_key")
+    found = {
+        "prev": F.lag(row).over(w),
+        "nth": F.row_number().over(w),
+        "unknown_time": F.max(F.col("timestamp").isNull()).over(parts),
+        "_first": F.min(order).over(parts),
+    }
+    e = events.select("*", *[c.alias(k) for k, c in found.items()])
+    if "_slice" in events.columns:
+        e = passed_on(
+            e,
+            {"_last": F.max_by(row, order), "_n": F.count(F.lit(1)), "_unknown": F.bool_or(F.col("timestamp").isNull()), "_least": F.min(order)},
+            {
+                "_before": lambda earlier, whole: F.last("_last").over(earlier),
+                "_offset": lambda earlier, whole: F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
+                "_unknown": lambda earlier, whole: F.bool_or("_unknown").over(whole),
+                "_least": lambda earlier, whole: F.min("_least").over(whole),
+            },
+        ).withColumns(
+            {
+                "prev": F.coalesce("prev", "_before"),
+                "nth": (F.col("nth") + F.col("_offset")).cast("long"),
+                "unknown_time": F.col("_unknown"),
+                "_first": F.col("_least"),
+            }
+        ).drop("_before", "_offset", "_unknown", "_least")
     if carry is None:
         e = e.withColumns({"carried_barrier": F.lit(False), "carry_episode": F.lit(None).cast("string")})
     else:
@@ -66,17 +146,16 @@ def adjacency(events: DataFrame, carry: DataFrame | None = None) -> DataFrame:
             "mmsi", F.col("point").alias("_point"), F.col("barrier_seen").alias("_barrier"), F.col("episode_id").alias("_episode")
         )
         e = e.join(c, "mmsi", "left")
-        stale = (F.col("nth") == 1) & F.coalesce(F.col("timestamp") < F.col("_point.timestamp"), F.lit(False))
-        first = (F.col("nth") == 1) & ~stale
         # A stale first row drops the episode for all the vessel's rows.
-        e = e.withColumn("_stale", F.max(stale).over(whole))
+        e = e.withColumn("_stale", F.coalesce(F.col("_first.timestamp") < F.col("_point.timestamp"), F.lit(False)))
         e = e.withColumns(
             {
-                "prev": F.when(first, F.col("_point")).otherwise(F.col("prev")),
+                "prev": F.when((F.col("nth") == 1) & ~F.col("_stale"), F.col("_point")).otherwise(F.col("prev")),
                 "carried_barrier": F.coalesce("_barrier", F.lit(False)),
                 "carry_episode": F.when(~F.col("_stale"), F.col("_episode")),
             }
         ).drop("_point", "_barrier", "_episode", "_stale")
+    e = e.drop("_first")
     repeat = (
         (F.col("timestamp") == F.col("prev.timestamp"))
         & (F.col("outcome") == "accepted")
@@ -143,15 +222,27 @@ def with_episodes(decisions: DataFrame) -> DataFrame:
     """
     d = decisions.withColumn("rejected", F.col("intersects") & (F.size("reasons") > 0))
     d = d.withColumn("breaks", ~F.col("skip") & (F.col("rejected") | (F.col("outcome") != "accepted")))
-    w = W.partitionBy("mmsi").orderBy(F.col("timestamp").asc_nulls_first(), "record_key")
+    w = W.partitionBy(*parts_of(d)).orderBy(F.col("timestamp").asc_nulls_first(), "record_key")
     before = w.rowsBetween(W.unboundedPreceding, -1)
     upto = w.rowsBetween(W.unboundedPreceding, 0)
-    last_break = F.last(F.when(F.col("breaks"), F.col("record_key")), ignorenulls=True).over(before)
-    first_key = F.first(F.when(~F.col("skip"), F.col("record_key")), ignorenulls=True).over(upto)
+    breaking, real = (F.when(c, F.col("record_key")) for c in (F.col("breaks"), ~F.col("skip")))
+    last_break, first_key = F.last(breaking, ignorenulls=True).over(before), F.first(real, ignorenulls=True).over(upto)
+    if "_slice" in d.columns:
+        order = F.struct("timestamp", "record_key")
+        d = d.withColumns({"_break": last_break, "_key": first_key})
+        d = passed_on(
+            d,
+            {"_breaks": F.max_by("record_key", F.when(F.col("breaks"), order)), "_keys": F.min_by("record_key", F.when(~F.col("skip"), order))},
+            {
+                "_earlier_break": lambda earlier, whole: F.last("_breaks", ignorenulls=True).over(earlier),
+                "_earlier_key": lambda earlier, whole: F.first("_keys", ignorenulls=True).over(earlier),
+            },
+        )
+        last_break, first_key = F.coalesce("_break", "_earlier_break"), F.coalesce("_earlier_key", "_key")
     mmsi = F.col("mmsi")
     d = d.withColumn("episode_id", F.coalesce(episode_id(last_break, mmsi), "carry_episode", episode_id(first_key, mmsi)))
     own = episode_id(F.col("record_key"), mmsi)
-    return d.withColumn("episode_after", F.when(F.col("breaks"), own).otherwise(F.col("episode_id")))
+    return d.withColumn("episode_after", F.when(F.col("breaks"), own).otherwise(F.col("episode_id"))).drop("_break", "_key", "_earlier_break", "_earlier_key")
 
 
 def interval_ledger(episodes: DataFrame) -> DataFrame:

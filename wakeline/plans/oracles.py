@@ -5,15 +5,15 @@ from __future__ import annotations
 from .grid import COUNT, FINE_COUNT, FINE_SIDE, HALF_AREA, ISLANDS, SHORE, SIDE, SUPPORT
 
 #: Reports of the events table; copies adds the repeated and moved ones.
-E = """e AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_type, value,
-    lpad(CAST(200000000 + user_id % (SELECT greatest(1, count(*) // 2000) FROM events) AS VARCHAR), 9, '0') AS mmsi FROM events)"""
+VESSEL = "lpad(CAST(200000000 + user_id % (SELECT greatest(1, count(*) // 2000) FROM events) AS VARCHAR), 9, '0')"
+E = f"""e AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_type, value, {VESSEL} AS mmsi FROM events)"""
 
 
 def positions(copies: bool = False) -> str:
-    source = "SELECT *, 0 AS copy, 0.0::DOUBLE AS shift FROM e WHERE event_id % 97 <> 0"
+    source = "SELECT *, 0 AS copy, 0.0::DOUBLE AS shift FROM e"
     if copies:
         source += """ UNION ALL SELECT *, 1, CASE WHEN event_id % 30 = 0 THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END
-            FROM e WHERE event_id % 97 <> 0 AND event_id % 10 = 0"""
+            FROM e WHERE event_id % 10 = 0"""
     return f"""{E}, s AS ({source}), p AS (SELECT event_id, mmsi, ts,
         'events:' || lpad(CAST(event_id AS VARCHAR), 20, '0') || CASE WHEN copy = 1 THEN 'c' ELSE '' END AS record_key,
         19.9::DOUBLE + ((event_id * 37) % 2000) / 10000.0::DOUBLE + shift AS lon,
@@ -210,6 +210,16 @@ ORACLE_SQL = {
     "ingestion_state": f"WITH {AUDIT} {STATE}",
     "ingestion_state_carried": f"WITH {AUDIT} {STATE}",
     "adjacency": f"WITH {tracks()} SELECT record_key, left_key, round(gap, 6) AS gap_seconds, false AS skip FROM adj WHERE left_key IS NOT NULL",
+    "global_order": f"""WITH {positions(True)}, o AS (SELECT record_key, CASE WHEN event_id % 97 <> 0 THEN mmsi END AS mmsi, CASE WHEN event_id % 89 <> 0 THEN ts END AS ts FROM p)
+        SELECT record_key, mmsi, row_number() OVER (ORDER BY mmsi NULLS FIRST, ts NULLS FIRST, record_key) AS position FROM o""",
+    "carry_chain": f"""WITH {tracks()}, seen AS (SELECT mmsi, bool_or(breaks) AS barrier FROM brk WHERE ts < {CORE_START} GROUP BY mmsi),
+        chained AS (SELECT dec.* EXCLUDE (reasons), CASE WHEN coalesce(barrier, false) AND left_ts < {CORE_START} AND ts >= {CORE_START}
+            THEN concat_ws(',', 'conservative_carry_or_unknown_time_barrier', CASE WHEN early <> '' THEN reasons END) ELSE reasons END AS reasons FROM dec LEFT JOIN seen USING (mmsi)),
+        broken AS (SELECT *, (hit AND reasons <> '') OR outcome <> 'accepted' AS breaks FROM chained),
+        named AS (SELECT *, coalesce(last_value(CASE WHEN breaks THEN record_key END IGNORE NULLS) OVER (PARTITION BY mmsi ORDER BY ts, record_key
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_value(record_key) OVER (PARTITION BY mmsi ORDER BY ts, record_key)) AS ep FROM broken)
+        SELECT record_key AS right_record_key, left_key AS left_record_key, CASE WHEN reasons = '' THEN 'accepted_estimate' ELSE 'rejected' END AS outcome, reasons,
+            {episode("ep")} AS episode_id FROM named WHERE hit""",
     "interval_ladder": f"""WITH {tracks()} SELECT record_key AS right_record_key, left_key AS left_record_key,
         CASE WHEN reasons = '' THEN 'accepted_estimate' ELSE 'rejected' END AS outcome, reasons,
         CASE WHEN {STABLE} THEN 'stable_raw_attributes' ELSE 'endpoint_class_change_unknown' END AS class_status FROM epi WHERE hit""",
@@ -281,3 +291,6 @@ ORACLE_SQL = {
         ('speed_band_hours', 'vessel h', 'track_estimate', 'sum within same variant/band'),
         ('mean_supported_concurrency', 'vessels', 'track_estimate', 'sum vessel-hours / window hours')) t(name, unit, method_kind, reduction)""",
 }
+
+for _name in ("adjacency", "episodes", "checkpoint"):
+    ORACLE_SQL[f"crowded_{_name}"] = ORACLE_SQL[_name].replace(VESSEL, f"CASE WHEN event_id % 10 < 9 THEN '200000000' ELSE {VESSEL} END")

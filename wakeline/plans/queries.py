@@ -127,29 +127,70 @@ def _episodes(spark, sf_dir):
     return tracks.with_episodes(tracks.decided(e, rel.TRACKS, rel.PROJECTION))
 
 
-def adjacency(spark, sf_dir):
-    e = tracks.adjacency(tracks.events_of(rel.track_events(spark, sf_dir))).filter("prev IS NOT NULL")
+def _pairs(adjacent: DataFrame) -> DataFrame:
+    e = adjacent.filter("prev IS NOT NULL")
     gap = (F.unix_micros("timestamp") - F.unix_micros("prev.timestamp")) / 1e6
     return e.select("record_key", F.col("prev.record_key").alias("left_key"), F.round(gap, 6).alias("gap_seconds"), "skip")
 
 
+def adjacency(spark, sf_dir):
+    return _pairs(tracks.adjacency(tracks.events_of(rel.track_events(spark, sf_dir))))
+
+
+def crowded_adjacency(spark, sf_dir):
+    """One vessel with most reports, ordered slice by slice."""
+    return _pairs(tracks.adjacency(rel.crowded_events(spark, sf_dir)))
+
+
+def global_order(spark, sf_dir):
+    """Every report's place in the order of vessel, time and key; some lack a vessel or a time."""
+    e, i = rel.positions(spark, sf_dir, copies=True), F.col("event_id")
+    odd = e.withColumns({"mmsi": F.when(i % 97 != 0, F.col("mmsi")), "timestamp": F.when(i % 89 != 0, F.col("timestamp"))})
+    return tracks.numbered(odd.select("mmsi", "timestamp", "record_key")).select("record_key", "mmsi", "position")
+
+
+def carry_chain(spark, sf_dir):
+    """Two adjacent windows, the second with the state of the first before it: both ledgers with their episodes."""
+    e = tracks.events_of(rel.track_events(spark, sf_dir))
+    split = F.lit(rel.CORE_START)
+    first = tracks.TrackConfig(1800, 90, rel.FIRST, rel.CORE_START)
+    second = tracks.TrackConfig(1800, 90, rel.CORE_START, rel.LAST)
+    before = tracks.with_episodes(tracks.decided(tracks.adjacency(e.filter(F.col("timestamp") < split)), first, rel.PROJECTION))
+    state = tracks.checkpoint(before, first)
+    after = tracks.with_episodes(tracks.decided(tracks.adjacency(e.filter(F.col("timestamp") >= split), state), second, rel.PROJECTION))
+    row = ("right_record_key", "left_record_key", "outcome", joined("reasons").alias("reasons"), "episode_id")
+    return tracks.interval_ledger(before).select(*row).unionByName(tracks.interval_ledger(after).select(*row))
+
+
 def interval_ladder(spark, sf_dir):
     i = tracks.interval_ledger(_episodes(spark, sf_dir))
     return i.select("right_record_key", "left_record_key", "outcome", joined("reasons").alias("reasons"), "class_status")
 
 
 def episodes(spark, sf_dir):
-    e = _episodes(spark, sf_dir)
-    return e.select("record_key", "breaks", F.col("episode_id").alias("episode_id"), F.col("episode_after").alias("episode_after"))
+    return _episodes(spark, sf_dir).select("record_key", "breaks", "episode_id", "episode_after")
+
+
+def crowded_episodes(spark, sf_dir):
+    e = tracks.adjacency(rel.crowded_events(spark, sf_dir))
+    return tracks.with_episodes(tracks.decided(e, rel.TRACKS, rel.PROJECTION)).select("record_key", "breaks", "episode_id", "episode_after")
 
 
 def checkpoint(spark, sf_dir):
     config = tracks.TrackConfig(1800, 90, rel.FIRST, rel.CORE_END)
-    e = tracks.adjacency(tracks.events_of(rel.track_events(spark, sf_dir)))
-    c = tracks.checkpoint(tracks.with_episodes(tracks.decided(e, config, rel.PROJECTION)), config)
+    return _checkpoint(tracks.adjacency(tracks.events_of(rel.track_events(spark, sf_dir))), config)
+
+
+def _checkpoint(adjacent: DataFrame, config: tracks.TrackConfig) -> DataFrame:
+    c = tracks.checkpoint(tracks.with_episodes(tracks.decided(adjacent, config, rel.PROJECTION)), config)
     return c.select("mmsi", F.col("point.record_key").alias("last_key"), "barrier_seen", "episode_id")
 
 
+def crowded_checkpoint(spark, sf_dir):
+    config = tracks.TrackConfig(1800, 90, rel.FIRST, rel.CORE_END)
+    return _checkpoint(tracks.adjacency(rel.crowded_events(spark, sf_dir)), config)
+
+
 def assess_pairs(spark, sf_dir):
     e = tracks.adjacency(tracks.events_of(rel.track_events(spark, sf_dir))).filter("prev IS NOT NULL")
     side = lambda p, ok: F.when(ok == "accepted", F.struct(F.col("mmsi").alias("mmsi"), *[F.col(f"{p}{c}").alias(c) for c in ("timestamp", "longitude", "latitude", "imo")]))
@@ -314,7 +355,7 @@ QUERIES = {
     for f in (
         parse_positions, parse_reasons, naive_time_policy, sog_flags, era_check, null_like, classify, validate_report, scope_filter,
         record_key_hash, reconcile_groups, reconcile_outcomes, reconcile_vessels, carry_conflict, ingestion_state, ingestion_state_carried,
-        adjacency, interval_ladder, episodes, checkpoint, assess_pairs, project_xy, inverse_xy, implied_speed, midnight_split,
+        adjacency, interval_ladder, episodes, checkpoint, crowded_adjacency, crowded_episodes, crowded_checkpoint, carry_chain, global_order, assess_pairs, project_xy, inverse_xy, implied_speed, midnight_split,
         spatial_candidates, spatial_candidates_fine, land_screen, clip_allocation, ledger_rollup, conservation, daily_metrics, observed_vessels, speed_bands, dayparts, civil_day, export_check,
         metric_envelope, catalog, metrics_list,
     )

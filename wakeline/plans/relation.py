@@ -14,7 +14,7 @@ from ..functions.identity import record_key, retained_signature
 from ..functions.parsing import HEADERS, LEGACY, Parser
 from ..functions.projection import LocalProjection
 from ..operators.reconcile import SpatialFilter, TimeWindow, reconciled, with_scope
-from ..operators.tracks import TrackConfig
+from ..operators.tracks import TrackConfig, events_of, sliced
 
 UTC = timezone.utc
 PROJECTION = LocalProjection(20.0, 10.0, 50_000.0, 0.007)
@@ -35,11 +35,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positions(spark: SparkSession, sf_dir: str, copies: bool = False) -> DataFrame:
-    """Valid reports: event_id, record_key, mmsi, timestamp, longitude, latitude, sog_knots, ... , signature.
+    """A report of each event: event_id, record_key, mmsi, timestamp, longitude, latitude, sog_knots, ... , signature.
 
     copies adds every tenth event twice more: unchanged, and moved by 0.01 degrees for every thirtieth.
     """
-    e = events(spark, sf_dir).filter("event_id % 97 <> 0").withColumns({"copy": F.lit(0), "shift": F.lit(0.0)})
+    e = events(spark, sf_dir).withColumns({"copy": F.lit(0), "shift": F.lit(0.0)})
     if copies:
         moved = F.when(F.col("event_id") % 30 == 0, 0.01).otherwise(0.0)
         e = e.unionByName(e.filter("event_id % 10 = 0").withColumns({"copy": F.lit(1), "shift": moved}))
@@ -126,3 +126,10 @@ def track_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             "scope": F.when(F.col("event_id") % 89 == 0, F.lit("outside")).otherwise(F.lit("core")),
         }
     )
+
+
+def crowded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with nine tenths of all reports from one vessel, cut into slices."""
+    e = track_events(spark, sf_dir)
+    one = e.withColumn("mmsi", F.when(F.col("event_id") % 10 < 9, F.lit("200000000")).otherwise(F.col("mmsi")))
+    return sliced(events_of(one), rows=2000, seconds=3600)

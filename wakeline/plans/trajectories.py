@@ -53,7 +53,7 @@ def estimate(
     adjacency, the land screen and the clipping run once.
     """
     t, projection = config.track, tile.config.projection
-    e = tracks.adjacency(tracks.events_of(audit), carry)
+    e = tracks.adjacency(tracks.sliced(tracks.events_of(audit)), carry)
     e = keep(tracks.with_episodes(tracks.decided(e, t, projection, tile.screen_column)), "events")
     intervals = tracks.interval_ledger(e)
     parts = keep(alloc.allocate(intervals, t.core_start, t.core_end, tile.config.resolution, tile.parts_column), "parts")
