@@ -204,6 +204,28 @@ def test_run_from_ingestion(spark, tmp_path):
     assert points.count() == 5 and points.filter("cell_status = 'observed_point'").count() == 5
 
 
+def test_core_and_carry_must_fit(spark):
+    c = track()
+    at = lambda d: {"core_start": (c.track.core_start + d).isoformat(), "core_end": (c.track.core_end + d).isoformat()}
+    day, none = c.track.core_end - c.track.core_start, timedelta(0)
+    policy = c.policy(tile())
+    trajectories.require_core(c, at(none), None, None, policy)
+    trajectories.require_core(c, at(none), at(-day), at(-day) | {"policy_hash": policy}, policy)
+    for bad in ((at(day), None, None), (at(none), at(none), None), (at(none), at(-day), at(-2 * day) | {"policy_hash": policy}), (at(none), at(-day), at(-day) | {"policy_hash": "x"})):
+        with pytest.raises(ValueError):
+            trajectories.require_core(c, *bad, policy)
+
+
+def test_shared_folder_and_changed_inputs(spark, tmp_path, monkeypatch):
+    jobs.require_shared(spark, tmp_path)
+    assert not list(tmp_path.iterdir())
+    a = write(tmp_path / "a.csv", [line(T0)])
+    monkeypatch.setattr(jobs, "digests_of", lambda spark, paths: dict.fromkeys(paths, "0" * 64))
+    with pytest.raises(ValueError, match="changed"):
+        ingest.ingest(spark, [source(a)], config(), tmp_path / "runs")
+    assert not [p for p in (tmp_path / "runs").iterdir() if (p / "complete.json").exists()]
+
+
 def test_audit_outcomes(spark):
     audit = spark.createDataFrame([("accepted",), ("accepted",), ("rejected",)], "outcome string")
     trajectories.checked_outcomes(audit, {"accepted": 2, "rejected": 1})

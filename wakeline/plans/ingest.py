@@ -119,6 +119,7 @@ def ingest(
         return final
     stage = jobs.staged(root, key)
     try:
+        jobs.require_shared(spark, stage)
         zstd = lambda df, name: df.write.option("compression", "zstd").parquet(str(stage / name))
         audit = audited(raw_records(spark, inputs, config), config, prior)
         zstd(dealt(audit), "audit")
@@ -133,6 +134,12 @@ def ingest(
             raise ValueError(f"empty sources: {sorted(missing)}")
         if sum(counts.values()) > config.max_records:
             raise ValueError("too many records")
+        # The inputs are still what their receipts say.
+        hashes = jobs.digests_of(spark, [p for p, _ in inputs])
+        if changed := [r.asset_id for p, r in inputs if hashes[p] != r.sha256]:
+            raise ValueError(f"files changed while they were read: {changed}")
+        if carried is not None:
+            jobs.verified_receipt(spark, carried, METHOD, ARTIFACTS)
         receipt = {
             "method": METHOD, "schema_version": SCHEMA_VERSION, "run_key": key, "policy_hash": config.policy_hash,
             "core_start": w.core_start.isoformat(), "core_end": w.core_end.isoformat(), "counts": dict(sorted(counts.items())),

@@ -91,23 +91,46 @@ def content_digest(df: DataFrame) -> str:
     return plain_fingerprint([str(x) for x in row])
 
 
-def file_digests(spark: SparkSession, directory: Path) -> dict[str, str]:
-    """SHA-256 of each data file below a run directory, which tasks read a block at a time; it must be on a shared mount."""
+def digests_of(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """sha256 of each file, taken in tasks; one that a task doesn't see is an error, so the paths are on a shared mount."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, found = batch.column(0).to_pylist(), []
+            names, found = batch.column("path").to_pylist(), []
             for name in names:
-                with open(os.path.join(base, name), "rb") as f:
+                with open(name, "rb") as f:
                     found.append(hashlib.file_digest(f, "sha256").hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string())], ["name", "sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string())], ["path", "sha256"])
 
-    base = str(directory)
-    names = [(str(p.relative_to(directory)),) for p in sorted(directory.rglob("*.parquet")) if p.is_file()]
-    if not names:
+    if not paths:
         return {}
-    files = spark.createDataFrame(names, "name string").repartition(min(len(names), 1000), "name")
-    return {r["name"]: r["sha256"] for r in files.mapInArrow(digests, "name string, sha256 string").collect()}
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 1000), "path")
+    return {r["path"]: r["sha256"] for r in files.mapInArrow(digests, "path string, sha256 string").collect()}
+
+
+def file_digests(spark: SparkSession, directory: Path) -> dict[str, str]:
+    """sha256 of each data file of a directory, by relative name."""
+    names = {str(p): str(p.relative_to(directory)) for p in sorted(directory.rglob("*.parquet")) if p.is_file()}
+    return {names[p]: sha for p, sha in digests_of(spark, list(names)).items()}
+
+
+def require_shared(spark: SparkSession, folder: Path) -> None:
+    """Refuse a folder that some tasks don't see: on a cluster, what they write there would stay on their own disks."""
+    mark = folder / ".shared"
+    name = str(mark)
+    mark.write_text(folder.name)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = os.path.exists(name)
+            yield pa.RecordBatch.from_arrays([pa.array([seen] * batch.num_rows, pa.bool_())], ["seen"])
+
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    try:
+        if not all(r["seen"] for r in spark.range(0, tasks, 1, tasks).mapInArrow(look, "seen boolean").collect()):
+            raise ValueError(f"{folder} is not a folder that the driver and all executors share")
+    finally:
+        mark.unlink()
 
 
 def publish(spark: SparkSession, stage: Path, final: Path, receipt: dict) -> dict:

@@ -32,6 +32,13 @@ class TrajectoryConfig:
     km_tolerance: float = 1e-6
 
 
+    def policy(self, tile: Tile) -> str:
+        """What adjacent windows must have in common: everything but the core."""
+        t = self.track
+        settings = [t.max_gap_seconds, t.max_implied_speed_knots, self.max_contributions, self.seconds_tolerance, self.km_tolerance]
+        return plain_fingerprint({"method": METHOD, "tile": tile.fingerprint, "settings": settings})
+
+
 @dataclass(frozen=True)
 class Tables:
     intervals: DataFrame
@@ -63,6 +70,17 @@ def estimate(
     return Tables(ledger, parts.drop("n_parts"), points, tracks.checkpoint(e, t, carry))
 
 
+def require_core(config: TrajectoryConfig, ingested: dict, before: dict | None, tracked: dict | None, policy: str) -> None:
+    """The core is that of the ingestion run; carried runs end where it starts, and carried trajectories have the same policy."""
+    core = config.track.core_start, config.track.core_end
+    if core != (jobs.instant(ingested["core_start"]), jobs.instant(ingested["core_end"])):
+        raise ValueError("the core isn't that of the ingestion run")
+    if any(r is not None and jobs.instant(r["core_end"]) != core[0] for r in (before, tracked)):
+        raise ValueError("a carried run doesn't end where the core starts")
+    if tracked is not None and tracked["policy_hash"] != policy:
+        raise ValueError("the carried trajectories have another policy")
+
+
 def carry_of(spark: SparkSession, ingested: Path, tracked: Path | None) -> DataFrame:
     """The carry from the ingestion run before, with the trajectory run's episodes."""
     state = spark.read.parquet(str(ingested / "state"))
@@ -85,12 +103,16 @@ def run(
 ) -> Path:
     """Estimate over a complete ingestion run and publish, or find the same run. carried: the runs before."""
     receipt = jobs.verified_receipt(spark, ingested, ingest.METHOD, ingest.ARTIFACTS)
-    before = jobs.verified_receipt(spark, carried[0], ingest.METHOD, ingest.ARTIFACTS)["run_key"] if carried else None
+    prior = jobs.verified_receipt(spark, carried[0], ingest.METHOD, ingest.ARTIFACTS) if carried else None
+    before = prior and prior["run_key"]
     if before != receipt["carried_run_key"]:
         raise ValueError("the carried run isn't the one that the ingestion run refers to")
     tracked = carried[1] if carried else None
-    if tracked and jobs.verified_receipt(spark, tracked, METHOD, ARTIFACTS)["ingestion_run_key"] != before:
+    track_receipt = jobs.verified_receipt(spark, tracked, METHOD, ARTIFACTS) if tracked else None
+    if track_receipt and track_receipt["ingestion_run_key"] != before:
         raise ValueError("the carried trajectories aren't of the carried ingestion run")
+    policy = config.policy(tile)
+    require_core(config, receipt, prior, track_receipt, policy)
     identity = {"ingestion": receipt["run_key"], "config": repr(config), "tile": tile.fingerprint, "carried": tracked and tracked.name}
     software = {"python": platform.python_version(), "pyspark": spark.version, "numpy": np.__version__}
     key = plain_fingerprint(identity | {"method": METHOD, "software": software})
@@ -100,6 +122,7 @@ def run(
         return final
     stage = jobs.staged(root, key)
     try:
+        jobs.require_shared(spark, stage)
         audit = spark.read.parquet(str(ingested / "audit"))
         checked_outcomes(audit, receipt["counts"])
         work = stage / "work"
@@ -111,6 +134,8 @@ def run(
         tables = estimate(audit, tile, config, carry_of(spark, *carried) if carried else None, keep)
         if (n := tables.contributions.count()) > config.max_contributions:
             raise ValueError(f"{n} contributions, more than allowed")
+        if faults := alloc.contribution_faults(tables.contributions).limit(3).collect():
+            raise ValueError(f"contributions that can't stand: {[tuple(f) for f in faults]}")
         for name in sorted(ARTIFACTS):
             getattr(tables, name).write.option("compression", "zstd").parquet(str(stage / name))
         shutil.rmtree(work)
@@ -127,7 +152,8 @@ def run(
             stage,
             final,
             {
-                "method": METHOD, "software": software, "run_key": key, "ingestion_run_key": receipt["run_key"], "counts": counts,
+                "method": METHOD, "software": software, "run_key": key, "policy_hash": policy,
+                "core_start": config.track.core_start.isoformat(), "core_end": config.track.core_end.isoformat(), "ingestion_run_key": receipt["run_key"], "counts": counts,
                 "artifacts": {name: jobs.content_digest(df) for name, df in made.items()},
             },
         )
