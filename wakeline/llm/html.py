@@ -16,6 +16,8 @@ from .arrow import map_pieces
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Attributes that can make an element clutter.
+TELLING = re.compile("class|id|role|hidden|style", re.I)
 SPACES = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
 
@@ -132,7 +134,7 @@ def clutter_of(tag: str, raw: str, landmark: str) -> int:
         kind = 0 if tag == "header" and landmark == "article" else BY_NOUN
     else:
         kind = BY_KIND if tag in CLUTTER else 0
-    if kind == BY_KIND or not raw:
+    if kind == BY_KIND or not TELLING.search(raw):
         return kind
     a = attributes(raw)
     if ("hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""))) and tag not in ("html", "body"):
