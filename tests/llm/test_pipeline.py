@@ -50,3 +50,21 @@ def test_run_equals_stages(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     out = pipeline.run(spark, str(tmp_path))
     assert out.columns[:2] == ["doc_id", "n_tokens"] and out.count() >= 30
+
+
+def test_run_with_odd_rows_and_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component long, kept string, _n int, size int, rejected boolean, ids string"
+    extra = (7, "k", 1, 2, True, "x")
+    rows = [(i, "the of and with " * (i % 5 + 3) + f"word{i} other{i * 7}", "en", f"s{i % 3}", 0, *extra) for i in range(40)]
+    rows += [(None, "the of and with no id at all", "en", None, 0, *extra), (50, None, None, None, None, *extra), (51, "", "en", "s", 0, *extra)]
+    rows += [rows[3], rows[3], (52, "the and of with " * 40_000, "en", "s1", 0, *extra)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    out = pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r.doc_id for r in out]
+    assert 52 in ids and not {50, 51} & set(ids) and max(map(ids.count, ids)) <= 2 and len(set(ids)) > 5
+    assert all(r.n_tokens == len(r["ids"]) > 0 for r in out)
+
+
+def test_run_without_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0

@@ -82,6 +82,66 @@ def test_language_tables_sum_to_one(spark):
     assert 0.97 < total <= 1.0 + 1e-6
 
 
+def kneser_ney(texts):
+    """Interpolated Kneser-Ney over tuples of symbols: a function from the last symbols to their log probability."""
+    import math
+    from collections import Counter, defaultdict
+
+    order = langid.ORDER
+    places = []
+    for t in texts:
+        s = " " * order + " ".join("".join(c.lower() if c.isalpha() else " " for c in t).split()) + " "
+        places += [s[i - order + 1 : i + 1] for i in range(order, len(s))] if s.strip() else []
+    counts = {order: Counter(places)}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in {p[-n - 1 :] for p in places})
+    total, kinds = defaultdict(int), defaultdict(int)
+    for n in counts:
+        for g, c in counts[n].items():
+            total[n, g[:-1]] += c
+            kinds[n, g[:-1]] += 1
+
+    def p(gram, n):
+        if n == 0:
+            return 1 / langid.ALPHABET
+        g, below = gram[-n:], p(gram, n - 1)
+        if not total[n, g[:-1]]:
+            return below
+        return (max(counts[n][g] - langid.DISCOUNT, 0) + langid.DISCOUNT * kinds[n, g[:-1]] * below) / total[n, g[:-1]]
+
+    return lambda gram: math.log(p(gram, order))
+
+
+def test_language_models_equal_plain_kneser_ney():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    words = {"aa": ["the", "then", "hen", "and", "Ing"], "bb": ["der", "und", "über", "eau", "the"]}
+    train = {k: [sentence(rng, w, rng.randint(1, 12)) for _ in range(60)] + ["", "12 !!"] for k, w in words.items()}
+    rows = [(k, t) for k, ts in train.items() for t in ts]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([t for _, t in rows])], ["lang", "text"])
+    seen: dict = {}
+    for out in langid.count_grams(iter([batch])):
+        for lang, n, gram, context, suffix, k in zip(*(out.column(c).to_pylist() for c in ("lang", "n", "gram", "context", "suffix", "n_seen"))):
+            key = (n, lang, gram, context, suffix)
+            seen[key] = seen.get(key, 0) + k
+    langs = sorted(train)
+    table = {}
+    for n in range(1, langid.ORDER + 1):
+        own = [(k, c) for k, c in seen.items() if k[0] == n]
+        hashes = [np.array([k[i] for k, _ in own], dtype=np.int64).view(np.uint64) for i in (2, 3, 4)]
+        table[n] = (np.array([langs.index(k[1]) for k, _ in own]), *hashes, np.array([c for _, c in own]))
+    models = langid.Models(langs, *langid.interpolated(langs, table), np.zeros(2), np.ones((2, 2)))
+    plain = [kneser_ney(train[k]) for k in langs]
+    for text in ["the hen und über", "zebra", "Then,  and!", "eau 12 der", *train["aa"][:20]]:
+        codes, at, _ = langid.symbols([text])
+        got = models.log_probabilities(langid.gram_hashes(codes), at)
+        s = "".join(map(chr, codes))
+        want = [[f(s[i - langid.ORDER + 1 : i + 1]) for f in plain] for i in at]
+        assert np.allclose(got, want, atol=1e-4), text
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     models = langid.fit(df)
