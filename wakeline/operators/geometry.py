@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.cellids import fault_of
 from ..functions.identity import plain_fingerprint
 from ..functions.projection import LocalProjection
 from .boxes import PackedBoxes
@@ -36,6 +37,8 @@ class TileConfig:
     max_cells: int = 5000
     max_candidates: int = 500
     max_geometry_vertices: int = 20_000
+    #: Whether ids must be published hexagonal ids of the resolution; else they are any lower-case text.
+    published_ids: bool = False
 
 
 def rings_of(document: dict, projection: LocalProjection, most: int, allow_empty: bool = False) -> list[Ring]:
@@ -229,6 +232,8 @@ class Tile:
             raise ValueError(f"1 to {config.max_cells} distinct cells are required")
         if any(not c.strip() or c != c.lower() for c in ids):
             raise ValueError("cell ids must be lower-case text")
+        if config.published_ids and (bad := {c: f for c in ids if (f := fault_of(c, config.resolution))}):
+            raise ValueError(f"cell ids with faults: {bad}")
         self.config = config
         self.fingerprint = plain_fingerprint([repr(config), aoi, land, support, sorted([c, [list(p) for p in ring]] for c, ring in cells)])
         rings = lambda d, empty=False: rings_of(d, config.projection, config.max_geometry_vertices, empty)

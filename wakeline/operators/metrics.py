@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tracks import numbered
+
 #: Name, unit, kind and reduction of the metrics.
 METRICS = (
     ("unique_observed_vessels", "identities/window", "point_observation", "identity union; never sum subgroup counts"),
@@ -47,13 +49,46 @@ def observed_vessels(points: DataFrame) -> DataFrame:
     )
 
 
-def vessel_sketches(points: DataFrame) -> DataFrame:
-    """Mergeable sketches of the vessels of each cell and day, for longer windows without another scan."""
-    return (
-        points.filter("cell IS NOT NULL")
-        .groupBy("cell", F.to_date("timestamp").alias("utc_date"))
-        .agg(F.hll_sketch_agg("mmsi").alias("vessels"))
-    )
+#: Vessels of a container up to which their positions are listed; above it, a bit for each position is smaller.
+LISTED = 1024
+
+
+def vessel_numbers(points: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """mmsi, number: dense numbers from 1 for the vessels of points. known: earlier numbers, which stay; new ones follow them.
+
+    Bitmaps of different runs can be merged only if they come from one chain of such tables.
+    """
+    new = points.select("mmsi").filter("mmsi IS NOT NULL").distinct()
+    first = F.lit(0)
+    if known is not None:
+        new = new.join(known, "mmsi", "left_anti")
+        first = known.agg(F.coalesce(F.max("number"), F.lit(0))).scalar()
+    placed = numbered(new.withColumns({"timestamp": F.lit(None).cast("timestamp"), "record_key": F.lit("")}), "number")
+    placed = placed.select("mmsi", (F.col("number") + first).alias("number"))
+    return placed if known is None else known.select("mmsi", "number").unionByName(placed)
+
+
+def vessel_bitmaps(points: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The vessels of each cell and UTC day, exactly and mergeable: cell, utc_date, bucket, listed, bits.
+
+    A container holds the 32,768 numbers of a bucket: as a list of positions where they are few, else as a bitmap. So it is 4 KB at
+    most, and windows of any length are unions of containers, without another scan of the points.
+    """
+    p = points.filter("cell IS NOT NULL").select("cell", F.to_date("timestamp").alias("utc_date"), "mmsi").distinct().join(numbers, "mmsi")
+    held = p.select("cell", "utc_date", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("position"))
+    c = held.groupBy("cell", "utc_date", "bucket").agg(F.collect_list("position").alias("listed"), F.bitmap_construct_agg("position").alias("bits"))
+    few = F.size("listed") <= LISTED
+    return c.select("cell", "utc_date", "bucket", F.when(few, F.array_sort("listed")).alias("listed"), F.when(~few, F.col("bits")).alias("bits"))
+
+
+def vessels_of_windows(bitmaps: DataFrame, window: Column) -> DataFrame:
+    """unique_observed_vessels of each cell and window (a column over utc_date, or several exploded): the identity union,
+    from containers alone, with one shuffle of them."""
+    key = ["cell", "window_start", "bucket"]
+    c = bitmaps.withColumn("window_start", window).select(*key, F.explode_outer("listed").alias("position"), "bits")
+    both = c.groupBy(*key).agg(F.bitmap_construct_agg("position").alias("_listed"), F.bitmap_or_agg("bits").alias("_bits"))
+    merged = both.select(*key, F.explode(F.array("_listed", "_bits")).alias("bits")).groupBy(*key).agg(F.bitmap_or_agg("bits").alias("bits"))
+    return merged.groupBy("cell", "window_start").agg(F.sum(F.bitmap_count("bits")).alias("unique_observed_vessels"))
 
 
 def speed_band_hours(contributions: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFrame:

@@ -174,6 +174,20 @@ STATE = f"""SELECT mmsi, arg_max(record_key, ts) FILTER (outcome = 'accepted' AN
     max(ts) FILTER (outcome = 'accepted' AND ts < {CORE_END}) AS point_ts, coalesce(bool_or(outcome = 'rejected'), false) AS barrier_seen
     FROM audit GROUP BY mmsi"""
 
+OBSERVED = f"""{tracks()}, o AS (SELECT mmsi, CAST(ts AS DATE) AS utc_date,
+        'r' || lpad(CAST(CAST(floor((y + {SIDE * COUNT / 2} - 0.001::DOUBLE) / {SIDE}) AS BIGINT) AS VARCHAR), 2, '0') ||
+        'c' || lpad(CAST(CAST(floor((x + {SIDE * COUNT / 2} - 0.001::DOUBLE) / {SIDE}) AS BIGINT) AS VARCHAR), 2, '0') AS cell
+        FROM ev WHERE outcome = 'accepted' AND abs(x) < {HALF_AREA} AND abs(y) < {HALF_AREA})"""
+MADE_DIGITS = " + ".join(
+    f"""(CASE WHEN r >= {k} THEN (i // {3 * k + 1} + {k} * user_id) % (CASE WHEN i % 5 = 0 THEN 8 WHEN i % 3 = 0 THEN 2 ELSE 7 END)
+        WHEN i % 31 = 0 AND r = {k - 1} THEN 6 ELSE 7 END) * {8 ** (15 - k)}"""
+    for k in range(1, 16)
+)
+MADE_CELLS = f"""e0 AS (SELECT event_id, user_id, event_id AS i, CASE WHEN event_id % 2 = 0 THEN 7 ELSE event_id // 2 % 16 END AS r FROM events),
+    e1 AS (SELECT event_id, i, printf('%x', CAST(((CASE WHEN i % 37 = 0 THEN 2 WHEN i % 41 = 0 THEN 9 ELSE 1 END * 128 + r) * 128
+        + CASE WHEN i % 4 = 1 THEN 14 WHEN i % 4 = 2 THEN 117 ELSE user_id % 128 END)::HUGEINT * 35184372088832 + {MADE_DIGITS} AS BIGINT)) AS c FROM e0),
+    made AS (SELECT event_id, CASE WHEN i % 59 = 0 THEN NULL WHEN i % 43 = 0 THEN upper(c) WHEN i % 47 = 0 THEN '0' || c WHEN i % 53 = 0 THEN c || ' ' ELSE c END AS cell FROM e1)"""
+
 ORACLE_SQL = {
     "parse_positions": f"""WITH {PARSED} SELECT event_id, mmsi, event_ts AS ts, lon AS longitude, lat AS latitude, sog AS sog_knots,
         code AS raw_vessel_code, equipment AS equipment_class, flags FROM q WHERE reasons = ''""",
@@ -259,11 +273,20 @@ ORACLE_SQL = {
     "daily_metrics": f"""WITH {PARTS} SELECT cell, utc_date, count(DISTINCT mmsi) AS unique_estimated_present_vessels, round(sum(seconds) / 3600, 4) AS vessel_hours,
         round(sum(km), 3) AS vessel_km, round(sum(integral) / sum(CASE WHEN integral IS NOT NULL THEN seconds END), 3) AS knots,
         round(sum(seconds) / 3600 / 24, 5) AS concurrency FROM con WHERE cell IS NOT NULL GROUP BY ALL""",
-    "observed_vessels": f"""WITH {tracks()}, o AS (SELECT mmsi, CAST(ts AS DATE) AS utc_date,
-        'r' || lpad(CAST(CAST(floor((y + {SIDE * COUNT / 2} - 0.001::DOUBLE) / {SIDE}) AS BIGINT) AS VARCHAR), 2, '0') ||
-        'c' || lpad(CAST(CAST(floor((x + {SIDE * COUNT / 2} - 0.001::DOUBLE) / {SIDE}) AS BIGINT) AS VARCHAR), 2, '0') AS cell
-        FROM ev WHERE outcome = 'accepted' AND abs(x) < {HALF_AREA} AND abs(y) < {HALF_AREA})
+    "observed_vessels": f"""WITH {OBSERVED}
         SELECT cell, utc_date, count(DISTINCT mmsi) AS unique_observed_vessels FROM o GROUP BY ALL""",
+    "vessel_windows": f"""WITH {OBSERVED}, k AS (SELECT unnest(['day', 'week', 'month']) AS kind)
+        SELECT cell, kind, CAST(date_trunc(kind, utc_date) AS DATE) AS window_start, count(DISTINCT mmsi) AS unique_observed_vessels FROM o, k GROUP BY ALL""",
+    "cell_ids": f"""WITH {MADE_CELLS}, v AS (SELECT *, regexp_full_match(coalesce(cell, ''), '[1-9a-f][0-9a-f]{{0,15}}') AS canonical,
+        CASE WHEN canonical THEN CAST('0x' || cell AS BIGINT) END AS v FROM made),
+        f AS (SELECT *, CAST((v >> 52) & 15 AS INTEGER) AS res, CAST((v >> 45) & 127 AS INTEGER) AS bc, list_transform(range(1, 16), lambda k: (v >> (45 - 3 * k)) & 7) AS ds FROM v),
+        g AS (SELECT *, CASE WHEN NOT canonical THEN 'not_canonical' WHEN (v >> 56) <> 8 THEN 'mode' WHEN bc > 121 THEN 'base_cell'
+            WHEN list_contains(ds[1:res], 7) OR len(list_filter(ds[res + 1:], lambda x: x <> 7)) > 0 THEN 'digits'
+            WHEN bc IN (4, 14, 24, 38, 49, 58, 63, 72, 83, 97, 107, 117) AND list_filter(ds[1:res], lambda x: x <> 0)[1] = 1 THEN 'pentagon' END AS fault FROM f)
+        SELECT event_id, cell, fault, CASE WHEN fault IS NULL THEN res ELSE -1 END AS resolution, CASE WHEN fault IS NULL THEN bc ELSE -1 END AS base_cell,
+        CASE WHEN fault IS NULL THEN printf('%x', CAST(8::HUGEINT * 72057594037927936 + (res // 2)::HUGEINT * 4503599627370496 + bc::HUGEINT * 35184372088832 +
+            list_sum(list_transform(range(1, 16), lambda k: (CASE WHEN k <= res // 2 THEN ds[k] ELSE 7 END)::HUGEINT * CAST(pow(8, 15 - k) AS BIGINT))) AS BIGINT)) END AS parent,
+        fault IS NULL AND res = 7 AS fits_7 FROM g""",
     "speed_bands": f"""WITH {PARTS}, b AS (SELECT seconds, integral / seconds AS kn FROM con WHERE cell IS NOT NULL)
         SELECT CASE WHEN kn < 5 THEN 'slow' WHEN kn < 20 THEN 'medium' WHEN kn < 1000 THEN 'fast' ELSE 'unknown' END AS band,
         round(sum(seconds / 3600), 3) AS hours FROM b GROUP BY ALL""",

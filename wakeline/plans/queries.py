@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import civil, identity, parsing
+from ..functions import cellids, civil, identity, parsing
 from ..operators import allocate as alloc
 from ..operators import boxes, metrics, reconcile, tracks
 from ..sources.catalog import catalog_table
@@ -306,6 +306,27 @@ def observed_vessels(spark, sf_dir):
     return metrics.observed_vessels(p)
 
 
+def vessel_windows(spark, sf_dir):
+    """Vessels of each cell and day, week and month, all from the days' containers."""
+    p = tracks.observed_points(_episodes(spark, sf_dir), rel.PROJECTION, GRID.parts_column)
+    days = metrics.vessel_bitmaps(p, metrics.vessel_numbers(p))
+    kinds = [F.struct(F.lit(k).alias("kind"), F.date_trunc(k, "utc_date").cast("date").alias("start")) for k in ("day", "week", "month")]
+    w = metrics.vessels_of_windows(days, F.explode(F.array(*kinds)))
+    return w.select("cell", "window_start.kind", F.col("window_start.start").alias("window_start"), "unique_observed_vessels")
+
+
+def cell_ids(spark, sf_dir):
+    """Cell ids made of the events' bits, many of them broken: their fault, fields, and the ancestor at half the resolution."""
+    e = rel.made_cells(spark, sf_dir)
+    v = e.withColumns({"fault": cellids.fault(F.col("cell")), "value": cellids.bits(F.col("cell"))})
+    ok = F.col("fault").isNull()
+    half = F.floor(cellids.resolution(F.col("value")) / 2)
+    return v.select(
+        "event_id", "cell", "fault", F.when(ok, cellids.resolution(F.col("value"))).otherwise(-1).alias("resolution"), F.when(ok, cellids.base_cell(F.col("value"))).otherwise(-1).alias("base_cell"),
+        F.when(ok, cellids.text(cellids.parent(F.col("value"), half))).alias("parent"), (cellids.fault(F.col("cell"), 7).isNull()).alias("fits_7"),
+    )
+
+
 def speed_bands(spark, sf_dir):
     _, c = _contributions(spark, sf_dir)
     return metrics.speed_band_hours(c, BANDS).groupBy("band").agg(F.round(F.sum("band_hours"), 3).alias("hours"))
@@ -356,7 +377,7 @@ QUERIES = {
         parse_positions, parse_reasons, naive_time_policy, sog_flags, era_check, null_like, classify, validate_report, scope_filter,
         record_key_hash, reconcile_groups, reconcile_outcomes, reconcile_vessels, carry_conflict, ingestion_state, ingestion_state_carried,
         adjacency, interval_ladder, episodes, checkpoint, crowded_adjacency, crowded_episodes, crowded_checkpoint, carry_chain, global_order, assess_pairs, project_xy, inverse_xy, implied_speed, midnight_split,
-        spatial_candidates, spatial_candidates_fine, land_screen, clip_allocation, ledger_rollup, conservation, daily_metrics, observed_vessels, speed_bands, dayparts, civil_day, export_check,
+        spatial_candidates, spatial_candidates_fine, land_screen, clip_allocation, ledger_rollup, conservation, daily_metrics, observed_vessels, vessel_windows, cell_ids, speed_bands, dayparts, civil_day, export_check,
         metric_envelope, catalog, metrics_list,
     )
 }

@@ -90,6 +90,23 @@ def parsed(spark: SparkSession, sf_dir: str, policy: str = "reject") -> DataFram
     return Parser(LEGACY, policy).parse(raw_rows(spark, sf_dir))
 
 
+def made_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id and a cell id of its bits: any resolution, base cells to 127, digits that are 7 at times, other faults by rule."""
+    e, i = events(spark, sf_dir), F.col("event_id")
+    digit = lambda k: F.pmod(F.floor(i / (3 * k + 1)) + k * F.col("user_id"), F.when(i % 5 == 0, 8).when(i % 3 == 0, 2).otherwise(7))
+    r = F.col("r")
+    e = e.withColumns({"r": F.when(i % 2 == 0, F.lit(7)).otherwise(F.floor(i / 2) % 16)})
+    d = F.lit(0).cast("long")
+    for k in range(1, 16):
+        d = d * 8 + F.when(r >= k, digit(k)).when((i % 31 == 0) & (r == k - 1), F.lit(6)).otherwise(F.lit(7))
+    mode = F.when(i % 37 == 0, F.lit(2)).when(i % 41 == 0, F.lit(9)).otherwise(F.lit(1))
+    base = F.when(i % 4 == 1, F.lit(14)).when(i % 4 == 2, F.lit(117)).otherwise(F.col("user_id") % 128)
+    e = e.withColumns({"d": d, "top": (mode * 128 + r).cast("long") * 128 + base})
+    cell = F.lower(F.hex(F.col("top") * F.lit(1 << 45) + F.col("d")))
+    odd = F.when(i % 43 == 0, F.upper(cell)).when(i % 47 == 0, F.concat(F.lit("0"), cell)).when(i % 53 == 0, F.concat(cell, F.lit(" ")))
+    return e.select("event_id", F.when(i % 59 != 0, F.coalesce(odd, cell)).alias("cell"))
+
+
 def scoped(spark: SparkSession, sf_dir: str, copies: bool = False) -> DataFrame:
     """positions with declared window, reasons, outcome and scope."""
     p = positions(spark, sf_dir, copies).withColumns(
