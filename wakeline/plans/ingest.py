@@ -19,6 +19,7 @@ from . import jobs
 
 METHOD, SCHEMA_VERSION = "spark-ingestion/1", "positions/1"
 ARTIFACTS = {"audit", "positions", "halo", "state"}
+OUTCOMES = ("accepted", "duplicate", "filtered", "rejected")
 
 
 @dataclass(frozen=True)
@@ -122,18 +123,19 @@ def ingest(
         jobs.require_shared(spark, stage)
         zstd = lambda df, name: df.write.option("compression", "zstd").parquet(str(stage / name))
         audit = audited(raw_records(spark, inputs, config), config, prior)
-        zstd(dealt(audit), "audit")
+        tally = {o: F.count(F.when(F.col("outcome") == o, 1)) for o in OUTCOMES}
+        seen = jobs.written_within(dealt(audit), stage / "audit", config.max_records, "records", **tally)
+        counts = {o: seen[o] for o in OUTCOMES if seen[o]}
+        if sum(counts.values()) != seen["rows"]:
+            raise ValueError("a record has no known outcome")
         audit = spark.read.parquet(str(stage / "audit"))
         accepted = audit.filter("outcome = 'accepted'").drop("carried_conflict")
         zstd(accepted.filter("scope = 'core'"), "positions")
         zstd(accepted.filter("scope = 'halo'"), "halo")
         zstd(carried_state(audit, w.core_end, prior), "state")
-        counts = {r["outcome"]: r["n"] for r in audit.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
         found = {r["asset_id"] for r in audit.select("asset_id").distinct().collect()}
         if missing := {r.asset_id for _, r in inputs} - found:
             raise ValueError(f"empty sources: {sorted(missing)}")
-        if sum(counts.values()) > config.max_records:
-            raise ValueError("too many records")
         # The inputs are still what their receipts say.
         hashes = jobs.digests_of(spark, [p for p, _ in inputs])
         if changed := [r.asset_id for p, r in inputs if hashes[p] != r.sha256]:
@@ -143,7 +145,7 @@ def ingest(
         receipt = {
             "method": METHOD, "schema_version": SCHEMA_VERSION, "run_key": key, "policy_hash": config.policy_hash,
             "core_start": w.core_start.isoformat(), "core_end": w.core_end.isoformat(), "counts": dict(sorted(counts.items())),
-            "input_rows": sum(counts.values()), "carried_run_key": before and before["run_key"],
+            "input_rows": seen["rows"], "carried_run_key": before and before["run_key"],
             "artifacts": {a: jobs.content_digest(spark.read.parquet(str(stage / a))) for a in sorted(ARTIFACTS)},
         }
         jobs.publish(spark, stage, final, receipt)

@@ -13,7 +13,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import plain_fingerprint
@@ -146,9 +146,29 @@ def publish(spark: SparkSession, stage: Path, final: Path, receipt: dict) -> dic
     return receipt
 
 
+def written_within(df: DataFrame, path: Path, most: int, what: str, **metrics: Column) -> dict[str, int]:
+    """Write df as Parquet and return its number of rows and the metrics (aggregates), observed as rows are written.
+
+    More than `most` rows are an error. A task that alone has more stops the job before it writes further; the sum of all
+    tasks is known, without another scan, when the last one ends. A task that runs again counts once.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # of a row in its partition
+    within = F.when(place < most, F.lit(True)).otherwise(F.raise_error(F.lit(f"more than {most} {what}")).cast("boolean"))
+    seen = Observation()
+    watched = df.filter(within).observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()])
+    watched.write.option("compression", "zstd").parquet(str(path))
+    found = {"rows": 0} | dict.fromkeys(metrics, 0) | seen.get  # a plan without rows may observe nothing
+    if found["rows"] > most:
+        raise ValueError(f"{found['rows']} {what}, more than {most}")
+    return found
+
+
 def mark_failed(stage: Path, error: BaseException) -> None:
+    """Leave a note of the failure, and nothing else, in the staged directory."""
     if stage.exists():
-        (stage / "complete.json").unlink(missing_ok=True)
+        for p in stage.iterdir():
+            # A task that is still being stopped may write once more; the next run of this key clears the rest.
+            shutil.rmtree(p, ignore_errors=True) if p.is_dir() else p.unlink(missing_ok=True)
         (stage / "failure.json").write_text(json.dumps({"status": "failed", "error": f"{type(error).__name__}: {error}"[:2000]}))
 
 

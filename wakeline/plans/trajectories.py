@@ -92,7 +92,7 @@ def carry_of(spark: SparkSession, ingested: Path, tracked: Path | None) -> DataF
 def checked_outcomes(audit: DataFrame, counts: dict[str, int]) -> None:
     """An audit table has only outcomes of an ingestion run, as often as its receipt says."""
     found = {r["outcome"]: r["n"] for r in audit.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if odd := set(found) - {"accepted", "duplicate", "filtered", "rejected"}:
+    if odd := set(found) - set(ingest.OUTCOMES):
         raise ValueError(f"unknown outcomes: {sorted(map(str, odd))}")
     if found != counts:
         raise ValueError("the audit table's rows aren't those of its receipt")
@@ -128,12 +128,13 @@ def run(
         work = stage / "work"
 
         def keep(df: DataFrame, name: str) -> DataFrame:
-            df.write.option("compression", "zstd").parquet(str(work / name))
+            if name == "parts":
+                jobs.written_within(df, work / name, config.max_contributions, "contributions")
+            else:
+                df.write.option("compression", "zstd").parquet(str(work / name))
             return spark.read.parquet(str(work / name))
 
         tables = estimate(audit, tile, config, carry_of(spark, *carried) if carried else None, keep)
-        if (n := tables.contributions.count()) > config.max_contributions:
-            raise ValueError(f"{n} contributions, more than allowed")
         if faults := alloc.contribution_faults(tables.contributions).limit(3).collect():
             raise ValueError(f"contributions that can't stand: {[tuple(f) for f in faults]}")
         for name in sorted(ARTIFACTS):
