@@ -278,6 +278,21 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_with_repeated_rows_ids_and_clashing_columns(spark):
+    """Repeated rows, one id with two vectors, ids that are null, vectors of other dimensions, columns named like the operator's own."""
+    rng = np.random.default_rng(4)
+    a, b, c = (rng.standard_normal(16).tolist() for _ in range(3))
+    near = [x * 3 + 1e-4 for x in a]
+    rows = [(5, a), (5, a), (2, near), (7, b), (7, c), (9, c), (None, a), (None, None), (8, None), (8, [0.0] * 16), (3, a[:8]), (4, [*a[:8]]), (6, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    extra = ["same", "rep", "weight", "values", "unit", "sig", "keys", "cell", "component", "component_id", "kept", "n_links", "first"]
+    df = df.selectExpr("*", *(f"'clash' AS {name}" for name in extra))
+    got = sorted(map(tuple, embeddings.near_vectors(df).collect()), key=str)
+    want = [(5, 3, 2, False)] * 2 + [(2, 3, 2, True), (7, 0, 7, True), (7, 1, 7, True), (9, 1, 7, False), (None, 3, 2, False)]
+    want += [(None, 0, None, True), (8, 0, 8, True), (8, 0, 8, True), (3, 1, 3, True), (4, 1, 3, False), (6, 0, 6, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_vector_recall_at_production_parameters(spark):
     rng = np.random.default_rng(10)
     a = rng.standard_normal((400, 64))

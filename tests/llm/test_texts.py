@@ -26,6 +26,26 @@ def test_bpe_equals_the_library(spark):
     assert bpe.bpe_encode(df.limit(0), path).count() == 0
 
 
+def test_bpe_of_long_texts_and_repeated_rows(spark):
+    """A megabyte with spaces, long texts that are one chunk each, repeated rows, clashing columns."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    t.no_truncation(), t.no_padding()
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdehinorst") for _ in range(60_000)), "ab" * 40_000, "日本" * 10_000, "!" * 30_000]
+    texts.append(" ".join("".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 9))) for _ in range(180_000)))
+    rows = [*enumerate(texts), (0, texts[0]), (4, texts[4]), (None, "no id"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *(f"'clash' AS {c}" for c in ("ids", "n_tokens", "decoded", "z", "doc")))
+    got = sorted(((str(r.doc_id), r.ids, r.decoded) for r in bpe.bpe_encode(df, path).collect()), key=lambda r: (r[0], len(r[1])))
+    want = []
+    for i, text in rows:
+        ids = t.encode(text, add_special_tokens=False).ids
+        want.append((str(i), ids, t.decode(ids, skip_special_tokens=False)))
+    assert got == sorted(want, key=lambda r: (r[0], len(r[1])))
+
+
 def test_chunks_together_equal_the_library():
     from tokenizers import Tokenizer
 
