@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from wakeline.operators import allocate, metrics
 
@@ -42,3 +43,29 @@ def test_spatial_selection():
     metrics.spatial_selection(domain="bay", geometry_version="1", resolution=0)
     with pytest.raises(ValueError, match="geometry_version, resolution"):
         metrics.spatial_selection(domain="bay", geometry_version="")
+
+
+def test_value_faults(spark):
+    """Each rule of an export's values, and values that metric_value makes, which break none."""
+    inf, nan = float("inf"), float("nan")
+    cases = [
+        ((1.0, "observed", None, 1.0, 1.0), None), ((None, "observed", None, 1.0, 1.0), "observed_without_value"), ((0.0, "unknown", "r", None, None), "unsupported_not_null"),
+        ((None, "unknown", "r", None, None), None), ((None, "unknown", "", None, None), "no_reason"), ((None, "unavailable", None, 0.0, 1.0), "no_reason"),
+        ((1.0, "partial", "r", 1.0, 2.0), None), ((1.0, "partial", "r", None, 2.0), "partial_without_support"), ((1.0, "partial", "r", 0.0, 2.0), "partial_without_support"),
+        ((None, "partial", "r", None, None), None), ((1.0, "observed", None, 3.0, 2.0), "available_exceeds_expected"), ((1.0, "observed", None, nan, 2.0), "coverage_not_finite"),
+        ((1.0, "observed", None, 1.0, inf), "coverage_not_finite"), ((-1.0, "observed", None, 1.0, 1.0), "value_not_finite"), ((nan, "observed", None, 1.0, 1.0), "value_not_finite"),
+        ((1.0, "fine", None, 1.0, 1.0), "unknown_status"), ((1.0, None, None, 1.0, 1.0), "unknown_status"),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "i int, value double, status string, reason string, a double, e double")
+    support = metrics.coverage("d", "s", ["e"], F.col("a"), F.col("e"))
+    m = F.struct("value", "status", "reason", support.alias("coverage"))
+    got = {r.i: r.fault for r in df.select("i", metrics.value_fault(m).alias("fault")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+    sound = df.filter("coalesce(a <= e AND NOT isnan(a) AND e < double('inf') AND value >= 0 AND NOT isnan(value), true)")
+    made = sound.select(metrics.metric_value(F.col("value"), "m", support).alias("m")).select("m", metrics.value_fault(F.col("m")).alias("fault")).collect()
+    assert made and all(r.fault is None for r in made)
+    for settings in (dict(domain="d"), dict(domain="d", geometry_version="1", resolution=None)):
+        with pytest.raises(ValueError):
+            metrics.daily_exports(df, "v", "m", ["s"], **settings)
+    with pytest.raises(ValueError):
+        metrics.coverage("d", "s", [], F.col("a"), F.col("e"))

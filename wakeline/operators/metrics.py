@@ -120,6 +120,73 @@ def envelope(value: Column, status: Column, reason: Column, available: Column, e
     )
 
 
+def coverage(definition: str, unit: str, evidence: list[str], available: Column, expected: Column) -> Column:
+    """What a value rests on: support of one metric that was there and that could have been, in a unit, with evidence."""
+    if not definition or not unit or not evidence or not all(evidence):
+        raise ValueError("coverage needs its meaning, unit and evidence")
+    return F.struct(
+        F.lit(definition).alias("definition"), available.cast("double").alias("available"), expected.cast("double").alias("expected"),
+        F.lit(unit).alias("unit"), F.array(*map(F.lit, evidence)).alias("evidence"),
+    )
+
+
+def metric_value(value: Column, method: str, support: Column) -> Column:
+    """struct<value, status, reason, method, coverage> by the support: all of it observed, some partial, none unknown.
+
+    A value is null where nothing supports it, never zero; a missing support is unknown too.
+    """
+    if not method:
+        raise ValueError("a value needs its method")
+    have, want = support["available"], support["expected"]
+    status = F.when((have > 0) & (have < want), "partial").when((have >= want) & value.isNotNull(), "observed").otherwise("unknown")
+    reason = F.when(status == "partial", "part of the expected support").when(status == "unknown", "no support")
+    kept = F.when(status != "unknown", value.cast("double"))
+    return F.struct(kept.alias("value"), status.alias("status"), reason.alias("reason"), F.lit(method).alias("method"), support.alias("coverage"))
+
+
+def value_fault(m: Column) -> Column:
+    """The first rule that a metric_value breaks, or null."""
+    value, status, have, want = m["value"], m["status"], m["coverage"]["available"], m["coverage"]["expected"]
+    endless = lambda c: F.isnan(c) | (c < 0) | (c == float("inf"))
+    has = value.isNotNull()
+    rules = {
+        "unknown_status": ~F.coalesce(status.isin(*STATUSES), F.lit(False)),
+        "coverage_not_finite": F.coalesce(endless(have), F.lit(False)) | F.coalesce(endless(want), F.lit(False)),
+        "available_exceeds_expected": have > want,
+        "value_not_finite": has & endless(value),
+        "observed_without_value": (status == "observed") & ~has,
+        "unsupported_not_null": ~status.isin("observed", "partial") & has,
+        "no_reason": (status != "observed") & (F.length(F.coalesce(m["reason"], F.lit(""))) == 0),
+        "partial_without_support": (status == "partial") & has & ~F.coalesce((have > 0) & (want > 0), F.lit(False)),
+    }
+    return F.coalesce(*[F.when(broken, F.lit(name)) for name, broken in rules.items()])
+
+
+def daily_exports(contributions: DataFrame, variant: str, method: str, sources: list[str], **spatial: object) -> DataFrame:
+    """cell, window_start, window_end, variant, config, sources, method, metrics (name to metric_value) of each cell and UTC day.
+
+    Refused unless domain, geometry_version and resolution are set. The mean speed rests on the seconds with reported speeds at
+    both ends, the others on all accepted seconds. Metrics that break a rule are found with value_fault, rows with export_faults.
+    """
+    spatial_selection(**spatial)
+    if not variant or not sources or not all(sources):
+        raise ValueError("an export needs its variant and sources")
+    key = ["cell", "utc_date"]
+    support = contributions.filter("cell IS NOT NULL").groupBy(*key).agg(F.sum("seconds").alias("_all"), F.sum("speed_supported_seconds").alias("_speed"))
+    d = daily_metrics(contributions).join(support, key)
+    reported = coverage("seconds with a reported speed at both ends", "vessel s", sources, F.coalesce("_speed", F.lit(0.0)), F.col("_all"))
+    accepted = coverage("seconds of accepted intervals", "vessel s", sources, F.col("_all"), F.col("_all"))
+    entries = []
+    for name in (c for c in d.columns if c not in (*key, "_all", "_speed")):
+        entries += [F.lit(name), metric_value(F.col(name), method, reported if name.startswith("reported") else accepted)]
+    day = F.col("utc_date").cast("timestamp")
+    config = ";".join(f"{k}={v}" for k, v in sorted(spatial.items()))
+    return d.select(
+        "cell", day.alias("window_start"), (day + F.expr("INTERVAL 1 DAY")).alias("window_end"), F.lit(variant).alias("variant"), F.lit(config).alias("config"),
+        F.array(*map(F.lit, sources)).alias("sources"), F.lit(method).alias("method"), F.create_map(*entries).alias("metrics"),
+    )
+
+
 def export_faults(exports: DataFrame) -> DataFrame:
     """Faults of exports(cell, window_start, window_end, variant, config, metrics map): repeated keys, windows that
     aren't one UTC day, and mixed configurations of the batch."""

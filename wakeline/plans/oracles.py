@@ -273,6 +273,14 @@ ORACLE_SQL = {
     "daily_metrics": f"""WITH {PARTS} SELECT cell, utc_date, count(DISTINCT mmsi) AS unique_estimated_present_vessels, round(sum(seconds) / 3600, 4) AS vessel_hours,
         round(sum(km), 3) AS vessel_km, round(sum(integral) / sum(CASE WHEN integral IS NOT NULL THEN seconds END), 3) AS knots,
         round(sum(seconds) / 3600 / 24, 5) AS concurrency FROM con WHERE cell IS NOT NULL GROUP BY ALL""",
+    "daily_export": f"""WITH {PARTS}, g AS (SELECT cell, utc_date, count(DISTINCT mmsi) AS n, sum(seconds) AS s, sum(km) AS km, sum(integral) AS i,
+        coalesce(sum(CASE WHEN integral IS NOT NULL THEN seconds END), 0) AS sup FROM con WHERE cell IS NOT NULL GROUP BY ALL),
+        m AS (SELECT cell, utc_date, s, sup, unnest([struct_pack(metric := 'unique_estimated_present_vessels', v := CAST(n AS DOUBLE)),
+            struct_pack(metric := 'vessel_hours', v := s / 3600), struct_pack(metric := 'vessel_km', v := km),
+            struct_pack(metric := 'reported_sog_time_weighted_knots', v := CASE WHEN sup > 0 THEN i / sup END),
+            struct_pack(metric := 'mean_supported_concurrency', v := s / 3600 / 24)], recursive := true) FROM g)
+        SELECT cell, utc_date, metric, round(v, 3) AS value, CASE WHEN metric <> 'reported_sog_time_weighted_knots' OR sup >= s THEN 'observed' WHEN sup > 0 THEN 'partial' ELSE 'unknown' END AS status,
+        round(CASE WHEN metric = 'reported_sog_time_weighted_knots' THEN sup ELSE s END, 3) AS available, round(s, 3) AS expected, 'none' AS fault FROM m""",
     "observed_vessels": f"""WITH {OBSERVED}
         SELECT cell, utc_date, count(DISTINCT mmsi) AS unique_observed_vessels FROM o GROUP BY ALL""",
     "vessel_windows": f"""WITH {OBSERVED}, k AS (SELECT unnest(['day', 'week', 'month']) AS kind)

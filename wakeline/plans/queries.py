@@ -301,6 +301,17 @@ def daily_metrics(spark, sf_dir):
     )
 
 
+def daily_export(spark, sf_dir):
+    """Every metric of the daily export with its status, support and fault."""
+    _, c = _contributions(spark, sf_dir)
+    x = metrics.daily_exports(c, "all", "clipped-intervals/1", ["events"], domain="grid", geometry_version="1", resolution=7)
+    m = x.select("cell", F.to_date("window_start").alias("utc_date"), F.explode("metrics").alias("metric", "m"))
+    return m.select(
+        "cell", "utc_date", "metric", F.round("m.value", 3).alias("value"), "m.status", F.round("m.coverage.available", 3).alias("available"),
+        F.round("m.coverage.expected", 3).alias("expected"), F.coalesce(metrics.value_fault(F.col("m")), F.lit("none")).alias("fault"),
+    )
+
+
 def observed_vessels(spark, sf_dir):
     p = tracks.observed_points(_episodes(spark, sf_dir), rel.PROJECTION, GRID.parts_column)
     return metrics.observed_vessels(p)
@@ -377,7 +388,7 @@ QUERIES = {
         parse_positions, parse_reasons, naive_time_policy, sog_flags, era_check, null_like, classify, validate_report, scope_filter,
         record_key_hash, reconcile_groups, reconcile_outcomes, reconcile_vessels, carry_conflict, ingestion_state, ingestion_state_carried,
         adjacency, interval_ladder, episodes, checkpoint, crowded_adjacency, crowded_episodes, crowded_checkpoint, carry_chain, global_order, assess_pairs, project_xy, inverse_xy, implied_speed, midnight_split,
-        spatial_candidates, spatial_candidates_fine, land_screen, clip_allocation, ledger_rollup, conservation, daily_metrics, observed_vessels, vessel_windows, cell_ids, speed_bands, dayparts, civil_day, export_check,
+        spatial_candidates, spatial_candidates_fine, land_screen, clip_allocation, ledger_rollup, conservation, daily_metrics, daily_export, observed_vessels, vessel_windows, cell_ids, speed_bands, dayparts, civil_day, export_check,
         metric_envelope, catalog, metrics_list,
     )
 }
