@@ -56,3 +56,10 @@ def test_written_within(spark, tmp_path, parts):
 def test_written_within_no_rows(spark, tmp_path):
     for i, df in enumerate((spark.range(0), spark.range(10).filter("id > 20"), spark.range(10).filter("false").repartition("id"))):
         assert jobs.written_within(df, tmp_path / f"t{i}", 0, "rows", odd=F.count_if(F.col("id") > 0)) == {"rows": 0, "odd": 0}
+
+
+def test_settings_that_are_refused():
+    nan = float("nan")
+    for wrong in (dict(max_contributions=0), dict(max_contributions=True), dict(seconds_tolerance=nan), dict(km_tolerance=-1.0), dict(km_tolerance=float("inf"))):
+        with pytest.raises(ValueError):
+            replace(track(), **wrong)

@@ -31,6 +31,12 @@ class TrajectoryConfig:
     seconds_tolerance: float = 3e-6
     km_tolerance: float = 1e-6
 
+    def __post_init__(self) -> None:
+        if isinstance(self.max_contributions, bool) or not isinstance(self.max_contributions, int) or self.max_contributions <= 0:
+            raise ValueError("the cap on contributions must be a positive integer")
+        if not all(0 <= t < float("inf") for t in (self.seconds_tolerance, self.km_tolerance)):
+            raise ValueError("tolerances must be finite and not negative")
+
 
     def policy(self, tile: Tile) -> str:
         """What adjacent windows must have in common: everything but the core."""
