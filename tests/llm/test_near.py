@@ -346,3 +346,39 @@ def test_operators_take_odd_rows_and_clashing_columns(spark):
     from wakeline.llm import bpe, queries
 
     assert bpe.bpe_encode(df, queries.tokenizer_path()).count() == len(rows)
+
+
+def test_company_equals_all_pairs_of_each_cell():
+    """Rows with company in their cell: against a loop over all pairs, with whole buckets and pairs of slices, over batches of any cut."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    keys = rng.integers(0, 1 << embeddings.BITS, (60, embeddings.TABLES)).astype(np.uint16)
+    for i in range(0, 40, 2):  # twins that differ in a few keys; the first one shared is a different table each time
+        keys[i + 1] = keys[i]
+        keys[i + 1, : i % 5] ^= 1
+    most, rows = embeddings.most_differing(0.95), []
+    for tab in range(5):
+        for i in range(60):
+            rows.append((int(keys[i, tab]) * 8 + tab, tab, 0, i))
+    rows += [(1 << 40, 2, 1 + i % 2, i) for i in range(20)] + [(1 << 41, 3, 1, i) for i in range(20)]  # one side only: no company
+    keys[:20, 2], keys[:20, 3] = 7, 9
+    rows = sorted(r for r in rows if r[3] >= 20 or r[0] >= 1 << 40 or r[1] < 2)
+
+    def differing(a, b):
+        return sum(int(x ^ y).bit_count() for x, y in zip(keys[a].tolist(), keys[b].tolist()))
+
+    want = set()
+    for cell, tab, side, a in rows:
+        for other, _, where, b in rows:
+            if cell == other and a != b and (side == 0 or side != where) and differing(a, b) <= most:
+                if int(np.flatnonzero(keys[a] == keys[b])[0]) == tab:
+                    want.add((a, cell, tab, side))
+    assert want
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[i] for r in rows]) for i in range(4)] + [pa.array([keys[r[3]].tobytes() for r in rows], pa.binary())], ["cell", "tab", "side", "rep", "sig"]
+    )
+    for size in (1, 3, 50, len(rows)):
+        batches = (batch.slice(i, size) for i in range(0, len(rows), size))
+        got = [r for b in embeddings.bucket_company(batches, 0.95) for r in zip(*(b.column(c).to_pylist() for c in ("rep", "cell", "tab", "side")))]
+        assert len(got) == len(set(got)) and set(got) == want, size

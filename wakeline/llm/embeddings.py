@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import runs
+from .arrow import ranges, runs
 from .common import written
 from .components import components
 
@@ -20,6 +20,10 @@ BITS, TABLES = 14, 26
 SLICE = 4096
 #: Vectors of one block of a comparison (a block product has BLOCK * BLOCK doubles).
 BLOCK = 1024
+#: Pairs of signatures compared at once.
+PAIRS = 1 << 17
+#: Standard deviations of room in differing signs before a pair is ruled out; a pair at the threshold is lost at 1e-11.
+ROOM = 7.0
 
 
 def planes(dim: int, seed: int) -> np.ndarray:
@@ -54,6 +58,64 @@ def signatures(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.Reco
             )
 
 
+def most_differing(threshold: float) -> int:
+    """Signs in which two vectors at the threshold differ at most, but for ROOM: each differs with chance angle / pi."""
+    signs, chance = BITS * TABLES, math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    return math.ceil(signs * chance + ROOM * math.sqrt(signs * chance * (1 - chance)) + 1)
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by cell as tables that hold all rows of their cells."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        cells = batch.column("cell").to_numpy()
+        if not len(cells):
+            continue
+        cut = int(np.searchsorted(cells, cells[-1]))
+        if cut == 0 and (not held or held[0].column("cell")[0].as_py() == cells[0]):
+            held.append(batch)  # one cell so far; it has 2 * SLICE vectors at most
+            continue
+        yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def bucket_company(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, tab, side, rep, sig) sorted by cell to those that have company: another vector of the cell, on the
+    other side if it has sides, that differs in most_differing() signs at most over all tables and shares no earlier key."""
+    most = most_differing(threshold)
+    for t in whole_cells(batches):
+        cell, tab, side = (t.column(c).to_numpy() for c in ("cell", "tab", "side"))
+        n = len(cell)
+        keys = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(n, TABLES)
+        words = np.zeros((n, -(-TABLES // 4) * 4), dtype=np.uint16)
+        words[:, :TABLES] = keys
+        words = words.view(np.uint64)
+        starts = runs(cell)
+        after = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) - np.arange(n) - 1
+        total, kept, row = np.cumsum(after), np.zeros(n, dtype=bool), 0
+        while row < n:
+            # At least one row and its partners at a time: 2 * SLICE pairs at most beyond PAIRS.
+            end = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + PAIRS, side="right")))
+            some = np.arange(row, end)
+            a, b = np.repeat(some, after[row:end]), ranges(some + 1, after[row:end])
+            row = end
+            ok = (side[a] == 0) | (side[a] != side[b])
+            a, b = a[ok], b[ok]
+            apart = np.zeros(len(a), dtype=np.uint16)
+            for w in range(words.shape[1]):
+                apart += np.bitwise_count(words[a, w] ^ words[b, w])
+            near = apart <= most
+            a, b = a[near], b[near]
+            equal = keys[a] == keys[b]
+            first = np.argmax(equal, axis=1) == tab[a]  # they share this table's key, so some key is equal
+            kept[a[first]] = kept[b[first]] = True
+        at = np.flatnonzero(kept)
+        if len(at):
+            yield from t.select(["rep", "cell", "tab", "side"]).take(pa.array(at)).combine_chunks().to_batches()
+
+
 def bucket_matches(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell (a bucket, or a pair of slices of one) to (a, b, links).
 
@@ -98,19 +160,8 @@ def bucket_matches(batches: Iterator[pa.RecordBatch], threshold: float) -> Itera
             arrays = [pa.array(np.concatenate(x)) for x in (out_a, out_b, out_n)]
             yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "links"])
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        cells = batch.column("cell").to_numpy()
-        if not len(cells):
-            continue
-        cut = int(np.searchsorted(cells, cells[-1]))
-        if cut == 0 and (not held or held[0].column("cell")[0].as_py() == cells[0]):
-            held.append(batch)  # one cell so far; it has 2 * SLICE vectors at most
-            continue
-        yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-        held = [batch.slice(cut)]
-    if held:
-        yield from work(pa.Table.from_batches(held))
+    for t in whole_cells(batches):
+        yield from work(t)
 
 
 def near_vectors(
@@ -120,7 +171,9 @@ def near_vectors(
 
     Vectors of one dimension link where their cosine in double precision reaches the threshold. Equal vectors
     are grouped first and compared as one row with a weight, so copies make no pairs. Each distinct vector
-    gets TABLES keys; vectors that share one are verified exactly, in blocks within their bucket. A bucket of
+    gets TABLES keys; ids and signs alone (52 bytes) go to the buckets of the keys, where vectors without a
+    neighbour within most_differing(threshold) signs drop out, and pairs that met in an earlier table with them.
+    Vectors travel only to buckets where they have company left, and are verified exactly in blocks there. A bucket of
     more than SLICE vectors is cut into slices by a hash and each pair of slices is compared in its own cell.
     Only counts and links to one member of each component leave a bucket.
 
@@ -148,7 +201,7 @@ def near_vectors(
             lambda it: signatures(it, seed), "rep bigint, weight bigint, dim int, unit binary, sig binary, keys array<int>"
         )
     )
-    dealt = signed.select("rep", "weight", "dim", F.posexplode("keys").alias("tab", "key"))
+    dealt = signed.select("rep", "sig", "dim", F.posexplode("keys").alias("tab", "key"))
     sizes = dealt.groupBy("dim", "tab", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     dealt = dealt.join(sizes, ["dim", "tab", "key"])
     slices = F.ceil(F.col("n") / SLICE).cast("int")
@@ -161,9 +214,10 @@ def near_vectors(
             F.when(t == own, F.lit(0)).when(own < t, F.lit(1)).otherwise(F.lit(2)).alias("side"),
         ),
     )
-    dealt = dealt.select("rep", "tab", F.explode(cells).alias("c")).select("rep", "tab", "c.cell", "c.side")
-    dealt = dealt.join(signed.select("rep", "weight", "unit", "sig"), "rep")
-    work = dealt.repartition("cell").sortWithinPartitions("cell", "tab", "rep")
+    dealt = dealt.select("rep", "sig", "tab", F.explode(cells).alias("c")).select("rep", "sig", "tab", "c.cell", "c.side")
+    dealt = dealt.repartition("cell").sortWithinPartitions("cell", "rep")
+    company = dealt.mapInArrow(lambda it: bucket_company(it, threshold), "rep bigint, cell bigint, tab int, side int")
+    work = company.join(signed.select("rep", "weight", "unit", "sig"), "rep").repartition("cell").sortWithinPartitions("cell", "tab", "rep")
     found = written(work.mapInArrow(lambda it: bucket_matches(it, threshold), "a bigint, b bigint, links bigint"))
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     linked = components(found.select("a", "b")).withColumnRenamed("node", "rep")
