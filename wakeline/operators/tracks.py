@@ -103,6 +103,11 @@ def numbered(rows: DataFrame, position: str = "position") -> DataFrame:
     return placed.select(*rows.columns, position)
 
 
+def event_of_point() -> Column:
+    """The carried point as an event: an ingestion's points have more columns, in another order."""
+    return F.when(F.col("point").isNotNull(), F.struct(*[F.col(f"point.{c}").alias(c) for c in EVENT]))
+
+
 def adjacency(events: DataFrame, carry: DataFrame | None = None) -> DataFrame:
     """Each event with prev (the one before it in time), skip, unknown_time, carried_barrier and carry_episode.
 
@@ -143,7 +148,7 @@ def adjacency(events: DataFrame, carry: DataFrame | None = None) -> DataFrame:
         e = e.withColumns({"carried_barrier": F.lit(False), "carry_episode": F.lit(None).cast("string")})
     else:
         c = carry.select(
-            "mmsi", F.col("point").alias("_point"), F.col("barrier_seen").alias("_barrier"), F.col("episode_id").alias("_episode")
+            "mmsi", event_of_point().alias("_point"), F.col("barrier_seen").alias("_barrier"), F.col("episode_id").alias("_episode")
         )
         e = e.join(c, "mmsi", "left")
         # A stale first row drops the episode for all the vessel's rows.
@@ -297,7 +302,7 @@ def checkpoint(episodes: DataFrame, config: TrackConfig, carry: DataFrame | None
     if carry is None:
         return seen.select("mmsi", "last.point", F.col("barrier").alias("barrier_seen"), "last.episode_id")
     c = carry.select(
-        "mmsi", F.col("point").alias("_point"), F.col("barrier_seen").alias("_barrier"), F.col("episode_id").alias("_episode")
+        "mmsi", event_of_point().alias("_point"), F.col("barrier_seen").alias("_barrier"), F.col("episode_id").alias("_episode")
     )
     mine = F.col("last").isNotNull()
     return seen.join(c, "mmsi", "full_outer").select(
