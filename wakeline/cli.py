@@ -28,6 +28,11 @@ def session() -> SparkSession:
     return s
 
 
+def folder(text: str) -> Path | str:
+    """A URI as it is, anything else as a local path."""
+    return text if "://" in text else Path(text)
+
+
 def validate_csv(spark: SparkSession, path: str, era: str, policy: str, max_records: int) -> int:
     raw = read_positions(spark, era, [dict(path=path, asset_id=Path(path).name)], max_records=max_records)
     parsed = Parser(era, policy).parse(raw)
@@ -50,11 +55,11 @@ def main(argv: list[str] | None = None) -> int:
     v.add_argument("--max-records", type=int, default=1_000_000)
     i = commands.add_parser("ingest-local")
     i.add_argument("job", type=Path)
-    i.add_argument("output", type=Path)
-    i.add_argument("--carried", type=Path)
+    i.add_argument("output", type=folder)
+    i.add_argument("--carried", type=folder)
     e = commands.add_parser("estimate-local")
     e.add_argument("job", type=Path)
-    e.add_argument("output", type=Path)
+    e.add_argument("output", type=folder)
     a = parser.parse_args(argv)
     spark = session()
     try:

@@ -15,7 +15,7 @@ from ..functions.parsing import HEADERS, TIME_POLICIES, Parser
 from ..operators.reconcile import SpatialFilter, TimeWindow, carried_state, dealt, reconciled, with_scope
 from ..sources.catalog import SourcePartition
 from ..sources.rawtext import read_positions
-from . import jobs
+from . import jobs, store
 
 METHOD, SCHEMA_VERSION = "spark-ingestion/1", "positions/1"
 ARTIFACTS = {"audit", "positions", "halo", "state"}
@@ -91,12 +91,12 @@ def audited(records: DataFrame, config: IngestConfig, carried: DataFrame | None
 
 
 def ingest(
-    spark: SparkSession, inputs: list[tuple[str, SourcePartition]], config: IngestConfig, root: Path, carried: Path | None = None
-) -> Path:
+    spark: SparkSession, inputs: list[tuple[str, SourcePartition]], config: IngestConfig, root: Path | str, carried: Path | str | None = None
+) -> Path | str:
     """Run, or find the same run, and return its directory: audit, positions, halo and state tables with a receipt.
 
-    A run is written beside and renamed when complete; a failed one leaves a failure note instead. The carried
-    run must be complete, of the same policy, and end where this core starts.
+    root is a local path or the URI of a folder on any file system that Spark reaches; see store.py for how a run becomes visible. A
+    failed one leaves a failure note instead. The carried run must be complete, of the same policy, and end where this core starts.
     """
     if not inputs or len({r.asset_id for _, r in inputs}) != len(inputs):
         raise ValueError("inputs need distinct asset ids")
@@ -107,32 +107,32 @@ def ingest(
         before = jobs.verified_receipt(spark, carried, METHOD, ARTIFACTS)
         if before["policy_hash"] != config.policy_hash or jobs.instant(before["core_end"]) != w.core_start:
             raise ValueError("the carried run has another policy or isn't adjacent")
-        prior = spark.read.parquet(str(carried / "state"))
+        prior = spark.read.parquet(store.Folder(spark, carried) / "state")
     manifest = jobs.Manifest(
         config.partition_id, tuple(r.sha256 for _, r in inputs), config.hash, METHOD, SCHEMA_VERSION, config.producer_git_sha,
         w.core_start, w.core_end, w.halo_start, w.halo_end, before and before["run_key"],
     )
     own = sorted(json.dumps({k: str(v) for k, v in r.__dict__.items()}, sort_keys=True) for _, r in inputs)
     key = plain_fingerprint({"manifest": manifest.key, "receipts": own})
-    final = root / key
-    if final.exists():
+    home = store.Folder(spark, root)
+    if name := store.pointed(home, key):
+        final = store.like(root, name)
         jobs.verified_receipt(spark, final, METHOD, ARTIFACTS)
         return final
-    stage = jobs.staged(root, key)
+    stage = store.begin(home, key)
     try:
-        jobs.require_shared(spark, stage)
-        zstd = lambda df, name: df.write.option("compression", "zstd").parquet(str(stage / name))
+        jobs.opened(stage)
         audit = audited(raw_records(spark, inputs, config), config, prior)
         tally = {o: F.count(F.when(F.col("outcome") == o, 1)) for o in OUTCOMES}
         seen = jobs.written_within(dealt(audit), stage / "audit", config.max_records, "records", **tally)
         counts = {o: seen[o] for o in OUTCOMES if seen[o]}
         if sum(counts.values()) != seen["rows"]:
             raise ValueError("a record has no known outcome")
-        audit = spark.read.parquet(str(stage / "audit"))
+        audit = spark.read.parquet(stage / "audit")
         accepted = audit.filter("outcome = 'accepted'").drop("carried_conflict")
-        zstd(accepted.filter("scope = 'core'"), "positions")
-        zstd(accepted.filter("scope = 'halo'"), "halo")
-        zstd(carried_state(audit, w.core_end, prior), "state")
+        jobs.save(accepted.filter("scope = 'core'"), stage / "positions")
+        jobs.save(accepted.filter("scope = 'halo'"), stage / "halo")
+        jobs.save(carried_state(audit, w.core_end, prior), stage / "state")
         found = {r["asset_id"] for r in audit.select("asset_id").distinct().collect()}
         if missing := {r.asset_id for _, r in inputs} - found:
             raise ValueError(f"empty sources: {sorted(missing)}")
@@ -146,13 +146,12 @@ def ingest(
             "method": METHOD, "schema_version": SCHEMA_VERSION, "run_key": key, "policy_hash": config.policy_hash,
             "core_start": w.core_start.isoformat(), "core_end": w.core_end.isoformat(), "counts": dict(sorted(counts.items())),
             "input_rows": seen["rows"], "carried_run_key": before and before["run_key"],
-            "artifacts": {a: jobs.content_digest(spark.read.parquet(str(stage / a))) for a in sorted(ARTIFACTS)},
+            "artifacts": {a: jobs.content_digest(spark.read.parquet(stage / a)) for a in sorted(ARTIFACTS)},
         }
-        jobs.publish(spark, stage, final, receipt)
+        return store.like(root, jobs.publish(stage, receipt))
     except BaseException as error:
-        jobs.mark_failed(stage, error)
+        stage.fail(error)
         raise
-    return final
 
 
 def load_job(path: Path) -> tuple[list[tuple[str, SourcePartition]], IngestConfig]:

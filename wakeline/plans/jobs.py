@@ -6,17 +6,19 @@ import hashlib
 import json
 import os
 import re
-import shutil
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import plain_fingerprint
+from .store import FILE_ROWS, Attempt, Folder, pointed
 
 MAX_JOB_BYTES = 1 << 20
 
@@ -25,7 +27,10 @@ def strict_json(path: Path) -> dict:
     """A JSON document without repeated keys or non-finite numbers."""
     if path.stat().st_size > MAX_JOB_BYTES:
         raise ValueError("the job file is larger than 1 MiB")
+    return strict_text(path.read_text())
 
+
+def strict_text(text: str) -> dict:
     def once(pairs):
         if len({k for k, _ in pairs}) != len(pairs):
             raise ValueError("a JSON key repeats")
@@ -34,7 +39,7 @@ def strict_json(path: Path) -> dict:
     def refuse(text):
         raise ValueError(f"{text} isn't JSON")
 
-    return json.loads(path.read_text(), object_pairs_hook=once, parse_constant=refuse)
+    return json.loads(text, object_pairs_hook=once, parse_constant=refuse)
 
 
 def exact_keys(document: dict, names: set[str]) -> dict:
@@ -108,12 +113,6 @@ def digests_of(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     return {r["path"]: r["sha256"] for r in files.mapInArrow(digests, "path string, sha256 string").collect()}
 
 
-def file_digests(spark: SparkSession, directory: Path) -> dict[str, str]:
-    """sha256 of each data file of a directory, by relative name."""
-    names = {str(p): str(p.relative_to(directory)) for p in sorted(directory.rglob("*.parquet")) if p.is_file()}
-    return {names[p]: sha for p, sha in digests_of(spark, list(names)).items()}
-
-
 def require_shared(spark: SparkSession, folder: Path) -> None:
     """Refuse a folder that some tasks don't see: on a cluster, what they write there would stay on their own disks."""
     mark = folder / ".shared"
@@ -133,20 +132,18 @@ def require_shared(spark: SparkSession, folder: Path) -> None:
         mark.unlink()
 
 
-def publish(spark: SparkSession, stage: Path, final: Path, receipt: dict) -> dict:
-    """Write the receipt last, then rename the staged directory; an existing final directory is an error."""
-    receipt = receipt | {"status": "complete", "files": file_digests(spark, stage)}
-    (stage / "complete.json").write_text(json.dumps(receipt, sort_keys=True, indent=1))
-    for p in stage.rglob("*"):
-        os.chmod(p, 0o700 if p.is_dir() else 0o600)
-    os.chmod(stage, 0o700)
-    if final.exists():
-        raise FileExistsError(final)
-    os.rename(stage, final)
-    return receipt
+def publish(stage: Attempt, receipt: dict) -> str:
+    """Digest the attempt's files, write its receipt and put the pointer; the name of the attempt that stands for the key."""
+    return stage.publish(receipt | {"status": "complete", "files": content_digest(stage.files())})
+
 
+def save(df: DataFrame, path: Path | str) -> DataFrame:
+    """Write a table of a run, in files of bounded size, and read it back."""
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).parquet(str(path))
+    return df.sparkSession.read.parquet(str(path))
 
-def written_within(df: DataFrame, path: Path, most: int, what: str, **metrics: Column) -> dict[str, int]:
+
+def written_within(df: DataFrame, path: Path | str, most: int, what: str, **metrics: Column) -> dict[str, int]:
     """Write df as Parquet and return its number of rows and the metrics (aggregates), observed as rows are written.
 
     More than `most` rows are an error. A task that alone has more stops the job before it writes further; the sum of all
@@ -156,38 +153,33 @@ def written_within(df: DataFrame, path: Path, most: int, what: str, **metrics: C
     within = F.when(place < most, F.lit(True)).otherwise(F.raise_error(F.lit(f"more than {most} {what}")).cast("boolean"))
     seen = Observation()
     watched = df.filter(within).observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()])
-    watched.write.option("compression", "zstd").parquet(str(path))
+    save(watched, path)
     found = {"rows": 0} | dict.fromkeys(metrics, 0) | seen.get  # a plan without rows may observe nothing
     if found["rows"] > most:
         raise ValueError(f"{found['rows']} {what}, more than {most}")
     return found
 
 
-def mark_failed(stage: Path, error: BaseException) -> None:
-    """Leave a note of the failure, and nothing else, in the staged directory."""
-    if stage.exists():
-        for p in stage.iterdir():
-            # A task that is still being stopped may write once more; the next run of this key clears the rest.
-            shutil.rmtree(p, ignore_errors=True) if p.is_dir() else p.unlink(missing_ok=True)
-        (stage / "failure.json").write_text(json.dumps({"status": "failed", "error": f"{type(error).__name__}: {error}"[:2000]}))
-
-
-def verified_receipt(spark: SparkSession, directory: Path, method: str, artifacts: set[str]) -> dict:
+def verified_receipt(spark: SparkSession, directory: Path | str, method: str, artifacts: set[str]) -> dict:
     """The receipt of a published run whose files are as they were."""
-    if directory.name.startswith(".") or (directory / "failure.json").exists() or not (directory / "complete.json").exists():
+    folder = Folder(spark, directory)
+    key = folder.name.partition("-")[0]
+    if not folder.has("complete.json") or pointed(folder.parent, key) != folder.name:
         raise ValueError(f"{directory} isn't a complete run")
-    receipt = strict_json(directory / "complete.json")
-    if receipt.get("status") != "complete" or receipt.get("method") != method or receipt.get("run_key") != directory.name:
+    receipt = strict_text(folder.read("complete.json"))
+    if receipt.get("status") != "complete" or receipt.get("method") != method or receipt.get("run_key") != key:
         raise ValueError(f"{directory}: the receipt doesn't belong to it")
-    if set(receipt["artifacts"]) != artifacts or receipt["files"] != file_digests(spark, directory):
+    try:
+        same = receipt["files"] == content_digest(folder.files())
+    except (Py4JJavaError, PySparkException) as error:
+        raise ValueError(f"{directory}: its files can't be read") from error
+    if set(receipt["artifacts"]) != artifacts or not same:
         raise ValueError(f"{directory}: its files have changed")
     return receipt
 
 
-def staged(root: Path, key: str) -> Path:
-    root.mkdir(parents=True, exist_ok=True)
-    stage = root / f".stage-{key}"
-    if stage.exists():
-        shutil.rmtree(stage)
-    stage.mkdir(mode=0o700)
+def opened(stage: Attempt) -> Attempt:
+    """An attempt whose folder all tasks see: only a folder on local disks can be one that they don't."""
+    if stage.local:
+        require_shared(stage.spark, stage.local_path)
     return stage

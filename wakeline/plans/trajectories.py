@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import platform
-import shutil
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
@@ -17,7 +16,7 @@ from ..functions.projection import LocalProjection
 from ..operators import allocate as alloc
 from ..operators import tracks
 from ..operators.geometry import Tile, TileConfig
-from . import ingest, jobs
+from . import ingest, jobs, store
 
 METHOD = "spark-trajectories/1"
 ARTIFACTS = {"intervals", "contributions", "points", "state"}
@@ -87,12 +86,12 @@ def require_core(config: TrajectoryConfig, ingested: dict, before: dict | None,
         raise ValueError("the carried trajectories have another policy")
 
 
-def carry_of(spark: SparkSession, ingested: Path, tracked: Path | None) -> DataFrame:
+def carry_of(spark: SparkSession, ingested: Path | str, tracked: Path | str | None) -> DataFrame:
     """The carry from the ingestion run before, with the trajectory run's episodes."""
-    state = spark.read.parquet(str(ingested / "state"))
+    state = spark.read.parquet(store.Folder(spark, ingested) / "state")
     if tracked is None:
         return state.withColumn("episode_id", F.lit(None).cast("string"))
-    return tracks.merged_carry(state, spark.read.parquet(str(tracked / "state")))
+    return tracks.merged_carry(state, spark.read.parquet(store.Folder(spark, tracked) / "state"))
 
 
 def checked_outcomes(audit: DataFrame, counts: dict[str, int]) -> None:
@@ -105,8 +104,9 @@ def checked_outcomes(audit: DataFrame, counts: dict[str, int]) -> None:
 
 
 def run(
-    spark: SparkSession, ingested: Path, tile: Tile, config: TrajectoryConfig, root: Path, carried: tuple[Path, Path | None] | None = None
-) -> Path:
+    spark: SparkSession, ingested: Path | str, tile: Tile, config: TrajectoryConfig, root: Path | str,
+    carried: tuple[Path | str, Path | str | None] | None = None,
+) -> Path | str:
     """Estimate over a complete ingestion run and publish, or find the same run. carried: the runs before."""
     receipt = jobs.verified_receipt(spark, ingested, ingest.METHOD, ingest.ARTIFACTS)
     prior = jobs.verified_receipt(spark, carried[0], ingest.METHOD, ingest.ARTIFACTS) if carried else None
@@ -119,34 +119,32 @@ def run(
         raise ValueError("the carried trajectories aren't of the carried ingestion run")
     policy = config.policy(tile)
     require_core(config, receipt, prior, track_receipt, policy)
-    identity = {"ingestion": receipt["run_key"], "config": repr(config), "tile": tile.fingerprint, "carried": tracked and tracked.name}
+    identity = {"ingestion": receipt["run_key"], "config": repr(config), "tile": tile.fingerprint, "carried": track_receipt and track_receipt["run_key"]}
     software = {"python": platform.python_version(), "pyspark": spark.version, "numpy": np.__version__}
     key = plain_fingerprint(identity | {"method": METHOD, "software": software})
-    final = root / key
-    if final.exists():
+    home = store.Folder(spark, root)
+    if name := store.pointed(home, key):
+        final = store.like(root, name)
         jobs.verified_receipt(spark, final, METHOD, ARTIFACTS)
         return final
-    stage = jobs.staged(root, key)
+    stage = store.begin(home, key)
     try:
-        jobs.require_shared(spark, stage)
-        audit = spark.read.parquet(str(ingested / "audit"))
+        jobs.opened(stage)
+        audit = spark.read.parquet(store.Folder(spark, ingested) / "audit")
         checked_outcomes(audit, receipt["counts"])
-        work = stage / "work"
 
         def keep(df: DataFrame, name: str) -> DataFrame:
-            if name == "parts":
-                jobs.written_within(df, work / name, config.max_contributions, "contributions")
-            else:
-                df.write.option("compression", "zstd").parquet(str(work / name))
-            return spark.read.parquet(str(work / name))
+            path = stage / f"work/{name}"
+            if name != "parts":
+                return jobs.save(df, path)
+            jobs.written_within(df, path, config.max_contributions, "contributions")
+            return spark.read.parquet(path)
 
         tables = estimate(audit, tile, config, carry_of(spark, *carried) if carried else None, keep)
         if faults := alloc.contribution_faults(tables.contributions).limit(3).collect():
             raise ValueError(f"contributions that can't stand: {[tuple(f) for f in faults]}")
-        for name in sorted(ARTIFACTS):
-            getattr(tables, name).write.option("compression", "zstd").parquet(str(stage / name))
-        shutil.rmtree(work)
-        made = {name: spark.read.parquet(str(stage / name)) for name in ARTIFACTS}
+        made = {name: jobs.save(getattr(tables, name), stage / name) for name in sorted(ARTIFACTS)}
+        stage.delete("work")
         counts = {r["outcome"]: r["n"] for r in made["intervals"].groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
         # The inputs haven't changed meanwhile.
         jobs.verified_receipt(spark, ingested, ingest.METHOD, ingest.ARTIFACTS)
@@ -154,20 +152,16 @@ def run(
             jobs.verified_receipt(spark, carried[0], ingest.METHOD, ingest.ARTIFACTS)
         if tracked:
             jobs.verified_receipt(spark, tracked, METHOD, ARTIFACTS)
-        jobs.publish(
-            spark,
-            stage,
-            final,
-            {
-                "method": METHOD, "software": software, "run_key": key, "policy_hash": policy,
-                "core_start": config.track.core_start.isoformat(), "core_end": config.track.core_end.isoformat(), "ingestion_run_key": receipt["run_key"], "counts": counts,
-                "artifacts": {name: jobs.content_digest(df) for name, df in made.items()},
-            },
-        )
+        receipt = {
+            "method": METHOD, "software": software, "run_key": key, "policy_hash": policy,
+            "core_start": config.track.core_start.isoformat(), "core_end": config.track.core_end.isoformat(),
+            "ingestion_run_key": receipt["run_key"], "counts": counts,
+            "artifacts": {name: jobs.content_digest(df) for name, df in made.items()},
+        }
+        return store.like(root, jobs.publish(stage, receipt))
     except BaseException as error:
-        jobs.mark_failed(stage, error)
+        stage.fail(error)
         raise
-    return final
 
 
 def load_tile(document: dict, config: TileConfig) -> Tile:
@@ -186,7 +180,7 @@ def load_tile(document: dict, config: TileConfig) -> Tile:
 def load_job(path: Path) -> dict:
     """Arguments of run() from a strict job file."""
     job = jobs.exact_keys(jobs.strict_json(path), {"ingestion", "geometry", "config", "carried"})
-    here = lambda p: (path.parent / p).resolve()
+    here = lambda p: p if "://" in p else (path.parent / p).resolve()
     c = dict(job["config"])
     projection = LocalProjection(c.pop("center_longitude"), c.pop("center_latitude"), c.pop("projection_radius_m"), c.pop("max_relative_metric_error"))
     track = tracks.TrackConfig(c.pop("max_gap_seconds"), c.pop("max_implied_speed_knots"), jobs.instant(c.pop("core_start")), jobs.instant(c.pop("core_end")))
@@ -195,7 +189,7 @@ def load_job(path: Path) -> dict:
     carried = job["carried"]
     return {
         "ingested": here(job["ingestion"]),
-        "tile": load_tile(jobs.strict_json(here(job["geometry"])), tile),
+        "tile": load_tile(jobs.strict_json((path.parent / job["geometry"]).resolve()), tile),
         "config": TrajectoryConfig(track, tile, most),
         "carried": carried and (here(carried["ingestion"]), here(carried["trajectories"]) if carried.get("trajectories") else None),
     }
