@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.projection import LocalProjection
 from wakeline.operators.boxes import PackedBoxes, meeting
-from wakeline.operators.geometry import Tile, TileConfig, covered
+from wakeline.operators.geometry import Tile, TileConfig, covered, misplaced, rings_of
 from wakeline.plans.grid import geographic
 
 P = LocalProjection(20.0, 10.0, 50_000.0, 0.007)
@@ -233,3 +233,59 @@ def test_projection_round_trip(spark):
     assert 0.005 < P.metric_error_bound < 0.006
     with pytest.raises(ValueError):
         LocalProjection(20, 80, 50_000, 0.007)
+
+
+def square_ring(x0, y0, x1, y1):
+    return ring((x0, y0), (x1, y0), (x1, y1), (x0, y1))
+
+
+BIG, LAKE, ISLAND, POND = (square_ring(-k, -k, k, k) for k in (1000, 500, 250, 100))
+ASIDE = square_ring(2000, 0, 2500, 500)
+
+
+@pytest.mark.parametrize(
+    "polygons",
+    [
+        [[BIG]], [[BIG, LAKE]], [[BIG, LAKE], [ISLAND]], [[BIG, LAKE], [ISLAND, POND]], [[ISLAND, POND], [ASIDE], [BIG, LAKE]],
+        [[BIG, square_ring(-400, -400, -100, -100), square_ring(100, 100, 400, 400)]],
+        [[BIG], [square_ring(1000.0005, 0, 1500, 500)]], [], [[]],
+    ],
+)
+def test_nested_rings_that_are_right(polygons):
+    assert len(rings_of({"type": "MultiPolygon", "coordinates": polygons}, P, 1000, allow_empty=True)) == sum(map(len, polygons))
+
+
+@pytest.mark.parametrize(
+    "polygons",
+    [
+        [[BIG], [LAKE]], [[LAKE], [BIG]], [[BIG, LAKE], [ISLAND], [POND]], [[BIG, ISLAND], [LAKE, POND]], [[BIG, LAKE, ISLAND]],
+        [[LAKE, BIG]], [[BIG, ASIDE]], [[ASIDE], [BIG, LAKE], [square_ring(600, 600, 900, 900)]], [[], [[], LAKE]],
+        [[BIG, LAKE], [ASIDE, ISLAND]],
+    ],
+)
+def test_nested_rings_that_are_wrong(polygons):
+    with pytest.raises(ValueError, match="polygon|hole"):
+        rings_of({"type": "MultiPolygon", "coordinates": polygons}, P, 1000, allow_empty=True)
+
+
+def test_rings_that_touch_in_points():
+    """The corners of the inner square lie on the edges of the outer one, its edges' middles don't (metres, as degrees would be rounded)."""
+    outer = [(-8.0, -8.0), (8.0, -8.0), (8.0, 8.0), (-8.0, 8.0), (-8.0, -8.0)]
+    inner = [(8.0, 0.0), (0.0, 8.0), (-8.0, 0.0), (0.0, -8.0), (8.0, 0.0)]
+    small = [(x / 4, y / 4) for x, y in outer]
+    for rings, owner, wrong in (
+        ([outer, inner], [0, 0], False), ([outer, inner, small], [0, 0, 1], False), ([outer, inner], [0, 1], True), ([inner, outer], [0, 0], True),
+        ([outer, inner, small], [0, 0, 0], True), ([inner, small, outer], [0, 0, 1], True),
+    ):
+        assert misplaced(rings, np.array(owner)) == wrong, (rings, owner)
+
+
+def test_many_polygons_are_checked_in_short_time():
+    """900 islands, each with a lake, and one polygon in one of the islands."""
+    at = [(x * 100.0, y * 100.0) for x in range(-15, 15) for y in range(-15, 15)]
+    polygons = [[square_ring(x, y, x + 80, y + 80), square_ring(x + 30, y + 30, x + 60, y + 60)] for x, y in at]
+    start = time.perf_counter()
+    assert len(rings_of({"type": "MultiPolygon", "coordinates": polygons}, P, 20_000)) == 1800
+    assert time.perf_counter() - start < 10
+    with pytest.raises(ValueError, match="polygon"):
+        rings_of({"type": "MultiPolygon", "coordinates": [*polygons, [square_ring(5, 5, 20, 20)]]}, P, 20_000)

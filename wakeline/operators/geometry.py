@@ -47,6 +47,8 @@ def rings_of(document: dict, projection: LocalProjection, most: int, allow_empty
     if kind not in ("Polygon", "MultiPolygon"):
         raise ValueError("a Polygon or MultiPolygon is required")
     polygons = [document["coordinates"]] if kind == "Polygon" else document["coordinates"]
+    if any(polygon and not polygon[0] and any(polygon) for polygon in polygons):
+        raise ValueError("a polygon has holes and no shell")
     rings = [ring for polygon in polygons for ring in polygon if ring]
     if sum(map(len, rings)) > most:
         raise ValueError("a geometry has too many vertices")
@@ -57,16 +59,63 @@ def rings_of(document: dict, projection: LocalProjection, most: int, allow_empty
     projected = [[projection.forward_point(p[0], p[1]) for p in ring] for ring in rings]
     if crossing(projected):
         raise ValueError("the rings of a geometry cross or overlap")
+    sizes = [sum(map(bool, polygon)) for polygon in polygons]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    if misplaced(projected, owner):
+        raise ValueError("a hole isn't in its shell, or a polygon lies in another")
     return projected
 
 
+def ring_numbers(rings: list[Ring]) -> np.ndarray:
+    """The ring of each edge of Edges(rings)."""
+    return np.repeat(np.arange(len(rings)), [sum(a != b for a, b in zip(r, r[1:])) for r in rings])
+
+
+def misplaced(rings: list[Ring], owner: np.ndarray) -> bool:
+    """Whether rings that don't cross are nested wrongly; owner is the polygon of each, whose first ring is its shell.
+
+    Rings that don't cross lie inside one another as a whole, so one point of each tells: a vertex or an edge's middle that is
+    on no other ring. A hole lies in its own shell and in no other ring of its polygon, a shell in none; no ring lies within
+    another polygon, that is, in an odd number of its rings.
+    """
+    if len(rings) < 2:
+        return False
+    shape, ring, n = Edges(rings), ring_numbers(rings), len(rings)
+    points, of = np.concatenate([shape.a, (shape.a + shape.b) / 2]), np.concatenate([ring, ring])
+    test, which = shape.around(points, points, 1e-6)
+    foreign = ring[which] != of[test]
+    test, which = test[foreign], which[foreign]
+    t = np.clip(((points[test] - shape.a[which]) * shape.d[which]).sum(axis=1) / shape.square[which], 0, 1)
+    apart = np.hypot(*(shape.a[which] + t[:, None] * shape.d[which] - points[test]).T)
+    free = np.ones(len(points), dtype=bool)
+    free[test[apart <= 1e-6]] = False
+    known, first = np.unique(of[free], return_index=True)
+    if len(known) < n:
+        return True
+    p = points[free][first]
+    test, which = shape.index.pairs(p, np.stack([np.full(n, np.inf), p[:, 1]], axis=1))
+    a, b, q = shape.a[which], shape.b[which], p[test]
+    across = (a[:, 1] > q[:, 1]) != (b[:, 1] > q[:, 1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = a[:, 0] + (q[:, 1] - a[:, 1]) * shape.d[which, 0] / shape.d[which, 1]
+    hit = across & (at > q[:, 0]) & (ring[which] != test)
+    key, count = np.unique(test[hit] * n + ring[which[hit]], return_counts=True)
+    inner, outer = np.divmod(key[count % 2 == 1], n)
+    shell = np.concatenate(([True], owner[1:] != owner[:-1]))
+    own = owner[inner] == owner[outer]
+    within_own = np.bincount(inner[own], minlength=n)
+    in_shell = np.bincount(inner[own & shell[outer]], minlength=n)
+    pair, rings_of_other = np.unique(inner[~own] * n + owner[outer[~own]], return_counts=True)
+    return bool((within_own != ~shell).any() or (in_shell != ~shell).any() or (rings_of_other % 2 == 1).any())
+
+
 def crossing(rings: list[Ring]) -> bool:
     """Whether two edges of the rings cross or lie on each other, or a ring meets itself; rings may touch in points."""
     shape = Edges(rings)
-    ring = np.concatenate([np.full(len(r), i) for i, r in enumerate([[0 for a, b in zip(r, r[1:]) if a != b] for r in rings])] or [np.zeros(0)])
+    ring = ring_numbers(rings)
     if not len(ring):
         return bool(rings)
-    if (np.bincount(ring.astype(int), minlength=len(rings)) < 3).any():
+    if (np.bincount(ring, minlength=len(rings)) < 3).any():
         return True
     start = np.searchsorted(ring, ring)
     size = np.searchsorted(ring, ring, side="right") - start
