@@ -22,7 +22,7 @@ SLICE = 4096
 BLOCK = 1024
 #: Pairs of signatures compared at once.
 PAIRS = 1 << 17
-#: Standard deviations of room in differing signs before a pair is ruled out; a pair at the threshold is lost at 1e-11.
+#: Standard deviations of room in differing signs before a pair is ruled out; a pair at cosine 0.95 is lost at 3e-11.
 ROOM = 7.0
 
 
