@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.projection import LocalProjection
 from wakeline.operators.boxes import PackedBoxes, meeting
-from wakeline.operators.geometry import Tile, TileConfig, covered, misplaced, rings_of
-from wakeline.plans.grid import geographic
+from wakeline.operators.geometry import Tile, TileConfig, covered, merged_cuts, misplaced, rings_of
+from wakeline.plans.grid import GRID, geographic
 
 P = LocalProjection(20.0, 10.0, 50_000.0, 0.007)
 
@@ -49,6 +49,36 @@ def test_slivers_merge():
     assert parts[0][0] == 0 and len(parts) == 1
 
 
+def test_exact_parts_keep_slivers_and_belong_to_the_cell_they_lie_in():
+    """A route that cuts a corner by 1.2 mm: the piece lies within the tolerance of the opposite cell, whose id is smaller."""
+    at = (-6909.898379905999, -433.00023658817514, 3625.378017778316, -7349.8155421473175)
+    names = lambda exact: [c for _, _, c in GRID.parts_many(np.array([at[:2]]), np.array([at[2:]]), exact=exact)[0]]
+    assert names(False) == ["r02c00", "r02c01", "r01c01", "r01c02", "r01c03", "r00c03", "r00c04"]
+    assert names(True) == ["r02c00", "r02c01", "r02c02", "r01c02", "r01c03", "r00c03", "r00c04"]
+    exact = lambda *r: tile().parts_many(np.array([r[:2]], float), np.array([r[2:]], float), exact=True)[0]
+    assert [c for _, _, c in exact(-0.0004, 0, 1000, 0)] == ["a", "b"]
+    assert [c for _, _, c in exact(0, -1000, 0, 1000)] == ["a"] and exact(0, 0, 0, 0) == [(0.0, 1.0, "a")]
+
+
+def test_merged_cuts_equal_one_by_one():
+    rng = np.random.default_rng(8)
+    who = np.repeat(np.arange(300), rng.integers(2, 12, 300))
+    t = np.round(rng.random(len(who)), 1) + rng.choice([0, 1e-4, 3e-4, 1.2e-3], len(who))
+    first = np.concatenate(([True], who[1:] != who[:-1]))
+    t[first], t[np.append(first[1:], True)] = 0.0, 1.0
+    t = np.minimum(t, 1.0)
+    t = t[np.lexsort((t, who))]
+    length = rng.choice([0.0, 1.0, 3.0], 300)
+    want = []
+    for i in range(300):
+        own, kept = t[who == i], [0.0]
+        for x in own[1:-1].tolist():
+            if (x - kept[-1]) * length[i] > 1e-3 and x < 1:
+                kept.append(x)
+        want += [*kept, 1.0]
+    assert t[merged_cuts(who, t, length, 1e-3)].tolist() == want
+
+
 def test_uncovered_area_is_an_error():
     with pytest.raises(ValueError):
         clip(tile(cells=[("a", ring((-3000, -3000), (0, -3000), (0, 3000), (-3000, 3000)))]), 500, 0, 1500, 0)
