@@ -319,3 +319,12 @@ def test_many_polygons_are_checked_in_short_time():
     assert time.perf_counter() - start < 10
     with pytest.raises(ValueError, match="polygon"):
         rings_of({"type": "MultiPolygon", "coordinates": [*polygons, [square_ring(5, 5, 20, 20)]]}, P, 20_000)
+
+
+def test_routes_are_clipped_once(spark):
+    """The clip function stands once in the plan of each query that needs it."""
+    from wakeline.plans.queries import QUERIES
+
+    for name in ("speed_bands", "daily_metrics", "daily_export"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, name

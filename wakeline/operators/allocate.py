@@ -38,7 +38,9 @@ def allocate(intervals: DataFrame, core_start: datetime, core_end: datetime, res
     i = intervals.filter("outcome = 'accepted_estimate'").withColumn("parts", parts(*ends))
     lo, hi = F.greatest("start", F.lit(core_start)), F.least("end", F.lit(core_end))
     i = i.withColumn("slices", day_slices(lo, hi)).withColumn("n_parts", F.size("parts"))
-    i = i.select("*", F.explode("parts").alias("p")).select("*", F.explode("slices").alias("s")).drop("parts", "slices")
+    # Outer, as explode filters by its array below the projection that makes it, so parts would be made twice.
+    i = i.select("*", F.explode_outer("parts").alias("p")).filter("p IS NOT NULL")
+    i = i.select("*", F.explode_outer("slices").alias("s")).filter("s IS NOT NULL").drop("parts", "slices")
     share = lambda t: (F.unix_micros(t) - F.unix_micros("start")) / 1e6 / F.col("seconds")
     i = i.withColumns({"u": F.greatest(F.col("p.lo"), share("s.begin")), "v": F.least(F.col("p.hi"), share("s.finish"))})
     instant = lambda t: F.timestamp_micros(F.unix_micros("start") + F.rint(t * F.col("seconds") * 1e6).cast("long"))
