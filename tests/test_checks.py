@@ -69,3 +69,31 @@ def test_value_faults(spark):
             metrics.daily_exports(df, "v", "m", ["s"], **settings)
     with pytest.raises(ValueError):
         metrics.coverage("d", "s", [], F.col("a"), F.col("e"))
+
+
+@pytest.mark.parametrize("name", ["ledger_rollup"])
+def test_intervals_are_made_once(spark, name):
+    """Intervals go with their parts, so none is made again to be joined to its own sums."""
+    from wakeline.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Window [lag(_w0") == 1 and "Join" not in plan
+
+
+def ledger_of(spark, rows):
+    """Accepted intervals along x in metres, 100 s each: id, to, and whether their clip has a gap."""
+    row = "interval_id string, mmsi string, right_record_key string, outcome string, start timestamp, end timestamp, seconds double, length_m double, x1 double, y1 double, x2 double, y2 double"
+    at = dt.datetime(2024, 1, 1, 23, 59)
+    return spark.createDataFrame([(k, "1", "r" + k, "accepted_estimate", at, at + dt.timedelta(seconds=100), 100.0, x, 0.0, 0.0, x, 0.0) for k, x in rows], row)
+
+
+def test_rolled_up_rows_equal_a_direct_sum(spark):
+    part = lambda lo, hi, cell: F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(cell).cast("string").alias("cell"))
+    clip = lambda x1, y1, x2, y2: F.array(part(0.0, 0.25, "a"), part(0.25, 0.5, None), part(0.5, 1.0, "b"))
+    i, core = ledger_of(spark, [("i", 1000.0), ("j", 0.0)]), (dt.datetime(2023, 1, 1), dt.datetime(2025, 1, 1))
+    r = allocate.conserved(allocate.rolled_up_rows(allocate.pieces(allocate.cut(i, *core, clip)), *core), 1e-6, 1e-6)
+    got = {x.interval_id: (x.inside_seconds, x.outside_seconds, round(x.inside_km, 9), round(x.outside_km, 9), x.owned_seconds) for x in r.collect()}
+    assert got == {"i": (75.0, 25.0, 0.75, 0.25, 100.0), "j": (75.0, 25.0, 0.0, 0.0, 100.0)}
+    for lost in (lambda *e: F.slice(clip(*e), 1, 2), lambda *e: F.slice(clip(*e), 1, 0)):
+        with pytest.raises(Exception, match="allocation isn't conserved"):
+            allocate.conserved(allocate.rolled_up_rows(allocate.pieces(allocate.cut(i, *core, lost)), *core), 1e-6, 1e-6).collect()

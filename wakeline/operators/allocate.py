@@ -28,25 +28,38 @@ def day_slices(start: Column, end: Column) -> Column:
     )
 
 
-def allocate(intervals: DataFrame, core_start: datetime, core_end: datetime, resolution: int, parts: Geometry) -> DataFrame:
-    """Additive contributions of the accepted intervals: one row for each spatial part and UTC day.
+def cut(intervals: DataFrame, core_start: datetime, core_end: datetime, parts: Geometry) -> DataFrame:
+    """The accepted intervals, a row for each spatial part p and UTC day s: from u to v as shares, begin, finish, part_seconds.
 
-    The part of an interval in the core is covered, inside cells and outside them (cell null). Instants are
-    rounded to microseconds, so slivers below that have no row; distances come from unrounded shares.
+    Rows that are no piece (v <= u, or no time left by rounding) stay, so each interval has a row even if it has no part.
     """
     ends = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
     i = intervals.filter("outcome = 'accepted_estimate'").withColumn("parts", parts(*ends))
     lo, hi = F.greatest("start", F.lit(core_start)), F.least("end", F.lit(core_end))
     i = i.withColumn("slices", day_slices(lo, hi)).withColumn("n_parts", F.size("parts"))
     # Outer, as explode filters by its array below the projection that makes it, so parts would be made twice.
-    i = i.select("*", F.explode_outer("parts").alias("p")).filter("p IS NOT NULL")
-    i = i.select("*", F.explode_outer("slices").alias("s")).filter("s IS NOT NULL").drop("parts", "slices")
+    i = i.select("*", F.explode_outer("parts").alias("p"))
+    i = i.select("*", F.explode_outer("slices").alias("s")).drop("parts", "slices")
     share = lambda t: (F.unix_micros(t) - F.unix_micros("start")) / 1e6 / F.col("seconds")
     i = i.withColumns({"u": F.greatest(F.col("p.lo"), share("s.begin")), "v": F.least(F.col("p.hi"), share("s.finish"))})
     instant = lambda t: F.timestamp_micros(F.unix_micros("start") + F.rint(t * F.col("seconds") * 1e6).cast("long"))
-    i = i.filter("v > u").withColumns({"begin": instant(F.col("u")), "finish": instant(F.col("v"))})
-    part_seconds = (F.unix_micros("finish") - F.unix_micros("begin")) / 1e6
-    i = i.withColumn("part_seconds", part_seconds).filter("part_seconds > 0")
+    i = i.withColumns({"begin": instant(F.col("u")), "finish": instant(F.col("v"))})
+    return i.withColumn("part_seconds", (F.unix_micros("finish") - F.unix_micros("begin")) / 1e6)
+
+
+def pieces(cut_: DataFrame) -> DataFrame:
+    """cut's rows with _piece: whether the row is a piece, that is, a contribution of allocate."""
+    ok = F.col("p").isNotNull() & F.col("s").isNotNull() & (F.col("v") > F.col("u")) & (F.col("part_seconds") > 0)
+    return cut_.withColumn("_piece", F.coalesce(ok, F.lit(False)))
+
+
+def allocate(intervals: DataFrame, core_start: datetime, core_end: datetime, resolution: int, parts: Geometry) -> DataFrame:
+    """Additive contributions of the accepted intervals: one row for each spatial part and UTC day.
+
+    The part of an interval in the core is covered, inside cells and outside them (cell null). Instants are
+    rounded to microseconds, so slivers below that have no row; distances come from unrounded shares.
+    """
+    i = cut(intervals, core_start, core_end, parts).filter("p IS NOT NULL AND s IS NOT NULL AND v > u AND part_seconds > 0")
     known = F.col("left_sog").isNotNull() & F.col("right_sog").isNotNull()
     middle = (F.col("u") + F.col("v")) / 2
     return i.select(
@@ -90,10 +103,30 @@ def rolled_up(
         total("distance_km", ~inside).alias("outside_km"),
         (F.max("n_parts") * 2 * tolerance_m).alias("numerical_allocation_error_bound_m"),
     )
+    return intervals.join(sums, "interval_id", "left").withColumns(owned(core_start, core_end))
+
+
+def owned(core_start: datetime, core_end: datetime) -> dict[str, Column]:
+    """owned_seconds and distance_km of the part of accepted intervals in the core."""
     accepted = F.col("outcome") == "accepted_estimate"
-    owned = (F.unix_micros(F.least("end", F.lit(core_end))) - F.unix_micros(F.greatest("start", F.lit(core_start)))) / 1e6
-    return intervals.join(sums, "interval_id", "left").withColumns(
-        {"owned_seconds": F.when(accepted, owned), "distance_km": F.when(accepted, F.col("length_m") / 1000 * owned / F.col("seconds"))}
+    seconds = (F.unix_micros(F.least("end", F.lit(core_end))) - F.unix_micros(F.greatest("start", F.lit(core_start)))) / 1e6
+    km = F.col("length_m") / 1000 * seconds / F.col("seconds")
+    return {"owned_seconds": F.when(accepted, seconds), "distance_km": F.when(accepted, km)}
+
+
+def rolled_up_rows(rows: DataFrame, core_start: datetime, core_end: datetime) -> DataFrame:
+    """What rolled_up says of the accepted intervals in time and distance, from the rows of pieces().
+
+    What is said of an interval is in each of its rows, so intervals aren't made a second time and joined, and only sums are shuffled.
+    """
+    rows = rows.withColumns(owned(core_start, core_end) | {"_km": F.col("length_m") / 1000 * (F.col("v") - F.col("u"))})
+    cell = F.col("p.cell")
+    total = lambda c, inside: F.coalesce(F.sum(F.when(F.col("_piece") & inside, F.col(c))), F.lit(0.0))
+    return rows.groupBy("interval_id", "right_record_key", "outcome", "owned_seconds", "distance_km").agg(
+        total("part_seconds", cell.isNotNull()).alias("inside_seconds"),
+        total("part_seconds", cell.isNull()).alias("outside_seconds"),
+        total("_km", cell.isNotNull()).alias("inside_km"),
+        total("_km", cell.isNull()).alias("outside_km"),
     )
 
 
