@@ -71,7 +71,7 @@ def test_value_faults(spark):
         metrics.coverage("d", "s", [], F.col("a"), F.col("e"))
 
 
-@pytest.mark.parametrize("name", ["ledger_rollup"])
+@pytest.mark.parametrize("name", ["ledger_rollup", "conservation"])
 def test_intervals_are_made_once(spark, name):
     """Intervals go with their parts, so none is made again to be joined to its own sums."""
     from wakeline.plans.queries import QUERIES
@@ -97,3 +97,20 @@ def test_rolled_up_rows_equal_a_direct_sum(spark):
     for lost in (lambda *e: F.slice(clip(*e), 1, 2), lambda *e: F.slice(clip(*e), 1, 0)):
         with pytest.raises(Exception, match="allocation isn't conserved"):
             allocate.conserved(allocate.rolled_up_rows(allocate.pieces(allocate.cut(i, *core, lost)), *core), 1e-6, 1e-6).collect()
+
+
+def test_conservation_faults(spark):
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    names = ["whole", "none", "vessel", "gap", "overlap", "short", "variants", "far"]
+    i = spark.createDataFrame([(n, "1", t(0), t(10), 2.0) for n in names], "interval_id string, mmsi string, start timestamp, end timestamp, distance_km double")
+    parts = {
+        "whole": [(6, 10), (0, 6)], "vessel": [(0, 6, "2"), (6, 10)], "gap": [(0, 5), (6, 10)], "overlap": [(0, 7), (6, 10)],
+        "short": [(0, 6), (6, 9)], "variants": [(0, 6), (6, 10, "1", "w")], "far": [(0, 6), (6, 10, "1", "v", 3.0)],
+    }
+    full = lambda a, b, mmsi="1", variant="v", km=1.0: (mmsi, t(a), t(b), km, variant)
+    p = spark.createDataFrame([(n, *full(*x)) for n, ps in parts.items() for x in ps], "interval_id string, mmsi string, start timestamp, end timestamp, distance_km double, variant string")
+    got = {r.interval_id: r.fault for r in allocate.conservation_faults(i, p, 1e-3, 1e-3).collect()}
+    assert got == {
+        "none": "no_parts", "vessel": "parent_or_identity_mismatch", "gap": "overlap_or_gap", "overlap": "overlap_or_gap",
+        "short": "not_one_covering_variant", "variants": "not_one_covering_variant", "far": "distance_not_conserved",
+    }

@@ -142,26 +142,35 @@ def conserved(ledger: DataFrame, seconds_tolerance: float, km_tolerance: float)
 def conservation_faults(intervals: DataFrame, parts: DataFrame, seconds_tolerance: float, km_tolerance: float) -> DataFrame:
     """(interval_id, fault) of intervals(interval_id, mmsi, start, end, distance_km) that their parts
     (with variant) don't tile: wrong vessel, gap or overlap, several variants, wrong end, wrong distance."""
-    w = W.partitionBy("interval_id").orderBy("start", "end")
     i = intervals.select("interval_id", F.col("mmsi").alias("_mmsi"), F.col("start").alias("_start"), F.col("end").alias("_end"),
                          F.col("distance_km").alias("_km"))
-    p = parts.join(i, "interval_id").withColumn("_from", F.coalesce(F.lag("end").over(w), "_start"))
+    return tiling_faults(i.join(parts, "interval_id", "left"), ["interval_id"], seconds_tolerance, km_tolerance).select("interval_id", "fault")
+
+
+def tiling_faults(rows: DataFrame, keys: list[str], seconds_tolerance: float, km_tolerance: float) -> DataFrame:
+    """keys and fault of intervals (their keys, _mmsi, _start, _end, _km in each row) that their parts don't tile.
+
+    rows have one part each (mmsi, start, end, distance_km, variant), all null where an interval has none.
+    """
+    w = W.partitionBy(*keys).orderBy("start", "end")
+    p = rows.withColumn("_from", F.coalesce(F.lag("end").over(w), "_start"))
     gap = F.abs(F.unix_micros("start") - F.unix_micros("_from")) / 1e6 > seconds_tolerance
-    sums = p.groupBy("interval_id").agg(
+    sums = p.groupBy(*keys).agg(
         F.bool_or(F.col("mmsi") != F.col("_mmsi")).alias("other"),
         F.bool_or(gap).alias("gap"),
         F.count_distinct("variant").alias("variants"),
+        F.count("start").alias("n"),
         (F.abs(F.max(F.unix_micros("end")) - F.max(F.unix_micros("_end"))) / 1e6).alias("short"),
         F.abs(F.sum("distance_km") - F.max("_km")).alias("km"),
     )
     fault = (
-        F.when(F.col("variants").isNull(), F.lit("no_parts"))
+        F.when(F.col("n") == 0, F.lit("no_parts"))
         .when(F.col("other"), F.lit("parent_or_identity_mismatch"))
         .when(F.col("gap"), F.lit("overlap_or_gap"))
         .when((F.col("variants") != 1) | (F.col("short") > seconds_tolerance), F.lit("not_one_covering_variant"))
         .when(F.col("km") > km_tolerance, F.lit("distance_not_conserved"))
     )
-    return i.select("interval_id").join(sums, "interval_id", "left").select("interval_id", fault.alias("fault")).filter("fault IS NOT NULL")
+    return sums.select(*keys, fault.alias("fault")).filter("fault IS NOT NULL")
 
 
 def contribution_faults(parts: DataFrame) -> DataFrame:
